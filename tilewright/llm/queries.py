@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import avi, bpe
+from tilewright.llm import avi, bpe, licenses
 from tilewright.llm.common import table
 
 
@@ -21,12 +21,17 @@ def op1_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi": op1_avi,
+    "op3_licenses": op3_licenses,
     "op8_bpe": op8_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
