@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import avi, bpe, licenses, near
+from tilewright.llm import avi, bpe, licenses, near, pii
 from tilewright.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(spark, sf_dir, "documents"))
 
@@ -36,6 +40,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi": op1_avi,
     "op3_licenses": op3_licenses,
+    "op4_pii": op4_pii,
     "op7_near": op7_near,
     "op8_bpe": op8_bpe,
 }
