@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import avi, bpe, licenses, near, pii
+from tilewright.llm import avi, bpe, licenses, near, pii, spots
 from tilewright.llm.common import table
 
 
@@ -37,11 +37,16 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spots.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi": op1_avi,
     "op3_licenses": op3_licenses,
     "op4_pii": op4_pii,
     "op7_near": op7_near,
     "op8_bpe": op8_bpe,
+    "op9_spots": op9_spots,
 }
 ORACLE_SQL: dict[str, str] = {}
