@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import avi, bpe, licenses, near, pii, spots
+from tilewright.llm import avi, bpe, licenses, near, pages, pii, spots
 from tilewright.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return avi.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,7 @@ def op9_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi": op1_avi,
+    "op2_pages": op2_pages,
     "op3_licenses": op3_licenses,
     "op4_pii": op4_pii,
     "op7_near": op7_near,
