@@ -1,10 +1,60 @@
-"""Corpus pipeline: quality classifier, near-duplicate removal, personal data, packing."""
+"""Corpus pipeline over `documents`: quality classifier, n-gram Jaccard join, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir), works on every row that the stage before kept, and
+returns the columns of documents (the last: the packing). Rows with null ids or texts, repeated
+rows and further columns go through the stages as the operators' docstrings say."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.llm import near, packing, pii, quality
+from tilewright.llm.common import checkpoint_dir, table
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weak-label model rejects go; null, empty and blank texts are among them."""
+    return quality.keep_good(docs)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by near equal texts the one with the least id stays; texts without words stay.
+
+    A repeated row stays once. Rows with null ids stay unless a linked row has an id."""
+    linked = near.link(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(linked.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and terms that give it away become their kind in brackets; n_chars follows the text."""
+    clean = pii.sanitise(docs)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        clean = clean.withColumn("n_chars", F.coalesce(length, F.col("n_chars")))
+    return clean.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Buckets and batches of every document left."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality classifier", classify), ("n-gram Jaccard join", deduplicate), ("personal data", remove_personal_data), ("packing", pack)]
+
+#: SQL can't express the classifier; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{base}/{i}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")
+    return docs

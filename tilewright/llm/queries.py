@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import avi, bpe, chat, licenses, near, pages, pii, spots
+from tilewright.llm import avi, bpe, chat, licenses, near, packing, pages, pii, quality, spots
 from tilewright.llm.common import table
 
 
@@ -33,6 +33,14 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.link(table(spark, sf_dir, "documents"))
 
@@ -57,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pages": op2_pages,
     "op3_licenses": op3_licenses,
     "op4_pii": op4_pii,
+    "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_near": op7_near,
     "op8_bpe": op8_bpe,
     "op9_spots": op9_spots,
