@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tilewright.plans import routes, scalars
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for module in (scalars, routes):
+    QUERIES |= module.QUERIES
+    ORACLE_SQL |= module.ORACLE_SQL
