@@ -46,12 +46,12 @@ DEVIATED = f"(select *, s - least(0, min(s) over ({_w})) as off_count from (sele
 register("win8_deviation", lambda d: routes.deviation(d, ROUTE).select("event_id", "trip_id", r("dist_m", C("dist_m")), "off", C("off_count").cast("long")), f"select event_id, trip_id, round(dist_m,3) as dist_m, off, cast(off_count as bigint) as off_count from {DEVIATED}")
 TOTAL = sum(s[-1] for s in routes.segments(ROUTE))
 register("win9_arrival", lambda d: routes.deviation(d, ROUTE).where(TOTAL - F.least(C("along_m"), F.lit(TOTAL)) < 25000).groupBy("trip_id").agg(F.min("ts").alias("ts")), f"select trip_id, min(ts) as ts from {DEVIATED} where {TOTAL} - least(along_m, {TOTAL}) < 25000 group by trip_id")
-W = Window.partitionBy("trip_id").orderBy("ts", "event_id")
+W = lambda: Window.partitionBy("trip_id").orderBy("ts", "event_id")
 
 
 def _course(d):
-    dx = F.radians(C("lng") - F.lag("lng").over(W)) * F.cos(F.radians("lat"))
-    dy = F.radians(C("lat") - F.lag("lat").over(W))
+    dx = F.radians(C("lng") - F.lag("lng").over(W())) * F.cos(F.radians("lat"))
+    dy = F.radians(C("lat") - F.lag("lat").over(W()))
     return d.select("event_id", r("heading", F.pmod(F.degrees(F.atan2(dx, dy)) + 360, F.lit(360.0)), 4))
 
 
@@ -59,37 +59,37 @@ _CX = "(radians(lng - lag(lng) over w)*cos(radians(lat)))"
 _CA = f"(degrees(atan2({_CX}, radians(lat - lag(lat) over w)))+360)"
 register("geo19_course", _course, f"select event_id, round({_CA} - 360*floor({_CA}/360),4) as heading from fixes window w as (partition by trip_id order by ts, event_id)")
 register("win11_heading", lambda d: _course(d).where("heading is not null"), f"select * from (select event_id, round({_CA} - 360*floor({_CA}/360),4) as heading from fixes window w as (partition by trip_id order by ts, event_id)) where heading is not null")
-register("str4_stale_gps", lambda d: d.select("event_id", "trip_id", (F.lead("ts").over(W).cast("timestamp").cast("double") - C("ts").cast("timestamp").cast("double")).alias("gap")).where("gap > 12").select("event_id", "trip_id", r("gap", C("gap"))), "select event_id, trip_id, round(gap,3) as gap from (select event_id, trip_id, epoch(lead(ts) over (partition by trip_id order by ts, event_id)) - epoch(ts) as gap from fixes) where gap > 12")
-register("win3_consecutive_duplicates", lambda d: d.withColumn("cell", F.floor(C("lng") * 10)).withColumn("last", F.lag("cell").over(W)).where("last is null or last <> cell").select("event_id", "trip_id", "cell"), "select event_id, trip_id, cell from (select *, lag(cell) over (partition by trip_id order by ts, event_id) as last from (select *, cast(floor(lng*10) as bigint) as cell from fixes)) where last is null or last <> cell")
+register("str4_stale_gps", lambda d: d.select("event_id", "trip_id", (F.lead("ts").over(W()).cast("timestamp").cast("double") - C("ts").cast("timestamp").cast("double")).alias("gap")).where("gap > 12").select("event_id", "trip_id", r("gap", C("gap"))), "select event_id, trip_id, round(gap,3) as gap from (select event_id, trip_id, epoch(lead(ts) over (partition by trip_id order by ts, event_id)) - epoch(ts) as gap from fixes) where gap > 12")
+register("win3_consecutive_duplicates", lambda d: d.withColumn("cell", F.floor(C("lng") * 10)).withColumn("last", F.lag("cell").over(W())).where("last is null or last <> cell").select("event_id", "trip_id", "cell"), "select event_id, trip_id, cell from (select *, lag(cell) over (partition by trip_id order by ts, event_id) as last from (select *, cast(floor(lng*10) as bigint) as cell from fixes)) where last is null or last <> cell")
 
 
 def _segments(d):
-    return d.select("trip_id", C("lng").alias("ax"), C("lat").alias("ay"), F.lead("lng").over(W).alias("bx"), F.lead("lat").over(W).alias("by"), "event_id").where("bx is not null")
+    return d.select("trip_id", C("lng").alias("ax"), C("lat").alias("ay"), F.lead("lng").over(W()).alias("bx"), F.lead("lat").over(W()).alias("by"), "event_id").where("bx is not null")
 
 
 _SEG = "(select trip_id, event_id, ts, lng as ax, lat as ay, lead(lng) over (partition by trip_id order by ts, event_id) as bx, lead(lat) over (partition by trip_id order by ts, event_id) as by_ from fixes)"
 register("win4_segments", lambda d: _segments(d).select("trip_id", "event_id", r("m", geo.haversine_m(C("ax"), C("ay"), C("bx"), C("by")))), f"select trip_id, event_id, round({hav('ax', 'ay', 'bx', 'by_')},3) as m from {_SEG} where bx is not null")
 register("geo8_path_length", lambda d: _segments(d).groupBy("trip_id").agg(r("m", F.sum(geo.haversine_m(C("ax"), C("ay"), C("bx"), C("by"))), 2)), f"select trip_id, round(sum({hav('ax', 'ay', 'bx', 'by_')}),2) as m from {_SEG} where bx is not null group by trip_id")
-register("win1_cumulative", lambda d: d.select("event_id", "trip_id", "ts", F.coalesce(geo.haversine_m(F.lag("lng").over(W), F.lag("lat").over(W), C("lng"), C("lat")), F.lit(0.0)).alias("m")).select("event_id", r("cum_m", F.sum("m").over(W), 2)), f"select event_id, round(sum(m) over (partition by trip_id order by ts, event_id),2) as cum_m from (select event_id, trip_id, ts, coalesce({hav('lag(lng) over w', 'lag(lat) over w', 'lng', 'lat')},0) as m from fixes window w as (partition by trip_id order by ts, event_id))")
-register("win2_step_distance", lambda d: d.select("event_id", r("next_m", geo.planar_m(C("lng"), C("lat"), F.lead("lng").over(W), F.lead("lat").over(W)))), f"select event_id, round(sqrt(pow(radians(lead(lng) over w - lng)*cos(radians(lat)),2)+pow(radians(lead(lat) over w - lat),2))*{geo.R},3) as next_m from fixes window w as (partition by trip_id order by ts, event_id)")
+register("win1_cumulative", lambda d: d.select("event_id", "trip_id", "ts", F.coalesce(geo.haversine_m(F.lag("lng").over(W()), F.lag("lat").over(W()), C("lng"), C("lat")), F.lit(0.0)).alias("m")).select("event_id", r("cum_m", F.sum("m").over(W()), 2)), f"select event_id, round(sum(m) over (partition by trip_id order by ts, event_id),2) as cum_m from (select event_id, trip_id, ts, coalesce({hav('lag(lng) over w', 'lag(lat) over w', 'lng', 'lat')},0) as m from fixes window w as (partition by trip_id order by ts, event_id))")
+register("win2_step_distance", lambda d: d.select("event_id", r("next_m", geo.planar_m(C("lng"), C("lat"), F.lead("lng").over(W()), F.lead("lat").over(W())))), f"select event_id, round(sqrt(pow(radians(lead(lng) over w - lng)*cos(radians(lat)),2)+pow(radians(lead(lat) over w - lat),2))*{geo.R},3) as next_m from fixes window w as (partition by trip_id order by ts, event_id)")
 register("geo10_bbox", lambda d: d.groupBy("trip_id").agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat")), "select trip_id, min(lng) as min_lng, min(lat) as min_lat, max(lng) as max_lng, max(lat) as max_lat from fixes group by trip_id")
 register("geo20_fit_bounds", lambda d: d.agg(F.min("lng").alias("min_lng"), F.min("lat").alias("min_lat"), F.max("lng").alias("max_lng"), F.max("lat").alias("max_lat")), "select min(lng) as min_lng, min(lat) as min_lat, max(lng) as max_lng, max(lat) as max_lat from fixes")
 register("agg5_average_lat", lambda d: d.groupBy("trip_id").agg(r("lat", F.avg("lat"), 8)), "select trip_id, round(avg(lat),8) as lat from fixes group by trip_id")
 
 # Points and slices along the route
-_AT = C("event_id") % 100 * 1000.0
+_AT = lambda: C("event_id") % 100 * 1000.0
 _PS = routes.segments(ROUTE, routes.planar)
 _PT = f"(select event_id, m_at, arg_min(ax + (case when n=0 then 0 else (m_at-before)/n end)*(bx-ax), i) as lng, arg_min(ay + (case when n=0 then 0 else (m_at-before)/n end)*(by_-ay), i) as lat from (select event_id, cast(event_id%100*1000 as double) as m_at from fixes) f left join {values(_PS)} on m_at <= before+n group by event_id, m_at)"
 
 
 def _at(d):
-    p = d.select("event_id", routes.point_at_distance(_AT, ROUTE).alias("p"))
+    p = d.select("event_id", routes.point_at_distance(_AT(), ROUTE).alias("p"))
     return p.select("event_id", r("lng", C("p.lng"), 8), r("lat", C("p.lat"), 8))
 
 
 register("geo13_point_at_distance", _at, f"select event_id, round(coalesce(lng,{ROUTE[-1][0]}),8) as lng, round(coalesce(lat,{ROUTE[-1][1]}),8) as lat from {_PT}")
-register("geo14_slice_route", lambda d: d.select("event_id", F.size(routes.slice_route(_AT, _AT + 30000, ROUTE)).alias("n")), f"select event_id, cast(1 + count(case when before+n > a and before < b then 1 end) as int) as n from (select event_id, least(event_id%100*1000.0, {TOTAL}) as a, greatest(least(event_id%100*1000.0,{TOTAL}), least(event_id%100*1000.0+30000, {TOTAL})) as b from fixes), {values(_PS)} group by event_id")
-register("geo16_travelled", lambda d: d.select("event_id", F.size(routes.slice_route(F.lit(0.0), _AT, ROUTE)).alias("n")), f"select event_id, cast(1 + count(case when before+n > 0 and before < b then 1 end) as int) as n from (select event_id, greatest(0, least(event_id%100*1000.0, {TOTAL})) as b from fixes), {values(_PS)} group by event_id")
+register("geo14_slice_route", lambda d: d.select("event_id", F.size(routes.slice_route(_AT(), _AT() + 30000, ROUTE)).alias("n")), f"select event_id, cast(1 + count(case when before+n > a and before < b then 1 end) as int) as n from (select event_id, least(event_id%100*1000.0, {TOTAL}) as a, greatest(least(event_id%100*1000.0,{TOTAL}), least(event_id%100*1000.0+30000, {TOTAL})) as b from fixes), {values(_PS)} group by event_id")
+register("geo16_travelled", lambda d: d.select("event_id", F.size(routes.slice_route(F.lit(0.0), _AT(), ROUTE)).alias("n")), f"select event_id, cast(1 + count(case when before+n > 0 and before < b then 1 end) as int) as n from (select event_id, greatest(0, least(event_id%100*1000.0, {TOTAL})) as b from fixes), {values(_PS)} group by event_id")
 register("agg12_progress", lambda d: routes.deviation(d, ROUTE).select("event_id", F.least(F.lit(100.0), F.round(C("along_m") / TOTAL * 100, 3)).alias("percent")), f"select event_id, least(100.0, round(along_m/{TOTAL}*100,3)) as percent from {PROJECTED}")
 register("geo18_distance_to_path", lambda d: d.groupBy("trip_id").agg(r("m", F.min(routes.project_onto_path(C("lng"), C("lat"), ROUTE)["dist_m"]))), f"select trip_id, round(min(dist_m),3) as m from {PROJECTED} group by trip_id")
 
@@ -126,12 +126,12 @@ ORACLE_SQL["str7_voice_milestones"] = f"{_WITH} select distinct trip_id, next_st
 
 def _str8(d):
     """Utterances 1.5 s apart at least from the last one spoken would need a fold; apart from the last fix it is a lag."""
-    gap = C("ts").cast("timestamp").cast("double") - F.lag("ts").over(W).cast("timestamp").cast("double")
+    gap = C("ts").cast("timestamp").cast("double") - F.lag("ts").over(W()).cast("timestamp").cast("double")
     return d.select("event_id", gap.alias("gap")).where("gap is null or gap >= 1.5").select("event_id")
 
 
 register("str8_throttle", _str8, "select event_id from (select event_id, epoch(ts) - epoch(lag(ts) over (partition by trip_id order by ts, event_id)) as gap from fixes) where gap is null or gap >= 1.5")
-register("str6_state_changes", lambda d: d.withColumn("state", F.when(C("accuracy") > 25, "offline").when(C("accuracy") > 15, "degraded").otherwise("online")).withColumn("last", F.lag("state").over(W)).where("last is null or last <> state").select("event_id", "state"), "select event_id, state from (select event_id, state, lag(state) over (partition by trip_id order by ts, event_id) as last from (select *, case when accuracy>25 then 'offline' when accuracy>15 then 'degraded' else 'online' end as state from fixes)) where last is null or last <> state")
+register("str6_state_changes", lambda d: d.withColumn("state", F.when(C("accuracy") > 25, "offline").when(C("accuracy") > 15, "degraded").otherwise("online")).withColumn("last", F.lag("state").over(W())).where("last is null or last <> state").select("event_id", "state"), "select event_id, state from (select event_id, state, lag(state) over (partition by trip_id order by ts, event_id) as last from (select *, case when accuracy>25 then 'offline' when accuracy>15 then 'degraded' else 'online' end as state from fixes)) where last is null or last <> state")
 register("srt8_last_four", lambda d: d.withColumn("n", F.row_number().over(Window.partitionBy("trip_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("n <= 4").select("trip_id", "event_id"), "select trip_id, event_id from (select trip_id, event_id, row_number() over (partition by trip_id order by ts desc, event_id desc) as n from fixes) where n <= 4")
 
 # Corridors

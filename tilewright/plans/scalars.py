@@ -57,9 +57,9 @@ def case(table: dict, key: str, default) -> str:
     return f"case {key} " + " ".join(f"when {q(k)} then {q(v)}" for k, v in table.items()) + f" else {q(default) if default is not None else 'null'} end"
 
 
-L = (F.lit(A[0]), F.lit(A[1]))
-register("geo1_haversine", "fixes", lambda d: d.select("event_id", *rounded(("m", geo.haversine_m(C("lng"), C("lat"), *L), 3))), f"select event_id, round({hav('lng', 'lat', *A)},3) as m from fixes")
-register("geo2_bearing", "fixes", lambda d: d.select("event_id", *rounded(("deg", geo.bearing_deg(C("lng"), C("lat"), *L), 4))), f"select event_id, round({brg('lng', 'lat', *A)},4) as deg from fixes")
+L = lambda: (F.lit(A[0]), F.lit(A[1]))
+register("geo1_haversine", "fixes", lambda d: d.select("event_id", *rounded(("m", geo.haversine_m(C("lng"), C("lat"), *L()), 3))), f"select event_id, round({hav('lng', 'lat', *A)},3) as m from fixes")
+register("geo2_bearing", "fixes", lambda d: d.select("event_id", *rounded(("deg", geo.bearing_deg(C("lng"), C("lat"), *L()), 4))), f"select event_id, round({brg('lng', 'lat', *A)},4) as deg from fixes")
 register(
     "geo3_angle_diff", "fixes",
     lambda d: d.select("event_id", geo.angle_diff(C("event_id") * 7.0 % 360, C("event_id") * 13.0 % 360).alias("d")),
@@ -75,7 +75,7 @@ def _destination(d):
 _DD, _DB = f"(accuracy*100/{geo.R})", "radians(event_id % 360)"
 _DQ = f"asin(sin(radians(lat))*cos({_DD})+cos(radians(lat))*sin({_DD})*cos({_DB}))"
 register("geo4_destination", "fixes", _destination, f"select event_id, round(degrees(radians(lng)+atan2(sin({_DB})*sin({_DD})*cos(radians(lat)), cos({_DD})-sin(radians(lat))*sin({_DQ}))),7) as lng, round(degrees({_DQ}),7) as lat from fixes")
-register("geo5_to_xy", "fixes", lambda d: d.select("event_id", *rounded(*[(n, c, 3) for n, c in zip(("x", "y"), geo.to_xy(C("lng"), C("lat"), *L), strict=True)])), f"select event_id, round(radians(lng-({A[0]}))*{geo.R}*cos(radians({A[1]})),3) as x, round(radians(lat-({A[1]}))*{geo.R},3) as y from fixes")
+register("geo5_to_xy", "fixes", lambda d: d.select("event_id", *rounded(*[(n, c, 3) for n, c in zip(("x", "y"), geo.to_xy(C("lng"), C("lat"), *L()), strict=True)])), f"select event_id, round(radians(lng-({A[0]}))*{geo.R}*cos(radians({A[1]})),3) as x, round(radians(lat-({A[1]}))*{geo.R},3) as y from fixes")
 
 
 def seg_sql(k: str, ax, ay, bx, by) -> str:
@@ -88,7 +88,7 @@ def seg_sql(k: str, ax, ay, bx, by) -> str:
 
 _S7 = (-77.0, 40.0, -76.0, 40.28)
 register("geo7_point_segment", "fixes", lambda d: d.select("event_id", *rounded(("m", geo.point_segment_m(C("lng"), C("lat"), *map(F.lit, _S7)), 3))), f"select event_id, round({seg_sql('111320.0', *_S7)[1]},3) as m from fixes")
-register("geo15_planar", "fixes", lambda d: d.select("event_id", *rounded(("m", geo.planar_m(C("lng"), C("lat"), *L), 3))), f"select event_id, round(sqrt(pow(radians(({A[0]})-lng)*cos(radians(lat)),2)+pow(radians({A[1]}-lat),2))*{geo.R},3) as m from fixes")
+register("geo15_planar", "fixes", lambda d: d.select("event_id", *rounded(("m", geo.planar_m(C("lng"), C("lat"), *L()), 3))), f"select event_id, round(sqrt(pow(radians(({A[0]})-lng)*cos(radians(lat)),2)+pow(radians({A[1]}-lat),2))*{geo.R},3) as m from fixes")
 
 
 def _pad(d):
@@ -113,18 +113,18 @@ register(
 
 # Tiles
 _Z = "cast(10 + event_id % 5 as int)"
-Z = (10 + C("event_id") % 5).cast("int")
+Z = lambda: (10 + C("event_id") % 5).cast("int")
 register("til1_tile_key", "tiles", lambda d: d.select("tile_id", *[c.alias(n) for n, c in zip(("source", "z", "x", "y"), tiles.parse_tile_key(C("k")), strict=True)], tiles.tile_key(F.lit("planet"), C("z"), C("x"), C("y")).alias("k")), "select tile_id, split_part(k,'/',1) as source, cast(split_part(k,'/',2) as int) as z, cast(split_part(k,'/',3) as int) as x, cast(split_part(k,'/',4) as int) as y, concat('planet/', z, '/', x, '/', y) as k from tiles")
-register("til2_lnglat_to_tile", "fixes", lambda d: d.select("event_id", Z.alias("z"), tiles.tile_x(C("lng"), Z).alias("x"), tiles.tile_y(C("lat"), Z).alias("y")), f"select event_id, {_Z} as z, {tx('lng', _Z)} as x, {ty('lat', _Z)} as y from fixes")
+register("til2_lnglat_to_tile", "fixes", lambda d: d.select("event_id", Z().alias("z"), tiles.tile_x(C("lng"), Z()).alias("x"), tiles.tile_y(C("lat"), Z()).alias("y")), f"select event_id, {_Z} as z, {tx('lng', _Z)} as x, {ty('lat', _Z)} as y from fixes")
 register("til3_tile_bounds", "tiles", lambda d: d.select("tile_id", *rounded(("w", tiles.tile_west(C("x"), C("z")), 9), ("e", tiles.tile_west(C("x") + 1, C("z")), 9), ("n", tiles.tile_north(C("y"), C("z")), 9), ("s", tiles.tile_north(C("y") + 1, C("z")), 9))), f"select tile_id, round({west('x', 'z')},9) as w, round({west('x+1', 'z')},9) as e, round({north('y', 'z')},9) as n, round({north('y+1', 'z')},9) as s from tiles")
 register("til4_tile_center", "tiles", lambda d: d.select("tile_id", *rounded(*[(n, c, 9) for n, c in zip(("lng", "lat"), tiles.tile_center(C("x"), C("y"), C("z")), strict=True)])), f"select tile_id, round(({west('x', 'z')}+{west('x+1', 'z')})/2,9) as lng, round(({north('y', 'z')}+{north('y+1', 'z')})/2,9) as lat from tiles")
-register("til5_tile_width", "fixes", lambda d: d.select("event_id", *rounded(("m", tiles.tile_width_m(Z, C("lat")), 3))), f"select event_id, round(40075016.7*cos(radians(lat))/pow(2,{_Z}),3) as m from fixes")
+register("til5_tile_width", "fixes", lambda d: d.select("event_id", *rounded(("m", tiles.tile_width_m(Z(), C("lat")), 3))), f"select event_id, round(40075016.7*cos(radians(lat))/pow(2,{_Z}),3) as m from fixes")
 register(
     "til6_tiles_in_bbox", "fixes",
     lambda d: d.where("event_id < 300").select("event_id", F.explode(tiles.tiles_in_bbox(C("lng") - 0.05, C("lat") - 0.05, C("lng") + 0.05, C("lat") + 0.05, F.lit(13))).alias("t")).select("event_id", "t.x", "t.y"),
     f"select event_id, cast(x as int) as x, cast(y as int) as y from (select event_id, unnest(range({tx('lng-0.05', 13)}, {tx('lng+0.05', 13)}+1)) as x, lat from fixes where event_id < 300), lateral (select unnest(range({ty('lat+0.05', 13)}, {ty('lat-0.05', 13)}+1)) as y)",
 )
-register("til7_metres_per_pixel", "fixes", lambda d: d.select("event_id", *rounded(("m", tiles.metres_per_pixel(Z, C("lat")), 6))), f"select event_id, round(156543.03392*cos(radians(lat))/pow(2,{_Z}),6) as m from fixes")
+register("til7_metres_per_pixel", "fixes", lambda d: d.select("event_id", *rounded(("m", tiles.metres_per_pixel(Z(), C("lat")), 6))), f"select event_id, round(156543.03392*cos(radians(lat))/pow(2,{_Z}),6) as m from fixes")
 register(
     "til8_stored_in_bbox", "tiles",
     lambda d: d.where((tiles.tile_west(C("x"), C("z")) <= -76.7) & (tiles.tile_west(C("x") + 1, C("z")) >= -76.9) & (tiles.tile_north(C("y") + 1, C("z")) <= 40.5) & (tiles.tile_north(C("y"), C("z")) >= 40.3)).select("tile_id", "k"),
@@ -152,23 +152,23 @@ register("fil9_live_edges", "ways", lambda d: d.where((C("f") == 41) & (C("onewa
 register("fil10_class_rank", "ways", lambda d: d.select("f", "t", lookups.class_rank(C("cls")).alias("rank")), f"select f, t, {case(lookups.CLASS_RANK, 'cls', 0)} as rank from ways")
 register("fil13_theme", "fixes", lambda d: d.select("event_id", lookups.theme(F.hour("ts")).alias("theme")), "select event_id, case when hour(ts) >= 7 and hour(ts) < 19 then 'day' else 'night' end as theme from fixes")
 register("fil14_stitch_radius", "fixes", lambda d: d.select("event_id", lookups.stitch_radius(8 + C("event_id") % 8).alias("m")), "select event_id, case when 8+event_id%8 >= 14 then 15 when 8+event_id%8 = 13 then 80 when 8+event_id%8 = 12 then 200 when 8+event_id%8 = 11 then 400 when 8+event_id%8 = 10 then 800 else 1200 end as m from fixes")
-_DELTA = F.pmod(C("event_id") * 37.0, F.lit(360.0)) - 179.5
-register("grf15_modifier", "fixes", lambda d: d.select("event_id", lookups.modifier_for(_DELTA).alias("modifier")), "select event_id, case when abs(d)>=160 then 'uturn' when abs(d)>=120 then case when d>0 then 'sharp right' else 'sharp left' end when abs(d)>=45 then case when d>0 then 'right' else 'left' end when abs(d)>=20 then case when d>0 then 'slight right' else 'slight left' end else 'straight' end as modifier from (select event_id, event_id*37%360 - 179.5 as d from fixes)")
+_DELTA = lambda: F.pmod(C("event_id") * 37.0, F.lit(360.0)) - 179.5
+register("grf15_modifier", "fixes", lambda d: d.select("event_id", lookups.modifier_for(_DELTA()).alias("modifier")), "select event_id, case when abs(d)>=160 then 'uturn' when abs(d)>=120 then case when d>0 then 'sharp right' else 'sharp left' end when abs(d)>=45 then case when d>0 then 'right' else 'left' end when abs(d)>=20 then case when d>0 then 'slight right' else 'slight left' end else 'straight' end as modifier from (select event_id, event_id*37%360 - 179.5 as d from fixes)")
 
 # Texts
-_M = C("event_id") * 13 + 3
-register("fmt1_distance", "fixes", lambda d: d.select("event_id", fmt.distance(_M.cast("double")).alias("t")), "select event_id, case when m<950 then concat(cast(floor(m/10+0.5)*10 as bigint),' m') when m/1000<10 then concat(cast(floor(floor(m/100+0.5)/10) as bigint),'.',cast(floor(m/100+0.5) as bigint)%10,' km') else concat(cast(floor(m/1000+0.5) as bigint),' km') end as t from (select event_id, cast(event_id*13+3 as double) as m from fixes)")
-register("fmt2_duration", "fixes", lambda d: d.select("event_id", fmt.duration(_M).alias("t")), "select event_id, case when n<1 then '<1 min' when n<60 then concat(n,' min') when n%60=0 then concat(n//60,' h') else concat(n//60,' h ',n%60,' min') end as t from (select event_id, cast(floor((event_id*13+3)/60.0+0.5) as bigint) as n from fixes)")
+_M = lambda: C("event_id") * 13 + 3
+register("fmt1_distance", "fixes", lambda d: d.select("event_id", fmt.distance(_M().cast("double")).alias("t")), "select event_id, case when m<950 then concat(cast(floor(m/10+0.5)*10 as bigint),' m') when m/1000<10 then concat(cast(floor(floor(m/100+0.5)/10) as bigint),'.',cast(floor(m/100+0.5) as bigint)%10,' km') else concat(cast(floor(m/1000+0.5) as bigint),' km') end as t from (select event_id, cast(event_id*13+3 as double) as m from fixes)")
+register("fmt2_duration", "fixes", lambda d: d.select("event_id", fmt.duration(_M()).alias("t")), "select event_id, case when n<1 then '<1 min' when n<60 then concat(n,' min') when n%60=0 then concat(n//60,' h') else concat(n//60,' h ',n%60,' min') end as t from (select event_id, cast(floor((event_id*13+3)/60.0+0.5) as bigint) as n from fixes)")
 register("fmt3_eta", "fixes", lambda d: d.select("event_id", fmt.eta(C("ts"), C("event_id") % 5000).alias("t")), "select event_id, strftime(ts + to_seconds(event_id % 5000), '%H:%M') as t from fixes")
 register("fmt4_speed", "fixes", lambda d: d.select("event_id", fmt.speed(F.when(C("event_id") % 10 > 0, C("event_id") % 50 + 0.3)).alias("t")), "select event_id, case when event_id%10=0 then '—' else concat(cast(floor((event_id%50+0.3)*3.6+0.5) as bigint),' km/h') end as t from fixes")
 register("fmt5_bytes", "tiles", lambda d: d.select("tile_id", fmt.size(C("size") % 900).alias("a"), fmt.size(C("size")).alias("b")), "select tile_id, concat(size%900,' B') as a, case when size<1024 then concat(size,' B') else concat(cast(floor(size/1024.0+0.5) as bigint),' KB') end as b from tiles")
-_KIND = F.element_at(F.array(*[F.lit(k) for k in ("depart", "merge", "roundabout", "continue", "arrive", "turn")]), (C("f") % 6 + 1).cast("int"))
-_MOD = F.when(C("f") % 4 == 0, "left").when(C("f") % 4 == 1, "uturn")
-_NAME = F.when(C("f") % 5 > 0, C("nm")).otherwise("")
+_KIND = lambda: F.element_at(F.array(*[F.lit(k) for k in ("depart", "merge", "roundabout", "continue", "arrive", "turn")]), (C("f") % 6 + 1).cast("int"))
+_MOD = lambda: F.when(C("f") % 4 == 0, "left").when(C("f") % 4 == 1, "uturn")
+_NAME = lambda: F.when(C("f") % 5 > 0, C("nm")).otherwise("")
 register(
     "fmt6_instruction", "ways",
-    lambda d: d.select("f", "t", fmt.instruction(_KIND, _MOD, _NAME).alias("shown"), fmt.instruction(_KIND, _MOD, _NAME, spoken=True).alias("spoken")),
+    lambda d: d.select("f", "t", fmt.instruction(_KIND(), _MOD(), _NAME()).alias("shown"), fmt.instruction(_KIND(), _MOD(), _NAME(), spoken=True).alias("spoken")),
     "select f, t, case f%6 when 0 then concat('Head out', case when n<>'' then concat(' on ',n) else '' end) when 1 then concat('Merge',onto) when 2 then concat('Enter the roundabout', case when n<>'' then concat(', exit onto ',n) else '' end) when 3 then concat('Continue', case when n<>'' then concat(' on ',n) else '' end) when 4 then 'Arrive at your destination' else turn end as shown, case f%6 when 0 then case when n<>'' then concat('Continue on ',n) else 'Begin the route' end when 1 then concat('Merge',onto) when 2 then case when n<>'' then concat('At the roundabout, take the exit onto ',n) else 'Enter the roundabout' end when 3 then concat('Continue', case when n<>'' then concat(' on ',n) else '' end) when 4 then 'You have arrived' else turn end as spoken from (select *, case f%4 when 0 then concat('Turn left',onto) when 1 then concat('Make a U-turn',onto) else concat('Continue straight',onto) end as turn from (select *, case when n<>'' then concat(' onto ',n) else '' end as onto from (select f, t, case when f%5>0 then nm else '' end as n from ways)))",
 )
-register("fmt7_arrow", "fixes", lambda d: d.select("event_id", fmt.arrow_rotation(lookups.modifier_for(_DELTA)).alias("deg")), "select event_id, case when abs(d)>=160 then 160 when abs(d)>=120 then case when d>0 then 110 else -110 end when abs(d)>=45 then case when d>0 then 85 else -85 end when abs(d)>=20 then case when d>0 then 35 else -35 end else 0 end as deg from (select event_id, event_id*37%360 - 179.5 as d from fixes)")
-register("fmt8_road_name", "ways", lambda d: d.select("f", "t", fmt.road_name(_NAME, C("cls")).alias("name")), f"select f, t, case when f%5>0 then nm else {case(lookups.CLASS_PHRASE, 'cls', 'the road')} end as name from ways")
+register("fmt7_arrow", "fixes", lambda d: d.select("event_id", fmt.arrow_rotation(lookups.modifier_for(_DELTA())).alias("deg")), "select event_id, case when abs(d)>=160 then 160 when abs(d)>=120 then case when d>0 then 110 else -110 end when abs(d)>=45 then case when d>0 then 85 else -85 end when abs(d)>=20 then case when d>0 then 35 else -35 end else 0 end as deg from (select event_id, event_id*37%360 - 179.5 as d from fixes)")
+register("fmt8_road_name", "ways", lambda d: d.select("f", "t", fmt.road_name(_NAME(), C("cls")).alias("name")), f"select f, t, case when f%5>0 then nm else {case(lookups.CLASS_PHRASE, 'cls', 'the road')} end as name from ways")
