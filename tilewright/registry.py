@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.plans import routes, scalars, search, store
+from tilewright.plans import graph, routes, scalars, search, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (scalars, routes, store, search):
+for module in (scalars, routes, store, search, graph):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
