@@ -92,3 +92,24 @@ def modifier_for(delta: Column) -> Column:
 
 def theme(hour: Column) -> Column:
     return F.when((hour >= 7) & (hour < 19), "day").otherwise("night")
+
+
+def interpolate(z: Column, stops: list[tuple[float, float]], base: float = 1.0) -> Column:
+    """A map style's value at a zoom: the ends' values beyond the stops, between them linear (base 1) or exponential."""
+    out = F.lit(float(stops[-1][1]))
+    for (z0, v0), (z1, v1) in reversed(list(zip(stops, stops[1:], strict=False))):
+        share = (z - z0) / (z1 - z0) if base == 1.0 else (F.pow(F.lit(base), z - z0) - 1) / (base ** (z1 - z0) - 1)
+        out = F.when(z < z1, v0 + (v1 - v0) * share).otherwise(out)
+    return F.when(z <= stops[0][0], F.lit(float(stops[0][1]))).otherwise(out)
+
+
+def style_layer(cls: Column, ramp: Column, z: Column) -> Column:
+    """Which road layer of the map draws a class at a zoom; null where none does."""
+    return (
+        F.when(F.coalesce(ramp, F.lit(False)) & (z >= 12), "link")
+        .when(cls == "motorway", "motorway")
+        .when(cls.isin("trunk", "primary") & (z >= 7), "major")
+        .when(cls.isin("secondary", "tertiary") & (z >= 9), "secondary")
+        .when(cls.isin("minor", "residential", "unclassified", "living_street", "service") & (z >= 12), "minor")
+        .when(cls.isin("track", "path", "footway", "cycleway", "steps", "pedestrian") & (z >= 14), "path")
+    )

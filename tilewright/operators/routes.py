@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,3 +100,41 @@ def corridor_within(segs: DataFrame, z: int, radius: float, cap: int) -> tuple[D
         if radius <= 200 or found.limit(cap + 1).count() <= cap:
             return found, radius
         radius = max(200.0, radius * 0.55)
+
+
+def simulate(fixes_per_trip: DataFrame, route: Route, speed_mps: float = 14.0) -> DataFrame:
+    """Fixes of one a second along the route for rows (trip_id, seconds)."""
+    each = fixes_per_trip.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("seconds").cast("int"))))
+    return each.withColumn("_p", point_at_distance(F.col("t") * speed_mps, route)).select("trip_id", "t", "_p.lng", "_p.lat")
+
+
+def throttled(events: DataFrame, key: str, min_s: float, min_m: float) -> DataFrame:
+    """Events (key, ts_ms, along_m) that fire: the first of a key, and then each at least min_s and min_m after the last
+    that fired. What counts is the last fired one, so keys are folded; a key's events must fit into a task."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for r in rows.sort_values(["ts_ms", "along_m"]).itertuples(index=False):
+            if last is None or r.ts_ms - last.ts_ms >= min_s * 1000 and abs(r.along_m - last.along_m) >= min_m:
+                kept.append(r)
+                last = r
+        return pd.DataFrame(kept, columns=rows.columns)
+
+    return events.select(key, "ts_ms", "along_m").groupBy(key).applyInPandas(fold, events.select(key, "ts_ms", "along_m").schema)
+
+
+def failure_probes(failures: DataFrame, key: str, most: int = 3, within_s: float = 30.0) -> DataFrame:
+    """(key, ts_ms) at which a probe starts: the third failure within 30 s; the list then begins anew, and an event with
+    ok set clears it."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        out, recent = [], []
+        for r in rows.sort_values("ts_ms").itertuples(index=False):
+            recent = [] if r.ok else [t for t in recent if r.ts_ms - t < within_s * 1000] + [r.ts_ms]
+            if len(recent) >= most:
+                out.append((getattr(r, key), r.ts_ms))
+                recent = []
+        return pd.DataFrame(out, columns=[key, "ts_ms"])
+
+    kind = failures.schema[key].dataType.simpleString()
+    return failures.select(key, "ts_ms", "ok").groupBy(key).applyInPandas(fold, f"{key} {kind}, ts_ms long")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.functions import geo
+from tilewright.functions import geo, lookups, tiles
 
 SPACE = r"[ \t\n\x0B\f\r ﻿  ]+"
 
@@ -70,3 +70,36 @@ def shape_online(rows: DataFrame) -> DataFrame:
     name = F.coalesce(blank("name"), blank("street"), blank("city"))
     parts = F.filter(F.array("street", "city", "state", "country"), lambda p: p.isNotNull() & (F.trim(p) != "") & (p != name))
     return rows.select("id", name.alias("name"), F.array_join(parts, ", ").alias("detail"))
+
+
+def representative(paths: Column) -> Column:
+    """The middle vertex of a feature of four vertices or more, else the first; null without vertices."""
+    flat = F.flatten(paths)
+    n = F.size(flat)
+    return F.when(n >= 4, F.get(flat, F.floor(n / 2).cast("int"))).when(n > 0, F.get(flat, F.lit(0)))
+
+
+def extract(features: DataFrame) -> DataFrame:
+    """Search documents (id, name, norm, kind, boost, lng, lat, tile, context) of tile features with keys source/z/x/y.
+
+    Places at any zoom; street names, from the name layer or inline, from zoom 12, the first of each lower-case name in a
+    tile's layer (by feature id and name); points of interest from zoom 14. Features without a name or a vertex have none."""
+    _, z, x, y = tiles.parse_tile_key(F.col("tile"))
+    text = lambda key: F.try_element_at(F.col("props"), F.lit(key))["s"]
+    f = features.withColumn("z", z).withColumn("p", representative(F.col("paths"))).withColumn("name", text("name"))
+    f = f.where(F.col("p").isNotNull() & (F.coalesce("name", F.lit("")) != ""))
+    f = f.withColumn("cls", F.coalesce(text("class"), text("kind"))).withColumn("norm", F.lower("name"))
+    lng, lat = tiles.local_to_lnglat(F.col("p.x").cast("double"), F.col("p.y").cast("double"), x, y, z, F.col("extent"))
+    f = f.withColumn("lng", lng).withColumn("lat", lat)
+
+    def docs(rows: DataFrame, mark: str, kind: Column, boost: Column, context: Column) -> DataFrame:
+        return rows.select(F.concat_ws("|", "tile", F.lit(mark), "name").alias("id"), "name", "norm", kind.alias("kind"), boost.cast("int").alias("boost"), "lng", "lat", "tile", context.alias("context"))
+
+    none = F.lit(None).cast("string")
+    places = docs(f.where("layer in ('place', 'place_label', 'places')"), "p", lookups.lookup(lookups.PLACE_KIND, F.col("cls"), "hamlet"), lookups.lookup(lookups.PLACE_BOOST, F.col("cls"), 40), text("state"))
+    named = f.where("layer in ('transportation_name', 'transportation', 'road', 'roads', 'streets') and z >= 12")
+    columns = [F.col(c) for c in named.columns if c not in ("tile", "layer", "norm")]
+    first = named.groupBy("tile", "layer", "norm").agg(F.min_by(F.struct(*columns), F.struct("id", "name")).alias("r")).select("tile", "layer", "norm", "r.*")
+    streets = docs(first, "s", F.lit("street"), F.lit(25), none)
+    pois = docs(f.where("layer in ('poi', 'pois') and z >= 14"), "o", F.lit("poi"), F.lit(12), none)
+    return places.unionByName(streets).unionByName(pois)

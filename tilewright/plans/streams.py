@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tilewright.derive import derived, with_derived
+from tilewright.functions import lookups
+from tilewright.operators import routes, search
 from tilewright.plans.routes import ROUTE
 from tilewright.sources import mvt
 from tilewright.streaming import navigation
@@ -17,12 +19,12 @@ def with_millis(fixes):
     return fixes.select("trip_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "lng", "lat", "accuracy")
 
 
-def _tile():
-    """A tile of one layer, road, with the line (1, 2) to (3, 5) of class service."""
+def _tile(key=b"class"):
+    """A tile of one layer, road, with the line (1, 2) to (3, 5) with one property, service."""
     name, kind = b"road", b"service"
     feature = b"\x12\x02\x00\x00\x18\x02\x22\x06" + bytes([9, 2, 4, 10, 4, 6])
     value = b"\x0a" + bytes([len(kind)]) + kind
-    layer = b"\x0a" + bytes([len(name)]) + name + b"\x12" + bytes([len(feature)]) + feature + b"\x1a\x05class\x22" + bytes([len(value)]) + value + b"\x78\x02"
+    layer = b"\x0a" + bytes([len(name)]) + name + b"\x12" + bytes([len(feature)]) + feature + b"\x1a" + bytes([len(key)]) + key + b"\x22" + bytes([len(value)]) + value + b"\x78\x02"
     return b"\x1a" + bytes([len(layer)]) + layer
 
 
@@ -30,3 +32,21 @@ QUERIES["src1_read_tiles"] = lambda spark, sf_dir: mvt.features(derived(spark, s
 ORACLE_SQL["src1_read_tiles"] = with_derived("select distinct k, 'road' as layer, 2 as type, 'service' as class, 2 as n from tiles")
 QUERIES["win10_reroute"] = lambda spark, sf_dir: navigation.batch(with_millis(derived(spark, sf_dir, "fixes")), ROUTE).where("reroute").select("trip_id", "event_id")
 QUERIES["str1_engine"] = lambda spark, sf_dir: navigation.batch(with_millis(derived(spark, sf_dir, "fixes")), ROUTE)
+
+
+def _along(spark, sf_dir):
+    d = routes.deviation(derived(spark, sf_dir, "fixes"), ROUTE)
+    return d.select("trip_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), "along_m")
+
+
+QUERIES["cor5_prefetch_throttle"] = lambda spark, sf_dir: routes.throttled(_along(spark, sf_dir), "trip_id", 15, 1500)
+QUERIES["cor6_eviction_throttle"] = lambda spark, sf_dir: routes.throttled(_along(spark, sf_dir), "trip_id", 60, 0)
+QUERIES["str5_failure_probes"] = lambda spark, sf_dir: routes.failure_probes(with_millis(derived(spark, sf_dir, "fixes")).withColumn("ok", F.col("accuracy") < 9), "trip_id", 3, 86_400 * 5)
+QUERIES["src12_simulated"] = lambda spark, sf_dir: routes.simulate(spark.range(1, 4).select(F.col("id").alias("trip_id"), (F.col("id") * 100).alias("seconds")), ROUTE)
+_STOPS = [(5, 0.5), (12, 2.0), (18, 20.0)]
+QUERIES["fil12_zoom_interpolation"] = lambda spark, sf_dir: derived(spark, sf_dir, "fixes").select("event_id", F.round(lookups.interpolate(F.col("event_id") % 20 * 1.0, _STOPS, 1.6), 6).alias("w"))
+ORACLE_SQL["fil12_zoom_interpolation"] = with_derived("select event_id, round(case when z<=5 then 0.5 when z<12 then 0.5+1.5*(pow(1.6,z-5)-1)/(pow(1.6,7)-1) when z<18 then 2+18*(pow(1.6,z-12)-1)/(pow(1.6,6)-1) else 20 end,6) as w from (select event_id, cast(event_id%20 as double) as z from fixes)")
+QUERIES["fil11_style_layer"] = lambda spark, sf_dir: derived(spark, sf_dir, "ways").select("f", "t", lookups.style_layer(F.col("cls"), F.col("f") % 9 == 0, F.col("f") % 16).alias("layer"))
+ORACLE_SQL["fil11_style_layer"] = with_derived("select f, t, case when f%9=0 and f%16>=12 then 'link' when cls='motorway' then 'motorway' when cls='secondary' and f%16>=9 then 'secondary' when cls in ('residential','service') and f%16>=12 then 'minor' end as layer from ways")
+QUERIES["sea1_extract_docs"] = lambda spark, sf_dir: search.extract(mvt.features(derived(spark, sf_dir, "tiles").select("k").distinct().withColumn("data", F.lit(_tile(b"name"))))).select("id", "name", "kind", "boost")
+ORACLE_SQL["sea1_extract_docs"] = with_derived("select distinct concat(k, '|s|service') as id, 'service' as name, 'street' as kind, 25 as boost from tiles")
