@@ -87,8 +87,8 @@ def digest(df: DataFrame) -> DataFrame:
 
     Of rows with one id, those with the least text digest stand for the id as a successor; all get results. Null ids
     have no place in the order: their edited text is their own and their next is none (likeness null)."""
-    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("n", F.length("text").cast("long"))
+    every = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = every.where("doc_id is not null")
     ids = df.select("doc_id", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("h")).where("doc_id is not null")
     ids = ids.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("h").alias("h"))
     linked = successors(ids, "doc_id", ["n"])
@@ -99,8 +99,12 @@ def digest(df: DataFrame) -> DataFrame:
     before = ids.select("doc_id", "h").join(before, "doc_id", "left")
     before = before.select("doc_id", "h", F.when(F.col("doc_id") == first, F.lit(last)).otherwise(F.col("to")).alias("to"), F.when(F.col("doc_id") == first, F.lit(last_n)).otherwise(F.col("to_n")).alias("to_n"))
     placed = with_signatures(docs.join(before, "doc_id", "left"), "text", "sigs")
-    sent = placed.where(F.col("to").isNotNull() & (F.md5("text") == F.col("h"))).dropDuplicates(["doc_id"]).select(F.col("to").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("to_n") / 4).cast("int")).alias("tail"), F.col("sigs").alias("next_sigs"))
-    both = placed.select("doc_id", "text", "n", "sigs").join(sent, "doc_id", "left")
+    sent = placed.where(F.col("to").isNotNull() & F.startswith(F.md5("text"), F.col("h"))).select(F.col("to").alias("doc_id"), F.substring("text", F.lit(1), F.floor(F.col("to_n") / 4).cast("int")).alias("tail"), F.col("sigs").alias("next_sigs")).dropDuplicates(["doc_id"])
+    # Both sides read the same columns and rows of the documents, and no more than the id deals them out (equality of the
+    # digests would be a second key), so that their one exchange serves both.
+    both = placed.select("doc_id", "text", "sigs").join(sent, "doc_id", "left")
+    alone = with_signatures(every.where("doc_id is null"), "text", "sigs").select("doc_id", "text", "sigs", F.lit(None).cast("string").alias("tail"), F.lit(None).cast("array<bigint>").alias("next_sigs"))
+    both = both.select("doc_id", "text", "sigs", "tail", "next_sigs").unionByName(alone).withColumn("n", F.length("text").cast("long"))
     cut = F.floor(F.col("n") / 4).cast("int")
     edited = F.when(F.col("next_sigs").isNull(), F.col("text")).otherwise(F.concat(F.substring("text", F.lit(1), F.col("n").cast("int") - cut), F.substring("tail", F.lit(1), cut)))
     both = with_signatures(both.withColumn("edited", edited), "edited", "edited_sigs")
