@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.common import scratch
+
 SHARE = 0.95
 SUPPORT = 3
 #: Terms up to this many are broadcast, more are joined by a shuffle.
@@ -98,17 +100,21 @@ def disclosing(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) ->
     by_entity = entity_lines.select(F.explode("entities").alias("entity"), "terms")
     n_e = by_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
     n_et = by_entity.join(n_e, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    candidates = n_et.select("term").distinct()
-    if candidates.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        candidates = F.broadcast(candidates)
-    n_t = (
-        lines.select(F.xxhash64("line").alias("h"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0)))).alias("term"))
-        .join(candidates, "term")
-        .distinct()
-        .groupBy("term")
-        .agg(F.count("*").alias("n_t"))
-    )
     n = float(lines.agg(F.approx_count_distinct("line", 0.01)).collect()[0][0])  # one number, within 1 %
+    # PMI >= share * IC says how many lines a term may stand in at most. What stands in far more by a rough count is
+    # left out before lines are told apart exactly.
+    n_et = n_et.withColumn("most", F.col("n_et") * F.pow(F.lit(n) / F.col("n_e"), 1 - share))
+    candidates = n_et.groupBy("term").agg(F.max("most").alias("most"))
+
+    def in_lines(terms: DataFrame) -> DataFrame:
+        if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+            terms = F.broadcast(terms)
+        found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0))))
+        return lines.select(F.xxhash64("line").alias("h"), found.alias("term")).join(terms, "term")
+
+    rough = in_lines(candidates).groupBy("term", "most").agg(F.approx_count_distinct("h", 0.1).alias("about"))
+    rare, _ = scratch(rough.where(F.col("about") <= 2 * F.col("most")).select("term"), "pii-rare")
+    n_t = in_lines(rare).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     pmi, ic = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log(F.lit(n) / F.col("n_e"))
     return n_et.join(n_t, "term").where((pmi >= share * ic) & (ic > 0)).select("entity", "term")
 
