@@ -12,8 +12,8 @@ first: two sets with Jaccard >= t share one of their first n - ceil(t * n) + 1 e
 any common order (no link is lost), and the order puts grams that the whole corpus repeats
 last, by a count sketch over all documents, so that common passages don't make blocks.
 
-Within a block every set is first compared with the block's least one (one pair a set, never
-all pairs); sets so linked fold into components. Only where a block still has sets of
+A block's hub is the set that meets most others; every set is first compared with the hub it
+shares most blocks with (one pair a set, never all pairs); sets so linked fold into components. Only where a block still has sets of
 several components are its other pairs searched, by the trees, in chunks of CHUNK sets, and
 verified. Every pair that shares a block is so either in one component or has been bounded
 or verified: the components are exact."""
@@ -47,17 +47,31 @@ LEAF = 32
 
 
 def n_groups(n: int) -> int:
-    """Groups of a set of n elements; powers of two, so that a finer point folds into a coarser one."""
-    return 64 if n < 2048 else 256 if n < 8192 else 1024
+    """Groups of the trees for sets of n elements; powers of two, so that a finer point folds into a coarser one."""
+    return max(64, 1 << (n // 2).bit_length())
 
 
 def point(elements: np.ndarray) -> np.ndarray:
+    """About two groups for an element, so that counts are far below 255; trees fold it to n_groups."""
+    g = max(64, 1 << int(2 * len(elements) - 1).bit_length())
+    return np.bincount((elements & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint8)
+
+
+def bound(a: bytes, b: bytes) -> int:
+    """The most that two sets can share, by their points."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    g = min(len(x), len(y))
+    return int(np.minimum(fold(x, g) if len(x) > g else x, fold(y, g) if len(y) > g else y).sum(dtype=np.int64))
+
+
+def coarse(elements: np.ndarray) -> np.ndarray:
+    """The trees' point; groups hold one or two elements on average, so counts stay below 255."""
     g = n_groups(len(elements))
-    return np.bincount((elements & np.uint64(g - 1)).astype(np.int64), minlength=g)
+    return np.bincount((elements & np.uint64(g - 1)).astype(np.int64), minlength=g).astype(np.uint8)
 
 
 def fold(p: np.ndarray, g: int) -> np.ndarray:
-    return p.reshape(*p.shape[:-1], -1, g).sum(axis=-2)
+    return p.reshape(*p.shape[:-1], -1, g).sum(axis=-2, dtype=np.int64)
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
@@ -190,7 +204,7 @@ def filter_of(sids: DataFrame) -> np.ndarray:
 
 
 def roots(parents: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """(sid, comp) from a forest (sid, parent) with parent < sid, by pointer jumping."""
+    """(sid, comp) from a forest (sid, parent), by pointer jumping."""
     now, path = scratch(parents.select("sid", F.col("parent").alias("comp")), name)
     while True:
         up = now.select(F.col("sid").alias("_s"), F.col("comp").alias("_c"))
@@ -226,13 +240,13 @@ def components(edges: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def _sets_table(df: DataFrame, id_col: str, text_col: str, levels, percent: int) -> DataFrame:
-    """id, n, sid and, for the first row of a task that has the set, the elements that make blocks."""
+    """id, n, sid and, for the first row of a task that has the set, the elements that make blocks and the point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen = Sets(levels.value), set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part, n, sid, keys = batch.slice(at, 512), [], [], []
+                part, n, sid, keys, points, rough = batch.slice(at, 512), [], [], [], [], []
                 for e in sets.of(part.column(1)):
                     k = len(e)
                     s = set_id(e) if k else None
@@ -242,62 +256,64 @@ def _sets_table(df: DataFrame, id_col: str, text_col: str, levels, percent: int)
                     if new and len(seen) < 2_000_000:
                         seen.add(s)
                     keys.append(e[: k - (-(-percent * k // 100)) + 1].view(np.int64) if new else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "n", "sid", "keys"])
+                    points.append(point(e).tobytes() if new else None)
+                    rough.append(coarse(e).tobytes() if new else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary()), pa.array(rough, pa.binary())], names=[id_col, "n", "sid", "keys", "point", "coarse"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n long, sid long, keys array<long>, point binary, coarse binary")
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n long, sid long, keys array<long>")
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each value of the first column."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for s in batch.column(0).to_pylist():
+            new.append(s not in seen)
+            seen.add(s)
+        yield batch.filter(pa.array(new, pa.bool_()))
 
-def _full_sets(df: DataFrame, text_col: str, levels, bits) -> DataFrame:
-    """(sid, n, point, elements) of the sets that share a block, each once."""
-    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("point", pa.binary()), ("elements", pa.binary())])
+
+def _elements(df: DataFrame, text_col: str, levels, sids: DataFrame) -> DataFrame:
+    """(sid, elements) of the given sets, each once, from the texts."""
+    bits = df.sparkSession.sparkContext.broadcast(filter_of(sids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, seen, own = Sets(levels.value), set(), bits.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                rows = []
+                ids, bodies = [], []
                 for e in sets.of(batch.slice(at, 512).column(0)):
                     if len(e) and own[(s := set_id(e)) & (FILTER_BITS - 1)] and s not in seen:
                         if len(seen) < 2_000_000:
                             seen.add(s)
-                        rows.append((s, len(e), point(e).astype("<u2").tobytes(), e.tobytes()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            new = []
-            for s in batch.column(0).to_pylist():
-                new.append(s not in seen)
-                seen.add(s)
-            yield batch.filter(pa.array(new))
+                        ids.append(s)
+                        bodies.append(e.tobytes())
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], names=["sid", "elements"])
 
-    types = "sid long, n long, point binary, elements binary"
-    return df.select(text_col).mapInArrow(run, types).repartition("sid").mapInArrow(once, types)
+    types = "sid long, elements binary"
+    return df.select(text_col).mapInArrow(run, types).repartition("sid").mapInArrow(_once, types)
 
 
-def _bounded(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose points' bound reaches the overlap asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for na, pa_, nb, pb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                x, y = np.frombuffer(pa_, "<u2").astype(np.int64), np.frombuffer(pb, "<u2").astype(np.int64)
-                g = min(len(x), len(y))
-                keep.append(bool(np.minimum(fold(x, g), fold(y, g)).sum() >= needed(na, nb, percent)))
+                keep.append(bound(pa_, pb) >= needed(na, nb, percent))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    slim = full.select("sid", "n", "point")
-    x = slim.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    y = slim.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    x = points.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
+    y = points.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
     both = pairs.join(x, "a").join(y, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     return both.select("a", "b", "na", "pa", "nb", "pb").mapInArrow(run, "a long, b long")
 
 
-def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that link."""
+def verified(pairs: DataFrame, points: DataFrame, texts: DataFrame, levels, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that link, texts being one column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,30 +324,33 @@ def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    bounded, _ = scratch(_bounded(pairs, points, percent), "near-bounded")
+    sids = bounded.select(F.explode(F.array("a", "b")).alias("sid"))
+    full, _ = scratch(_elements(texts, texts.columns[0], levels, sids), "near-elements")
     x = full.select(F.col("sid").alias("a"), F.col("elements").alias("ea"))
     y = full.select(F.col("sid").alias("b"), F.col("elements").alias("eb"))
-    return _bounded(pairs, full, percent).join(x, "a").join(y, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
+    return bounded.join(x, "a").join(y, "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long")
 
 
-def _rest(blocks: DataFrame, comps: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+def _rest(blocks: DataFrame, comps: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets of different components in a block, as the trees give them."""
     own = blocks.join(comps, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp")).distinct()
     several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("c"))
     rows = own.join(several, "key").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "comp").join(full.select("sid", "n", "point"), "sid")
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "comp").join(points.select("sid", "n", "coarse"), "sid")
 
     def pairs_of(group: list) -> Iterator[tuple[int, int]]:
         i, j = group[0][1], group[0][2]
         if len({r[5] for r in group}) == 1:
             return
-        g = min(len(r[7]) // 2 for r in group)
-        pts = np.stack([fold(np.frombuffer(r[7], "<u2").astype(np.int64), g) for r in group])
+        g = min(n_groups(r[6]) for r in group)
+        pts = np.stack([fold(np.frombuffer(r[7], np.uint8).astype(np.int64), g) for r in group])
         n = np.array([r[6] for r in group])
         tree = RTree(pts, n)
         for x, r in enumerate(group):
             for y in tree.search(pts[x], r[6], percent):
                 s = group[y]
-                if r[4] < s[4] and r[5] != s[5] and (i == j or r[3] != s[3]) and 100 * min(r[6], s[6]) >= percent * max(r[6], s[6]):
+                if r[4] < s[4] and r[5] != s[5] and (i == j or r[3] != s[3]) and 100 * min(r[6], s[6]) >= percent * max(r[6], s[6]) and bound(r[7], s[7]) >= needed(r[6], s[6], percent):
                     yield r[4], s[4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,7 +374,7 @@ def _rest(blocks: DataFrame, comps: DataFrame, full: DataFrame, percent: int) ->
             out.extend(pairs_of(group))
         yield put()
 
-    rows = rows.select("key", "i", "j", "mine", "sid", "comp", "n", "point").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", "i", "j", "mine", "sid", "comp", "n", "coarse").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -375,21 +394,33 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent:
     rows = rows.withColumn("salt", salt)
     w = Window.partitionBy("key", "salt")
     celled = rows.withColumn("lo", F.min("sid").over(w)).withColumn("hi", F.max("sid").over(w))
-    blocks, _ = scratch(celled.where((F.col("lo") != F.col("hi")) | (level >= HOT_LEVEL)).select("key", "salt", "sid", "lo"), "near-blocks")
-
-    # Of salted blocks, each cell's least set is compared with the block's.
-    cells = blocks.where(level >= HOT_LEVEL).groupBy("key", "salt").agg(F.min("sid").alias("sid"))
-    tops = cells.withColumn("lo", F.min("sid").over(Window.partitionBy("key"))).select("sid", "lo")
-    firsts = blocks.select("sid", "lo").unionByName(tops).where("sid <> lo")
-    best = firsts.groupBy("sid", "lo").count().groupBy("sid").agg(F.max_by("lo", F.struct("count", -F.col("lo"))).alias("lo"))
+    blocks, _ = scratch(celled.where((F.col("lo") != F.col("hi")) | (level >= HOT_LEVEL)).select("key", "salt", "sid").distinct(), "near-blocks")
+    # Of blocks with the same sets one is enough; it counts as many.
+    alike = blocks.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("y")).where("m > 1")
+    alike = alike.groupBy("m", "x", "y").agg(F.min("key").alias("key"), F.count("*").alias("w")).select("key", "m", "w")
+    blocks, _ = scratch(blocks.join(alike, "key"), "near-alike")
+
+    # A block's hub is the set that meets most others over all its blocks: of edited copies, their original.
+    score = blocks.groupBy("sid").agg(F.sum(F.col("m") * F.col("w")).alias("score"))
+    scored, _ = scratch(blocks.join(score, "sid").select("key", "salt", "sid", "score", "w"), "near-scored")
+    hubs = scored.groupBy("key", "salt").agg(F.max(F.struct("score", "sid")).alias("hub"))
+    firsts = scored.join(hubs, ["key", "salt"]).select("sid", "hub", "w")
+    # Of salted blocks, each cell's hub is compared with the block's.
+    cells = hubs.where(level >= HOT_LEVEL)
+    tops = cells.select("key", F.col("hub.sid").alias("sid"), F.lit(1).cast("long").alias("w")).join(cells.groupBy("key").agg(F.max("hub").alias("hub")), "key").select("sid", "hub", "w")
+    firsts = firsts.unionByName(tops).where(F.col("sid") != F.col("hub.sid")).groupBy("sid", "hub").agg(F.sum("w").alias("count"))
+    best = firsts.groupBy("sid").agg(F.max(F.struct("count", "hub")).alias("best")).select(F.col("sid").alias("a"), F.col("best.hub.sid").alias("b"))
 
     shared = blocks.select("sid").distinct()
-    bits = spark.sparkContext.broadcast(filter_of(shared))
-    full, _ = scratch(_full_sets(df, text_col, levels, bits), "near-full")
-    first_links = verified(best.select(F.col("sid").alias("a"), F.col("lo").alias("b")), full, percent)
+    types = "sid long, n long, point binary, coarse binary"
+    points, _ = scratch(docs.where("point is not null").select("sid", "n", "point", "coarse").join(shared, "sid", "left_semi").repartition("sid").mapInArrow(_once, types), "near-points")
+    texts = df.select(text_col)
+    best, _ = scratch(best, "near-best")
+    first_links = verified(best, points, texts, levels, percent)
     comps, _ = roots(first_links.select(F.col("a").alias("sid"), F.col("b").alias("parent")), "near-roots")
 
-    more, _ = scratch(verified(_rest(blocks, comps, full, percent), full, percent), "near-links")
+    tested = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more, _ = scratch(verified(_rest(blocks, comps, points, percent).join(tested, ["a", "b"], "left_anti"), points, texts, levels, percent), "near-links")
     if more.limit(1).count():
         at = lambda c: F.coalesce(F.col("comp"), F.col(c))
         joined = more.join(comps, more["a"] == comps["sid"], "left").select(at("a").alias("a"), "b")
