@@ -336,8 +336,11 @@ def _rest(blocks: DataFrame, comps: DataFrame, points: DataFrame, percent: int)
     """Pairs of sets of different components in a block, as the trees give them."""
     own = blocks.join(comps, "sid", "left").select("key", "sid", F.coalesce("comp", "sid").alias("comp")).distinct()
     several = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("c"))
-    rows = own.join(several, "key").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "comp").join(points.select("sid", "n", "coarse"), "sid")
+    inside = own.join(several, "key")
+    # A pair is given in the first only of the blocks that both sets are in.
+    places = inside.groupBy("sid").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    rows = inside.withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "comp").join(points.select("sid", "n", "coarse").join(places, "sid"), "sid")
 
     def pairs_of(group: list) -> Iterator[tuple[int, int]]:
         i, j = group[0][1], group[0][2]
@@ -351,7 +354,8 @@ def _rest(blocks: DataFrame, comps: DataFrame, points: DataFrame, percent: int)
             for y in tree.search(pts[x], r[6], percent):
                 s = group[y]
                 if r[4] < s[4] and r[5] != s[5] and (i == j or r[3] != s[3]) and 100 * min(r[6], s[6]) >= percent * max(r[6], s[6]) and bound(r[7], s[7]) >= needed(r[6], s[6], percent):
-                    yield r[4], s[4]
+                    if r[0] == min(set(r[8]).intersection(s[8])):
+                        yield r[4], s[4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group, out = None, [], []
@@ -374,7 +378,7 @@ def _rest(blocks: DataFrame, comps: DataFrame, points: DataFrame, percent: int)
             out.extend(pairs_of(group))
         yield put()
 
-    rows = rows.select("key", "i", "j", "mine", "sid", "comp", "n", "coarse").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("key", "i", "j", "mine", "sid", "comp", "n", "coarse", "keys").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
