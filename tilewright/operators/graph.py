@@ -74,14 +74,21 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def nearest_node(points: DataFrame, nodes: DataFrame, max_m: float = 5000.0, near_m: float = 150.0, cell: float = 0.01) -> DataFrame:
     """(id, node, m) for points (id, lng, lat) and nodes (node, lng, lat, rank): within near_m the highest rank, then the
-    nearest; beyond it the nearest. Points meet nodes in the cells that max_m can reach, so that the join is by equality."""
+    nearest; beyond it the nearest. Points meet nodes in the cells that max_m can reach, so that the join is by equality.
+
+    Of the nodes in one place only the first by rank and the first by name can win, and equal places have equal nodes, so
+    places meet once however many points and nodes lie there."""
     k = math.ceil(max_m / geo.DEGREE_M / cell / 0.5)
     around = F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda i: i)
-    p = points.withColumn("cx", F.explode(F.transform(around, lambda i: F.floor(F.col("lng") / cell) + i))).withColumn("cy", F.explode(F.transform(around, lambda i: F.floor(F.col("lat") / cell) + i)))
-    n = nodes.select("node", F.col("lng").alias("nx"), F.col("lat").alias("ny"), "rank", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    places = points.select("lng", "lat").distinct()
+    p = places.withColumn("cx", F.explode(F.transform(around, lambda i: F.floor(F.col("lng") / cell) + i))).withColumn("cy", F.explode(F.transform(around, lambda i: F.floor(F.col("lat") / cell) + i)))
+    n = nodes.groupBy("lng", "lat").agg(F.min(F.struct((-F.col("rank")).alias("r"), "node", "rank")).alias("a"), F.min(F.struct("node", "rank")).alias("b"))
+    n = n.select("lng", "lat", F.inline(F.array_distinct(F.array(F.struct("a.node", "a.rank"), F.struct("b.node", "b.rank")))))
+    n = n.select("node", F.col("lng").alias("nx"), F.col("lat").alias("ny"), "rank", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
     both = p.join(n, ["cx", "cy"]).withColumn("m", geo.haversine_m(F.col("lng"), F.col("lat"), F.col("nx"), F.col("ny"))).where(F.col("m") <= max_m)
     order = F.struct((F.col("m") > near_m).alias("far"), F.when(F.col("m") <= near_m, -F.col("rank")).otherwise(0).alias("r"), "m", "node")
-    return both.groupBy("id").agg(F.min(order).alias("b")).select("id", "b.node", "b.m")
+    found = both.groupBy("lng", "lat").agg(F.min(order).alias("b"))
+    return points.join(found, ["lng", "lat"]).select("id", "b.node", "b.m")
 
 
 class Csr:
@@ -108,6 +115,35 @@ class Csr:
         s = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(u - x) / 2) ** 2
         return 2 * geo.R * math.asin(min(1.0, math.sqrt(s))) / (FASTEST / 3.6)
 
+    def paths(self, origin: int, targets: list[int]) -> list[tuple[float | None, list[int], str | None]]:
+        """path() to each of the targets, by one search that ends when all are reached."""
+        a, at = self.index(origin), [self.index(t) for t in targets]
+        if a < 0:
+            return [(None, [], "no-origin")] * len(targets)
+        best, before, done, left = {a: 0.0}, {}, set(), {b for b in at if b >= 0}
+        heap = [(0.0, a)]
+        while heap and left:
+            _, i = heapq.heappop(heap)
+            if i in done:
+                continue
+            done.add(i)
+            left.discard(i)
+            for e in range(self.first[i], self.first[i + 1]):
+                j, c = int(self.dst[e]), best[i] + float(self.cost[e])
+                if c < best.get(j, math.inf):
+                    best[j], before[j] = c, i
+                    heapq.heappush(heap, (c, j))
+
+        def found(b: int) -> tuple[float | None, list[int], str | None]:
+            if b not in done:
+                return None, [], "no-destination" if b < 0 else "no-path"
+            out = [b]
+            while out[-1] != a:
+                out.append(before[out[-1]])
+            return best[b], [int(self.nodes[x]) for x in reversed(out)], None
+
+        return [found(b) for b in at]
+
     def path(self, origin: int, target: int) -> tuple[float | None, list[int], str | None]:
         """(cost, nodes, why not): A* with lazy deletion."""
         a, b = self.index(origin), self.index(target)
@@ -137,7 +173,7 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cost, path, reason) for requests (id, origin, target) over edges (src, dst, cost).
 
     The requests are many and the graph one: its arrays go to every task, if it has no more than BROADCAST_EDGES edges
-    (checked), and tasks search their requests. Larger graphs must be cut to a corridor first; they raise ValueError."""
+    (checked), and tasks search their requests, those of one origin in a batch at once. Larger graphs must be cut to a corridor first; they raise ValueError."""
     if edges.limit(BROADCAST_EDGES + 1).count() > BROADCAST_EDGES:
         raise ValueError(f"more than {BROADCAST_EDGES} edges: cut the graph to a corridor, or use distances()")
     e = edges.select("src", "dst", "cost").toPandas().sort_values(["src", "dst", "cost"])
@@ -145,7 +181,10 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [graph.value.path(o, t) for o, t in zip(batch["origin"], batch["target"], strict=True)]
+            found = [None] * len(batch)
+            for origin, at in batch.groupby("origin").indices.items():
+                for i, f in zip(at, graph.value.paths(int(origin), batch["target"].iloc[at].tolist()), strict=True):
+                    found[i] = f
             yield pd.DataFrame({"id": batch["id"], "cost": [f[0] for f in found], "path": [f[1] for f in found], "reason": [f[2] for f in found]})
 
     return requests.select("id", "origin", "target").mapInPandas(run, "id long, cost double, path array<long>, reason string")

@@ -14,10 +14,11 @@ A = (-76.4, 40.1)
 C = F.col
 
 
-def register(name: str, source: str, build, sql: str) -> None:
+def register(name: str, source: str, build, sql: str | None = None) -> None:
     """build(df) -> DataFrame over a derived input; sql is its equivalent over the CTE of that name."""
     QUERIES[name] = lambda spark, sf_dir: build(derived(spark, sf_dir, source))
-    ORACLE_SQL[name] = with_derived(sql)
+    if sql:
+        ORACLE_SQL[name] = with_derived(sql)
 
 
 def hav(a, b, c, d) -> str:
@@ -105,9 +106,17 @@ register(
     lambda d: d.select("event_id", *rounded(("m", geo.segment_bbox_m(C("lng"), C("lat"), C("lng") + 0.01, C("lat") + 0.01, tuple(map(F.lit, _BOX))), 2))),
     f"select event_id, round(sqrt(pow(radians(dlat)*{geo.R},2)+pow(radians(dlng)*{geo.R}*cos(radians(mid)),2)),2) as m from (select event_id, greatest({_BOX[1]}-(lat+0.01), lat-{_BOX[3]}, 0.0) as dlat, greatest({_BOX[0]}-(lng+0.01), lng-({_BOX[2]}), 0.0) as dlng, (greatest({_BOX[1]}, lat)+least({_BOX[3]}, lat+0.01))/2 as mid from fixes)",
 )
+
+
+def _circle(d):
+    p = d.select("event_id", F.posexplode(geo.circle(C("lng"), C("lat"), C("accuracy"))).alias("i", "p"))
+    return p.select("event_id", C("i").cast("long").alias("i"), *rounded(("lng", C("p.lng"), 8), ("lat", C("p.lat"), 8)))
+
+
+register("geo17_circle_whole", "fixes", _circle)
 register(
     "geo17_circle", "fixes",
-    lambda d: d.where("event_id < 500").select("event_id", F.posexplode(geo.circle(C("lng"), C("lat"), C("accuracy"))).alias("i", "p")).select("event_id", F.col("i").cast("long").alias("i"), *rounded(("lng", C("p.lng"), 8), ("lat", C("p.lat"), 8))),
+    lambda d: _circle(d.where("event_id < 500")),
     "select event_id, i, round(lng + least(accuracy,300)/(111320*greatest(0.1,cos(radians(lat))))*cos(radians((i%24)*15)),8) as lng, round(lat + least(accuracy,300)/111320*sin(radians((i%24)*15)),8) as lat from fixes, range(25) r(i) where event_id < 500",
 )
 
@@ -119,9 +128,17 @@ register("til2_lnglat_to_tile", "fixes", lambda d: d.select("event_id", Z().alia
 register("til3_tile_bounds", "tiles", lambda d: d.select("tile_id", *rounded(("w", tiles.tile_west(C("x"), C("z")), 9), ("e", tiles.tile_west(C("x") + 1, C("z")), 9), ("n", tiles.tile_north(C("y"), C("z")), 9), ("s", tiles.tile_north(C("y") + 1, C("z")), 9))), f"select tile_id, round({west('x', 'z')},9) as w, round({west('x+1', 'z')},9) as e, round({north('y', 'z')},9) as n, round({north('y+1', 'z')},9) as s from tiles")
 register("til4_tile_center", "tiles", lambda d: d.select("tile_id", *rounded(*[(n, c, 9) for n, c in zip(("lng", "lat"), tiles.tile_center(C("x"), C("y"), C("z")), strict=True)])), f"select tile_id, round(({west('x', 'z')}+{west('x+1', 'z')})/2,9) as lng, round(({north('y', 'z')}+{north('y+1', 'z')})/2,9) as lat from tiles")
 register("til5_tile_width", "fixes", lambda d: d.select("event_id", *rounded(("m", tiles.tile_width_m(Z(), C("lat")), 3))), f"select event_id, round(40075016.7*cos(radians(lat))/pow(2,{_Z}),3) as m from fixes")
+
+
+def _in_bbox(d):
+    box = tiles.tiles_in_bbox(C("lng") - 0.05, C("lat") - 0.05, C("lng") + 0.05, C("lat") + 0.05, F.lit(13))
+    return d.select("event_id", F.explode(box).alias("t")).select("event_id", "t.x", "t.y")
+
+
+register("til6_tiles_in_bbox_whole", "fixes", _in_bbox)
 register(
     "til6_tiles_in_bbox", "fixes",
-    lambda d: d.where("event_id < 300").select("event_id", F.explode(tiles.tiles_in_bbox(C("lng") - 0.05, C("lat") - 0.05, C("lng") + 0.05, C("lat") + 0.05, F.lit(13))).alias("t")).select("event_id", "t.x", "t.y"),
+    lambda d: _in_bbox(d.where("event_id < 300")),
     f"select event_id, cast(x as int) as x, cast(y as int) as y from (select event_id, unnest(range({tx('lng-0.05', 13)}, {tx('lng+0.05', 13)}+1)) as x, lat from fixes where event_id < 300), lateral (select unnest(range({ty('lat+0.05', 13)}, {ty('lat-0.05', 13)}+1)) as y)",
 )
 register("til7_metres_per_pixel", "fixes", lambda d: d.select("event_id", *rounded(("m", tiles.metres_per_pixel(Z(), C("lat")), 6))), f"select event_id, round(156543.03392*cos(radians(lat))/pow(2,{_Z}),6) as m from fixes")
