@@ -5,11 +5,14 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tests.test_spatial import brute
 from tilewright import registry
 from tilewright.derive import derived
 from tilewright.functions import lookups
+from tilewright.operators import routes
+from tilewright.plans.routes import ROUTE
 
 SF = "/root/testdata/sf0.01"
 
@@ -104,3 +107,61 @@ def test_orders(spark):
     assert list(out.itertuples(index=False, name=None)) == [(i, n) for n, i in sorted((n.lower(), i) for i, n in zip(places["id"], places["name"], strict=True))]
     tiles = derived(spark, SF, "tiles").where("tier = 'smart'").toPandas()
     assert got(spark, "srt5_lru_order_whole")["tile_id"].tolist() == tiles.sort_values(["last_access", "tile_id"])["tile_id"].tolist()
+
+
+def test_spoken_utterances(spark, fixes, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").limit(40).toPandas()
+    events["user_id"], events["event_id"] = 1, range(40)
+    events["ts"] = [pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=i) for i in range(40)]
+    spark.createDataFrame(events).withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    out = registry.QUERIES["str8_throttle_whole"](spark, str(tmp_path)).collect()
+    assert sorted(r.event_id for r in out) == list(range(0, 40, 2))
+
+
+def test_milestones(spark):
+    n = registry.QUERIES["str1_navigation"](spark, SF).toPandas()
+    at = lambda r: next((m for m in ((200, 800, 2000) if r.next_step < 3 else (300,)) if r.to_step_m <= m), None)
+    want = {(r.trip_id, r.next_step, at(r)) for r in n[~n["off"]].itertuples() if at(r)}
+    assert set(got(spark, "str7_voice_milestones_whole").itertuples(index=False, name=None)) == want
+    assert 3 in {s for _, s, _ in want}
+
+
+def center(x, y, z):
+    north = [math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * v / 2**z)))) for v in (y, y + 1)]
+    return (x + 0.5) / 2**z * 360 - 180, sum(north) / 2
+
+
+def nearest(lng, lat):
+    """(metres off the route, metres along it)"""
+    out = []
+    for _, ax, ay, bx, by, before, n in routes.segments(ROUTE):
+        k = math.cos(math.radians(lat))
+        dx, dy, px, py = ((bx - ax) * k, by - ay, (lng - ax) * k, lat - ay)
+        t = min(1.0, max(0.0, (px * dx + py * dy) / (dx * dx + dy * dy)))
+        out.append((math.hypot(px - t * dx, py - t * dy) * 111_320, before + t * n))
+    return min(out)
+
+
+def test_protection(spark):
+    tiles = derived(spark, SF, "tiles").toPandas()
+    near = {(x, y): nearest(*center(x, y, 13)) for x, y in set(zip(tiles["x"], tiles["y"], strict=True))}
+    safe = [bool(p) and near[x, y][0] <= 2000 and near[x, y][1] >= 45_000 for x, y, p in zip(tiles["x"], tiles["y"], tiles["pinned_by"].notna(), strict=True)]
+    assert any(safe) and set(got(spark, "jon8_protected")["tile_id"]) == set(tiles["tile_id"][safe])
+    smart = tiles[tiles["tier"] == "smart"]
+    left, want = smart["size"].sum(), set()
+    for r in smart[~pd.Series(safe, index=tiles.index)[smart.index]].sort_values(["last_access", "tile_id"]).itertuples():
+        if left <= 90_000_000:
+            break
+        want.add(r.tile_id)
+        left -= r.size
+    assert want and set(got(spark, "cor4_plan_eviction_whole")["tile_id"]) == want
+
+
+def test_corridor_plan(spark):
+    out = got(spark, "cor2_overview")
+    assert sorted(set(out["z"])) == list(range(6, 15)) and not out.duplicated().any()
+    assert {tuple(t) for t in out[out["z"] == 13][["x", "y"]].to_numpy()} == {tuple(t) for t in got(spark, "jon7_corridor").to_numpy()}
+    for lng, lat in (ROUTE[0], ROUTE[-1]):
+        x = math.floor((lng + 180) / 360 * 2**14)
+        y = math.floor((1 - math.log(math.tan(math.radians(lat)) + 1 / math.cos(math.radians(lat))) / math.pi) / 2 * 2**14)
+        assert ((out["z"] == 14) & (out["x"] == x) & (out["y"] == y)).any()

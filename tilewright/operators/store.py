@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import geo, tiles
 from tilewright.operators.prefix import running_sum
+from tilewright.operators.routes import project_onto_path
 
 
 def usage(metas: DataFrame) -> DataFrame:
@@ -66,6 +67,13 @@ def evict(metas: DataFrame, budget: int, protected: Column | None = None) -> Dat
     return running_sum(free, ["last_access", "tile_id"], "size", F.to_date("last_access"), "before").where(F.lit(used) - F.col("before") > target)
 
 
+def protected(route: list[tuple[float, float]], along_m: float, corridor_m: float, keep_behind_m: float) -> Column:
+    """Whether a tile is pinned, its centre in the corridor of the route, and no further behind along_m than that."""
+    lng, lat = tiles.tile_center(F.col("x"), F.col("y"), F.col("z"))
+    p = project_onto_path(lng, lat, route)
+    return F.col("pinned_by").isNotNull() & (p["dist_m"] <= corridor_m) & (p["along_m"] >= along_m - keep_behind_m)
+
+
 def trim(rows: DataFrame, most: int, down_to: int) -> DataFrame:
     """Over `most` rows only the `down_to` newest stay."""
     if rows.limit(most + 1).count() <= most:

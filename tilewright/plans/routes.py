@@ -124,12 +124,25 @@ register("str7_voice_milestones", lambda d: navigation(routes.deviation(d, ROUTE
 ORACLE_SQL["str7_voice_milestones"] = f"{_WITH} select distinct trip_id, next_step, cast(case when to_step_m<=200 then 200 when to_step_m<=800 then 800 else 2000 end as int) as milestone from ({_SELECT}) where not off and next_step < 3 and to_step_m <= 2000"
 
 
+
+def _str7(d):
+    """The milestones of every step, and within 300 m of the end the arrival."""
+    n = navigation(routes.deviation(d, ROUTE)).where("not off")
+    before = F.when(C("to_step_m") <= 200, 200).when(C("to_step_m") <= 800, 800).when(C("to_step_m") <= 2000, 2000)
+    n = n.withColumn("milestone", F.when(C("next_step") < len(STEPS) - 1, before).when(C("to_step_m") <= 300, 300))
+    return n.where("milestone is not null").select("trip_id", "next_step", "milestone").distinct()
+
+
+register("str7_voice_milestones_whole", _str7)
+
+
 def _str8(d):
     """Utterances 1.5 s apart at least from the last one spoken would need a fold; apart from the last fix it is a lag."""
     gap = C("ts").cast("timestamp").cast("double") - F.lag("ts").over(W()).cast("timestamp").cast("double")
     return d.select("event_id", gap.alias("gap")).where("gap is null or gap >= 1.5").select("event_id")
 
 
+register("str8_throttle_whole", lambda d: routes.throttled(d.select("trip_id", F.unix_millis(C("ts").cast("timestamp")).alias("ts_ms"), C("event_id").alias("along_m")), "trip_id", 1.5, 0).select(C("along_m").alias("event_id")))
 register("str8_throttle", _str8, "select event_id from (select event_id, epoch(ts) - epoch(lag(ts) over (partition by trip_id order by ts, event_id)) as gap from fixes) where gap is null or gap >= 1.5")
 register("str6_state_changes", lambda d: d.withColumn("state", F.when(C("accuracy") > 25, "offline").when(C("accuracy") > 15, "degraded").otherwise("online")).withColumn("last", F.lag("state").over(W())).where("last is null or last <> state").select("event_id", "state"), "select event_id, state from (select event_id, state, lag(state) over (partition by trip_id order by ts, event_id) as last from (select *, case when accuracy>25 then 'offline' when accuracy>15 then 'degraded' else 'online' end as state from fixes)) where last is null or last <> state")
 register("srt8_last_four", lambda d: d.withColumn("n", F.row_number().over(Window.partitionBy("trip_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("n <= 4").select("trip_id", "event_id"), "select trip_id, event_id from (select trip_id, event_id, row_number() over (partition by trip_id order by ts desc, event_id desc) as n from fixes) where n <= 4")
@@ -139,6 +152,9 @@ _CT = f"(select distinct x, y from (select *, unnest(range({ty('y1', 13)}, {ty('
 _CLNG, _CLAT = f"(({west('x', 13)}+{west('x+1', 13)})/2)", f"(({north('y', 13)}+{north('y+1', 13)})/2)"
 _NEAR = seg_sql("111320.0", "ax", "ay", "bx", "by_")[1].replace("lng", _CLNG).replace("lat)", _CLAT + ")").replace("(lat-", f"({_CLAT}-")
 
+#: Metres round ends and manoeuvres, as in the reference's corridor tests.
+DETAIL_M = 2000.0
+
 
 def _route_segments(spark):
     return spark.createDataFrame(routes.segments(ROUTE), "i int, ax double, ay double, bx double, by double, before double, n double")
@@ -147,7 +163,20 @@ def _route_segments(spark):
 QUERIES["jon7_corridor"] = lambda spark, sf_dir: routes.corridor_tiles(_route_segments(spark), 13, 2000.0).select("x", "y")
 ORACLE_SQL["jon7_corridor"] = f"select cast(x as int) as x, cast(y as int) as y from {_CT} {_NEAR} <= 2000 + 360.0/8192*111320*cos(radians(ay))/2)"
 QUERIES["cor1_corridor_within"] = lambda spark, sf_dir: routes.corridor_within(_route_segments(spark), 13, 20000.0, 300)[0]
-QUERIES["cor2_overview"] = lambda spark, sf_dir: spark.range(6, 13).select(C("id").cast("int").alias("z")).withColumn("n", F.greatest(F.lit(1), F.ceil(F.lit(TOTAL) / (tiles.tile_width_m(C("z"), F.lit(40.1)) * 0.5))).cast("int")).select("z", "n", F.explode(F.sequence(F.lit(0), C("n"))).alias("i")).withColumn("p", routes.point_at_distance(C("i") / C("n") * TOTAL, ROUTE)).select("z", tiles.tile_x(C("p.lng"), C("z")).alias("x"), tiles.tile_y(C("p.lat"), C("z")).alias("y")).distinct()
+
+
+def _plan(spark, sf_dir):
+    """The route's overview at zooms 6 to 12, its corridor at 13, and at 14 what is round its ends and manoeuvres."""
+    corridor = routes.corridor_within(_route_segments(spark), 13, 2000.0, 1400)[0]
+    turns = [m for _, kind, m, _ in STEPS if kind not in ("depart", "arrive")]
+    ends = spark.createDataFrame([(m,) for m in (0.0, *turns, TOTAL)], "m double").withColumn("p", routes.point_at_distance(C("m"), ROUTE))
+    ends = ends.select(C("p.lng").alias("ax"), C("p.lat").alias("ay"), C("p.lng").alias("bx"), C("p.lat").alias("by"))
+    detail = routes.corridor_within(ends, 14, DETAIL_M, 500)[0]
+    return _overview(spark, sf_dir).unionByName(corridor).unionByName(detail)
+
+
+_overview = lambda spark, sf_dir: spark.range(6, 13).select(C("id").cast("int").alias("z")).withColumn("n", F.greatest(F.lit(1), F.ceil(F.lit(TOTAL) / (tiles.tile_width_m(C("z"), F.lit(40.1)) * 0.5))).cast("int")).select("z", "n", F.explode(F.sequence(F.lit(0), C("n"))).alias("i")).withColumn("p", routes.point_at_distance(C("i") / C("n") * TOTAL, ROUTE)).select("z", tiles.tile_x(C("p.lng"), C("z")).alias("x"), tiles.tile_y(C("p.lat"), C("z")).alias("y")).distinct()
+QUERIES["cor2_overview"] = _plan
 QUERIES["win12_route_samples"] = lambda spark, sf_dir: spark.range(0, 101).select(C("id").cast("int").alias("i"), routes.point_at_distance(C("id") / 100 * TOTAL, ROUTE).alias("p")).select("i", r("lng", C("p.lng"), 8), r("lat", C("p.lat"), 8))
 QUERIES["cor3_predictive"] = lambda spark, sf_dir: routes.corridor_within(spark.createDataFrame(routes.segments([(-76.7, 40.09), (-76.65, 40.101), (-76.6, 40.113)]), "i int, ax double, ay double, bx double, by double, before double, n double"), 14, 1500.0, 400)[0]
 QUERIES["src14_route_geojson"] = lambda spark, sf_dir: spark.range(1).select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ROUTE]).alias("coordinates")).alias("geometry"))).alias("geojson"))

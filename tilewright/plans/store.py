@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tilewright.derive import derived, with_derived
 from tilewright.operators import store
+from tilewright.plans.routes import ROUTE
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -47,6 +48,9 @@ _EVICT = "(select *, coalesce(sum(size) over (order by last_access, tile_id rows
 _USED = "(select sum(size) from tiles where tier='smart')"
 register("win7_eviction_prefix", lambda d: store.evict(d, BUDGET).select("tile_id"), f"select tile_id from {_EVICT.format(used=_USED, where='')} where used > floor(0.9*{BUDGET}) and used - before > floor(0.9*{BUDGET})")
 register("cor4_plan_eviction", lambda d: store.evict(d, BUDGET, (C("pinned_by").isNotNull()) & (C("x") >= 2355)).select("tile_id", "k", "size"), f"select tile_id, k, size from {_EVICT.format(used=_USED, where=' and not (pinned_by is not null and x >= 2355)')} where used > floor(0.9*{BUDGET}) and used - before > floor(0.9*{BUDGET})")
+PROTECTED = lambda: store.protected(ROUTE, 50_000.0, 2000.0, 5000.0)
+register("jon8_protected", lambda d: d.where(PROTECTED()).select("tile_id"))
+register("cor4_plan_eviction_whole", lambda d: store.evict(d, BUDGET, PROTECTED()).select("tile_id", "k", "size"))
 register("str10_cache_trim", lambda d: store.trim(d, 1500, 1300), "select tile_id from (select tile_id, row_number() over (order by last_access desc, tile_id desc) as n, count(*) over () as c from tiles) where c <= 1500 or n <= 1300")
 register("snk8_settings", lambda d: store.settings(d.sparkSession, {"units": "metric", "theme": "auto"}, {"theme": "night"}, {"budget": "400"}), "select 'units' as name, 'metric' as value union all select 'theme','night' union all select 'budget','400'")
 register("fil15_coarse_zoom", lambda d: d.select("tile_id", F.when(C("size") > 150000, 11).when(C("size") > 40000, 12).otherwise(13).alias("z")), "select tile_id, case when size > 150000 then 11 when size > 40000 then 12 else 13 end as z from tiles")
