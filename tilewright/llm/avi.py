@@ -12,6 +12,7 @@ the bitwise one."""
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -165,16 +166,40 @@ def frames(data: bytes) -> tuple[float, list[tuple[int, int]]]:
     return fps, found
 
 
+def _huffman(counts: bytes, values: bytes) -> dict[tuple[int, int], int]:
+    table, code, j = {}, 0, 0
+    for length, count in enumerate(counts, 1):
+        for _ in range(count):
+            table[length, code] = values[j]
+            code, j = code + 1, j + 1
+        code <<= 1
+    return table
+
+
+#: The tables of frames that have none, by class and number: those of the JPEG standard, K.3.
+_USUAL = {
+    which: _huffman(bytes.fromhex(counts), bytes.fromhex(values))
+    for which, counts, values in (
+        (0x00, "00010501010101010100000000000000", "000102030405060708090a0b"),
+        (0x01, "00030101010101010101010000000000", "000102030405060708090a0b"),
+        (0x10, "0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a161718191a25262728292a3435363738393a434445464748494a535455565758595a636465666768696a737475767778797a838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae1e2e3e4e5e6e7e8e9eaf1f2f3f4f5f6f7f8f9fa"),
+        (0x11, "00020102040403040705040400010277", "0001020311040521310612415107617113223281081442 91a1b1c109233352f0156272d10a162434e125f11718191a262728292a35363738393a434445464748494a535455565758595a636465666768696a737475767778797a82838485868788898a92939495969798999aa2a3a4a5a6a7a8a9aab2b3b4b5b6b7b8b9bac2c3c4c5c6c7c8c9cad2d3d4d5d6d7d8d9dae2e3e4e5e6e7e8e9eaf2f3f4f5f6f7f8f9fa".replace(" ", "")),
+    )
+}
+
+
 class _Head:
-    """What the markers before the scan say."""
+    """What the markers before the scan say. The first component is the luma."""
 
     def __init__(self, jpeg: bytes) -> None:
         if jpeg[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG frame")
-        self.tables: dict[int, dict[tuple[int, int], int]] = {}
+        self.tables = dict(_USUAL)
         quant, at = {0: [1] * 64}, 2
-        self.quantiser, self.fixed = 1, False
+        self.quantiser, self.restart = 1, 0
         while True:
+            while jpeg[at + 1] == 0xFF:  # fill bytes
+                at += 1
             marker, n = jpeg[at + 1], struct.unpack_from(">H", jpeg, at + 2)[0]
             body = jpeg[at + 4 : at + 2 + n]
             at += 2 + n
@@ -186,46 +211,55 @@ class _Head:
                     i += 129 if wide else 65
             elif marker in (0xC0, 0xC1):
                 bits, self.height, self.width, parts = struct.unpack_from(">BHHB", body)
-                if bits != 8 or parts != 1:
-                    raise ValueError("only 8-bit greyscale frames")
-                self.quantiser = body[8]
+                if bits != 8:
+                    raise ValueError("only 8-bit frames")
+                self.parts = {body[i]: (body[i + 1] >> 4, body[i + 1] & 15) for i in range(6, 6 + 3 * parts, 3)}
+                self.luma, self.quantiser = body[6], body[8]
             elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise ValueError("only baseline JPEG")
             elif marker == 0xC4:
                 i = 0
                 while i < len(body):
                     which, counts = body[i], body[i + 1 : i + 17]
-                    table, code, j = {}, 0, i + 17
-                    for length, count in enumerate(counts, 1):
-                        for _ in range(count):
-                            table[length, code] = body[j]
-                            code, j = code + 1, j + 1
-                        code <<= 1
-                    self.tables[which] = table
-                    i = j
+                    self.tables[which] = _huffman(counts, body[i + 17 :])
+                    i += 17 + sum(counts)
+            elif marker == 0xDD:
+                self.restart = struct.unpack_from(">H", body)[0]
             elif marker == 0xDA:
-                self.dc, self.ac = self.tables[body[2] >> 4], self.tables[0x10 | body[2] & 15]
+                scanned = [(body[i], self.tables[body[i + 1] >> 4], self.tables[0x10 | body[i + 1] & 15]) for i in range(1, 1 + 2 * body[0], 2)]
                 break
         self.step = quant[self.quantiser]
         self.scan_at = at
-        self.blocks = -(-self.height // 8) * -(-self.width // 8)
-        self.fixed = self.dc == _OUR_DC and self.ac == {(1, 0): 0} and self.step[0] == 8 and self.blocks % 4 == 0
+        if scanned[0][0] != self.luma:
+            raise ValueError("the first scan has no luma")
+        self.dc, self.ac = scanned[0][1:]
+        most_h, most_v = (max(p[i] for p in self.parts.values()) for i in (0, 1))
+        h, v = self.parts[self.luma]
+        self.across, self.down = -(-self.width * h // (8 * most_h)), -(-self.height * v // (8 * most_v))
+        self.blocks = self.across * self.down
+        #: Of a unit of the scan, each block's component and tables; and the luma's blocks in it, across and down.
+        alone = len(scanned) == 1
+        self.unit = [(c, dc, ac) for c, dc, ac in scanned for _ in range(1 if alone else self.parts[c][0] * self.parts[c][1])]
+        self.h, self.v = (1, 1) if alone else (h, v)
+        self.units = (self.across, self.down) if alone else (-(-self.width // (8 * most_h)), -(-self.height // (8 * most_v)))
+        self.fixed = len(self.parts) == 1 and not self.restart and self.dc == _OUR_DC and self.ac == {(1, 0): 0} and self.step[0] == 8 and self.blocks % 4 == 0
 
 
 _OUR_DC = {(n, (1 << n) - 2): 9 - n for n in range(1, 10)}
 
 
-def _levels_bitwise(head: _Head, scan: bytes) -> np.ndarray:
-    """Mean level of each block, for any Huffman tables: DC decoded, AC coefficients skipped over."""
-    bits, at = int.from_bytes(scan, "big"), 0
-    total = 8 * len(scan)
+def _levels_bitwise(head: _Head, *scans: bytes) -> np.ndarray:
+    """Mean level of each luma block, for any Huffman tables: DC decoded, AC coefficients skipped over. The scans are
+    what lies between the restart markers."""
+    scan, at, left = b"", 0, list(scans[::-1])
 
     def take(n: int) -> int:
         nonlocal at
+        a = at
         at += n
-        if at > total:
+        if at > 8 * len(scan):
             raise ValueError("the scan ends early")
-        return (bits >> (total - at)) & ((1 << n) - 1)
+        return (int.from_bytes(scan[a >> 3 : (at + 7) >> 3], "big") >> (-at & 7)) & ((1 << n) - 1)
 
     def symbol(table: dict) -> int:
         code = 0
@@ -235,23 +269,37 @@ def _levels_bitwise(head: _Head, scan: bytes) -> np.ndarray:
                 return table[n, code]
         raise ValueError("no such code")
 
-    out, level = np.empty(head.blocks), 0
-    for b in range(head.blocks):
-        s = symbol(head.dc)
-        if s:
-            v = take(s)
-            level += v if v >> (s - 1) else v - (1 << s) + 1
-        out[b] = level * head.step[0] / 8 + 128
-        k = 1
-        while k < 64:
-            r = symbol(head.ac)
-            if r == 0:
-                break
-            k += (r >> 4) + 1
-            take(r & 15)
+    across, down = head.units
+    out, level = np.empty((down * head.v, across * head.h)), {}
+    for u in range(across * down):
+        if u == 0 or head.restart and u % head.restart == 0:
+            if not left:
+                raise ValueError("the scan ends early")
+            scan, at, level = left.pop(), 0, dict.fromkeys(head.parts, 0)
+        y, x = divmod(u, across)
+        for b, (part, dc, ac) in enumerate(head.unit):
+            s = symbol(dc)
+            if s:
+                v = take(s)
+                level[part] += v if v >> (s - 1) else v - (1 << s) + 1
+            if part == head.luma:
+                out[y * head.v + b // head.h, x * head.h + b % head.h] = level[part] * head.step[0] / 8 + 128
+            k = 1
+            while k < 64:
+                r = symbol(ac)
+                if r == 0:
+                    break
+                k += (r >> 4) + 1
+                take(r & 15)
+    out = out[: head.down, : head.across].ravel()
     return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
 
+#: A marker that ends a scan; in a scan 0xFF is followed by 0 or by a restart marker.
+_SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
+_RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
+
+
 def levels(data: bytes, where: list[tuple[int, int]]) -> list[np.ndarray]:
     """Block levels of the frames; frames with the tables of write() are decoded together."""
     heads: dict[bytes, _Head] = {}
@@ -261,14 +309,17 @@ def levels(data: bytes, where: list[tuple[int, int]]) -> list[np.ndarray]:
         if n == 0 and i:  # a dropped frame repeats the last
             continue
         jpeg = data[at : at + n]
-        key = jpeg[: jpeg.index(b"\xff\xda") + 4]
+        begin = jpeg.index(b"\xff\xda")
+        key = jpeg[: begin + 2 + struct.unpack_from(">H", jpeg, begin + 2)[0]]
         head = heads.get(key) or heads.setdefault(key, _Head(jpeg))
-        scan = jpeg[head.scan_at : jpeg.rindex(b"\xff\xd9")].replace(b"\xff\x00", b"\xff")
+        end = _SCAN_END.search(jpeg, head.scan_at)
+        scans = [x.replace(b"\xff\x00", b"\xff") for x in _RESTART.split(jpeg[head.scan_at : end.start() if end else n])]
+        scan = scans[0]
         if head.fixed and len(scan) == head.blocks * 10 // 8:
             packed.append(scan)
             rows.append(i)
         else:
-            out[i] = _levels_bitwise(head, scan)
+            out[i] = _levels_bitwise(head, *scans)
     for at in range(0, len(rows), 1024):
         own = packed[at : at + 1024]
         if len({len(x) for x in own}) > 1:
