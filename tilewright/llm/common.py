@@ -1,16 +1,18 @@
-"""Shared plumbing of the operators: table access, shared scratch tables, row mapping."""
+"""Shared plumbing of the operators: table access, shared scratch tables."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests, laptops).
+#: Used only where a local master's session names no folder (tests, laptops).
 LOCAL_CHECKPOINT_DIR = "/tmp/checkpoints"
+#: Scratch tables that are still there, by the scopes that will drop them.
+_scopes: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; set here only where unset."""
+    """The shared folder that the session names in spark.checkpoint.dir; set here only where unset, on a local master."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(LOCAL_CHECKPOINT_DIR)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -40,28 +44,24 @@ def scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     A lost executor then costs a re-read, not a recomputation."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch tables made inside are dropped at its end: results must have been written or read by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            drop_scratch(spark, path)
+
+
 def null_safe_key(*cols: str):
     """A digest of the columns in which null, empty and shifted values differ."""
     parts = [F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in cols]
     return F.md5(F.concat(*parts))
-
-
-def per_row(df: DataFrame, inputs: list[str], fn: Callable[..., dict], schema: pa.Schema, spark_schema: str, step: int = 256) -> DataFrame:
-    """Map rows one by one through Arrow batches. fn gets the inputs and returns a dict of the output columns.
-
-    At most `step` rows of results are held at once."""
-    names = schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                cols = [part.column(i).to_pylist() for i in range(len(inputs))]
-                rows = [fn(*values) for values in zip(*cols, strict=True)]
-                yield pa.RecordBatch.from_pydict({k: [r[k] for r in rows] for k in names}, schema=schema)
-
-    return df.select(*inputs).mapInArrow(run, spark_schema)

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.llm.common import scratch
+
 BUCKETS = 16
 TOKEN_BUDGET = 65_536
-#: Lengths up to this are told apart; longer ones are rounded up to 1 / FINE of their size, which bounds the histogram.
-FINE = 1024
 #: Rows of a bucket that are numbered together.
 CELL = 20_000
+#: Splits times ends that the search for boundaries looks at in one go.
+DENSE = 4096
 
 
 def n_tokens(text_col: str = "text"):
@@ -23,12 +25,6 @@ def n_tokens(text_col: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def rounded(length: str = "n_tokens"):
-    """A length as the histogram has it."""
-    step = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(F.col(length), F.lit(1)).cast("double"))) - int(np.log2(FINE))))
-    return F.when(F.col(length) <= FINE, F.col(length)).otherwise((F.ceil(F.col(length) / step) * step).cast("long"))
-
-
 def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
     """At most k bucket boundaries, the largest length among them, with the least total padding.
 
@@ -43,6 +39,7 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
     rows, tokens = np.concatenate([[0.0], np.cumsum(c)]), np.concatenate([[0.0], np.cumsum(c * x)])
     k = min(k, n)
     best = x * rows[1:] - tokens[1:]
+    whole = best
     splits = []
     for _ in range(1, k):
         after, where = np.full(n, np.inf), np.zeros(n, np.int64)
@@ -51,17 +48,19 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
             lo, hi, a, b = todo.pop()
             if lo > hi:
                 continue
-            j = (lo + hi) // 2
-            # The last bucket is i+1..j; i = -1 leaves the layer's bucket unused.
-            i = np.arange(a, min(b, j - 1) + 1)
-            cost = best[i] + x[j] * (rows[j + 1] - rows[i + 1]) - (tokens[j + 1] - tokens[i + 1])
-            whole = x[j] * rows[j + 1] - tokens[j + 1]
-            if len(i) and cost.min() < whole:
-                m = int(np.argmin(cost))
-                after[j], where[j], at = cost[m], i[m], int(i[m])
-            else:
-                after[j], where[j], at = whole, -1, a
-            todo += [(lo, j - 1, a, max(at, a)), (j + 1, hi, max(at, a), b)]
+            # The last bucket is i+1..j; i = -1 leaves the layer's bucket unused. A small block is looked at at once.
+            i = np.arange(a, b + 1)
+            small = (hi - lo + 1) * len(i) <= DENSE
+            j = np.arange(lo, hi + 1) if small else np.array([(lo + hi) // 2])
+            cost = best[i] + x[j, None] * (rows[j + 1, None] - rows[i + 1]) - (tokens[j + 1, None] - tokens[i + 1])
+            cost[i >= j[:, None]] = np.inf
+            m = cost.argmin(axis=1)
+            least = cost[np.arange(len(j)), m]
+            used = least < whole[j]
+            after[j], where[j] = np.where(used, least, whole[j]), np.where(used, i[m], -1)
+            if not small:
+                mid, at = int(j[0]), int(i[m[0]]) if used[0] else a
+                todo += [(lo, mid - 1, a, at), (mid + 1, hi, at, b)]
         splits.append(where)
         best = after
     out, j = [int(x[n - 1])], n - 1
@@ -74,25 +73,23 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) -> DataFrame:
-    """One row for each row of df: id, n_tokens, bucket (from 0 by length), padded (its boundary), batch (number in the
-    bucket), slot (place in the batch), padding.
+    """One row for each row of df: id, n_tokens, bucket (from 0 by length), padded (its boundary, a length that occurs),
+    batch (number in the bucket), slot (place in the batch), padding.
 
     A batch holds max(1, budget // padded) rows, all batches of a bucket but the last as many. Rows are numbered in the
     order of a hash of id and text, so that a rerun gives the same batches; equal rows follow each other in any order.
-    Null and empty texts have length 0 and count as 1 for the budget. Nothing is dropped or cut: a text over the
-    budget is a batch of its own."""
-    rows = df.select(F.col(id_col), n_tokens(text_col).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h")).withColumn("_len", rounded())
-    hist = rows.groupBy("_len").count().toPandas()  # its rows are bounded by FINE
-    bounds = boundaries(hist["_len"].to_numpy(np.int64), hist["count"].to_numpy(np.int64), buckets)
-    if not bounds:
-        return rows.select(id_col, "n_tokens", F.lit(0).alias("bucket"), F.lit(0).cast("long").alias("padded"), F.lit(0).cast("long").alias("batch"), F.lit(0).alias("slot"), F.lit(0).cast("long").alias("padding"))
-    bucket = np.searchsorted(bounds, hist["_len"])
-    size = {int(b): int(hist["count"][bucket == b].sum()) for b in range(len(bounds))}
-    which = F.lit(len(bounds) - 1)
-    for b in range(len(bounds) - 2, -1, -1):
-        which = F.when(F.col("_len") <= bounds[b], b).otherwise(which)
-    padded, cells = F.array(*[F.lit(b).cast("long") for b in bounds]), F.array(*[F.lit(max(1, -(-size[b] // CELL))).cast("long") for b in range(len(bounds))])
-    rows = rows.withColumn("bucket", which).withColumn("padded", F.element_at(padded, F.col("bucket") + 1)).withColumn("_cell", F.pmod(F.col("_h"), F.element_at(cells, F.col("bucket") + 1)))
+    Null and empty texts have length 0 and count as 1 for the budget; null ids are ids like others. Nothing is dropped
+    or cut: a text over the budget is a batch of its own. Other columns are not read.
+
+    The texts are read once, for their lengths. The driver gets the histogram, one row for each length that occurs;
+    n different lengths need n * n / 2 tokens, so that 10 ** 13 tokens have less than 5 million."""
+    rows, _ = scratch(df.select(F.col(id_col), n_tokens(text_col).alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("_h")), "packing-lengths")
+    hist = rows.groupBy("n_tokens").count().toPandas()
+    bounds = boundaries(hist["n_tokens"].to_numpy(np.int64), hist["count"].to_numpy(np.int64), buckets) or [0]
+    size = np.bincount(np.searchsorted(bounds, hist["n_tokens"]), hist["count"], len(bounds)) if len(hist) else [0]
+    of_bucket = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
+    rows = rows.withColumn("bucket", F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b < F.col("n_tokens"))))
+    rows = rows.withColumn("padded", of_bucket(bounds)).withColumn("_cell", F.pmod(F.col("_h"), of_bucket([max(1, -(-n // CELL)) for n in size])))
     counts = rows.groupBy("bucket", "_cell").count()
     before = counts.select("bucket", "_cell", (F.sum("count").over(Window.partitionBy("bucket").orderBy("_cell")) - F.col("count")).alias("_before"))
     n = F.row_number().over(Window.partitionBy("bucket", "_cell").orderBy("_h", F.col(id_col))) - 1
