@@ -89,15 +89,18 @@ def paths(messages: DataFrame, conv: str = "conv", node: str = "node", parent: s
         leaves = few(few(leaves.withColumn("cell", cell), ["conv", "cell"]), ["conv"])
     chosen = leaves.groupBy("conv").agg(top.alias("t")).select("conv", F.posexplode(F.slice("t", 1, best)).alias("rank", "b")).select("conv", F.col("b.leaf").alias("branch"), (F.col("rank") + 1).alias("rank"), F.col("b.s").alias("branch_score"), F.col("b.steps").alias("length"))
     chosen, _ = scratch(chosen, "chat-chosen")
-    members = chosen.select("conv", "branch", F.col("branch").alias("node"), F.lit(0).cast("long").alias("back"))
+    members, path = chosen.select("conv", "branch", F.col("branch").alias("node"), F.lit(0).cast("long").alias("back")), None
     for power in range(len(jumps) - 1, -1, -1):
         up = jumps[power][0].select(F.col("conv").alias("c"), F.col("node").alias("n"), "up")
-        members = members.unionByName(members.join(up, ok("conv", "c") & (F.col("node") == F.col("n"))).select("conv", "branch", F.col("up").alias("node"), (F.col("back") + F.lit(1 << power)).alias("back")))
-    out, _ = scratch(members, "chat-members")
+        more = members.join(up, ok("conv", "c") & (F.col("node") == F.col("n"))).select("conv", "branch", F.col("up").alias("node"), (F.col("back") + F.lit(1 << power)).alias("back"))
+        # Without a table in between each step would read the step before twice, and the plan would double with each.
+        before = path
+        members, path = scratch(members.unionByName(more), "chat-members")
+        drop_scratch(spark, before)
     for _, p in jumps:
         drop_scratch(spark, p)
     c = chosen.select(F.col("conv").alias("c"), F.col("branch").alias("b"), "rank", "branch_score", "length")
-    return out.join(c, ok("conv", "c") & (F.col("branch") == F.col("b"))).select("conv", "branch", "rank", (F.col("length") - 1 - F.col("back")).alias("depth"), "node", "branch_score")
+    return members.join(c, ok("conv", "c") & (F.col("branch") == F.col("b"))).select("conv", "branch", "rank", (F.col("length") - 1 - F.col("back")).alias("depth"), "node", "branch_score")
 
 
 def formatted(turns: DataFrame) -> DataFrame:
@@ -105,15 +108,17 @@ def formatted(turns: DataFrame) -> DataFrame:
     (start, end) code points of the assistant's texts. Nulls in role and text count as empty.
 
     A branch is sorted into one task, as its text is one value; a task streams over its branches one by one."""
-    schema = pa.schema([("conv", pa.int64()), ("branch", pa.string()), ("formatted", pa.string()), ("mask", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    conv_type = turns.schema["conv"].dataType.simpleString()
+    masked = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, mask, size = None, [], [], 0
+        now, parts, mask, size, ids = None, [], [], 0, None
 
         def row() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"conv": [now[0]], "branch": [now[1]], "formatted": ["".join(parts)], "mask": [mask]}, schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], ids), pa.array([now[1]], pa.string()), pa.array(["".join(parts)], pa.string()), pa.array([mask], masked)], names=["conv", "branch", "formatted", "mask"])
 
         for batch in batches:
+            ids = batch.column(0).type
             for c, b, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (c, b) != now:
                     if now:
@@ -128,8 +133,8 @@ def formatted(turns: DataFrame) -> DataFrame:
         if now:
             yield row()
 
-    own = turns.select(F.col("conv").cast("long").alias("conv"), F.col("branch").cast("string").alias("branch"), "depth", "role", "text").repartition("conv", "branch").sortWithinPartitions("conv", "branch", "depth")
-    return own.select("conv", "branch", "role", "text").mapInArrow(run, "conv long, branch string, formatted string, mask array<struct<start:long,end:long>>")
+    own = turns.select("conv", F.col("branch").cast("string").alias("branch"), "depth", "role", "text").repartition("conv", "branch").sortWithinPartitions("conv", "branch", "depth")
+    return own.select("conv", "branch", "role", "text").mapInArrow(run, f"conv {conv_type}, branch string, formatted string, mask array<struct<start:long,end:long>>")
 
 
 def from_turns(table: DataFrame) -> DataFrame:
@@ -142,17 +147,21 @@ def from_turns(table: DataFrame) -> DataFrame:
 
 
 def digest(table: DataFrame) -> DataFrame:
-    """Digests of each conversation as read back from its formatted text and the loss mask."""
+    """Digests of each conversation as read back from its formatted text and the loss mask: one row a conv_id.
+
+    Null conv_ids form one conversation; null roles and texts are empty; repeated rows are turns of their own, and
+    turns of equal number follow each other by role and text. Other columns are not read; no rows give none."""
     messages, _ = scratch(from_turns(table), "chat-messages")
     chosen = paths(messages)
     said = messages.select(F.col("conv").alias("c"), F.col("node").alias("n"), "role", "text")
     turns = chosen.join(said, F.col("conv").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv", "branch", "depth", "role", "text")
-    schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for conv, text, mask in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for text, mask in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 turns, loss, n, chars = hashlib.sha256(), hashlib.sha256(), 0, 0
                 for role, said, _, _ in read_turns(text):
                     turns.update(f"{role}\n{said}\n".encode())
@@ -161,8 +170,8 @@ def digest(table: DataFrame) -> DataFrame:
                     part = unescape(text[m["start"] : m["end"]])
                     loss.update(part.encode())
                     chars += len(part)
-                rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), len(text)))
+                rows.append((n, turns.hexdigest(), chars, loss.hexdigest(), len(text)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True))], names=names)
 
-    return formatted(turns).select("conv", "formatted", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted(turns).select("conv", "formatted", "mask").mapInArrow(run, f"conv_id {table.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
