@@ -1,13 +1,15 @@
 """Information-theoretic sanitisation, in DataFrame functions only.
 
 Patterns find the protected entities (mail addresses, IP addresses, card and phone
-numbers). Corpus co-occurrence then tells which other terms give an entity away: over the
-distinct lines of all documents, a term t discloses entity e as far as
-PMI(e; t) = ln(N n(e,t) / (n(e) n(t))) comes near the entity's information
-IC(e) = ln(N / n(e)), which it reaches when t never stands without e. Terms with
-PMI >= SHARE * IC, and at least SUPPORT lines to say so, are spans of kind term in the
-documents that mention e: there the entity's own removal would not hide it. Copies of a
-line count once, so that copying a document proves nothing."""
+numbers). Corpus co-occurrence then tells which other terms give an entity away. Counts are
+of different documents, all of them and exact: n(e) mention entity e, n(t) hold term t,
+n(e,t) hold t within WINDOW characters of a mention of e, whatever lines they are on, and N
+is all. t discloses e as far as PMI(e; t) = ln(N n(e,t) / (n(e) n(t))) comes near the
+entity's information IC(e) = ln(N / n(e)), which it reaches when t never stands anywhere
+else. Terms with PMI >= SHARE * IC, and at least SUPPORT documents to say so, are spans of
+kind term in the documents that mention e: there the entity's own removal would not hide
+it. Documents without e keep the term. Equal texts are one document, so that copying a
+document proves nothing. Terms are generalised to what they are, a word or a number."""
 
 from __future__ import annotations
 
@@ -17,9 +19,13 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import scratch
 
 SHARE = 0.95
-SUPPORT = 3
-#: Terms up to this many are broadcast, more are joined by a shuffle.
-BROADCAST_TERMS = 20_000
+SUPPORT = 2
+#: Code points on either side of an entity in which terms count as standing with it.
+WINDOW = 200
+#: One document in so many gives a lower bound of n(t), by which common terms are left out before exact counting.
+BOUND = 16
+#: Salts of the final join.
+SALTS = 16
 
 # The kinds in their order and what they look like. A lookbehind or \G (the last match's end) lets a
 # search that fails at the start of a run of characters not try again at each of them; what is found stays the same.
@@ -84,63 +90,110 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))
 
 
-def _terms(line: Column) -> Column:
-    """Terms of a line outside the base patterns' matches."""
-    for p in PATTERNS.values():
-        line = F.regexp_replace(line, p, " ")
-    return F.array_distinct(F.regexp_extract_all(F.lower(line), F.lit(_TERM), F.lit(0)))
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) above the threshold, from documents with text. Counts run over the distinct lines of all documents."""
-    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    with_base = base_spans(docs.select("text").where("text rlike '[0-9@]'")).where(F.size("base") > 0)
-    entity_lines = base_spans(with_base.select(F.explode(F.split("text", "\n")).alias("line")).distinct(), "line").where(F.size("base") > 0)
-    entity_lines = entity_lines.select(F.array_distinct(F.transform("base", entity)).alias("entities"), _terms(F.col("line")).alias("terms"))
-    by_entity = entity_lines.select(F.explode("entities").alias("entity"), "terms")
-    n_e = by_entity.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    n_et = by_entity.join(n_e, "entity").select("entity", "n_e", F.explode("terms").alias("term")).groupBy("entity", "n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    n = float(lines.agg(F.approx_count_distinct("line", 0.01)).collect()[0][0])  # one number, within 1 %
-    # PMI >= share * IC says how many lines a term may stand in at most. What stands in far more by a rough count is
-    # left out before lines are told apart exactly.
-    n_et = n_et.withColumn("most", F.col("n_et") * F.pow(F.lit(n) / F.col("n_e"), 1 - share))
+def _standing_with(text: Column, base: Column) -> Column:
+    """Distinct "entity\nterm" of a text, and "entity\n" for each entity: terms in the window of a mention, without
+    words that its ends cut."""
+    def near(s: Column) -> Column:
+        start = F.greatest(s["start"] - WINDOW - 1, F.lit(0))
+        before = F.substring(text, (start + 1).cast("int"), (s["start"] - start).cast("int"))
+        before = F.when(start > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
+        after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(WINDOW + 1))
+        after = F.when(s["end"] + WINDOW + 1 < F.length(text), F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
+        return F.transform(F.concat(F.array(F.lit("")), _terms(F.concat_ws(" ", before, after))), lambda t: F.concat(entity(s), F.lit("\n"), t))
+
+    return F.array_distinct(F.flatten(F.transform(base, near)))
+
+
+def _key(text: str, id_col: str) -> Column:
+    """A digest of id and text in which null and empty ids differ."""
+    return F.md5(F.concat_ws(":", F.when(F.col(id_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.length(F.col(id_col).cast("string")))), F.col(id_col).cast("string"), F.col(text)))
+
+
+def _with_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(k, h, base, pairs, tokens) of the different rows that mention an entity, as a scratch table: keys of the row and
+    of its text, its spans, _standing_with and the hashes of its terms."""
+    texts = df.select(_key(text_col, id_col).alias("k"), F.md5(text_col).alias("h"), F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
+    found = base_spans(texts, "t").where(F.size("base") > 0)
+    found = found.select("k", "h", "base", _standing_with(F.col("t"), F.col("base")).alias("pairs"), F.transform(_terms(F.col("t")), lambda t: F.xxhash64(t)).alias("tokens"))
+    return scratch(found.dropDuplicates(["k"]), "pii-entities")[0]
+
+
+def _disclosing(docs: DataFrame, entities: DataFrame, share: float, support: int) -> DataFrame:
+    """(entity, term) above the threshold, from the texts of docs (column t) and _with_entities of them."""
+    pairs = entities.select("h", "pairs").dropDuplicates(["h"]).select(F.explode("pairs").alias("pair"))
+    counted = pairs.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    counted, _ = scratch(counted.select(F.substring_index("pair", "\n", 1).alias("entity"), F.substring_index("pair", "\n", -1).alias("term"), "n"), "pii-pairs")
+    n_e = counted.where("term = ''").select("entity", F.col("n").alias("n_e"))
+    n_et = counted.where("term <> ''").join(n_e, "entity").withColumnRenamed("n", "n_et")
+    n = float(docs.select(F.md5("t")).distinct().count())
+    # PMI >= share * IC says in how many documents a term may stand at most; a little more, for rounding.
+    n_et, _ = scratch(n_et.withColumn("most", F.col("n_et") * F.pow(F.lit(n) / F.col("n_e"), 1 - share) * 1.000001), "pii-known")
     candidates = n_et.groupBy("term").agg(F.max("most").alias("most"))
+    texts = docs.select(F.md5("t").alias("h"), "t")
 
-    def in_lines(terms: DataFrame) -> DataFrame:
-        if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-            terms = F.broadcast(terms)
-        found = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(_TERM), F.lit(0))))
-        return lines.select(F.xxhash64("line").alias("h"), found.alias("term")).join(terms, "term")
+    def holders(texts: DataFrame, terms: DataFrame) -> DataFrame:
+        return texts.select("h", F.explode(_terms(F.col("t"))).alias("term")).join(terms, "term").groupBy("term", "most").agg(F.countDistinct("h").alias("n_t"))
 
-    rough = in_lines(candidates).groupBy("term", "most").agg(F.approx_count_distinct("h", 0.1).alias("about"))
-    rare, _ = scratch(rough.where(F.col("about") <= 2 * F.col("most")).select("term"), "pii-rare")
-    n_t = in_lines(rare).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    some = holders(texts.where(F.pmod(F.xxhash64("h"), F.lit(BOUND)) == 0), candidates)
+    common = some.where(F.col("n_t") > F.col("most")).select("term")
+    rare, _ = scratch(candidates.join(common, "term", "left_anti"), "pii-rare")
+    n_t = holders(texts, rare).select("term", "n_t")
     pmi, ic = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log(F.lit(n) / F.col("n_e"))
     return n_et.join(n_t, "term").where((pmi >= share * ic) & (ic > 0)).select("entity", "term")
 
 
-def _key(text: str, id_col: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.md5(F.col(text)), F.lit("-")))
+def disclosing(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
+    """(entity, term) above the threshold, from the column text of docs; null texts count for nothing."""
+    texts = docs.select(F.col("text").alias("t")).where(F.length("t") > 0)
+    return _disclosing(texts, _with_entities(texts.withColumn("i", F.lit(0)), "i", "t"), share, support)
+
+
+def _with_spans(df: DataFrame, id_col: str, text_col: str, share: float, support: int) -> DataFrame:
+    """(row, t, base, spans): each row of df as a struct, its text (null: empty), its spans by start and kind."""
+    texts = df.select(F.col(text_col).alias("t")).where(F.length("t") > 0)
+    entities = _with_entities(df, id_col, text_col)
+    known, _ = scratch(_disclosing(texts, entities, share, support).select("entity", "term", F.xxhash64("term").alias("token")), "pii-terms")
+    # A row's own terms among the known ones, then those whose entity is the row's too.
+    held = entities.select("k", F.explode("tokens").alias("token")).join(known, "token").select("k", "entity", "term")
+    own = entities.select("k", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    terms = held.join(own, ["k", "entity"]).groupBy("k").agg(F.array_sort(F.collect_set("term")).alias("terms"))
+    found, _ = scratch(entities.select("k", "base").join(terms, "k", "left"), "pii-found")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), _key(text_col, id_col).alias("k"))
+    # Texts with neither a digit nor an @ have no entities: they stay where they are.
+    plain = rows.where(~F.col("t").rlike("[0-9@]")).select("row", "t", F.lit(None).cast(SPAN).alias("base"), F.lit(None).cast("array<string>").alias("terms"))
+    joined = rows.where(F.col("t").rlike("[0-9@]")).join(found, "k", "left").select("row", "t", "base", "terms")
+    out = joined.unionByName(plain).withColumn("base", F.coalesce("base", F.array().cast(SPAN)))
+    out = out.withColumn("free", F.when(F.col("terms").isNotNull(), F.filter(_term_spans(F.col("t"), F.col("terms")), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))))
+    return out.select("row", "t", "base", F.when(F.col("free").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "free"))).alias("spans"))
+
+
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Spans of the words of a text that are among the terms."""
+    word = F.lit(r"[\p{L}\p{N}]+")
+    pairs = F.zip_with(F.split(text, word, -1), F.regexp_extract_all(text, word, F.lit(0)), lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(KINDS.index("term")).alias("kind"), end.alias("end"), x["value"].alias("value"))
+        more = F.when(F.array_contains(terms, F.lower(x["value"])), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), more.alias("spans"))
+
+    return F.aggregate(pairs, state, step, lambda acc: acc["spans"])
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """df with `base` (the patterns' spans) and `spans` (the disclosing terms too), both by start and kind.
 
     Null and empty texts have no spans. Rows, ids and further columns stay as they are, repeated rows too; columns
-    named base, spans or beginning with _ would clash and must be renamed before."""
-    texts = df.select(F.col(text_col).alias("text")).where(F.length("text") > 0)
-    known = disclosing(texts, share, support)
-    owner = base_spans(df.select(F.col(id_col), F.col(text_col)).where(F.col(text_col).rlike("[0-9@]")), text_col)
-    owner = owner.where(F.size("base") > 0).select(_key(text_col, id_col).alias("_k"), F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
-    per_doc = owner.join(known, "entity").groupBy("_k").agg(F.array_sort(F.collect_set("term")).alias("_terms"))
-    out = df.withColumn("_k", _key(text_col, id_col)).join(per_doc, "_k", "left")
-    out = base_spans(out, text_col)
-    pattern = F.when(F.col("_terms").isNotNull(), F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("_terms", "|"), F.lit(r")(?![\p{L}\p{N}])"))).otherwise(F.lit(r"\Zx"))
-    out = out.withColumn("_pattern", pattern).withColumn("_found", F.when(F.col("_terms").isNotNull(), F.regexp_extract_all(F.col(text_col), F.col("_pattern"), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    terms = _located(F.coalesce(F.col(text_col), F.lit("")), F.col("_pattern"), F.col("_found"), KINDS.index("term"))
-    out = out.withColumn("_found", terms)
-    free = F.filter("_found", lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base", free))).drop("_k", "_terms", "_pattern", "_found")
+    that are named base or spans already are replaced."""
+    out = _with_spans(df, id_col, text_col, share, support)
+    return out.select(*[F.col(f"row.`{c}`") for c in df.columns if c.lower() not in ("base", "spans")], "base", "spans")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -149,7 +202,9 @@ def sanitised(text: Column, spans: Column) -> Column:
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), F.element_at(names, s["kind"] + 1))
+        number = (s["kind"] == KINDS.index("term")) & s["value"].rlike(r"^\p{N}+$")
+        name = F.when(number, F.lit("[NUMBER]")).otherwise(F.element_at(names, s["kind"] + 1))
+        more = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), name)
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), more.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
     rest = F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, F.length(text))))
@@ -157,8 +212,10 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """df with its texts sanitised; see annotate for what happens to nulls, repeats and other columns."""
-    return annotate(df, id_col, text_col, share, support).withColumn(text_col, sanitised(F.col(text_col), F.col("spans"))).drop("base", "spans")
+    """df with its texts sanitised. Null texts stay null; rows, ids and all further columns stay, repeated rows too."""
+    out = _with_spans(df, id_col, text_col, share, support)
+    text = F.when(F.col(f"row.`{text_col}`").isNotNull(), sanitised(F.col("t"), F.col("spans")))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
 
 
 def _joined(spans: Column) -> Column:
@@ -167,6 +224,9 @@ def _joined(spans: Column) -> Column:
 
 
 def digest(df: DataFrame) -> DataFrame:
+    """One row for each row of df: doc_id, the number of each kind, the digest of base spans, all spans, n_terms.
+
+    Null and empty texts have no spans; null ids and repeated rows get their own rows; other columns are not read."""
     a = annotate(df.select("doc_id", "text"))
     count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
     return a.select("doc_id", *[count(i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)], F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["kind"] == KINDS.index("term"))).cast("long").alias("n_terms"))
