@@ -72,6 +72,19 @@ def shape_online(rows: DataFrame) -> DataFrame:
     return rows.select("id", name.alias("name"), F.array_join(parts, ", ").alias("detail"))
 
 
+def put_docs(index: DataFrame, docs: DataFrame) -> DataFrame:
+    """The index with docs put into it: a document of one id takes the place of the one that was there; of several new
+    ones of one id the last by name and boost stays."""
+    new = docs.groupBy("id").agg(F.max(F.struct(*[F.col(c) for c in ("name", "boost") if c in docs.columns], F.struct(*docs.columns).alias("_row"))).alias("_d")).select("_d._row.*")
+    old = index.join(new.select("id"), "id", "left_anti")
+    return old.dropDuplicates(["id"]).select(*index.columns).unionByName(new)
+
+
+def remove_docs(index: DataFrame, gone: DataFrame) -> DataFrame:
+    """The index without the documents of the given tiles."""
+    return index.join(gone.select("tile").distinct(), "tile", "left_anti").select(*index.columns)
+
+
 def representative(paths: Column) -> Column:
     """The middle vertex of a feature of four vertices or more, else the first; null without vertices."""
     flat = F.flatten(paths)

@@ -37,7 +37,6 @@ register("agg6_counts", lambda d: graph.directed(d).agg(F.count("*").alias("edge
 register("jon3_adjacency", lambda d: graph.directed(d).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("a")).select("src", F.array_join("a", ",").alias("next")), f"select src, array_to_string(list_sort(list(distinct dst)), ',') as next from {EDGES} group by src")
 register("agg4_path_distance", lambda d: d.groupBy("cls").agg(F.round(F.sum(100.0 + C("f") % 50), 3).alias("m")), "select cls, round(sum(cast(100 + f % 50 as double)),3) as m from ways group by cls")
 register("fil1_roads", lambda d: graph.road_features(d.select("f", "t", F.when(C("f") % 3 > 0, C("cls")).alias("class"), F.when(C("f") % 2 > 0, "minor").alias("kind"), (C("f") % 3 + 1).alias("type"), (C("f") % 5).alias("n_points"))).select("f", "t", "cls"), "select f, t, case when c='minor' then 'residential' else c end as cls from (select f, t, coalesce(case when f%3>0 then cls end, case when f%2>0 then 'minor' end) as c from ways where f%3+1=2 and f%5>=2) where c is not null and c <> ''")
-register("fil2_layer_pick", lambda d: d.groupBy("cls").agg(F.min_by("nm", F.struct("f", "t")).alias("nm")), "select cls, arg_min(nm, (f, t)) as nm from ways group by cls")
 register("grf1_quantize", lambda d: d.select("event_id", graph.quantize(C("lng")).alias("lng"), graph.quantize(C("lat")).alias("lat")), "select event_id, floor(lng*32768+0.5)/32768 as lng, floor(lat*32768+0.5)/32768 as lat from fixes", "fixes")
 register("grf2_vertex_id", lambda d: d.select("event_id", graph.vertex_id(C("lng"), C("lat")).alias("v")), "select event_id, (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as v from fixes", "fixes")
 register("grf3_nodes", lambda d: d.groupBy(graph.vertex_id(C("lng"), C("lat")).alias("node")).agg(F.min("lng").alias("lng"), F.min("lat").alias("lat")), "select (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as node, min(lng) as lng, min(lat) as lat from fixes group by 1", "fixes")

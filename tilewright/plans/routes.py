@@ -60,7 +60,6 @@ _CA = f"(degrees(atan2({_CX}, radians(lat - lag(lat) over w)))+360)"
 register("geo19_course", _course, f"select event_id, round({_CA} - 360*floor({_CA}/360),4) as heading from fixes window w as (partition by trip_id order by ts, event_id)")
 register("win11_heading", lambda d: _course(d).where("heading is not null"), f"select * from (select event_id, round({_CA} - 360*floor({_CA}/360),4) as heading from fixes window w as (partition by trip_id order by ts, event_id)) where heading is not null")
 register("str4_stale_gps", lambda d: d.select("event_id", "trip_id", (F.lead("ts").over(W()).cast("timestamp").cast("double") - C("ts").cast("timestamp").cast("double")).alias("gap")).where("gap > 12").select("event_id", "trip_id", r("gap", C("gap"))), "select event_id, trip_id, round(gap,3) as gap from (select event_id, trip_id, epoch(lead(ts) over (partition by trip_id order by ts, event_id)) - epoch(ts) as gap from fixes) where gap > 12")
-register("win3_consecutive_duplicates", lambda d: d.withColumn("cell", F.floor(C("lng") * 10)).withColumn("last", F.lag("cell").over(W())).where("last is null or last <> cell").select("event_id", "trip_id", "cell"), "select event_id, trip_id, cell from (select *, lag(cell) over (partition by trip_id order by ts, event_id) as last from (select *, cast(floor(lng*10) as bigint) as cell from fixes)) where last is null or last <> cell")
 
 
 def _segments(d):

@@ -41,8 +41,6 @@ register("srt4_merge_limit", lambda d: d.orderBy("id").limit(14).select("id"), "
 register("set3_substring_fallback", lambda d: search.candidates(d, "an", 12).select("id"), f"select id from {found_sql('an')}")
 register("sea3_kind_boost", lambda d: d.select("id", lookups.lookup(lookups.PLACE_BOOST, C("kind"), 40).alias("boost"), lookups.lookup(lookups.PLACE_KIND, C("kind"), "hamlet").alias("kind")), f"select id, {case(lookups.PLACE_BOOST, 'kind', 40)} as boost, {case(lookups.PLACE_KIND, 'kind', 'hamlet')} as kind from places")
 register("sea8_query_gate", lambda d: d.where(F.length("name") > 1).select("id"), "select id from places where length(name) > 1")
-register("agg11_street_dedup", lambda d: d.groupBy(F.lower("name").alias("norm")).agg(F.min_by("id", "id").alias("id")), "select lower(name) as norm, min(id) as id from places group by 1")
-register("agg13_name_count", lambda d: d.groupBy("kind").agg(F.countDistinct("name").alias("n")), "select kind, count(distinct name) as n from places group by kind")
 _SHAPED = lambda d: d.select("id", F.when(C("boost") > 20, C("name")).otherwise(" ").alias("name"), C("name").alias("street"), F.lit("").alias("city"), C("kind").alias("state"), F.lit(None).cast("string").alias("country"))
 register("sea7_online_rows", lambda d: search.shape_online(_SHAPED(d)), "select id, name, kind as detail from places")
 _RANK = lambda d: d.withColumn("rank", F.xxhash64("id"))
@@ -50,4 +48,3 @@ register("jon9_merge", lambda d: search.merge(_RANK(d.where("kind = 'street'")).
 register("sea6_merge", lambda d: search.merge(_RANK(d.where("kind = 'poi'")).select("id", "name", "lng", "lat", "rank"), _RANK(d.where("kind <> 'poi'")).select("id", "name", "lng", "lat", "rank")))
 register("set2_ordered_concat", lambda d: d.where("kind='poi'").select("id", F.lit(0).alias("source")).unionByName(d.where("kind='city'").select("id", F.lit(1).alias("source"))).orderBy("source", "id"), "select id, 0 as source from places where kind='poi' union all select id, 1 from places where kind='city'")
 register("set1_union_distinct", lambda d: d.where("kind='poi'").select("name").union(d.where("boost < 30").select("name")).distinct(), "select distinct name from places where kind='poi' or boost < 30")
-register("snk6_put_docs", lambda d: d.unionByName(d.where("kind='poi'").withColumn("boost", C("boost") + 1)).groupBy("id").agg(F.max("boost").alias("boost")), "select id, boost + (case when kind='poi' then 1 else 0 end) as boost from places")

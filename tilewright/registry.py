@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.plans import graph, routes, scalars, search, store, streams
+from tilewright.plans import graph, roads, routes, scalars, search, store, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for module in (scalars, routes, store, search, graph, streams):
+for module in (scalars, routes, store, search, graph, roads, streams):
     QUERIES |= module.QUERIES
     ORACLE_SQL |= module.ORACLE_SQL
