@@ -13,6 +13,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import regex
@@ -46,6 +47,7 @@ class TrieBPE:
         merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
+        self.text_of_decimal = {str(i): t for i, t in self.text_of.items()}
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.symbols = byte_symbols()
@@ -82,7 +84,7 @@ class TrieBPE:
         self.reset()
 
     def reset(self) -> None:
-        self.memo: dict[str, tuple[str, str, int]] = {}
+        self.memo: dict[str, tuple[str, int]] = {}
 
     def _symbols_of(self, token: str) -> tuple[str, ...]:
         if self.end and token.endswith(self.end) and len(token) > len(self.end):
@@ -130,6 +132,8 @@ class TrieBPE:
         inner, final, inner_sizes, final_sizes, pairs, size_of, ids, memo = self.inner, self.final, self.inner_sizes, self.final_sizes, self.pairs, self.size, self.ids, self.memo
         short = (2,)
         last: list[str] = []
+        # Of a prefix only as much is kept as a token may have.
+        keep = 1 - max(size_of.values())
         todo: list[tuple[int, str, dict]] = [(0, "", root)]
         while todo:
             depth, prefix, node = todo.pop()
@@ -139,7 +143,7 @@ class TrieBPE:
                 for size in inner_sizes.get(prefix[-3:], short) if depth > 1 else ():
                     if size > depth:
                         continue
-                    t = inner.get(prefix[depth - size :])
+                    t = inner.get(prefix[-size:])
                     if t is None:
                         continue
                     if size == depth:
@@ -156,13 +160,13 @@ class TrieBPE:
             n = depth + 1
             for c, child in node.items():
                 if len(c) == 1:
-                    todo.append((n, prefix + c, child))
+                    todo.append((n, prefix[keep:] + c, child))
                     continue
                 s = prefix + c[1]
                 for size in final_sizes.get(s[-3:], short) if n > 1 else ():
                     if size > n:
                         continue
-                    t = final.get(s[n - size :])
+                    t = final.get(s[-size:])
                     if t is None:
                         continue
                     if size == n:
@@ -181,7 +185,7 @@ class TrieBPE:
                     out.append(t)
                     at -= size_of[t]
                 out.reverse()
-                memo[child] = (" ".join([str(ids[t]) for t in out]), " ".join(out), len(out))
+                memo[child] = (" ".join([str(ids[t]) for t in out]), len(out))
 
     def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
         at = 0
@@ -202,7 +206,11 @@ class TrieBPE:
         return regex.split(r"\s+", text) if regex.search("[\x1c-\x1f]", text) else text.split()
 
     def encode_many(self, texts: list[str]) -> list[tuple[str, str, int]]:
-        """Per text: its ids joined by spaces, its tokens joined by spaces, their number."""
+        """Per text: its ids joined by spaces, the text decoded from them, their number."""
+        return [(ids, self.decode_joined(ids), n) for ids, n in self.ids_of(texts)]
+
+    def ids_of(self, texts: list[str]) -> list[tuple[str, int]]:
+        """Per text: its ids joined by spaces, and their number."""
         if len(self.memo) > MEMO_WORDS:
             self.reset()
         if len(self.pairs) > 4 * MEMO_WORDS:
@@ -214,7 +222,7 @@ class TrieBPE:
             for piece, special in self._pieces(text):
                 if special:
                     own.append("\0 " + piece)  # no chunk has a space
-                    memo["\0 " + piece] = (str(self.special[piece]), piece, 1)
+                    memo["\0 " + piece] = (str(self.special[piece]), 1)
                 elif piece:
                     own += self.split_chunks(self.normal(piece))
             split.append(own)
@@ -226,75 +234,83 @@ class TrieBPE:
         for c, ws in words.items():
             got = [memo[w] for w in ws]
             if ws != [c]:
-                memo[c] = got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), " ".join([g[1] for g in got]), sum([g[2] for g in got]))
+                memo[c] = got[0] if len(got) == 1 else (" ".join([g[0] for g in got]), sum([g[1] for g in got]))
         out = []
         for own in split:
             if own:
-                ids, tokens, counts = zip(*map(memo.__getitem__, own), strict=True)
-                if 0 in counts:
-                    ids, tokens = filter(None, ids), filter(None, tokens)
-                out.append((" ".join(ids), " ".join(tokens), sum(counts)))
+                ids, counts = zip(*map(memo.__getitem__, own), strict=True)
+                out.append((" ".join(filter(None, ids) if 0 in counts else ids), sum(counts)))
             else:
-                out.append(("", "", 0))
+                out.append(("", 0))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for x in self.encode_many([text])[0][0].split()]
+        return [int(x) for x in self.ids_of([text])[0][0].split()]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.text_of[i] for i in ids])
 
+    def decode_joined(self, ids: str) -> str:
+        """decode() of decimal ids joined by spaces."""
+        return " ".join(map(self.text_of_decimal.__getitem__, ids.split()))
+
 
 @functools.lru_cache(2)
 def load(path: str) -> TrieBPE:
     return TrieBPE(path)
 
 
-def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids string, n_tokens, decoded string) of every row.
+@contextmanager
+def _no_gc() -> Iterator[None]:
+    """The memo's many tuples have no cycles: the collector only costs time over them. Workers serve other tasks after."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
-    vocabulary: a path that every executor can read, such as that of an installed package's data file.
-    Null and empty texts have no tokens. Repeated rows stay; other columns are not read."""
-    schema = pa.schema([("k", pa.int64()), ("ids", pa.string()), ("n_tokens", pa.int64()), ("decoded", pa.string())])
+
+def _encoded(df: DataFrame, vocabulary: str, id_col: str, text_col: str, outputs: dict[str, tuple[pa.DataType, str]], row) -> DataFrame:
+    """id and `outputs` (Arrow and SQL types by name), which row(bpe, ids, number of ids) gives for each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        gc.disable()  # the memo's many tuples have no cycles
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = bpe.encode_many([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[2] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.string())], schema=schema)
+        with _no_gc():
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    part = batch.slice(at, 512)
+                    got = [row(bpe, *x) for x in bpe.ids_of([t or "" for t in part.column(1).to_pylist()])]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([g[i] for g in got], t) for i, (t, _) in enumerate(outputs.values()))], names=[id_col, *outputs])
+
+    types = ", ".join(f"{n} {t}" for n, (_, t) in outputs.items())
+    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, {types}")
 
-    return df.select(df[id_col].cast("long").alias("k"), df[text_col]).mapInArrow(run, "k long, ids string, n_tokens long, decoded string").withColumnRenamed("k", id_col)
+
+def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids string, n_tokens) of every row.
+
+    vocabulary: a path that every executor can read, such as that of an installed package's data file.
+    Null and empty texts have no tokens. Ids may be of any type and null; repeated rows stay; other columns are not read."""
+    return _encoded(df, vocabulary, id_col, text_col, {"ids": (pa.string(), "string"), "n_tokens": (pa.int64(), "long")}, lambda bpe, ids, n: (ids, n))
 
 
 def decode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) from the ids string of every row; null or no ids give the empty text."""
-    schema = pa.schema([("k", pa.int64()), ("text", pa.string())])
+    """(id, text) from the ids string of every row; null or no ids give the empty text, an unknown id is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary)
-        gc.disable()  # the memo's many tuples have no cycles
         for batch in batches:
-            ids = batch.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([bpe.decode([int(x) for x in (s or "").split()]) for s in ids], pa.string())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bpe.decode_joined(s or "") for s in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
-    return df.select(df[id_col].cast("long").alias("k"), df[ids_col]).mapInArrow(run, "k long, text string").withColumnRenamed("k", id_col)
+    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, text string")
 
 
 def digest(df: DataFrame, vocabulary: str) -> DataFrame:
-    """Token counts and digests of ids and of the decoded text, made in the task that encodes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
-    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(vocabulary)
-        gc.disable()  # the memo's many tuples have no cycles
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                got = bpe.encode_many([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([sha(g[0]) for g in got]), pa.array([sha(g[1]) for g in got])], schema=schema)
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them, one row for each row of df.
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    Null and empty texts have no tokens; null ids and repeated rows get their own rows; other columns are not read."""
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    outputs = {"n_tokens": (pa.int64(), "long"), "ids_sha256": (pa.string(), "string"), "decoded_sha256": (pa.string(), "string")}
+    return _encoded(df, vocabulary, "doc_id", "text", outputs, lambda bpe, ids, n: (n, sha(ids), sha(bpe.decode_joined(ids))))
