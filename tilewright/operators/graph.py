@@ -43,6 +43,16 @@ def directed(ways: DataFrame) -> DataFrame:
     return ways.withColumn("_e", F.explode(ends)).select("_e.src", "_e.dst", "cls", "nm")
 
 
+def path_distance(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, m): the summed length_m of the edges (src, dst, length_m) along paths (id, nodes), of parallel edges the
+    shortest; a path of one node has no row, one over an edge that isn't there null."""
+    pair = lambda i: F.struct(F.get("nodes", i - 1).alias("src"), F.get("nodes", i).alias("dst"))
+    legs = paths.where(F.size("nodes") > 1).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("nodes") - 1), pair)).alias("e")).select("id", "e.*")
+    known = edges.groupBy("src", "dst").agg(F.min("length_m").alias("length_m"))
+    summed = legs.join(known, ["src", "dst"], "left").groupBy("id").agg(F.sum("length_m").alias("m"), F.count_if(F.col("length_m").isNull()).alias("gaps"))
+    return summed.select("id", F.when(F.col("gaps") == 0, F.col("m")).alias("m"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Edges in and out of each node; a junction has more than two."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
@@ -190,22 +200,30 @@ def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     return requests.select("id", "origin", "target").mapInPandas(run, "id long, cost double, path array<long>, reason string")
 
 
-def distances(edges: DataFrame, origin: int, rounds: int = 10_000) -> DataFrame:
-    """(node, cost) of all nodes reachable from origin, by frontier joins: no broadcast, for graphs of any size."""
+def distances(edges: DataFrame, origin: int, rounds: int = 10_000, hops: int = 4) -> DataFrame:
+    """(node, cost) of all nodes reachable from origin, by frontier joins: no broadcast, for graphs of any size.
+
+    A round goes `hops` edges from what the last one improved and is then written to the checkpoint folder."""
+    own = edges.groupBy("src", "dst").agg(F.min("cost").alias("step")).checkpoint()
     known = edges.sparkSession.createDataFrame([(origin, 0.0)], "node long, cost double").checkpoint()
     front = known
     for _ in range(rounds):
-        reached = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), (front["cost"] + edges["cost"]).alias("cost")).groupBy("node").agg(F.min("cost").alias("cost"))
-        better = reached.join(known.select("node", F.col("cost").alias("old")), "node", "left").where("old is null or cost < old").select("node", "cost").checkpoint()
-        if not better.limit(1).count():
-            return known
-        known = known.join(better.select("node"), "node", "left_anti").unionByName(better).checkpoint()
-        front = better
+        reached = here = front
+        for _ in range(hops):
+            here = here.join(own, here["node"] == own["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("step")).alias("cost")).groupBy("node").agg(F.min("cost").alias("cost"))
+            reached = reached.unionByName(here)
+        both = reached.withColumn("old", F.lit(None).cast("double")).unionByName(known.withColumn("old", F.col("cost")))
+        every = both.groupBy("node").agg(F.min("cost").alias("cost"), F.min("old").alias("old")).checkpoint()
+        front = every.where("old is null or cost < old").select("node", "cost")
+        if not front.limit(1).count():
+            break
+        known = every.select("node", "cost")
     return known
 
 
 def steps(path: pd.DataFrame) -> list[dict]:
-    """Turn-by-turn steps of a path: rows (lng, lat of the edge's start and end, cls, name, junction, length_m, seconds).
+    """Turn-by-turn steps of a path: rows (lng, lat of the edge's start and end, cls, name, junction, length_m, seconds,
+    and, if they have them, ramp and roundabout). From a link or service road onto a main one that is no ramp is a merge.
 
     A manoeuvre stands at a junction or a turn of 25 degrees, not within 40 m of the last one, and not where the road goes
     straight on under the same name; distances and durations run to the following step."""
@@ -227,8 +245,10 @@ def steps(path: pd.DataFrame) -> list[dict]:
         if not row.junction and abs(delta) < 25 or len(found) > 1 and at - found[-1]["cum_m"] < 40:
             continue
         kind, turn = "turn", _modifier(delta)
-        if (prev.cls.endswith("_link") or prev.cls == "service") and row.cls in ("motorway", "trunk", "primary"):
+        if (prev.cls.endswith("_link") or prev.cls == "service") and row.cls in ("motorway", "trunk", "primary") and not getattr(row, "ramp", False):
             kind, turn = "merge", None if turn in ("straight", "uturn") else turn
+        elif getattr(row, "roundabout", False):
+            kind = "roundabout"
         elif abs(delta) < 20:
             if prev.name == row.name:
                 continue
@@ -249,10 +269,10 @@ def _modifier(delta: float) -> str:
     return "uturn" if a >= 160 else f"sharp {side}" if a >= 120 else side if a >= 45 else f"slight {side}" if a >= 20 else "straight"
 
 
-def simplify(points: list[tuple[float, float]], tolerance_m: float) -> list[tuple[float, float]]:
-    """Douglas and Peucker, with a stack."""
+def simplify(points: list[tuple[float, float]], tolerance_m: float, places: bool = False) -> list:
+    """Douglas and Peucker, with a stack: the points kept, or their places."""
     if len(points) < 3:
-        return list(points)
+        return list(range(len(points)) if places else points)
     keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
     k = math.cos(math.radians(points[0][1]))
     xy = [(x * geo.DEGREE_M * k, y * geo.DEGREE_M) for x, y in points]
@@ -270,4 +290,4 @@ def simplify(points: list[tuple[float, float]], tolerance_m: float) -> list[tupl
         if at is not None and far > tolerance_m:
             keep.add(at)
             todo += [(a, at), (at, b)]
-    return [points[i] for i in sorted(keep)]
+    return [i if places else points[i] for i in sorted(keep)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql.window import Window
 from tilewright.functions import geo, tiles
 
 Route = list[tuple[float, float]]
+#: Segments that project_onto_path spells out.
+INLINE = 8
 
 
 def haversine(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -36,11 +39,21 @@ def segments(route: Route, length=haversine) -> list[tuple[int, float, float, fl
 
 def project_onto_path(lng: Column, lat: Column, route: Route) -> Column:
     """struct(dist_m, index, t, along_m) of the nearest segment, the first of equals; null for no route. A route of one
-    point is that point. The route is a literal, so the projection stays in the scan's stage."""
+    point is that point. The route is a literal, so the projection stays in the scan's stage: of up to INLINE segments
+    as generated code, of more as one array that a lambda walks, so that the expression doesn't grow with the route."""
     if not route:
         return F.lit(None).cast("struct<dist_m:double,index:int,t:double,along_m:double>")
     if len(route) == 1:
         return F.struct(geo.haversine_m(lng, lat, F.lit(route[0][0]), F.lit(route[0][1])).alias("dist_m"), F.lit(0).alias("index"), F.lit(0.0).alias("t"), F.lit(0.0).alias("along_m"))
+    if len(route) - 1 > INLINE:
+        names = ("i", "ax", "ay", "bx", "by", "before", "n")
+        table = F.from_json(F.lit(json.dumps([dict(zip(names, s, strict=True)) for s in segments(route)])), "array<struct<i:int,ax:double,ay:double,bx:double,by:double,before:double,n:double>>")
+
+        def project(s: Column) -> Column:
+            t, d = geo.segment_projection(lng, lat, s["ax"], s["ay"], s["bx"], s["by"])
+            return F.struct(d.alias("dist_m"), s["i"].alias("index"), t.alias("t"), (s["before"] + t * s["n"]).alias("along_m"))
+
+        return F.array_min(F.transform(table, project))
     found = []
     for i, ax, ay, bx, by, before, n in segments(route):
         t, d = geo.segment_projection(lng, lat, F.lit(ax), F.lit(ay), F.lit(bx), F.lit(by))
@@ -102,6 +115,77 @@ def corridor_within(segs: DataFrame, z: int, radius: float, cap: int) -> tuple[D
         radius = max(200.0, radius * 0.55)
 
 
+def sliced(route: Route, start: float, end: float) -> Route:
+    """slice_route() for plain numbers: the route's points from start to end, by planar lengths."""
+    total = sum(s[-1] for s in segments(route))
+    a = max(0.0, min(start, total))
+    b = max(a, min(end, total))
+
+    def at(m: float) -> tuple[float, float]:
+        for _, ax, ay, bx, by, before, n in segments(route, planar):
+            if before + n >= m:
+                t = (m - before) / n if n else 0.0
+                return ax + t * (bx - ax), ay + t * (by - ay)
+        return route[-1]
+
+    return [at(a), *[(bx, by) for _, _, _, bx, by, before, n in segments(route, planar) if before + n > a and before < b]]
+
+
+#: How long ahead tiles are fetched, in seconds, and up to how many.
+AHEAD_S, AHEAD_CAP = 480.0, 400
+
+
+def predictive(spark, route: Route, along_m: float, speed_mps: float, detail_m: float) -> DataFrame:
+    """Tiles of zoom 14 round what lies ahead: three times detail_m at least, or what AHEAD_S at that speed reach."""
+    ahead = sliced(route, along_m - detail_m, along_m + max(3 * detail_m, speed_mps * AHEAD_S))
+    segs = spark.createDataFrame(segments(ahead), "i int, ax double, ay double, bx double, by double, before double, n double")
+    return corridor_within(segs, 14, detail_m, AHEAD_CAP)[0]
+
+
+def off_road(fixes: DataFrame, after_s: int, metres: float = 90.0, turn: float = 35.0, speed_mps: float = 14.0) -> DataFrame:
+    """Simulated fixes (trip_id, t, lng, lat) that leave the road after_s: a jump of `metres` to the right of the heading
+    there, and on from it at `turn` degrees to the heading."""
+    w = Window.partitionBy("trip_id").orderBy("t")
+    f = fixes.withColumn("b", geo.bearing_deg(F.lag("lng").over(w), F.lag("lat").over(w), F.col("lng"), F.col("lat")))
+    left = f.where(F.col("t") == after_s).select("trip_id", F.col("lng").alias("x"), F.col("lat").alias("y"), "b")
+    x, y = geo.destination(F.col("x"), F.col("y"), F.col("b") + 90, F.lit(metres))
+    left = left.select("trip_id", x.alias("x"), y.alias("y"), "b")
+    u, v = geo.destination(F.col("x"), F.col("y"), F.col("b") + turn, (F.col("t") - after_s) * speed_mps)
+    off = fixes.where(F.col("t") >= after_s).join(left, "trip_id").select("trip_id", "t", u.alias("lng"), v.alias("lat"))
+    return fixes.where(F.col("t") < after_s).unionByName(off)
+
+
+def said(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
+    """Utterances (key, ts_ms, event_id, interrupt) that are spoken: those that interrupt, and others gap_ms at least after
+    the last that was spoken; the rest are lost. What counts is the last one spoken, so keys are folded; a key's
+    utterances must fit into a task."""
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for r in rows.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
+            if r.interrupt or last is None or r.ts_ms - last >= gap_ms:
+                kept.append(r)
+                last = r.ts_ms
+        return pd.DataFrame(kept, columns=rows.columns)
+
+    own = events.select(key, "ts_ms", "event_id", "interrupt")
+    return own.groupBy(key).applyInPandas(fold, own.schema)
+
+
+def simplified(points: DataFrame, key: str, order: list[str], tolerance_m: float) -> DataFrame:
+    """The points (key, order, lng, lat) of each key's line that Douglas and Peucker keep; a line must fit into a task."""
+    from tilewright.operators.graph import simplify
+
+    own = points.select(key, *order, "lng", "lat")
+
+    def thin(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order)
+        keep = set(simplify(list(zip(rows["lng"], rows["lat"], strict=True)), tolerance_m, places=True))
+        return rows[[i in keep for i in range(len(rows))]]
+
+    return own.groupBy(key).applyInPandas(thin, own.schema)
+
+
 def simulate(fixes_per_trip: DataFrame, route: Route, speed_mps: float = 14.0) -> DataFrame:
     """Fixes of one a second along the route for rows (trip_id, seconds)."""
     each = fixes_per_trip.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("seconds").cast("int"))))

@@ -43,9 +43,10 @@ def search(docs: DataFrame, text: str, center: tuple[float, float] | None = None
     return ranked.orderBy(F.desc("score"), "id").limit(limit)
 
 
-def merge(online: DataFrame, local: DataFrame, limit: int = 14, near: float = 0.02) -> DataFrame:
+def merge(online: DataFrame, local: DataFrame, limit: int | None = 14, near: float = 0.02) -> DataFrame:
     """Online rows, then local ones (rank gives the order in each); a row goes if a kept one of its lower-case name is
-    within `near` degrees both ways. Kept rows decide, not all rows before, so names are folded one by one."""
+    within `near` degrees both ways. Kept rows decide, not all rows before, so names are folded one by one: the rows of
+    one name must fit into a task, which takes kept times all rows of it. No limit gives every row that is kept."""
     both = online.withColumn("source", F.lit(0)).unionByName(local.withColumn("source", F.lit(1))).withColumn("norm", F.lower("name"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +57,27 @@ def merge(online: DataFrame, local: DataFrame, limit: int = 14, near: float = 0.
         return pd.DataFrame(kept, columns=rows.columns)
 
     merged = both.select("id", "name", "lng", "lat", "source", "rank", "norm").groupBy("norm").applyInPandas(fold, "id string, name string, lng double, lat double, source int, rank long, norm string")
-    return merged.orderBy("source", "rank", "id").limit(limit).select("id", "name", "source")
+    if limit is not None:
+        merged = merged.orderBy("source", "rank", "id").limit(limit)
+    return merged.select("id", "name", "source")
+
+
+def gated(queries: DataFrame, text: str) -> DataFrame:
+    """Queries of more than one character; shorter ones aren't searched."""
+    return queries.where(F.length(F.trim(text)) > 1)
+
+
+#: The online source gives so many answers, and is asked round a centre of so many decimals.
+ANSWERS, CENTER_DECIMALS = 12, 4
+
+
+def answers(rows: DataFrame, rank: str) -> DataFrame:
+    """The online source's answers to a query, as a table, in the order it gives them."""
+    return rows.orderBy(rank, "id").limit(ANSWERS)
+
+
+def asked_center(lng: Column, lat: Column) -> tuple[Column, Column]:
+    return F.round(lng, CENTER_DECIMALS), F.round(lat, CENTER_DECIMALS)
 
 
 def degraded(n_online: int, n_local: int, asked: bool) -> bool:

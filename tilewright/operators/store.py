@@ -70,8 +70,9 @@ def evict(metas: DataFrame, budget: int, protected: Column | None = None) -> Dat
 def protected(route: list[tuple[float, float]], along_m: float, corridor_m: float, keep_behind_m: float) -> Column:
     """Whether a tile is pinned, its centre in the corridor of the route, and no further behind along_m than that."""
     lng, lat = tiles.tile_center(F.col("x"), F.col("y"), F.col("z"))
-    p = project_onto_path(lng, lat, route)
-    return F.col("pinned_by").isNotNull() & (p["dist_m"] <= corridor_m) & (p["along_m"] >= along_m - keep_behind_m)
+    inside = lambda p: (p["dist_m"] <= corridor_m) & (p["along_m"] >= along_m - keep_behind_m)
+    # A lambda over one element: the projection is worked out once for both conditions.
+    return F.col("pinned_by").isNotNull() & F.exists(F.array(project_onto_path(lng, lat, route)), inside)
 
 
 def trim(rows: DataFrame, most: int, down_to: int) -> DataFrame:
@@ -87,12 +88,70 @@ def settings(spark: SparkSession, *layers: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, value string, layer int").groupBy("name").agg(F.max_by("value", "layer").alias("value"))
 
 
-def area_guard(df: DataFrame, west: float = -77.0, east: float = -76.5, most: int = 6000) -> DataFrame:
-    """Tile columns by zoom 4 to 14 and whether all of them are few enough."""
-    zooms = df.sparkSession.range(4, 15).select(F.col("id").cast("int").alias("z"))
-    counted = zooms.select("z", (tiles.tile_x(F.lit(east), F.col("z")) - tiles.tile_x(F.lit(west), F.col("z")) + 1).cast("long").alias("n"))
-    total = counted.agg(F.sum("n")).collect()[0][0]
-    return counted.withColumn("ok", F.lit(total <= most))
+def fetched(stored: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The store (k, size, tier) after tiles (k, size) came in: what is null (offline) or empty is turned away, the rest
+    replaces what was there as a smart tile. Of several arrivals of a key the largest counts."""
+    new = arrived.where(F.col("size") > 0).groupBy("k").agg(F.max("size").alias("new"))
+    both = stored.select("k", "size", "tier").join(new, "k", "full")
+    return both.select("k", F.coalesce("new", "size").alias("size"), F.when(F.col("new").isNotNull(), "smart").otherwise(F.col("tier")).alias("tier"))
+
+
+def min_zoom(groups: DataFrame, loaded: DataFrame, by: str) -> DataFrame:
+    """(by, z): the least zoom of each group's loaded tiles, 99 for a group without any."""
+    least = loaded.groupBy(by).agg(F.min("z").alias("z"))
+    return groups.join(least, by, "left").select(by, F.coalesce("z", F.lit(99)).alias("z"))
+
+
+def n_tiles_in_bbox(box: tuple[Column, Column, Column, Column], z: Column) -> Column:
+    """Number of tiles of zoom z that a box (west, south, east, north) meets."""
+    top = tiles.n_tiles(z).cast("long") - 1
+    rows = F.least(tiles.tile_y(box[1], z).cast("long"), top) - F.greatest(tiles.tile_y(box[3], z).cast("long"), F.lit(0)) + 1
+    return (tiles.tile_x(box[2], z) - tiles.tile_x(box[0], z) + 1).cast("long") * F.greatest(rows, F.lit(0).cast("long"))
+
+
+#: The first pass of a plan: zooms by the direct distance, and how many tiles it may take.
+COARSE = [(150_000.0, 11), (40_000.0, 12), (0.0, 13)]
+COARSE_LEAST, COARSE_CAP = 8, 900
+
+
+def coarse_zoom(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
+    """struct(z, tiles, ok) of a trip's first pass: by distance, then down to COARSE_LEAST until no more than COARSE_CAP
+    tiles cover the trip's padded box; not ok if they are three times as many even so."""
+    direct = geo.haversine_m(lng1, lat1, lng2, lat2)
+    box = geo.pad_bbox(F.least(lng1, lng2), F.least(lat1, lat2), F.greatest(lng1, lng2), F.greatest(lat1, lat2), F.greatest(F.lit(3000.0), direct * 0.08))
+    start = F.when(direct > COARSE[0][0], COARSE[0][1]).when(direct > COARSE[1][0], COARSE[1][1]).otherwise(COARSE[2][1])
+    tries = F.array(*[F.struct(F.lit(z).alias("z"), n_tiles_in_bbox(box, F.lit(z)).alias("tiles")) for z in range(13, COARSE_LEAST - 1, -1)])
+    fits = F.filter(tries, lambda t: (t["z"] <= start) & ((t["tiles"] <= COARSE_CAP) | (t["z"] == COARSE_LEAST)))[0]
+    return F.struct(fits["z"].alias("z"), fits["tiles"].alias("tiles"), (fits["tiles"] <= COARSE_CAP * 3).alias("ok"))
+
+
+#: An area for download may have so many tiles of zooms from AREA_FROM on.
+AREA_FROM, AREA_MOST = 4, 6000
+
+
+def area_guard(wanted: DataFrame) -> DataFrame:
+    """Areas (id, west, south, east, north, max_zoom) with the number of their tiles and whether these are few enough."""
+    box = (F.col("west"), F.col("south"), F.col("east"), F.col("north"))
+    counts = F.transform(F.sequence(F.lit(AREA_FROM), F.col("max_zoom")), lambda z: n_tiles_in_bbox(box, z))
+    total = F.when(F.col("max_zoom") >= AREA_FROM, F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)).otherwise(F.lit(0).cast("long"))
+    return wanted.withColumn("n", total).withColumn("ok", F.col("n") <= AREA_MOST)
+
+
+def area_download(wanted: DataFrame, stored: DataFrame) -> DataFrame:
+    """(id, z, x, y, action) of the tiles of the areas that area_guard lets pass: fetch what isn't stored (k, size, tier)
+    or is empty, upgrade smart tiles to permanent ones, keep the rest. An area has AREA_MOST tiles at most."""
+    box = (F.col("west"), F.col("south"), F.col("east"), F.col("north"))
+    each = area_guard(wanted).where("ok").withColumn("z", F.explode(F.sequence(F.lit(AREA_FROM), F.col("max_zoom")))).withColumn("t", F.explode(tiles.tiles_in_bbox(*box, F.col("z"))))
+    each = each.select("id", "z", "t.x", "t.y").withColumn("k", tiles.tile_key(F.lit("planet"), F.col("z"), F.col("x"), F.col("y")))
+    have = stored.groupBy("k").agg(F.max("size").alias("size"), F.max_by("tier", "size").alias("tier"))
+    action = F.when(F.coalesce("size", F.lit(0)) <= 0, "fetch").when(F.col("tier") == "smart", "upgrade").otherwise("keep")
+    return each.join(have, "k", "left").select("id", "z", "x", "y", action.alias("action"))
+
+
+def without_coarse(metas: DataFrame, route: list[tuple[float, float]], max_zoom: int, keep_m: float) -> DataFrame:
+    """Tiles of zooms above max_zoom, and those of lower zooms whose centre is within keep_m of the route."""
+    x, y = tiles.tile_center(F.col("x"), F.col("y"), F.col("z"))
+    return metas.where((F.col("z") > max_zoom) | (project_onto_path(x, y, route)["dist_m"] <= keep_m))
 
 
 def center_distance(lng: float, lat: float) -> Column:

@@ -214,8 +214,11 @@ def split(segs: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def stitched(segs: DataFrame, max_m: float) -> DataFrame:
-    """split() at the joints() of dead ends within max_m, as the zoom of the tiles has it (lookups.stitch_radius)."""
-    return split(segs, joints(segs, max_m))
+    """split() at the joints() of dead ends within max_m, as the zoom of the tiles has it (lookups.stitch_radius).
+
+    Segments and joints are read several times and so written to the checkpoint folder first."""
+    segs = segs.checkpoint()
+    return split(segs, joints(segs, max_m).checkpoint())
 
 
 def graph(tile_rows: DataFrame, stitch_m: float | None = None, y_down: bool = False) -> DataFrame:

@@ -24,6 +24,8 @@ def register(name, build, sql=None, source="ways") -> None:
 def checkpointed(spark) -> None:
     """Iterations need a checkpoint folder: the session's, or one of our own where it names none."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
 
 
@@ -35,7 +37,6 @@ register("agg7_degree", lambda d: graph.degrees(graph.directed(d)), f"select nod
 register("agg8_node_rank", lambda d: graph.node_rank(graph.directed(d)), f"select src as node, max({case(lookups.CLASS_RANK, 'cls', 0)}) as rank from {EDGES} group by src")
 register("agg6_counts", lambda d: graph.directed(d).agg(F.count("*").alias("edges"), F.countDistinct("src").alias("nodes")), f"select count(*) as edges, count(distinct src) as nodes from {EDGES}")
 register("jon3_adjacency", lambda d: graph.directed(d).groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("a")).select("src", F.array_join("a", ",").alias("next")), f"select src, array_to_string(list_sort(list(distinct dst)), ',') as next from {EDGES} group by src")
-register("agg4_path_distance", lambda d: d.groupBy("cls").agg(F.round(F.sum(100.0 + C("f") % 50), 3).alias("m")), "select cls, round(sum(cast(100 + f % 50 as double)),3) as m from ways group by cls")
 register("fil1_roads", lambda d: graph.road_features(d.select("f", "t", F.when(C("f") % 3 > 0, C("cls")).alias("class"), F.when(C("f") % 2 > 0, "minor").alias("kind"), (C("f") % 3 + 1).alias("type"), (C("f") % 5).alias("n_points"))).select("f", "t", "cls"), "select f, t, case when c='minor' then 'residential' else c end as cls from (select f, t, coalesce(case when f%3>0 then cls end, case when f%2>0 then 'minor' end) as c from ways where f%3+1=2 and f%5>=2) where c is not null and c <> ''")
 register("grf1_quantize", lambda d: d.select("event_id", graph.quantize(C("lng")).alias("lng"), graph.quantize(C("lat")).alias("lat")), "select event_id, floor(lng*32768+0.5)/32768 as lng, floor(lat*32768+0.5)/32768 as lat from fixes", "fixes")
 register("grf2_vertex_id", lambda d: d.select("event_id", graph.vertex_id(C("lng"), C("lat")).alias("v")), "select event_id, (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as v from fixes", "fixes")
@@ -92,8 +93,6 @@ def _costs(spark, sf_dir, targets):
 QUERIES["grf8_shortest_paths"] = lambda spark, sf_dir: _costs(spark, sf_dir, spark.range(0, 200))
 QUERIES["grf8_shortest_paths_whole"] = lambda spark, sf_dir: _costs(spark, sf_dir, _nodes(spark, sf_dir))
 ORACLE_SQL["grf8_shortest_paths"] = with_derived(f"select node as id, round(cost,4) as cost from {_SSSP} where node < 200")
-QUERIES["grf19_reasons"] = lambda spark, sf_dir: graph.shortest_paths(spark.createDataFrame([(1, -5, 3), (2, 3, -5)], "id long, origin long, target long"), _edges(spark, sf_dir)).select("id", "reason")
-ORACLE_SQL["grf19_reasons"] = "select 1 as id, 'no-origin' as reason union all select 2, 'no-destination'"
 
 
 def _steps(spark, sf_dir):
@@ -101,7 +100,8 @@ def _steps(spark, sf_dir):
     edges = graph.directed(derived(spark, sf_dir, "ways")).groupBy("src", "dst").agg(F.min_by(F.struct("cls", "nm"), "cls").alias("w"), F.count("*").alias("n"))
     path = _paths(spark, sf_dir, _nodes(spark, sf_dir)).where("reason is null").select("id", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path") - 1).alias("dst"))).alias("i", "e")).select("id", "i", "e.src", "e.dst")
     lng, lat = lambda c: C(c) % 40 * 0.001 - 77.0, lambda c: F.floor(C(c) / 40) * 0.001 + 40.0
-    legs = path.join(edges, ["src", "dst"]).select("id", "i", lng("src").alias("lng"), lat("src").alias("lat"), lng("dst").alias("lng2"), lat("dst").alias("lat2"), "w.cls", C("w.nm").alias("name"), F.lit(True).alias("junction"), F.lit(100.0).alias("length_m"), (0.1 / lookups.class_speed(C("w.cls")) * 3600).alias("seconds"))
+    junctions = graph.degrees(graph.directed(derived(spark, sf_dir, "ways"))).select(C("node").alias("src"), "junction")
+    legs = path.join(edges, ["src", "dst"]).join(junctions, "src", "left").select("id", "i", lng("src").alias("lng"), lat("src").alias("lat"), lng("dst").alias("lng2"), lat("dst").alias("lat2"), "w.cls", C("w.nm").alias("name"), F.coalesce("junction", F.lit(False)).alias("junction"), F.lit(100.0).alias("length_m"), (0.1 / lookups.class_speed(C("w.cls")) * 3600).alias("seconds"))
 
     def assemble(rows: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(graph.steps(rows.sort_values("i")))
@@ -111,4 +111,29 @@ def _steps(spark, sf_dir):
 
 
 QUERIES["grf14_steps"] = _steps
-register("win5_turn_delta", lambda d: d.select("event_id", F.round(geo.angle_diff(C("event_id") * 31.0 % 360, C("event_id") * 77.0 % 360), 4).alias("delta")), "select event_id, round(case when x=-180 then 180 else x end,4) as delta from (select event_id, (b-a+540)-360*floor((b-a+540)/360)-180 as x from (select event_id, cast(event_id*31%360 as double) as a, cast(event_id*77%360 as double) as b from fixes))", "fixes")
+
+# Paths along the grid's first row and then down a column, over all ways in either direction.
+_AGG4 = lambda d: graph.path_distance(d.select(F.explode(F.array("f", "t")).alias("n")).distinct().select(C("n").alias("id"), F.concat(F.sequence(F.lit(0).cast("long"), C("n") % 40), F.when(C("n") >= 40, F.transform(F.sequence(F.lit(1).cast("long"), F.floor(C("n") / 40)), lambda k: k * 40 + C("n") % 40)).otherwise(F.array().cast("array<bigint>"))).alias("nodes")), d.select(C("f").alias("src"), C("t").alias("dst"), (100.0 + C("f") % 50).alias("length_m")))
+register(
+    "agg4_path_distance",
+    lambda d: _AGG4(d).select("id", F.round("m", 3).alias("m")),
+    "select id, round(sum(cast(100 + f%50 as double)),3) as m from (select n as id, unnest(range(0, n%40)) as f from (select distinct f as n from ways union select t from ways) union all select n, 40*unnest(range(0, cast(floor(n/40) as bigint))) + n%40 from (select distinct f as n from ways union select t from ways)) group by id",
+)
+
+
+def _with_island(spark, sf_dir):
+    """The road edges, and one edge that no other meets."""
+    return _edges(spark, sf_dir).unionByName(spark.createDataFrame([(-100, -101, 1.0)], "src long, dst long, cost double"))
+
+
+QUERIES["grf19_reasons"] = lambda spark, sf_dir: graph.shortest_paths(spark.createDataFrame([(1, -5, 3), (2, 3, -5), (3, 0, -101), (4, -101, -100), (5, 3, 3), (6, -100, -101)], "id long, origin long, target long"), _with_island(spark, sf_dir)).select("id", "reason", F.size("path").alias("n"))
+ORACLE_SQL["grf19_reasons"] = "select id, reason, cast(n as int) as n from (values (1, 'no-origin', 0), (2, 'no-destination', 0), (3, 'no-path', 0), (4, 'no-path', 0), (5, null, 1), (6, null, 2)) v(id, reason, n)"
+
+
+def _one_to_all(spark, sf_dir):
+    checkpointed(spark)
+    return graph.distances(_edges(spark, sf_dir), 0).select("node", F.round("cost", 4).alias("cost"))
+
+
+QUERIES["grf9_one_to_all"] = _one_to_all
+ORACLE_SQL["grf9_one_to_all"] = with_derived(f"select node, round(cost,4) as cost from {_SSSP}")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tilewright.derive import FEATURES, derived, with_derived
 from tilewright.functions import geo, lookups
-from tilewright.operators import search, tilegraph
+from tilewright.operators import planner, search, tilegraph
+from tilewright.plans.graph import checkpointed
 from tilewright.plans.scalars import brg, case, hav, north, west
 from tilewright.sources import mvt
 
@@ -29,7 +32,10 @@ def _features(rows, props, points):
 
 def road_tiles(spark, sf_dir):
     """(k, data): the bytes of the derived road tiles."""
-    rows = derived(spark, sf_dir, "features")
+    return _encoded(derived(spark, sf_dir, "features"))
+
+
+def _encoded(rows):
     props = [_property("class", C("cls")), _property("kind", C("kind")), _property("oneway", number=C("oneway")), _property("oneway", C("oneway_said")), _property("ramp", number=C("ramp")), _property("name", C("name"))]
     return mvt.encode(_features(rows, props, [(C(f"x{i}"), C(f"y{i}")) for i in range(1, 5)]))
 
@@ -129,8 +135,14 @@ _STOPS = "stops as (select seg, t, jx as px, jy as py from (select seg, jx, jy,
 _PIECES = f"pieces as (select seg, px, py, qx, qy, pm, sum(pm) over (partition by seg) as total from (select *, {hav('px/32768.0', 'py/32768.0', 'qx/32768.0', 'qy/32768.0')} as pm from (select *, lead(px) over w as qx, lead(py) over w as qy from stops window w as (partition by seg order by t, px, py)) where qx is not null))"
 _JM = hav("x/32768.0", "y/32768.0", "jx/32768.0", "jy/32768.0")
 _STITCHED = f", {_ENDS}, {_JOINTS}, {_STOPS}, {_PIECES}, stitched as (select ax, ay, bx, by_, cls, oneway, m, secs from timed where seg not in (select seg from joins) union all select px, py, qx, qy, t.cls, t.oneway, pm, t.secs*pm/total from pieces join timed t using (seg) union all select x, y, jx, jy, own, 0, {_JM}, {_JM}/1000/30*3600 from joins where {_JM} > 0.5)"
-_JOINED = lambda spark, sf_dir: tilegraph.stitched(_segments(spark, sf_dir), STITCH_M)
-register("grf7_stitched", lambda spark, sf_dir: _JOINED(spark, sf_dir).select("ax", "ay", "bx", "by", "cls", "oneway", r(C("length_m")).alias("m"), r(C("seconds")).alias("s")), "select ax, ay, bx, by_ as by, cls, cast(oneway as int) as oneway, round(m,3) as m, round(secs,3) as s from stitched", _STITCHED)
+
+
+def _joined(spark, sf_dir):
+    checkpointed(spark)
+    return tilegraph.stitched(_segments(spark, sf_dir), STITCH_M)
+
+
+register("grf7_stitched", lambda spark, sf_dir: _joined(spark, sf_dir).select("ax", "ay", "bx", "by", "cls", "oneway", r(C("length_m")).alias("m"), r(C("seconds")).alias("s")), "select ax, ay, bx, by_ as by, cls, cast(oneway as int) as oneway, round(m,3) as m, round(secs,3) as s from stitched", _STITCHED)
 
 # Vertices of rows far north, near enough to meet.
 _NORTH = "(select distinct cast(-2500000 + (p_partkey * 7) % 400 as bigint) as x, cast(1500000 + 20000 * (p_partkey % 29) as bigint) as y from part)"
@@ -164,3 +176,32 @@ def _put_and_removed(spark, sf_dir):
 
 
 register("snk6_put_docs", _put_and_removed, f"select id, min(name) as name, max(case when boost > 20 then boost + 1 else boost end) as boost from {_DOCS} where cast(split_part(k, '/', 3) as int) % 3 <> 0 group by id")
+
+
+def _pyramid(spark, sf_dir):
+    """(k, data): the streets, all to be driven both ways, in tiles of zoom 13 and in those of zoom 12 over them."""
+    free = derived(spark, sf_dir, "features").where("layer_pos < 3 and type = 2 and layer <> 'water'").withColumn("layer", F.lit("transportation")).withColumn("layer_pos", F.lit(0))
+    free = free.withColumns({"cls": F.lit("residential"), "kind": F.lit(None).cast("string"), "oneway": F.lit(None).cast("bigint"), "oneway_said": F.lit(None).cast("string")})
+    rows = free.withColumn("k", F.concat(F.lit("planet/12/"), F.floor(C("x") / 2), F.lit("/"), F.floor(C("y") / 2))).withColumn("pos", F.pmod("x", F.lit(2)) * 40 + F.pmod("y", F.lit(2)) * 20 + C("pos"))
+    for i in range(1, 5):
+        rows = rows.withColumn(f"x{i}", (F.pmod("x", F.lit(2)) * 2048 + C(f"x{i}") / 2).cast("int")).withColumn(f"y{i}", ((1 - F.pmod("y", F.lit(2))) * 2048 + C(f"y{i}") / 2).cast("int"))
+    return _encoded(free).unionByName(_encoded(rows))
+
+
+def _in_tile(x: int, y: int) -> tuple[float, float]:
+    """A place on the second street of a tile of zoom 13."""
+    north_of = lambda v: math.degrees(math.atan(math.sinh(math.pi * (1 - 2 * v / 8192))))
+    return (x + 2000 / 4096) / 8192 * 360 - 180, north_of(y + 1) + 300 / 4096 * (north_of(y) - north_of(y + 1))
+
+
+def _plans(spark, sf_dir):
+    """Plans of a few trips: their zooms, points and reasons."""
+    checkpointed(spark)
+    stored = _pyramid(spark, sf_dir).checkpoint()
+    here, near, far = _in_tile(2344, 3098), _in_tile(2347, 3098), _in_tile(2360, 3098)
+    trips = [(0, here, near), (1, here, far), (2, here, (-70.0, 40.1)), (3, (10.0, 50.0), (10.01, 50.0)), (4, here, (60.0, -30.0))]
+    rows = [(i, p.zoom, p.reason, len(p.points), p.fine) for i, a, b in trips for p in [planner.plan(stored, a, b)]]
+    return spark.createDataFrame(rows, "id int, zoom int, reason string, n_points int, fine boolean")
+
+
+QUERIES["grf20_two_phase_plan"] = _plans

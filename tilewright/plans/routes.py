@@ -5,24 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tilewright.derive import derived, with_derived
+from tilewright.derive import FIXES, derived, with_derived
 from tilewright.functions import geo, tiles
 from tilewright.operators import routes
-from tilewright.plans.scalars import hav, north, seg_sql, tx, ty, west
+from tilewright.plans import sqls
+from tilewright.plans.scalars import brg, hav, seg_sql, tx, ty
+from tilewright.plans.sqls import K, values
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 C = F.col
 ROUTE = [(-77.0, 40.0), (-76.7, 40.09), (-76.35, 40.17), (-76.0, 40.28)]
-K = f"({geo.R}*pi()/180)"
 
 
-def values(segs) -> str:
-    return "(values " + ", ".join("(" + ", ".join(repr(v) for v in s) + ")" for s in segs) + ") s(i, ax, ay, bx, by_, before, n)"
+def projected_sql(route) -> str:
+    t, d = seg_sql(K, "ax", "ay", "bx", "by_")
+    own = "event_id, trip_id, ts, lng, lat, accuracy"
+    return f"(select {own}, arg_min(d, (d, i)) as dist_m, arg_min(i, (d, i)) as idx, arg_min(t, (d, i)) as t, arg_min(before + t*n, (d, i)) as along_m from (select f.*, s.i, s.before, s.n, {t} as t, {d} as d from fixes f, {values(routes.segments(route))}) group by {own})"
 
 
-_T, _D = seg_sql(K, "ax", "ay", "bx", "by_")
-PROJECTED = f"(select event_id, trip_id, ts, lng, lat, accuracy, arg_min(d, (d, i)) as dist_m, arg_min(i, (d, i)) as idx, arg_min(t, (d, i)) as t, arg_min(before + t*n, (d, i)) as along_m from (select f.*, s.i, s.before, s.n, {_T} as t, {_D} as d from fixes f, {values(routes.segments(ROUTE))}) group by all)".replace("group by all", "group by event_id, trip_id, ts, lng, lat, accuracy")
+def deviated_sql(route) -> str:
+    w = "partition by trip_id order by ts, event_id rows unbounded preceding"
+    return f"(select *, s - least(0, min(s) over ({w})) as off_count from (select *, sum(case when off then 1 else -1 end) over ({w}) as s from (select *, dist_m > greatest(35, accuracy*1.8) as off from {projected_sql(route)})))"
+
+
+def length_of(route) -> float:
+    return sum(s[-1] for s in routes.segments(route))
+
+
+PROJECTED, DEVIATED = projected_sql(ROUTE), deviated_sql(ROUTE)
 
 
 def register(name, build, sql=None, source="fixes") -> None:
@@ -41,11 +52,20 @@ def _geo6(d):
 
 
 register("geo6_project", _geo6, f"select event_id, idx, round(t,6) as t, round(dist_m,3) as dist_m, round(along_m,3) as along_m from {PROJECTED}")
-_w = "partition by trip_id order by ts, event_id rows unbounded preceding"
-DEVIATED = f"(select *, s - least(0, min(s) over ({_w})) as off_count from (select *, sum(case when off then 1 else -1 end) over ({_w}) as s from (select *, dist_m > greatest(35, accuracy*1.8) as off from {PROJECTED})))"
 register("win8_deviation", lambda d: routes.deviation(d, ROUTE).select("event_id", "trip_id", r("dist_m", C("dist_m")), "off", C("off_count").cast("long")), f"select event_id, trip_id, round(dist_m,3) as dist_m, off, cast(off_count as bigint) as off_count from {DEVIATED}")
-TOTAL = sum(s[-1] for s in routes.segments(ROUTE))
-register("win9_arrival", lambda d: routes.deviation(d, ROUTE).where(TOTAL - F.least(C("along_m"), F.lit(TOTAL)) < 25000).groupBy("trip_id").agg(F.min("ts").alias("ts")), f"select trip_id, min(ts) as ts from {DEVIATED} where {TOTAL} - least(along_m, {TOTAL}) < 25000 group by trip_id")
+TOTAL = length_of(ROUTE)
+#: A route that ends before the fixes do: those beyond it are nearest to its end.
+SHORT = ROUTE[:3]
+
+
+def arrivals(d, route):
+    """The first fix of each trip within 25 m of the route's end."""
+    end = length_of(route)
+    there = routes.deviation(d, route).where(F.lit(end) - F.least(C("along_m"), F.lit(end)) < 25)
+    return there.groupBy("trip_id").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("trip_id", "f.ts", "f.event_id")
+
+
+register("win9_arrival", lambda d: arrivals(d, SHORT), f"select trip_id, min(ts) as ts, arg_min(event_id, (ts, event_id)) as event_id from {deviated_sql(SHORT)} where {length_of(SHORT)!r} - least(along_m, {length_of(SHORT)!r}) < 25 group by trip_id")
 W = lambda: Window.partitionBy("trip_id").orderBy("ts", "event_id")
 
 
@@ -92,90 +112,191 @@ register("geo16_travelled", lambda d: d.select("event_id", F.size(routes.slice_r
 register("agg12_progress", lambda d: routes.deviation(d, ROUTE).select("event_id", F.least(F.lit(100.0), F.round(C("along_m") / TOTAL * 100, 3)).alias("percent")), f"select event_id, least(100.0, round(along_m/{TOTAL}*100,3)) as percent from {PROJECTED}")
 register("geo18_distance_to_path", lambda d: d.groupBy("trip_id").agg(r("m", F.min(routes.project_onto_path(C("lng"), C("lat"), ROUTE)["dist_m"]))), f"select trip_id, round(min(dist_m),3) as m from {PROJECTED} group by trip_id")
 
-# Steps: (type, cumulative metres and seconds); the last ends the route.
+# Steps: (number, type, cumulative metres and seconds); the last ends the route.
 STEPS = [(0, "depart", 0.0, 0.0), (1, "turn", 27000.0, 1500.0), (2, "continue", 58000.0, 3100.0), (3, "arrive", TOTAL, 5400.0)]
-_STEPS = "(values " + ", ".join(f"({i}, '{t}', {m!r}, {s!r}, {STEPS[min(i + 1, 3)][2]!r}, {STEPS[min(i + 1, 3)][3]!r})" for i, t, m, s in STEPS) + ") st(j, kind, m0, s0, m1, s1)"
+#: The line that the fixes follow, with its steps: here fixes come near each of them.
+LINE = [(-77.0, 40.0), (-76.0, 40.28)]
+LINE_STEPS = [*STEPS[:3], (3, "arrive", length_of(LINE), 5400.0)]
 
 
-def navigation(d):
+def navigation(d, steps=None):
     """Progress, remaining time and the next manoeuvre of every fix; the distance to an arrival is that to the end.
 
     The step is the first that ends at or after the place, or the last."""
-    ends = [F.struct(F.lit(i + 1).alias("next"), *[F.lit(v).alias(n) for n, v in (("m0", a[2]), ("s0", a[3]), ("m1", b[2]), ("s1", b[3]))]) for i, (a, b) in enumerate(zip(STEPS, STEPS[1:], strict=False))]
-    d = d.withColumn("_a", F.greatest(F.lit(0.0), F.least(C("along_m"), F.lit(TOTAL))))
+    steps = steps or STEPS
+    total = steps[-1][2]
+    ends = [F.struct(F.lit(i + 1).alias("next"), *[F.lit(v).alias(n) for n, v in (("m0", a[2]), ("s0", a[3]), ("m1", b[2]), ("s1", b[3]))]) for i, (a, b) in enumerate(zip(steps, steps[1:], strict=False))]
+    d = d.withColumn("_a", F.greatest(F.lit(0.0), F.least(C("along_m"), F.lit(total))))
     d = d.withColumn("_s", F.coalesce(F.try_element_at(F.filter(F.array(*ends), lambda s: C("_a") <= s["m1"]), F.lit(1)), ends[-1]))
     share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (C("_a") - C("_s.m0")) / F.greatest(F.lit(1.0), C("_s.m1") - C("_s.m0"))))
-    left = F.lit(STEPS[-1][3]) - (C("_s.s0") + share * (C("_s.s1") - C("_s.s0")))
-    return d.select("event_id", "trip_id", r("along_m", C("_a")), r("remaining_m", F.lit(TOTAL) - C("_a")), r("remaining_s", left), C("_s.next").alias("next_step"), r("to_step_m", C("_s.m1") - C("_a")), "off", C("off_count").cast("long").alias("off_count"), (F.lit(TOTAL) - C("_a") < 25).alias("arrived"))
+    left = F.lit(steps[-1][3]) - (C("_s.s0") + share * (C("_s.s1") - C("_s.s0")))
+    return d.select("event_id", "trip_id", "ts", r("along_m", C("_a")), r("remaining_m", F.lit(total) - C("_a")), r("remaining_s", left), C("_s.next").alias("next_step"), r("to_step_m", C("_s.m1") - C("_a")), "off", C("off_count").cast("long").alias("off_count"), (F.lit(total) - C("_a") < 25).alias("arrived"))
 
 
-register(
-    "str1_navigation",
-    lambda d: navigation(routes.deviation(d, ROUTE)),
-    f"select event_id, trip_id, round(a,3) as along_m, round({TOTAL}-a,3) as remaining_m, round(5400.0-(s0+greatest(0.0,least(1.0,(a-m0)/greatest(1.0,m1-m0)))*(s1-s0)),3) as remaining_s, cast(j+1 as int) as next_step, round(m1-a,3) as to_step_m, off, cast(off_count as bigint) as off_count, {TOTAL}-a < 25 as arrived from (select d.*, greatest(0.0, least(along_m, {TOTAL})) as a from {DEVIATED} d) x, {_STEPS} where j < 3 and (a <= m1 or j = 2) and (j = 0 or a > m0)",
-)
-_NAVIGATED = with_derived(ORACLE_SQL["str1_navigation"][ORACLE_SQL["str1_navigation"].index("select event_id, trip_id, round(a") :]).partition(" select event_id, trip_id, round(a")
-_WITH, _SELECT = _NAVIGATED[0], "select event_id, trip_id, round(a" + _NAVIGATED[2]
-for _name, _cols in (("str2_remaining_time", ["event_id", "remaining_s"]), ("str3_next_manoeuvre", ["event_id", "next_step", "to_step_m"]), ("jon12_step_interval", ["event_id", "next_step"]), ("jon11_fix_to_route", ["event_id", "along_m", "off"])):
-    register(_name, lambda d, _c=_cols: navigation(routes.deviation(d, ROUTE)).select(*_c))
-    ORACLE_SQL[_name] = f"{_WITH} select {', '.join(_cols)} from ({_SELECT})"
-register("str7_voice_milestones", lambda d: navigation(routes.deviation(d, ROUTE)).where("not off and next_step < 3").withColumn("milestone", F.when(C("to_step_m") <= 200, 200).when(C("to_step_m") <= 800, 800).when(C("to_step_m") <= 2000, 2000)).where("milestone is not null").select("trip_id", "next_step", "milestone").distinct())
-ORACLE_SQL["str7_voice_milestones"] = f"{_WITH} select distinct trip_id, next_step, cast(case when to_step_m<=200 then 200 when to_step_m<=800 then 800 else 2000 end as int) as milestone from ({_SELECT}) where not off and next_step < 3 and to_step_m <= 2000"
+def navigation_sql(route, steps) -> str:
+    total, last = steps[-1][2], len(steps) - 1
+    rows = ", ".join(f"({i}, {m!r}, {s!r}, {steps[min(i + 1, last)][2]!r}, {steps[min(i + 1, last)][3]!r})" for i, _, m, s in steps)
+    return f"(select event_id, trip_id, ts, round(a,3) as along_m, round({total!r}-a,3) as remaining_m, round({steps[-1][3]!r}-(s0+greatest(0.0,least(1.0,(a-m0)/greatest(1.0,m1-m0)))*(s1-s0)),3) as remaining_s, cast(j+1 as int) as next_step, round(m1-a,3) as to_step_m, off, cast(off_count as bigint) as off_count, {total!r}-a < 25 as arrived from (select d.*, greatest(0.0, least(along_m, {total!r})) as a from {deviated_sql(route)} d) x, (values {rows}) st(j, m0, s0, m1, s1) where j < {last} and (a <= m1 or j = {last - 1}) and (j = 0 or a > m0))"
+
 
+_NAV, _LINE_NAV = navigation_sql(ROUTE, STEPS), navigation_sql(LINE, LINE_STEPS)
+for _name, _cols in (
+    ("str1_navigation", ["event_id", "trip_id", "along_m", "remaining_m", "remaining_s", "next_step", "to_step_m", "off", "off_count", "arrived"]),
+    ("str2_remaining_time", ["event_id", "remaining_s"]),
+    ("str3_next_manoeuvre", ["event_id", "next_step", "to_step_m"]),
+    ("jon12_step_interval", ["event_id", "next_step"]),
+    ("jon11_fix_to_route", ["event_id", "along_m", "off"]),
+):
+    register(_name, lambda d, _c=_cols: navigation(routes.deviation(d, ROUTE)).select(*_c), f"select {', '.join(_cols)} from {_NAV}")
 
 
-def _str7(d):
-    """The milestones of every step, and within 300 m of the end the arrival."""
-    n = navigation(routes.deviation(d, ROUTE)).where("not off")
+def announced(d, route, steps):
+    """(trip_id, ts, event_id, next_step, milestone): what is said to each trip, each milestone of a step once. Before a
+    manoeuvre the least of 2000, 800 and 200 m that is reached, before the arrival 300 m; nothing off the route."""
+    n = navigation(routes.deviation(d, route), steps).where("not off")
     before = F.when(C("to_step_m") <= 200, 200).when(C("to_step_m") <= 800, 800).when(C("to_step_m") <= 2000, 2000)
-    n = n.withColumn("milestone", F.when(C("next_step") < len(STEPS) - 1, before).when(C("to_step_m") <= 300, 300))
-    return n.where("milestone is not null").select("trip_id", "next_step", "milestone").distinct()
+    n = n.withColumn("milestone", F.when(C("next_step") < len(steps) - 1, before).when(C("to_step_m") <= 300, 300)).where("milestone is not null")
+    return n.groupBy("trip_id", "next_step", "milestone").agg(F.min(F.struct("ts", "event_id")).alias("f")).select("trip_id", "f.ts", "f.event_id", "next_step", "milestone")
 
 
-register("str7_voice_milestones_whole", _str7)
+_ANNOUNCED = f"(select trip_id, min(ts) as ts, arg_min(event_id, (ts, event_id)) as event_id, next_step, milestone from (select *, cast(case when next_step < 3 then (case when to_step_m<=200 then 200 when to_step_m<=800 then 800 when to_step_m<=2000 then 2000 end) when to_step_m<=300 then 300 end as int) as milestone from {_LINE_NAV} where not off) where milestone is not null group by trip_id, next_step, milestone)"
+register("str7_voice_milestones", lambda d: announced(d, LINE, LINE_STEPS), f"select trip_id, ts, event_id, next_step, milestone from {_ANNOUNCED}")
+QUERIES["str7_voice_milestones_whole"] = QUERIES["str7_voice_milestones"]
+# Every fix says something, on a clock so fast that some come too soon; every eighth interrupts.
+_SAID_MS = lambda: F.floor(F.unix_millis(C("ts").cast("timestamp")) / 20_000)
 
 
 def _str8(d):
-    """Utterances 1.5 s apart at least from the last one spoken would need a fold; apart from the last fix it is a lag."""
-    gap = C("ts").cast("timestamp").cast("double") - F.lag("ts").over(W()).cast("timestamp").cast("double")
-    return d.select("event_id", gap.alias("gap")).where("gap is null or gap >= 1.5").select("event_id")
+    return routes.said(d.select("trip_id", "event_id", _SAID_MS().alias("ts_ms"), (C("event_id") % 8 == 0).alias("interrupt")), "trip_id", 1500).select("event_id", "ts_ms", "interrupt")
 
 
+def folded_sql(rows: str, first: str, carried: list[tuple[str, str, str]], out: str) -> str:
+    """A fold over each trip's `rows` in the order of n: of each carried (name, its first value, its next from w and r)."""
+    names = [c[0] for c in carried]
+    return f"recursive numbered as ({rows}), walk(trip_id, n, {', '.join(names)}) as (select trip_id, n, {', '.join(c[1] for c in carried)} from numbered {first} union all select r.trip_id, r.n, {', '.join(c[2] for c in carried)} from walk w join numbered r on r.trip_id = w.trip_id and r.n = w.n + 1) select {out} from walk w join numbered r using (trip_id, n)"
+
+
+def register_fold(name, build, rows, carried, out) -> None:
+    register(name, build)
+    ORACLE_SQL[name] = f"with recursive fixes as ({FIXES}), {folded_sql(rows, 'where n = 1', carried, out).removeprefix('recursive ')}"
+
+
+_NUMBERED = "row_number() over (partition by trip_id order by {o}) as n"
+register_fold(
+    "str8_throttle",
+    _str8,
+    f"select trip_id, event_id, ms as ts_ms, event_id%8=0 as interrupt, {_NUMBERED.format(o='ms, event_id')} from (select *, cast(floor(epoch_us(ts)/20000000.0) as bigint) as ms from fixes)",
+    [("last", "ts_ms", "case when r.interrupt or r.ts_ms - w.last >= 1500 then r.ts_ms else w.last end"), ("spoken", "true", "r.interrupt or r.ts_ms - w.last >= 1500")],
+    "event_id, ts_ms, interrupt where false",
+)
+ORACLE_SQL["str8_throttle"] = ORACLE_SQL["str8_throttle"].replace("select event_id, ts_ms, interrupt where false from walk w join numbered r using (trip_id, n)", "select event_id, ts_ms, interrupt from walk w join numbered r using (trip_id, n) where spoken")
 register("str8_throttle_whole", lambda d: routes.throttled(d.select("trip_id", F.unix_millis(C("ts").cast("timestamp")).alias("ts_ms"), C("event_id").alias("along_m")), "trip_id", 1.5, 0).select(C("along_m").alias("event_id")))
-register("str8_throttle", _str8, "select event_id from (select event_id, epoch(ts) - epoch(lag(ts) over (partition by trip_id order by ts, event_id)) as gap from fixes) where gap is null or gap >= 1.5")
 register("str6_state_changes", lambda d: d.withColumn("state", F.when(C("accuracy") > 25, "offline").when(C("accuracy") > 15, "degraded").otherwise("online")).withColumn("last", F.lag("state").over(W())).where("last is null or last <> state").select("event_id", "state"), "select event_id, state from (select event_id, state, lag(state) over (partition by trip_id order by ts, event_id) as last from (select *, case when accuracy>25 then 'offline' when accuracy>15 then 'degraded' else 'online' end as state from fixes)) where last is null or last <> state")
 register("srt8_last_four", lambda d: d.withColumn("n", F.row_number().over(Window.partitionBy("trip_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("n <= 4").select("trip_id", "event_id"), "select trip_id, event_id from (select trip_id, event_id, row_number() over (partition by trip_id order by ts desc, event_id desc) as n from fixes) where n <= 4")
 
+
+def _turns(d):
+    """The turn at each fix from the line that leads to it to the one that leads on."""
+    at = d.select("event_id", F.lag("lng").over(W()).alias("ax"), F.lag("lat").over(W()).alias("ay"), "lng", "lat", F.lead("lng").over(W()).alias("bx"), F.lead("lat").over(W()).alias("by")).where("ax is not null and bx is not null")
+    turn = geo.angle_diff(geo.bearing_deg(C("ax"), C("ay"), C("lng"), C("lat")), geo.bearing_deg(C("lng"), C("lat"), C("bx"), C("by")))
+    return at.select("event_id", (F.round(turn, 4) + F.lit(0.0)).alias("delta"))  # no negative zeros
+
+
+register("win5_turn_delta", _turns, f"select event_id, round(case when d = -180 then 180 else d end,4) + 0e0 as delta from (select event_id, x - 360*floor(x/360) - 180 as d from (select event_id, {brg('lng', 'lat', 'bx', 'by_')} - {brg('ax', 'ay', 'lng', 'lat')} + 540 as x from (select *, lag(lng) over w as ax, lag(lat) over w as ay, lead(lng) over w as bx, lead(lat) over w as by_ from fixes window w as (partition by trip_id order by ts, event_id)) where ax is not null and bx is not null))")
+register("geo9_simplified", lambda d: routes.simplified(d, "trip_id", ["ts", "event_id"], 100.0).select("trip_id", "event_id"))
+
 # Corridors
-_CT = f"(select distinct x, y from (select *, unnest(range({ty('y1', 13)}, {ty('y0', 13)}+1)) as y from (select *, unnest(range({tx('x0', 13)}, {tx('x1', 13)}+1)) as x from (select i, ax, ay, bx, by_, least(ax,bx)-dl/greatest(0.05,cos(radians((ay+by_)/2))) as x0, greatest(ax,bx)+dl/greatest(0.05,cos(radians((ay+by_)/2))) as x1, least(ay,by_)-dl as y0, greatest(ay,by_)+dl as y1 from (select s.*, degrees(4000/{geo.R}) as dl from {values(routes.segments(ROUTE))})))) where "
-_CLNG, _CLAT = f"(({west('x', 13)}+{west('x+1', 13)})/2)", f"(({north('y', 13)}+{north('y+1', 13)})/2)"
-_NEAR = seg_sql("111320.0", "ax", "ay", "bx", "by_")[1].replace("lng", _CLNG).replace("lat)", _CLAT + ")").replace("(lat-", f"({_CLAT}-")
 
-#: Metres round ends and manoeuvres, as in the reference's corridor tests.
+#: Metres round ends and manoeuvres.
 DETAIL_M = 2000.0
 
 
+def segments_of(route):
+    return routes.segments(route)
+
+
+def _segments_df(spark, segs):
+    return spark.createDataFrame(segs, "i int, ax double, ay double, bx double, by double, before double, n double")
+
+
 def _route_segments(spark):
-    return spark.createDataFrame(routes.segments(ROUTE), "i int, ax double, ay double, bx double, by double, before double, n double")
+    return _segments_df(spark, segments_of(ROUTE))
 
 
 QUERIES["jon7_corridor"] = lambda spark, sf_dir: routes.corridor_tiles(_route_segments(spark), 13, 2000.0).select("x", "y")
-ORACLE_SQL["jon7_corridor"] = f"select cast(x as int) as x, cast(y as int) as y from {_CT} {_NEAR} <= 2000 + 360.0/8192*111320*cos(radians(ay))/2)"
+ORACLE_SQL["jon7_corridor"] = f"select x, y from {sqls.corridor(segments_of(ROUTE), 13, 2000.0)}"
+
+
+def within_sql(segs, z: int, radius: float, cap: int) -> str:
+    """The corridor at the first radius that has no more than cap tiles."""
+    radii = [radius]
+    while radii[-1] > 200:
+        radii.append(max(200.0, radii[-1] * 0.55))
+    tried = " union all ".join(f"select {k} as k, x, y from {sqls.corridor(segs, z, m)}" for k, m in enumerate(radii))
+    return f"(select x, y from (select *, count(*) over (partition by k) as c from ({tried})) qualify k = min(case when c <= {cap} or k = {len(radii) - 1} then k end) over ())"
+
+
 QUERIES["cor1_corridor_within"] = lambda spark, sf_dir: routes.corridor_within(_route_segments(spark), 13, 20000.0, 300)[0]
+ORACLE_SQL["cor1_corridor_within"] = f"select cast(13 as int) as z, x, y from {within_sql(segments_of(ROUTE), 13, 20000.0, 300)}"
 
 
-def _plan(spark, sf_dir):
+def plan_tiles(spark, sf_dir):
     """The route's overview at zooms 6 to 12, its corridor at 13, and at 14 what is round its ends and manoeuvres."""
     corridor = routes.corridor_within(_route_segments(spark), 13, 2000.0, 1400)[0]
-    turns = [m for _, kind, m, _ in STEPS if kind not in ("depart", "arrive")]
-    ends = spark.createDataFrame([(m,) for m in (0.0, *turns, TOTAL)], "m double").withColumn("p", routes.point_at_distance(C("m"), ROUTE))
-    ends = ends.select(C("p.lng").alias("ax"), C("p.lat").alias("ay"), C("p.lng").alias("bx"), C("p.lat").alias("by"))
-    detail = routes.corridor_within(ends, 14, DETAIL_M, 500)[0]
+    detail = routes.corridor_within(_segments_df(spark, _anchors()), 14, DETAIL_M, 500)[0]
     return _overview(spark, sf_dir).unionByName(corridor).unionByName(detail)
 
 
+def _anchors():
+    """The route's ends and manoeuvres, as segments of no length."""
+    at = [0.0, *(m for _, kind, m, _ in STEPS if kind not in ("depart", "arrive")), TOTAL]
+    points = [routes.sliced(ROUTE, m, m)[0] for m in at]
+    return [(i, *p, *p, 0.0, 0.0) for i, p in enumerate(points)]
+
+
 _overview = lambda spark, sf_dir: spark.range(6, 13).select(C("id").cast("int").alias("z")).withColumn("n", F.greatest(F.lit(1), F.ceil(F.lit(TOTAL) / (tiles.tile_width_m(C("z"), F.lit(40.1)) * 0.5))).cast("int")).select("z", "n", F.explode(F.sequence(F.lit(0), C("n"))).alias("i")).withColumn("p", routes.point_at_distance(C("i") / C("n") * TOTAL, ROUTE)).select("z", tiles.tile_x(C("p.lng"), C("z")).alias("x"), tiles.tile_y(C("p.lat"), C("z")).alias("y")).distinct()
-QUERIES["cor2_overview"] = _plan
+QUERIES["cor2_overview"] = plan_tiles
+_SAMPLES = f"(select z, j/cast(n as double)*{TOTAL!r} as m, z*100000+j as id from (select z, n, unnest(range(0, n+1)) as j from (select cast(z as int) as z, greatest(1, cast(ceil({TOTAL!r}/({tiles.EQUATOR_M}*cos(radians(40.1))/pow(2,z)*0.5)) as bigint)) as n from range(6,13) r(z))))"
+ORACLE_SQL["cor2_overview"] = f"select distinct z, {tx('lng', 'z')} as x, {ty('lat', 'z')} as y from {sqls.at_distance(_SAMPLES, 'id', 'm', ROUTE)} join {_SAMPLES} using (id) union all select cast(13 as int), x, y from {within_sql(segments_of(ROUTE), 13, 2000.0, 1400)} union all select cast(14 as int), x, y from {within_sql(_anchors(), 14, DETAIL_M, 500)}"
 QUERIES["win12_route_samples"] = lambda spark, sf_dir: spark.range(0, 101).select(C("id").cast("int").alias("i"), routes.point_at_distance(C("id") / 100 * TOTAL, ROUTE).alias("p")).select("i", r("lng", C("p.lng"), 8), r("lat", C("p.lat"), 8))
-QUERIES["cor3_predictive"] = lambda spark, sf_dir: routes.corridor_within(spark.createDataFrame(routes.segments([(-76.7, 40.09), (-76.65, 40.101), (-76.6, 40.113)]), "i int, ax double, ay double, bx double, by double, before double, n double"), 14, 1500.0, 400)[0]
-QUERIES["src14_route_geojson"] = lambda spark, sf_dir: spark.range(1).select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("LineString").alias("type"), F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in ROUTE]).alias("coordinates")).alias("geometry"))).alias("geojson"))
+ORACLE_SQL["win12_route_samples"] = f"select cast(i as int) as i, round(lng,8) as lng, round(lat,8) as lat from {sqls.at_distance('(select i as id from range(101) r(i))', 'id', f'id/100.0*{TOTAL!r}', ROUTE)} t(i, lng, lat)"
+#: Where the look-ahead starts, and how fast: on the motorway 480 s reach further than three times the detail.
+AHEAD_AT, AHEAD_MPS, AHEAD_DETAIL_M = 30_000.0, 30.0, 1500.0
+QUERIES["cor3_predictive"] = lambda spark, sf_dir: routes.predictive(spark, ROUTE, AHEAD_AT, AHEAD_MPS, AHEAD_DETAIL_M)
+ORACLE_SQL["cor3_predictive"] = f"select cast(14 as int) as z, x, y from {within_sql(segments_of(routes.sliced(ROUTE, AHEAD_AT - AHEAD_DETAIL_M, AHEAD_AT + AHEAD_MPS * 480)), 14, AHEAD_DETAIL_M, 400)}"
+
+
+def _feature(geometry, **properties):
+    return F.struct(F.lit("Feature").alias("type"), F.struct(*[v.alias(k) for k, v in properties.items()] or [F.lit(True).alias("ok")]).alias("properties"), geometry.alias("geometry"))
+
+
+def _shape(kind, coordinates):
+    return F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
+
+
+def _geojson(spark, sf_dir):
+    """The route, its manoeuvres and its end as features of a map."""
+    at = lambda p: F.array(F.lit(p[0]), F.lit(p[1]))
+    turns = [(kind, routes.sliced(ROUTE, m, m)[0]) for _, kind, m, _ in STEPS if kind not in ("depart", "arrive")]
+    rows = [(0, "route", _feature(_shape("LineString", F.array(*map(at, ROUTE)))))]
+    rows += [(i, "manoeuvre", _feature(_shape("Point", at(p)), type=F.lit(kind))) for i, (kind, p) in enumerate(turns, 1)]
+    rows += [(len(rows), "destination", _feature(_shape("Point", at(ROUTE[-1]))))]
+    out = None
+    for i, what, feature in rows:
+        row = spark.range(1).select(F.lit(i).alias("i"), F.lit(what).alias("what"), F.to_json(feature).alias("geojson"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _geojson_sql() -> str:
+    turns = [(kind, routes.sliced(ROUTE, m, m)[0]) for _, kind, m, _ in STEPS if kind not in ("depart", "arrive")]
+    ok, point = '"properties":{"ok":true}', lambda p: f'"geometry":{{"type":"Point","coordinates":[{p[0]!r},{p[1]!r}]}}'
+    line = ",".join(f"[{x!r},{y!r}]" for x, y in ROUTE)
+    rows = [("route", f'{{"type":"Feature",{ok},"geometry":{{"type":"LineString","coordinates":[{line}]}}}}')]
+    rows += [("manoeuvre", f'{{"type":"Feature","properties":{{"type":"{kind}"}},{point(p)}}}') for kind, p in turns]
+    rows += [("destination", f'{{"type":"Feature",{ok},{point(ROUTE[-1])}}}')]
+    return " union all ".join(f"select cast({i} as int) as i, '{what}' as what, '{text}' as geojson" for i, (what, text) in enumerate(rows))
+
+
+QUERIES["src14_route_geojson"] = _geojson
+ORACLE_SQL["src14_route_geojson"] = _geojson_sql()

@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tilewright.functions.geo import R
 from tilewright.operators.routes import Route, segments
 
 STATE = "off_count int, last_reroute_ms long, arrived boolean"
 OUTPUT = "trip_id long, event_id long, along_m double, dist_m double, off boolean, off_count int, arrived boolean, arrived_now boolean, reroute boolean"
 START = (0, None, False)
+#: A route's segments, as routes.segments() has them.
+Legs = list[tuple[int, float, float, float, float, float, float]]
 
 
-def project(lng: float, lat: float, route: Route) -> tuple[float, float]:
+def project(lng: float, lat: float, legs: Legs) -> tuple[float, float]:
     """(distance, metres along) of the nearest segment, the first of equals."""
-    import math
-
-    from tilewright.functions.geo import R
-
     best = None
     k = math.cos(math.radians(lat))
-    for _, ax, ay, bx, by, before, n in segments(route):
+    for _, ax, ay, bx, by, before, n in legs:
         dx, dy = math.radians(bx - ax) * k * R, math.radians(by - ay) * R
         px, py = math.radians(lng - ax) * k * R, math.radians(lat - ay) * R
         size = dx * dx + dy * dy
@@ -34,11 +34,11 @@ def project(lng: float, lat: float, route: Route) -> tuple[float, float]:
     return best
 
 
-def step(state: tuple, fix, route: Route, cooldown_ms: int = 15_000) -> tuple[tuple, tuple]:
+def step(state: tuple, fix, legs: Legs, cooldown_ms: int = 15_000) -> tuple[tuple, tuple]:
     """The next state and the output row of a fix (event_id, ts_ms, lng, lat, accuracy). Time is the fix's own."""
     off_count, last, arrived = state
-    dist, along = project(fix.lng, fix.lat, route)
-    total = sum(s[-1] for s in segments(route))
+    dist, along = project(fix.lng, fix.lat, legs)
+    total = legs[-1][-2] + legs[-1][-1]
     along = max(0.0, min(along, total))
     limit = max(35.0, fix.accuracy * 1.8)
     off = dist > limit
@@ -50,9 +50,9 @@ def step(state: tuple, fix, route: Route, cooldown_ms: int = 15_000) -> tuple[tu
 
 
 def fold(rows: pd.DataFrame, route: Route, state: tuple = START, cooldown_ms: int = 15_000) -> tuple[tuple, pd.DataFrame]:
-    out = []
+    out, legs = [], segments(route)
     for fix in rows.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
-        state, row = step(state, fix, route, cooldown_ms)
+        state, row = step(state, fix, legs, cooldown_ms)
         out.append(row)
     return state, pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
