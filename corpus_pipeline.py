@@ -10,9 +10,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 from tilewright.llm import near, packing, pii, quality
-from tilewright.llm.common import checkpoint_dir, table
+from tilewright.llm.common import checkpoint_dir, drop_scratch, scratch_scope, table
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +24,18 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by near equal texts the one with the least id stays; texts without words stay.
 
-    A repeated row stays once. Rows with null ids stay unless a linked row has an id."""
-    linked = near.link(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(linked.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    Null ids come after all others. Where ids repeat, texts tell rows apart: of a linked group one text stays. Of rows
+    with one id and text the least by its further columns stays (by those that have an order)."""
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"))
+    linked = near.link(docs.select(own.alias("_row"), "text"), "_row").where(F.col("_row") == F.col("component_id"))
+    linked = linked.select(F.col("_row.id").alias("_id"), F.col("_row.h").alias("_h")).distinct()
+    kept = docs.join(linked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    if not rest:
+        return kept.distinct()
+    ordered = [F.col(f"`{c}`") for c in rest if not isinstance(docs.schema[c].dataType, (MapType, VariantType))]
+    one = kept.groupBy("doc_id", "text").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(F.lit(0).alias("_"), *ordered)).alias("_row"))
+    return one.select(*[F.col(f"_row.`{c}`").alias(c) if c in rest else F.col(c) for c in docs.columns])
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +59,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written as Parquet to the shared folder and read again."""
+    """All stages, each written as Parquet to the shared folder and read again; what a stage needed on the way goes."""
     docs = table(spark, sf_dir, "documents")
     base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{base}/{i}")
+        with scratch_scope(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(f"{base}/{i}")
         docs = spark.read.schema(out.schema).parquet(f"{base}/{i}")
+        if i:
+            drop_scratch(spark, f"{base}/{i - 1}")
     return docs
