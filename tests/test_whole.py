@@ -1,4 +1,4 @@
-"""Queries over whole tables against brute force; their namesakes without _whole are slices held against SQL."""
+"""Queries over whole tables against brute force, under the names with and without _whole."""
 
 import math
 

@@ -84,20 +84,28 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def nearest_node(points: DataFrame, nodes: DataFrame, max_m: float = 5000.0, near_m: float = 150.0, cell: float = 0.01) -> DataFrame:
     """(id, node, m) for points (id, lng, lat) and nodes (node, lng, lat, rank): within near_m the highest rank, then the
-    nearest; beyond it the nearest. Points meet nodes in the cells that max_m can reach, so that the join is by equality.
+    nearest; beyond it the nearest. Points meet nodes in cells, so that the join is by equality: first those of the cells
+    next to theirs, and only where that can't settle it those of all cells that max_m can reach.
 
     Of the nodes in one place only the first by rank and the first by name can win, and equal places have equal nodes, so
     places meet once however many points and nodes lie there."""
-    k = math.ceil(max_m / geo.DEGREE_M / cell / 0.5)
-    around = F.transform(F.sequence(F.lit(-k), F.lit(k)), lambda i: i)
     places = points.select("lng", "lat").distinct()
-    p = places.withColumn("cx", F.explode(F.transform(around, lambda i: F.floor(F.col("lng") / cell) + i))).withColumn("cy", F.explode(F.transform(around, lambda i: F.floor(F.col("lat") / cell) + i)))
     n = nodes.groupBy("lng", "lat").agg(F.min(F.struct((-F.col("rank")).alias("r"), "node", "rank")).alias("a"), F.min(F.struct("node", "rank")).alias("b"))
     n = n.select("lng", "lat", F.inline(F.array_distinct(F.array(F.struct("a.node", "a.rank"), F.struct("b.node", "b.rank")))))
     n = n.select("node", F.col("lng").alias("nx"), F.col("lat").alias("ny"), "rank", F.floor(F.col("lng") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    both = p.join(n, ["cx", "cy"]).withColumn("m", geo.haversine_m(F.col("lng"), F.col("lat"), F.col("nx"), F.col("ny"))).where(F.col("m") <= max_m)
     order = F.struct((F.col("m") > near_m).alias("far"), F.when(F.col("m") <= near_m, -F.col("rank")).otherwise(0).alias("r"), "m", "node")
-    found = both.groupBy("lng", "lat").agg(F.min(order).alias("b"))
+
+    def best(own: DataFrame, k: int) -> DataFrame:
+        around = F.sequence(F.lit(-k), F.lit(k))
+        p = own.withColumn("cx", F.explode(F.transform(around, lambda i: F.floor(F.col("lng") / cell) + i))).withColumn("cy", F.explode(F.transform(around, lambda i: F.floor(F.col("lat") / cell) + i)))
+        both = p.join(n, ["cx", "cy"]).withColumn("m", geo.haversine_m(F.col("lng"), F.col("lat"), F.col("nx"), F.col("ny"))).where(F.col("m") <= max_m)
+        return both.groupBy("lng", "lat").agg(F.min(order).alias("b"))
+
+    # What lies beyond the cells next to a place is a cell's width away at least.
+    width = cell * geo.DEGREE_M * 0.99 * F.cos(F.radians(F.abs("lat") + cell))
+    settled = best(places, 1).where((F.col("b.m") <= width) & (width >= near_m))
+    rest = places.join(settled, ["lng", "lat"], "left_anti")
+    found = settled.unionByName(best(rest, math.ceil(max_m / geo.DEGREE_M / cell / 0.5)))
     return points.join(found, ["lng", "lat"]).select("id", "b.node", "b.m")
 
 

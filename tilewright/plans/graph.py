@@ -41,34 +41,34 @@ register("fil1_roads", lambda d: graph.road_features(d.select("f", "t", F.when(C
 register("grf1_quantize", lambda d: d.select("event_id", graph.quantize(C("lng")).alias("lng"), graph.quantize(C("lat")).alias("lat")), "select event_id, floor(lng*32768+0.5)/32768 as lng, floor(lat*32768+0.5)/32768 as lat from fixes", "fixes")
 register("grf2_vertex_id", lambda d: d.select("event_id", graph.vertex_id(C("lng"), C("lat")).alias("v")), "select event_id, (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as v from fixes", "fixes")
 register("grf3_nodes", lambda d: d.groupBy(graph.vertex_id(C("lng"), C("lat")).alias("node")).agg(F.min("lng").alias("lng"), F.min("lat").alias("lat")), "select (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as node, min(lng) as lng, min(lat) as lat from fixes group by 1", "fixes")
-register("jon1_vertex_join", lambda d: d.withColumn("v", graph.vertex_id(C("lng"), C("lat"))).join(d.where("event_id < 500").select(graph.vertex_id(C("lng"), C("lat")).alias("v")).distinct(), "v").select("event_id"), "select event_id from fixes where (floor(lng*32768+0.5), floor(lat*32768+0.5)) in (select (floor(lng*32768+0.5), floor(lat*32768+0.5)) from fixes where event_id < 500)", "fixes")
-register("jon1_vertex_join_whole", lambda d: d.withColumn("v", graph.vertex_id(C("lng"), C("lat"))).join(d.select(graph.vertex_id(C("lng"), C("lat")).alias("v")).distinct(), "v").select("event_id", "v"), None, "fixes")
+register("jon1_vertex_join", lambda d: d.withColumn("v", graph.vertex_id(C("lng"), C("lat"))).join(d.select(graph.vertex_id(C("lng"), C("lat")).alias("v")).distinct(), "v").select("event_id", "v"), "select event_id, (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as v from fixes", "fixes")
+QUERIES["jon1_vertex_join_whole"] = QUERIES["jon1_vertex_join"]
 
 
-def _snap(spark, sf_dir, of="true"):
+def _snap(spark, sf_dir):
     places = derived(spark, sf_dir, "places")
     nodes = places.where("kind <> 'poi'").select(F.xxhash64("id").alias("h"), "id", "lng", "lat", "boost").select(C("id").alias("node"), "lng", "lat", C("boost").alias("rank"))
-    return graph.nearest_node(derived(spark, sf_dir, "fixes").where(of).select(C("event_id").alias("id"), "lng", "lat"), nodes).select("id", "node", F.round("m", 3).alias("m"))
+    return graph.nearest_node(derived(spark, sf_dir, "fixes").select(C("event_id").alias("id"), "lng", "lat"), nodes).select("id", "node", F.round("m", 3).alias("m"))
 
 
-QUERIES["jon5_nearest_node"] = lambda spark, sf_dir: _snap(spark, sf_dir, "event_id < 400")
+QUERIES["jon5_nearest_node"] = _snap
 QUERIES["jon5_nearest_node_whole"] = _snap
 ORACLE_SQL["jon5_nearest_node"] = with_derived(
-    f"select event_id as id, arg_min(node, o) as node, round(arg_min(m, o),3) as m from (select *, (m > 150, case when m <= 150 then -rank else 0 end, m, node) as o from (select event_id, p.id as node, boost as rank, {hav('fixes.lng', 'fixes.lat', 'p.lng', 'p.lat')} as m from fixes, (select * from places where kind <> 'poi') p where event_id < 400) where m <= 5000) group by event_id"
+    f"select event_id as id, arg_min(node, o) as node, round(arg_min(m, o),3) as m from (select *, (m > 150, case when m <= 150 then -rank else 0 end, m, node) as o from (select event_id, p.id as node, boost as rank, {hav('fixes.lng', 'fixes.lat', 'p.lng', 'p.lat')} as m from fixes, (select * from places where kind <> 'poi') p) where m <= 5000) group by event_id"
 )
 
 
-def _components(spark, sf_dir, of="true"):
+def _components(spark, sf_dir):
     checkpointed(spark)
-    ways = derived(spark, sf_dir, "ways").where(of)
+    ways = derived(spark, sf_dir, "ways")
     nodes = ways.select(F.explode(F.array("f", "t")).alias("node")).distinct()
     return graph.components(ways.select(C("f").alias("src"), C("t").alias("dst")), nodes)
 
 
-QUERIES["grf10_components"] = lambda spark, sf_dir: _components(spark, sf_dir, "cls = 'motorway'")
+QUERIES["grf10_components"] = _components
 QUERIES["grf10_components_whole"] = _components
 ORACLE_SQL["grf10_components"] = with_derived(
-    "select node, component, count(*) over (partition by component) as size from (with recursive e as (select f as a, t as b from ways where cls='motorway' union all select t, f from ways where cls='motorway'), cc(node, component) using key (node) as (select distinct a, a from e union select e.b, min(c.component) from cc c join e on c.node = e.a join recurring.cc r on r.node = e.b where c.component < r.component group by e.b) select node, component from cc)"
+    "select node, component, count(*) over (partition by component) as size from (with recursive e as (select f as a, t as b from ways union all select t, f from ways), cc(node, component) using key (node) as (select distinct a, a from e union select e.b, min(c.component) from cc c join e on c.node = e.a join recurring.cc r on r.node = e.b where c.component < r.component group by e.b) select node, component from cc)"
 )
 _SSSP = f"(with recursive e as (select src, dst, min({COST}) as cost from {EDGES} group by src, dst), d(node, cost) using key (node) as (select cast(0 as bigint), cast(0 as double) union select e.dst, min(d.cost + e.cost) from d join e on d.node = e.src left join recurring.d r on r.node = e.dst where r.node is null or d.cost + e.cost < r.cost - 1e-9 group by e.dst) select node, cost from d)"
 
@@ -90,9 +90,9 @@ def _costs(spark, sf_dir, targets):
     return _paths(spark, sf_dir, targets).where("reason is null").select("id", F.round("cost", 4).alias("cost"))
 
 
-QUERIES["grf8_shortest_paths"] = lambda spark, sf_dir: _costs(spark, sf_dir, spark.range(0, 200))
-QUERIES["grf8_shortest_paths_whole"] = lambda spark, sf_dir: _costs(spark, sf_dir, _nodes(spark, sf_dir))
-ORACLE_SQL["grf8_shortest_paths"] = with_derived(f"select node as id, round(cost,4) as cost from {_SSSP} where node < 200")
+QUERIES["grf8_shortest_paths"] = lambda spark, sf_dir: _costs(spark, sf_dir, _nodes(spark, sf_dir))
+QUERIES["grf8_shortest_paths_whole"] = QUERIES["grf8_shortest_paths"]
+ORACLE_SQL["grf8_shortest_paths"] = with_derived(f"select node as id, round(cost,4) as cost from {_SSSP}")
 
 
 def _steps(spark, sf_dir):

@@ -161,7 +161,7 @@ def announced(d, route, steps):
 
 _ANNOUNCED = f"(select trip_id, min(ts) as ts, arg_min(event_id, (ts, event_id)) as event_id, next_step, milestone from (select *, cast(case when next_step < 3 then (case when to_step_m<=200 then 200 when to_step_m<=800 then 800 when to_step_m<=2000 then 2000 end) when to_step_m<=300 then 300 end as int) as milestone from {_LINE_NAV} where not off) where milestone is not null group by trip_id, next_step, milestone)"
 register("str7_voice_milestones", lambda d: announced(d, LINE, LINE_STEPS), f"select trip_id, ts, event_id, next_step, milestone from {_ANNOUNCED}")
-QUERIES["str7_voice_milestones_whole"] = QUERIES["str7_voice_milestones"]
+register("str7_voice_milestones_whole", lambda d: announced(d, ROUTE, STEPS).select("trip_id", "next_step", "milestone"))
 # Every fix says something, on a clock so fast that some come too soon; every eighth interrupts.
 _SAID_MS = lambda: F.floor(F.unix_millis(C("ts").cast("timestamp")) / 20_000)
 

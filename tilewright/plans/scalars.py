@@ -116,8 +116,8 @@ def _circle(d):
 register("geo17_circle_whole", "fixes", _circle)
 register(
     "geo17_circle", "fixes",
-    lambda d: _circle(d.where("event_id < 500")),
-    "select event_id, i, round(lng + least(accuracy,300)/(111320*greatest(0.1,cos(radians(lat))))*cos(radians((i%24)*15)),8) as lng, round(lat + least(accuracy,300)/111320*sin(radians((i%24)*15)),8) as lat from fixes, range(25) r(i) where event_id < 500",
+    _circle,
+    "select event_id, i, round(lng + least(accuracy,300)/(111320*greatest(0.1,cos(radians(lat))))*cos(radians((i%24)*15)),8) as lng, round(lat + least(accuracy,300)/111320*sin(radians((i%24)*15)),8) as lat from fixes, range(25) r(i)",
 )
 
 # Tiles
@@ -138,8 +138,8 @@ def _in_bbox(d):
 register("til6_tiles_in_bbox_whole", "fixes", _in_bbox)
 register(
     "til6_tiles_in_bbox", "fixes",
-    lambda d: _in_bbox(d.where("event_id < 300")),
-    f"select event_id, cast(x as int) as x, cast(y as int) as y from (select event_id, unnest(range({tx('lng-0.05', 13)}, {tx('lng+0.05', 13)}+1)) as x, lat from fixes where event_id < 300), lateral (select unnest(range({ty('lat+0.05', 13)}, {ty('lat-0.05', 13)}+1)) as y)",
+    _in_bbox,
+    f"select event_id, cast(x as int) as x, cast(y as int) as y from (select event_id, unnest(range({tx('lng-0.05', 13)}, {tx('lng+0.05', 13)}+1)) as x, lat from fixes), lateral (select unnest(range({ty('lat+0.05', 13)}, {ty('lat-0.05', 13)}+1)) as y)",
 )
 register("til7_metres_per_pixel", "fixes", lambda d: d.select("event_id", *rounded(("m", tiles.metres_per_pixel(Z(), C("lat")), 6))), f"select event_id, round(156543.03392*cos(radians(lat))/pow(2,{_Z}),6) as m from fixes")
 register(

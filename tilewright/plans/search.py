@@ -33,8 +33,8 @@ r = lambda c: F.round(c, 6).alias("score")
 register("sea4_score", lambda d: d.select("id", r(search.score("s", CENTER))), f"select id, round({score_sql('s')},6) as score from places")
 for _i, _q in enumerate(("s", "an", "supplier#00000")):
     register(f"sea5_search_{_i}", lambda d, _q=_q: search.search(d, _q, CENTER).select("id", "name", r(C("score"))), f"select id, name, round(s,6) as score from (select id, name, {score_sql(_q)} as s from {found_sql(_q)}) order by s desc, id limit 12")
-register("srt1_index_order_whole", lambda d: d.select("id", F.lower("name").alias("norm")).orderBy("norm", "id"))
-register("srt1_index_order", lambda d: d.select("id", F.lower("name").alias("norm")).orderBy("norm", "id").limit(1000), "select id, lower(name) as norm from places order by norm, id limit 1000")
+register("srt1_index_order", lambda d: d.select("id", F.lower("name").alias("norm")).orderBy("norm", "id"), "select id, lower(name) as norm from places order by norm, id")
+QUERIES["srt1_index_order_whole"] = QUERIES["srt1_index_order"]
 register("srt3_top_k", lambda d: d.orderBy(F.desc(search.score("s", CENTER)), "id").limit(12).select("id"), f"select id from places order by {score_sql('s')} desc, id limit 12")
 register("srt4_merge_limit", lambda d: d.orderBy("id").limit(14).select("id"), "select id from places order by id limit 14")
 register("set3_substring_fallback", lambda d: search.candidates(d, "an", 12).select("id"), f"select id from {found_sql('an')}")

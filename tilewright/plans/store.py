@@ -42,8 +42,8 @@ register("snk5_delete_area", lambda d: store.delete_area(d, store.areas(d), "are
 register("snk7_touch", lambda d: d.groupBy("k").agg(F.max("last_access").alias("last_access")), "select k, max(last_access) as last_access from tiles group by k")
 register("src7_cache_first", lambda d: store.cache_first(_KEYS(d), d), "select k, max(size) as size, max(size) > 0 as hit from tiles where x%2=0 group by k")
 register("src9_bulk_read", lambda d: d.join(_KEYS(d), "k", "left_semi").groupBy("k").count(), "select k, count(*) as count from tiles where x%2=0 group by k")
-register("srt5_lru_order_whole", lambda d: d.where(SMART()).orderBy("last_access", "tile_id").select("tile_id"))
-register("srt5_lru_order", lambda d: d.where(SMART()).orderBy("last_access", "tile_id").limit(500).select("tile_id"), "select tile_id from tiles where tier='smart' order by last_access, tile_id limit 500")
+register("srt5_lru_order", lambda d: d.where(SMART()).orderBy("last_access", "tile_id").select("tile_id"), "select tile_id from tiles where tier='smart' order by last_access, tile_id")
+QUERIES["srt5_lru_order_whole"] = QUERIES["srt5_lru_order"]
 _EVICT = "(select *, coalesce(sum(size) over (order by last_access, tile_id rows between unbounded preceding and 1 preceding),0) as before, {used} as used from tiles where tier='smart'{where})"
 _USED = "(select sum(size) from tiles where tier='smart')"
 register("win7_eviction_prefix", lambda d: store.evict(d, BUDGET).select("tile_id"), f"select tile_id from {_EVICT.format(used=_USED, where='')} where used > floor(0.9*{BUDGET}) and used - before > floor(0.9*{BUDGET})")
