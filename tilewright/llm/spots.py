@@ -2,15 +2,20 @@
 
 A common word (an anchor) and the next two content words after it make a signature; a
 fingerprint is the set of a text's signatures. The pattern reads anchors by a lookahead,
-so chains may overlap. Near documents are found within ranges of set length, by shared
-signatures, and compared through Jaccard that stops where lengths rule the threshold out."""
+so chains may overlap. near_pairs() finds near documents within ranges of set length, by
+the signatures that are rarest in each, and works out the Jaccard only of pairs that
+lengths and places leave over. digest() compares given pairs and needs no search."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.llm.common import scratch
+
 # Words after which a chain begins, and the further common words that chains skip (en, fr, de, es).
 ANCHORS = "is was that are this est dans pour qui une ist und mit von auf es los del para con".split()
 SKIPPED = (
@@ -21,8 +26,8 @@ SKIPPED = (
 ).split()
 
 CHAIN = 2
-#: Ids to a block when the next id is sought; three levels of blocks hold 4096 ** 3 ids.
-BLOCK = 4096
+#: Counters of the sketch of signature counts; their number is fixed, more only save work.
+SLOTS = 1 << 14
 
 
 def _pattern() -> str:
@@ -66,20 +71,16 @@ def likeness(a: Column, b: Column) -> Column:
 def successors(ids: DataFrame, col: str, carry: list[str]) -> DataFrame:
     """ids (distinct, not null) with the next larger id and its `carry` columns, null for the largest.
 
-    Windows run over blocks of at most BLOCK neighbouring ids, then over the blocks' first ids, and so on: no task
-    gets more than a block, but for gaps that widen it (ids are dealt by value) and the last few."""
-
-    def lead(df: DataFrame, depth: int) -> DataFrame:
-        nexts = [F.lead(c).over(w).alias(f"next_{c}") for w in [Window.partitionBy("_b").orderBy(col)] for c in (col, *carry)]
-        inner = df.withColumn("_b", F.floor(F.col(col) / BLOCK**depth))
-        led = inner.select("*", *nexts)
-        if depth == 3:
-            return inner.select("*", *[F.lead(c).over(Window.orderBy(col)).alias(f"next_{c}") for c in (col, *carry)]).drop("_b")
-        firsts = inner.groupBy("_b").agg(F.min_by(F.struct(col, *carry), col).alias("_f")).select("_f.*")
-        after = lead(firsts, depth + 1).select(F.floor(F.col(col) / BLOCK**depth).alias("_b"), *[F.col(f"next_{c}").alias(f"_next_{c}") for c in (col, *carry)])
-        return led.join(after, "_b").select(col, *carry, *[F.coalesce(f"next_{c}", f"_next_{c}").alias(f"next_{c}") for c in (col, *carry)])
-
-    return lead(ids.select(col, *carry), 1)
+    Ids are dealt out in ranges of their order, as many as there are shuffle partitions, however sparse they are; the
+    first id of each range, a row a range, then goes to the range before."""
+    spark = ids.sparkSession
+    ranges = ids.select(col, *carry).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), col)
+    dealt, _ = scratch(ranges.withColumn("_p", F.spark_partition_id()), "spots-order")
+    w = Window.partitionBy("_p").orderBy(col)
+    led = dealt.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in (col, *carry)])
+    firsts = dealt.groupBy("_p").agg(F.min_by(F.struct(col, *carry), col).alias("_f"))
+    after = firsts.select("_p", F.lead("_f").over(Window.orderBy("_p")).alias("_f"))
+    return led.join(F.broadcast(after), "_p").select(col, *carry, *[F.coalesce(f"next_{c}", f"_f.{c}").alias(f"next_{c}") for c in (col, *carry)])
 
 
 def digest(df: DataFrame) -> DataFrame:
@@ -111,19 +112,32 @@ def digest(df: DataFrame) -> DataFrame:
     return both.select("doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 
+def _levels(sets: DataFrame) -> Column:
+    """By slot of a signature's hash: log2 of how many sets hold signatures of that slot, as a literal array."""
+    counts = sets.select(F.explode("sigs").alias("s")).groupBy(F.pmod("s", F.lit(SLOTS)).alias("slot")).agg(F.ceil(F.log2(F.count("*") + 1)).alias("n"))
+    found = {r.slot: r.n for r in counts.collect()}  # SLOTS rows at most
+    return F.from_json(F.lit(json.dumps([int(found.get(i, 0)) for i in range(SLOTS)])), "array<int>")
+
+
 def near_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """(fingerprint_id, near_id, likeness) of distinct fingerprints with Jaccard >= threshold > 0.
 
     Sets are dealt into ranges of length in which the longest is 1 / threshold times the shortest, so that a near set
-    is in the same range or the next; within a range sets meet on a signature of their prefixes. Copies of a set fold
-    into one id first (see members), so that a large group of copies makes no pairs."""
-    sets = members(df, id_col, text_col).select("fingerprint_id", "sigs").dropDuplicates(["fingerprint_id"]).withColumn("len", F.size("sigs")).where("len > 0")
+    is in the same range or the next; within a range sets meet on a signature of their prefixes, rare signatures first by
+    a sketch of all. A pair is given up where lengths, or the places at which a shared signature stands, leave it too
+    little to share. Copies of a set fold into one id first (see members), so that a large group of copies makes no
+    pairs; different sets that are all near each other make all theirs, which are rows of the result."""
+    sets, _ = scratch(members(df, id_col, text_col).select("fingerprint_id", "sigs").dropDuplicates(["fingerprint_id"]).withColumn("len", F.size("sigs")).where("len > 0"), "spots-sets")
+    levels = _levels(sets)
     part = F.floor(F.log("len") / F.log(F.lit(1 / threshold))).cast("int")
     prefix = (F.col("len") - F.ceil(F.col("len") * threshold) + 1).cast("int")
-    keyed = sets.select("fingerprint_id", "len", part.alias("part"), F.explode(F.slice("sigs", F.lit(1), prefix)).alias("sig"))
-    x = keyed.select(F.col("fingerprint_id").alias("a"), F.col("len").alias("la"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "sig", F.col("part").alias("pa"))
-    y = keyed.select(F.col("fingerprint_id").alias("b"), F.col("len").alias("lb"), "part", "sig")
-    pairs = x.join(y, ["part", "sig"]).where((F.least("la", "lb") >= threshold * F.greatest("la", "lb")) & ((F.col("part") > F.col("pa")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    ordered = F.sort_array(F.transform("sigs", lambda s: F.struct(F.get(levels, F.pmod(s, F.lit(SLOTS)).cast("int")).alias("level"), s.alias("sig"))))
+    keyed = sets.select("fingerprint_id", "len", part.alias("part"), F.posexplode(F.slice(ordered, F.lit(1), prefix)).alias("at", "e")).select("fingerprint_id", "len", "part", "at", "e.sig")
+    x = keyed.select(F.col("fingerprint_id").alias("a"), F.col("len").alias("la"), F.col("at").alias("i"), F.explode(F.array("part", F.col("part") + 1)).alias("part"), "sig", F.col("part").alias("pa"))
+    y = keyed.select(F.col("fingerprint_id").alias("b"), F.col("len").alias("lb"), F.col("at").alias("j"), "part", "sig")
+    most = F.least("i", "j") + 1 + F.least(F.col("la") - F.col("i"), F.col("lb") - F.col("j")) - 1
+    possible = (F.least("la", "lb") >= threshold * F.greatest("la", "lb")) & (most * (1 + threshold) >= threshold * (F.col("la") + F.col("lb")) - 1e-6)
+    pairs = x.join(y, ["part", "sig"]).where(possible & ((F.col("part") > F.col("pa")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
     sa, sb = sets.select(F.col("fingerprint_id").alias("a"), F.col("sigs").alias("sa")), sets.select(F.col("fingerprint_id").alias("b"), F.col("sigs").alias("sb"))
     scored = pairs.join(sa, "a").join(sb, "b").select(F.least("a", "b").alias("fingerprint_id"), F.greatest("a", "b").alias("near_id"), likeness(F.col("sa"), F.col("sb")).alias("likeness"))
     return scored.where(F.col("likeness") >= threshold)
