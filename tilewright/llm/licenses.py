@@ -2,8 +2,12 @@
 
 Every word k-gram hash of a text is joined with the positions of that k-gram in the
 license templates. Hits vote for (template, diagonal), the diagonal being text position
-minus template position; diagonals that lie near each other are merged (a word was put in
-or left out), and a merged span is verified against the template's length."""
+minus template position. Diagonals at most DRIFT apart are merged (words were put in, left
+out or changed), and the merged span is verified: the template's words that its k-grams
+cover, against the words of the template or of the span, whichever are more. Since its
+diagonals lie so near each other, a span is no longer than its template and DRIFT words,
+and keeps the template's order as far. Of spans that begin near each other the best counts,
+so that of licenses that differ in a word only the one that is meant is named."""
 
 from __future__ import annotations
 
@@ -19,10 +23,10 @@ from pyspark.sql.window import Window
 from tilewright.llm.wordhash import ALNUM_SEPARATORS, Tokenizer, chunks
 
 K = 3
-#: Diagonals this far apart belong to one span.
-NEAR = 4
-#: Share of a template's k-grams that a span must hold.
-LEAST = 0.7
+#: Diagonals this far apart belong to one span; spans that begin so near each other are rivals.
+DRIFT = 8
+#: Share of the words that a span must hold.
+LEAST = 0.8
 
 # Phrases that name a license, with their labels.
 PHRASES = {
@@ -42,6 +46,18 @@ TEMPLATES = [
     ("cc-by-sa", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc-by-nc", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("gfdl", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License"),
+    ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nd", "licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc0", "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work."),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software"),
+    ("epl-2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("eupl-1.2", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance with the Licence."),
+    ("mit-warranty", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("proprietary", "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any form or by any means"),
 ]
 
@@ -100,28 +116,30 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def spans(hits: DataFrame, key: str) -> DataFrame:
-    """From (key, n, template, label, exact, n_grams, pos, tpos), n being the copies of a row: the verified spans
-    (key, label, exact, first, score). A phrase's span is a diagonal that all its k-grams vote for; a template's
-    is a run of diagonals at most NEAR apart that together hold LEAST of its k-grams."""
+    """From (key, template, label, exact, n_grams, pos, tpos): the verified spans (key, label, exact, first, end, score),
+    words first to end. A phrase's span is a diagonal that all its k-grams vote for; a template's is what the diagonals
+    from one to DRIFT further hold together."""
     by = [key, "template", "label", "exact", "n_grams"]
     votes = hits.withColumn("diagonal", F.col("pos") - F.col("tpos")).groupBy(*by, "diagonal").agg(F.collect_set("tpos").alias("tposes"))
-    whole = votes.where(F.col("exact") & (F.size("tposes") == F.col("n_grams"))).select(key, "label", "exact", F.col("diagonal").alias("first"), F.lit(1.0).alias("score"))
-    w = Window.partitionBy(key, "template").orderBy("diagonal")
+    whole = votes.where(F.col("exact") & (F.size("tposes") == F.col("n_grams"))).select(key, "label", "exact", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n_grams") + K - 1).alias("end"), F.lit(1.0).alias("score"))
+    near = Window.partitionBy(key, "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    words = F.size(F.array_distinct(F.flatten(F.transform("held", lambda t: F.sequence(t, t + K - 1)))))
     merged = (
         votes.where(~F.col("exact"))
-        .withColumn("new", (F.col("diagonal") - F.lag("diagonal").over(w) > NEAR).cast("int"))
-        .withColumn("span", F.sum(F.coalesce("new", F.lit(0))).over(w))
-        .groupBy(*by, "span")
-        .agg(F.min("diagonal").alias("first"), F.size(F.array_distinct(F.flatten(F.collect_list("tposes")))).alias("held"))
-        .withColumn("score", F.col("held") / F.col("n_grams"))
+        .withColumn("held", F.array_distinct(F.flatten(F.collect_list("tposes").over(near))))
+        .withColumn("first", F.min(F.col("diagonal") + F.array_min("tposes")).over(near))
+        .withColumn("end", F.max(F.col("diagonal") + F.array_max("tposes") + K).over(near))
+        .withColumn("score", words / F.greatest(F.col("n_grams") + K - 1, F.col("end") - F.col("first")))
         .where(F.col("score") >= LEAST)
-        .select(key, "label", "exact", F.greatest("first", F.lit(0)).alias("first"), "score")
     )
-    return whole.unionByName(merged)
+    rivals = Window.partitionBy(key).orderBy("first").rangeBetween(-DRIFT, DRIFT)
+    best = merged.withColumn("best", F.max("score").over(rivals)).where(F.col("score") == F.col("best"))
+    return whole.unionByName(best.select(key, "label", "exact", "first", "end", "score"))
 
 
 def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row for each row of df: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """One row for each row of df: id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans (label,
+    first word and end of the licenses' texts, comma-joined).
 
     Places and labels hang on a digest of the text, so repeated rows and null ids get their own rows and
     equal texts equal ones. Null and empty texts have no words. Other columns are not read."""
@@ -138,9 +156,10 @@ def scan(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataF
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max("score").alias("score"),
+        F.array_join(F.array_sort(F.collect_set(F.when(~F.col("exact"), F.concat_ws(":", "label", "first", "end")))), ",").alias("spans"),
     )
     return (
         df.select(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
         .join(labels, "_key", "left")
-        .select(id_col, "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+        .select(id_col, "n_words", F.coalesce("n_base", F.lit(0).cast("long")).alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("spans", F.lit("")).alias("spans"))
     )
