@@ -5,9 +5,9 @@ the level of one 8x8 block of a frame of 24x24 blocks (192x192 pixels), whose on
 coefficient is the DC at quantiser 8, so that a decoder's flat block is that byte exactly.
 The Huffman table gives category s a code of 9 - s bits; code and magnitude together
 always take 9 bits and the end-of-block code 1, so a block takes 10 bits and both
-directions run on whole arrays. read() follows the RIFF index and decodes the block
-levels of any baseline greyscale JPEG; tables such as ours take the array path, others
-the bitwise one."""
+directions run on whole arrays. frames() follows the RIFF index; decoded() gives the luma of any
+baseline frame, coefficients transformed back to pixels. Tables such as ours take the array
+path, others the bitwise one."""
 
 from __future__ import annotations
 
@@ -237,6 +237,7 @@ class _Head:
         h, v = self.parts[self.luma]
         self.across, self.down = -(-self.width * h // (8 * most_h)), -(-self.height * v // (8 * most_v))
         self.blocks = self.across * self.down
+        self.luma_height, self.luma_width = -(-self.height * v // most_v), -(-self.width * h // most_h)
         #: Of a unit of the scan, each block's component and tables; and the luma's blocks in it, across and down.
         alone = len(scanned) == 1
         self.unit = [(c, dc, ac) for c, dc, ac in scanned for _ in range(1 if alone else self.parts[c][0] * self.parts[c][1])]
@@ -248,9 +249,9 @@ class _Head:
 _OUR_DC = {(n, (1 << n) - 2): 9 - n for n in range(1, 10)}
 
 
-def _levels_bitwise(head: _Head, *scans: bytes) -> np.ndarray:
-    """Mean level of each luma block, for any Huffman tables: DC decoded, AC coefficients skipped over. The scans are
-    what lies between the restart markers."""
+def _coefficients(head: _Head, *scans: bytes) -> np.ndarray:
+    """(blocks, 64): the luma's coefficients in the order of the scan, by rows of blocks, for any Huffman tables. The
+    scans are what lies between the restart markers."""
     scan, at, left = b"", 0, list(scans[::-1])
 
     def take(n: int) -> int:
@@ -269,8 +270,12 @@ def _levels_bitwise(head: _Head, *scans: bytes) -> np.ndarray:
                 return table[n, code]
         raise ValueError("no such code")
 
+    def value(s: int) -> int:
+        v = take(s)
+        return v if v >> (s - 1) else v - (1 << s) + 1
+
     across, down = head.units
-    out, level = np.empty((down * head.v, across * head.h)), {}
+    out, level = np.zeros((down * head.v, across * head.h, 64), np.int64), {}
     for u in range(across * down):
         if u == 0 or head.restart and u % head.restart == 0:
             if not left:
@@ -278,23 +283,47 @@ def _levels_bitwise(head: _Head, *scans: bytes) -> np.ndarray:
             scan, at, level = left.pop(), 0, dict.fromkeys(head.parts, 0)
         y, x = divmod(u, across)
         for b, (part, dc, ac) in enumerate(head.unit):
+            own = out[y * head.v + b // head.h, x * head.h + b % head.h] if part == head.luma else None
             s = symbol(dc)
             if s:
-                v = take(s)
-                level[part] += v if v >> (s - 1) else v - (1 << s) + 1
-            if part == head.luma:
-                out[y * head.v + b // head.h, x * head.h + b % head.h] = level[part] * head.step[0] / 8 + 128
+                level[part] += value(s)
+            if own is not None:
+                own[0] = level[part]
             k = 1
             while k < 64:
                 r = symbol(ac)
                 if r == 0:
                     break
-                k += (r >> 4) + 1
-                take(r & 15)
-    out = out[: head.down, : head.across].ravel()
-    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+                k += r >> 4
+                if r & 15:
+                    v = value(r & 15)
+                    if own is not None and k < 64:
+                        own[k] = v
+                k += 1
+    return out[: head.down, : head.across].reshape(-1, 64)
+
+
+def _levels_bitwise(head: _Head, *scans: bytes) -> np.ndarray:
+    """Mean level of each luma block, which its DC coefficient is."""
+    mean = _coefficients(head, *scans)[:, 0] * head.step[0] / 8 + 128
+    return np.clip(np.floor(mean + 0.5), 0, 255).astype(np.uint8)
+
+
+#: The cosines of the transform: row u has those of frequency u at the eight places.
+_COSINES = np.array([[(0.5**0.5 if u == 0 else 1.0) / 2 * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def _pixels(head: _Head, *scans: bytes) -> np.ndarray:
+    """The luma as (height, width) levels: coefficients times their steps, transformed back."""
+    flat = np.zeros((head.blocks, 64))
+    flat[:, ZIGZAG] = _coefficients(head, *scans) * np.array(head.step)
+    blocks = _COSINES.T @ flat.reshape(-1, 8, 8) @ _COSINES + 128
+    whole = blocks.reshape(head.down, head.across, 8, 8).swapaxes(1, 2).reshape(head.down * 8, head.across * 8)
+    return np.clip(np.floor(whole[: head.luma_height, : head.luma_width] + 0.5), 0, 255).astype(np.uint8)
 
 
+#: What a file or frame that can't be read raises.
+UNREADABLE = (ValueError, IndexError, KeyError, struct.error)
 #: A marker that ends a scan; in a scan 0xFF is followed by 0 or by a restart marker.
 _SCAN_END = re.compile(rb"\xff[^\x00\xd0-\xd7\xff]", re.DOTALL)
 _RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
@@ -302,6 +331,19 @@ _RESTART = re.compile(rb"\xff+[\xd0-\xd7]")
 
 def levels(data: bytes, where: list[tuple[int, int]]) -> list[np.ndarray]:
     """Block levels of the frames; frames with the tables of write() are decoded together."""
+    return _frames_of(data, where, _levels_bitwise, None)
+
+
+def decoded(data: bytes, where: list[tuple[int, int]]) -> tuple[list[np.ndarray], list[int]]:
+    """(levels of the frames' luma, frames that can't be decoded): each frame's pixels, or of frames of write(), whose
+    blocks are flat, a level a block. What can't be decoded repeats the frame before; a ValueError if that is all."""
+    bad: list[int] = []
+    out = _frames_of(data, where, lambda head, *scans: _pixels(head, *scans).ravel(), bad)
+    return out, bad
+
+
+def _frames_of(data: bytes, where: list[tuple[int, int]], decode, bad: list[int] | None) -> list[np.ndarray]:
+    """decode(head, scans) of each frame; the numbers of those that fail go into bad, without which a failure is an error."""
     heads: dict[bytes, _Head] = {}
     out: list[np.ndarray | None] = [None] * len(where)
     packed, rows = [], []
@@ -309,17 +351,21 @@ def levels(data: bytes, where: list[tuple[int, int]]) -> list[np.ndarray]:
         if n == 0 and i:  # a dropped frame repeats the last
             continue
         jpeg = data[at : at + n]
-        begin = jpeg.index(b"\xff\xda")
-        key = jpeg[: begin + 2 + struct.unpack_from(">H", jpeg, begin + 2)[0]]
-        head = heads.get(key) or heads.setdefault(key, _Head(jpeg))
-        end = _SCAN_END.search(jpeg, head.scan_at)
-        scans = [x.replace(b"\xff\x00", b"\xff") for x in _RESTART.split(jpeg[head.scan_at : end.start() if end else n])]
-        scan = scans[0]
-        if head.fixed and len(scan) == head.blocks * 10 // 8:
-            packed.append(scan)
-            rows.append(i)
-        else:
-            out[i] = _levels_bitwise(head, *scans)
+        try:
+            begin = jpeg.index(b"\xff\xda")
+            key = jpeg[: begin + 2 + struct.unpack_from(">H", jpeg, begin + 2)[0]]
+            head = heads.get(key) or heads.setdefault(key, _Head(jpeg))
+            end = _SCAN_END.search(jpeg, head.scan_at)
+            scans = [x.replace(b"\xff\x00", b"\xff") for x in _RESTART.split(jpeg[head.scan_at : end.start() if end else n])]
+            if head.fixed and len(scans[0]) == head.blocks * 10 // 8:
+                packed.append(scans[0])
+                rows.append(i)
+            else:
+                out[i] = decode(head, *scans)
+        except UNREADABLE:
+            if bad is None:
+                raise
+            bad.append(i)
     for at in range(0, len(rows), 1024):
         own = packed[at : at + 1024]
         if len({len(x) for x in own}) > 1:
@@ -328,9 +374,11 @@ def levels(data: bytes, where: list[tuple[int, int]]) -> list[np.ndarray]:
         else:
             for i, x in zip(rows[at : at + 1024], _unpack(own), strict=True):
                 out[i] = x
+    if bad and len(bad) == len(where):
+        raise ValueError("no frame can be decoded")
+    last = next((x for x in out if x is not None), None)
     for i, x in enumerate(out):
-        if x is None:
-            out[i] = out[i - 1]
+        out[i] = last = last if x is None else x
     return out
 
 
@@ -379,43 +427,58 @@ def shots(hist: np.ndarray, window: int = 12, factor: float = 3.0, floor: float
 
 def clips_of(data: bytes) -> list[tuple[int, float, float, int, int]]:
     """(number, start s, end s, first frame, frames) of each shot of an AVI file."""
+    return _clips(data)[0]
+
+
+def _clips(data: bytes) -> tuple[list[tuple[int, float, float, int, int]], int]:
+    """clips_of(), and how many frames are unreadable."""
     fps, where = frames(data)
-    cuts = shots(histograms(levels(data, where)))
-    ends = [*cuts[1:], len(where)]
-    return [(i, a / fps, b / fps, a, b - a) for i, (a, b) in enumerate(zip(cuts, ends, strict=False))]
+    shown, bad = decoded(data, where)
+    return timed(shots(histograms(shown)), len(where), fps), len(bad)
+
+
+def timed(cuts: list[int], n: int, fps: float) -> list[tuple[int, float, float, int, int]]:
+    """(number, start s, end s, first frame, frames) of the shots that begin at cuts of n frames."""
+    return [(i, a / fps, b / fps, a, b - a) for i, (a, b) in enumerate(zip(cuts, [*cuts[1:], n], strict=False))]
 
 
 CLIP = "array<struct<clip:int,start_s:double,end_s:double,first_frame:int,n_frames:int>>"
 
 
 def detect_clips(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row for each shot: id, clip, start_s, end_s, first_frame, n_frames, error.
+    """One row for each shot: id, clip, start_s, end_s, first_frame, n_frames, error, bad_frames.
 
-    A null or unreadable file gives one row with error set and null clip columns; a file without
-    frames gives none. Repeated rows are each detected; other columns are not read."""
-    schema = pa.schema([("k", pa.string()), ("clips", pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("first_frame", pa.int32()), ("n_frames", pa.int32())]))), ("error", pa.string())])
+    A null or unreadable file, or one of unreadable frames only, gives one row with error set and null clip columns; a
+    file without frames gives none. An unreadable frame among others counts as the one before it again, and into
+    bad_frames. Repeated rows are each detected; other columns are not read."""
+    schema = pa.schema([("k", pa.string()), ("clips", pa.list_(pa.struct([("clip", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("first_frame", pa.int32()), ("n_frames", pa.int32())]))), ("error", pa.string()), ("bad_frames", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("clip", "start_s", "end_s", "first_frame", "n_frames")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part, got, errors = batch.slice(at, 64), [], []
+                part, got, errors, bads = batch.slice(at, 64), [], [], []
                 for data in part.column(1).to_pylist():
                     try:
-                        got.append([dict(zip(names, c, strict=True)) for c in clips_of(data or b"")])
+                        found, bad = _clips(data or b"")
+                        got.append([dict(zip(names, c, strict=True)) for c in found])
                         errors.append(None)
-                    except (ValueError, IndexError, KeyError, struct.error) as e:
+                        bads.append(bad)
+                    except UNREADABLE as e:
                         got.append([dict.fromkeys(names)])
                         errors.append(str(e) or type(e).__name__)
-                yield pa.RecordBatch.from_pydict({"k": part.column(0), "clips": got, "error": errors}, schema=schema)
+                        bads.append(None)
+                yield pa.RecordBatch.from_pydict({"k": part.column(0), "clips": got, "error": errors, "bad_frames": bads}, schema=schema)
 
-    rows = df.select(df[id_col].cast("string").alias("k"), df[media_col]).mapInArrow(run, f"k string, clips {CLIP}, error string")
-    return rows.select(F.col("k").cast(df.schema[id_col].dataType).alias(id_col), F.inline("clips"), "error")
+    rows = df.select(df[id_col].cast("string").alias("k"), df[media_col]).mapInArrow(run, f"k string, clips {CLIP}, error string, bad_frames int")
+    return rows.select(F.col("k").cast(df.schema[id_col].dataType).alias(id_col), F.inline("clips"), "error", "bad_frames")
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """Stores every text as a file, reads it back and returns what was read, with the features of its shots."""
-    types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_clips", pa.int64())]
+    """Stores every text as a file, reads it back and returns what was read, with the features of its shots and the shots
+    themselves, start and end in seconds. One row for each row of df: null texts are empty, null ids and repeated rows
+    get their own rows, and other columns are not read."""
+    types = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_clips", pa.int64()), ("clips", pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,7 +493,7 @@ def digest(df: DataFrame) -> DataFrame:
                     hist = histograms(got)
                     cuts = shots(hist)
                     feature = ",".join(str(c) for c in cuts) + "|" + ",".join(f"{x:.4f}" for x in hist.mean(axis=0))
-                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(cuts)))
+                    rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(cuts), ",".join(f"{a:.2f}-{b:.2f}" for _, a, b, _, _ in timed(cuts, len(got), fps))))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, (_, t) in zip(cols, types[1:], strict=True))], names=[n for n, _ in types])
 
