@@ -36,7 +36,7 @@ def brute(texts):
         n_et.update((e, w) for e, ws in with_e.items() for w in ws)
         n_t.update(set(TERM.findall(t.lower())))
     n = len(docs)
-    return {(e, t) for (e, t), c in n_et.items() if c >= pii.SUPPORT and n > n_e[e] and math.log(n * c / (n_e[e] * n_t[t])) >= pii.SHARE * math.log(n / n_e[e]) - 1e-12}
+    return {(e, t) for (e, t), c in n_et.items() if c >= min(pii.SUPPORT, n_e[e]) and n > n_e[e] and math.log(n * c / (n_e[e] * n_t[t])) >= pii.SHARE * math.log(n / n_e[e]) - 1e-12}
 
 
 @pytest.fixture(scope="module")

@@ -6,13 +6,17 @@ of different documents, all of them and exact: n(e) mention entity e, n(t) hold
 n(e,t) hold t within WINDOW characters of a mention of e, whatever lines they are on, and N
 is all. t discloses e as far as PMI(e; t) = ln(N n(e,t) / (n(e) n(t))) comes near the
 entity's information IC(e) = ln(N / n(e)), which it reaches when t never stands anywhere
-else. Terms with PMI >= SHARE * IC, and at least SUPPORT documents to say so, are spans of
-kind term in the documents that mention e: there the entity's own removal would not hide
-it. Documents without e keep the term. Equal texts are one document, so that copying a
-document proves nothing. Terms are generalised to what they are, a word or a number."""
+else. Terms with PMI >= SHARE * IC, and SUPPORT documents to say so, or all of e's where
+these are fewer, are spans of kind term in the documents that mention e: there the entity's
+own removal would not hide it. A word found next to an address and nowhere else in the
+corpus is such a term. Documents without e keep the term. Equal texts are one document, so
+that copying a document proves nothing. Terms are generalised to what they are, a word or a
+number."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,11 +25,11 @@ from tilewright.llm.common import scratch
 SHARE = 0.95
 SUPPORT = 2
 #: Code points on either side of an entity in which terms count as standing with it.
-WINDOW = 200
+WINDOW = 100
 #: One document in so many gives a lower bound of n(t), by which common terms are left out before exact counting.
 BOUND = 16
-#: Salts of the final join.
-SALTS = 16
+#: Bits of the filter through which terms pass that may be candidates; fixed, more only save work.
+FILTER_BITS = 1 << 20
 
 # The kinds in their order and what they look like. A lookbehind or \G (the last match's end) lets a
 # search that fails at the start of a run of characters not try again at each of them; what is found stays the same.
@@ -125,27 +129,41 @@ def _with_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _disclosing(docs: DataFrame, entities: DataFrame, share: float, support: int) -> DataFrame:
     """(entity, term) above the threshold, from the texts of docs (column t) and _with_entities of them."""
     pairs = entities.select("h", "pairs").dropDuplicates(["h"]).select(F.explode("pairs").alias("pair"))
-    counted = pairs.groupBy("pair").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    counted = pairs.groupBy("pair").agg(F.count("*").alias("n"))
     counted, _ = scratch(counted.select(F.substring_index("pair", "\n", 1).alias("entity"), F.substring_index("pair", "\n", -1).alias("term"), "n"), "pii-pairs")
     n_e = counted.where("term = ''").select("entity", F.col("n").alias("n_e"))
-    n_et = counted.where("term <> ''").join(n_e, "entity").withColumnRenamed("n", "n_et")
+    n_et = counted.where("term <> ''").join(n_e, "entity").withColumnRenamed("n", "n_et").where(F.col("n_et") >= F.least(F.lit(support), "n_e"))
     n = float(docs.select(F.md5("t")).distinct().count())
     # PMI >= share * IC says in how many documents a term may stand at most; a little more, for rounding.
     n_et, _ = scratch(n_et.withColumn("most", F.col("n_et") * F.pow(F.lit(n) / F.col("n_e"), 1 - share) * 1.000001), "pii-known")
     candidates = n_et.groupBy("term").agg(F.max("most").alias("most"))
     texts = docs.select(F.md5("t").alias("h"), "t")
 
-    def holders(texts: DataFrame, terms: DataFrame) -> DataFrame:
-        return texts.select("h", F.explode(_terms(F.col("t"))).alias("term")).join(terms, "term").groupBy("term", "most").agg(F.countDistinct("h").alias("n_t"))
+    def holders(texts: DataFrame, terms: DataFrame, found: Column) -> DataFrame:
+        return texts.select("h", F.explode(found).alias("term")).join(terms, "term").groupBy("term", "most").agg(F.countDistinct("h").alias("n_t"))
 
-    some = holders(texts.where(F.pmod(F.xxhash64("h"), F.lit(BOUND)) == 0), candidates)
+    some = holders(texts.where(F.pmod(F.xxhash64("h"), F.lit(BOUND)) == 0), candidates, _terms(F.col("t")))
     common = some.where(F.col("n_t") > F.col("most")).select("term")
     rare, _ = scratch(candidates.join(common, "term", "left_anti"), "pii-rare")
-    n_t = holders(texts, rare).select("term", "n_t")
+    n_t = holders(texts, rare, F.filter(_terms(F.col("t")), _may_be_in(rare))).select("term", "n_t")
     pmi, ic = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log(F.lit(n) / F.col("n_e"))
     return n_et.join(n_t, "term").where((pmi >= share * ic) & (ic > 0)).select("entity", "term")
 
 
+def _may_be_in(terms: DataFrame):
+    """A test that every one of the terms passes, and few others: bits by hash, FILTER_BITS of them, as a literal."""
+    slot = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
+    words = terms.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.bit_or(F.pow(F.lit(2.0), F.pmod(slot, F.lit(32))).cast("long")).alias("b"))
+    found = {r.w: r.b for r in words.collect()}  # FILTER_BITS / 32 rows at most
+    bits = F.from_json(F.lit(json.dumps([found.get(i, 0) for i in range(FILTER_BITS // 32)])), "array<bigint>")
+
+    def test(t: Column) -> Column:
+        own = F.pmod(F.xxhash64(t), F.lit(FILTER_BITS))
+        return F.get(bits, F.shiftright(own, 5).cast("int")).bitwiseAND(F.pow(F.lit(2.0), F.pmod(own, F.lit(32))).cast("long")) != 0
+
+    return test
+
+
 def disclosing(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
     """(entity, term) above the threshold, from the column text of docs; null texts count for nothing."""
     texts = docs.select(F.col("text").alias("t")).where(F.length("t") > 0)
