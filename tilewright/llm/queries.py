@@ -1,4 +1,4 @@
-"""The operators as registered queries: op1_ to op10_ and the pipeline."""
+"""The operators as registered queries: op1_ to op13_."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import avi, bpe, chat, licenses, near, packing, pages, pii, quality, spots
+from tilewright.llm import avi, bpe, chat, fim, licenses, near, packing, pages, pii, quality, spelling, spots, warc
 from tilewright.llm.common import table
 
 
@@ -60,6 +60,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(conversations.unionByName(extra))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_avi": op1_avi,
     "op2_pages": op2_pages,
@@ -71,5 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_spots": op9_spots,
     "op10_chat": op10_chat,
+    "op11_warc": op11_warc,
+    "op12_fim": op12_fim,
+    "op13_spelling": op13_spelling,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_warc": warc.ORACLE, "op12_fim": fim.ORACLE, "op13_spelling": spelling.ORACLE}
