@@ -52,3 +52,19 @@ def test_em_and_posteriors_against_brute_force():
         again.append(good / (good + bad))
     assert np.abs(np.array([posterior[c] for c in codes]) - again).max() < 1e-3
     assert abs(np.mean(again) - prior) < 2e-2
+
+
+def test_names_that_clash_inside_the_stages(spark):
+    """Columns named like the stages' own, with dots and backticks, and of types without an order."""
+    a = f"{WORDS} and so on until the end of it, mail me: some.one@mail.org"
+    schema = "doc_id long, text string, _id string, _h long, `a.b` int, `c``d` string, rest map<string,int>, `order` struct<m: map<string,int>>, id array<map<string,int>>, t binary, row int, n_chars int, component_id int"
+    rows = [(i, f"{a} {i // 2}" if i < 6 else None, "x", i % 2, i, "y", {"k": i}, ({"k": 1},), [{"k": 2}], b"b", 1, 3, 4) for i in (0, 1, 2, 2, 3, 4, 5, 6, 6)]
+    df = spark.createDataFrame(rows, schema)
+    for stage in (corpus_pipeline.classify, corpus_pipeline.deduplicate, corpus_pipeline.remove_personal_data):
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and out.schema == df.schema
+        assert len(out.collect()) == {"classify": 0, "deduplicate": 2, "remove_personal_data": len(rows)}.get(stage.__name__) or stage is corpus_pipeline.classify
+    got = corpus_pipeline.deduplicate(spark, df, SF).orderBy("doc_id").collect()
+    assert [(r.doc_id, r["a.b"], r["c`d"], r.rest, r.order.m, r.id) for r in got] == [(0, 0, "y", {"k": 0}, {"k": 1}, [{"k": 2}]), (6, 6, "y", {"k": 6}, {"k": 1}, [{"k": 2}])]
+    assert all("@" not in (r.text or "") for r in corpus_pipeline.remove_personal_data(spark, df, SF).collect())
+    assert corpus_pipeline.pack(spark, df, SF).count() == len(rows)

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as it stands in expressions, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir; set here only where unset, on a local master."""
     got = spark.conf.get("spark.checkpoint.dir", None)

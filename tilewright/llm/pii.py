@@ -1,26 +1,26 @@
 """Information-theoretic sanitisation, in DataFrame functions only.
 
 Patterns find the protected entities (mail addresses, IP addresses, card and phone
-numbers). Corpus co-occurrence then tells which other terms give an entity away. Counts are
-of different documents, all of them and exact: n(e) mention entity e, n(t) hold term t,
-n(e,t) hold t within WINDOW characters of a mention of e, whatever lines they are on, and N
-is all. t discloses e as far as PMI(e; t) = ln(N n(e,t) / (n(e) n(t))) comes near the
-entity's information IC(e) = ln(N / n(e)), which it reaches when t never stands anywhere
-else. Terms with PMI >= SHARE * IC, and SUPPORT documents to say so, or all of e's where
-these are fewer, are spans of kind term in the documents that mention e: there the entity's
-own removal would not hide it. A word found next to an address and nowhere else in the
-corpus is such a term. Documents without e keep the term. Equal texts are one document, so
-that copying a document proves nothing. Terms are generalised to what they are, a word or a
-number."""
+numbers). An entity counts for itself and for its group: the addresses of a mail host, of a
+/16 network, the cards of an issuer, the numbers of an area. Corpus co-occurrence then tells
+which other terms give an entity away. Counts are of different documents, all of them and
+exact: n(e) mention entity e, n(t) hold term t, n(e,t) hold t within WINDOW characters of a
+mention of e, whatever lines they are on, and N is all. t discloses e as far as PMI(e; t) =
+ln(N n(e,t) / (n(e) n(t))) comes near the entity's information IC(e) = ln(N / n(e)), which it
+reaches when t never stands anywhere else. Terms with PMI >= SHARE * IC that SUPPORT different
+documents have so are spans of kind term in the documents that mention e: there the entity's
+own removal would not hide it. One document proves nothing, however rare its words are.
+Documents without e keep the term. Equal texts are one document, so that copying a document
+proves nothing either; near copies are different documents, unless they have been removed
+before, as in the pipeline. Terms are generalised to what they are: a number or a term, or by
+class a number, a code of letters and digits, a name (a capital first) or another term."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import scratch
+from tilewright.llm.common import quoted, scratch
 
 SHARE = 0.95
 SUPPORT = 2
@@ -28,8 +28,8 @@ SUPPORT = 2
 WINDOW = 100
 #: One document in so many gives a lower bound of n(t), by which common terms are left out before exact counting.
 BOUND = 16
-#: Bits of the filter through which terms pass that may be candidates; fixed, more only save work.
-FILTER_BITS = 1 << 20
+#: So many terms are sent to every task; more are joined by exchange.
+SENT = 100_000
 
 # The kinds in their order and what they look like. A lookbehind or \G (the last match's end) lets a
 # search that fails at the start of a run of characters not try again at each of them; what is found stays the same.
@@ -94,22 +94,33 @@ def entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"].cast("string"), F.lower(span["value"]))
 
 
+def keys_of(span: Column) -> Column:
+    """Keys of an entity and of its group."""
+    digits = F.regexp_replace(span["value"], "[^0-9]", "")
+    host = F.concat(F.lit("@"), F.substring_index(F.lower(span["value"]), "@", -1))
+    net = F.concat(F.substring_index(span["value"], ".", 2), F.lit(".*"))
+    issuer, area = F.concat(F.substring(digits, 1, 6), F.lit("*")), F.concat(F.lit("+"), F.substring(digits, F.lit(1), F.length(digits) - 7), F.lit("*"))
+    group = F.when(span["kind"] == 0, host).when(span["kind"] == 1, net).when(span["kind"] == 2, issuer).otherwise(area)
+    return F.array(entity(span), F.concat_ws(":", span["kind"].cast("string"), F.concat(F.lit("~"), group)))
+
+
 def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0)))
 
 
 def _standing_with(text: Column, base: Column) -> Column:
-    """Distinct "entity\nterm" of a text, and "entity\n" for each entity: terms in the window of a mention, without
-    words that its ends cut."""
+    r"""Distinct "entity\nterm" of a text, and "entity\n" for each entity, and likewise for its group: terms in the window
+    of a mention, without words that its ends cut."""
     def near(s: Column) -> Column:
         start = F.greatest(s["start"] - WINDOW - 1, F.lit(0))
         before = F.substring(text, (start + 1).cast("int"), (s["start"] - start).cast("int"))
         before = F.when(start > 0, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
         after = F.substring(text, (s["end"] + 1).cast("int"), F.lit(WINDOW + 1))
         after = F.when(s["end"] + WINDOW + 1 < F.length(text), F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
-        return F.transform(F.concat(F.array(F.lit("")), _terms(F.concat_ws(" ", before, after))), lambda t: F.concat(entity(s), F.lit("\n"), t))
+        terms = F.concat(F.array(F.lit("")), _terms(F.concat_ws(" ", before, after)))
+        return F.transform(terms, lambda t: F.transform(keys_of(s), lambda e: F.concat(e, F.lit("\n"), t)))
 
-    return F.array_distinct(F.flatten(F.transform(base, near)))
+    return F.array_distinct(F.flatten(F.flatten(F.transform(base, near))))
 
 
 def _key(text: str, id_col: str) -> Column:
@@ -126,61 +137,55 @@ def _with_entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return scratch(found.dropDuplicates(["k"]), "pii-entities")[0]
 
 
-def _disclosing(docs: DataFrame, entities: DataFrame, share: float, support: int) -> DataFrame:
+def _disclosing(docs: DataFrame, entities: DataFrame, share: float, support: int, groups: bool) -> DataFrame:
     """(entity, term) above the threshold, from the texts of docs (column t) and _with_entities of them."""
     pairs = entities.select("h", "pairs").dropDuplicates(["h"]).select(F.explode("pairs").alias("pair"))
     counted = pairs.groupBy("pair").agg(F.count("*").alias("n"))
     counted, _ = scratch(counted.select(F.substring_index("pair", "\n", 1).alias("entity"), F.substring_index("pair", "\n", -1).alias("term"), "n"), "pii-pairs")
+    counted = counted if groups else counted.where(~F.col("entity").rlike("^[0-9]:~"))
     n_e = counted.where("term = ''").select("entity", F.col("n").alias("n_e"))
-    n_et = counted.where("term <> ''").join(n_e, "entity").withColumnRenamed("n", "n_et").where(F.col("n_et") >= F.least(F.lit(support), "n_e"))
+    n_et = counted.where((F.col("term") != "") & (F.col("n") >= support)).select("entity", "term", F.col("n").alias("n_et")).join(n_e, "entity")
     n = float(docs.select(F.md5("t")).distinct().count())
     # PMI >= share * IC says in how many documents a term may stand at most; a little more, for rounding.
     n_et, _ = scratch(n_et.withColumn("most", F.col("n_et") * F.pow(F.lit(n) / F.col("n_e"), 1 - share) * 1.000001), "pii-known")
-    candidates = n_et.groupBy("term").agg(F.max("most").alias("most"))
+    candidates, _ = scratch(n_et.groupBy("term").agg(F.max("most").alias("most")), "pii-candidates")
     texts = docs.select(F.md5("t").alias("h"), "t")
 
-    def holders(texts: DataFrame, terms: DataFrame, found: Column) -> DataFrame:
-        return texts.select("h", F.explode(found).alias("term")).join(terms, "term").groupBy("term", "most").agg(F.countDistinct("h").alias("n_t"))
+    def holders(texts: DataFrame, terms: DataFrame) -> DataFrame:
+        held = texts.select("h", F.explode(_terms(F.col("t"))).alias("term")).join(_sent(terms), "term")
+        return held.groupBy("term", "most").agg(F.countDistinct("h").alias("n_t"))
 
-    some = holders(texts.where(F.pmod(F.xxhash64("h"), F.lit(BOUND)) == 0), candidates, _terms(F.col("t")))
+    some = holders(texts.where(F.pmod(F.xxhash64("h"), F.lit(BOUND)) == 0), candidates)
     common = some.where(F.col("n_t") > F.col("most")).select("term")
     rare, _ = scratch(candidates.join(common, "term", "left_anti"), "pii-rare")
-    n_t = holders(texts, rare, F.filter(_terms(F.col("t")), _may_be_in(rare))).select("term", "n_t")
+    n_t = holders(texts, rare).select("term", "n_t")
     pmi, ic = F.log(F.lit(n) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))), F.log(F.lit(n) / F.col("n_e"))
     return n_et.join(n_t, "term").where((pmi >= share * ic) & (ic > 0)).select("entity", "term")
 
 
-def _may_be_in(terms: DataFrame):
-    """A test that every one of the terms passes, and few others: bits by hash, FILTER_BITS of them, as a literal."""
-    slot = F.pmod(F.xxhash64("term"), F.lit(FILTER_BITS))
-    words = terms.groupBy(F.shiftright(slot, 5).alias("w")).agg(F.bit_or(F.pow(F.lit(2.0), F.pmod(slot, F.lit(32))).cast("long")).alias("b"))
-    found = {r.w: r.b for r in words.collect()}  # FILTER_BITS / 32 rows at most
-    bits = F.from_json(F.lit(json.dumps([found.get(i, 0) for i in range(FILTER_BITS // 32)])), "array<bigint>")
-
-    def test(t: Column) -> Column:
-        own = F.pmod(F.xxhash64(t), F.lit(FILTER_BITS))
-        return F.get(bits, F.shiftright(own, 5).cast("int")).bitwiseAND(F.pow(F.lit(2.0), F.pmod(own, F.lit(32))).cast("long")) != 0
-
-    return test
+def _sent(small: DataFrame) -> DataFrame:
+    """A written table, for a join: sent to every task only if it has few rows."""
+    return F.broadcast(small) if small.count() <= SENT else small
 
 
-def disclosing(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """(entity, term) above the threshold, from the column text of docs; null texts count for nothing."""
+def disclosing(docs: DataFrame, share: float = SHARE, support: int = SUPPORT, groups: bool = False) -> DataFrame:
+    """(entity, term) above the threshold, from the column text of docs, of entities alone or of their groups too; null
+    texts count for nothing."""
     texts = docs.select(F.col("text").alias("t")).where(F.length("t") > 0)
-    return _disclosing(texts, _with_entities(texts.withColumn("i", F.lit(0)), "i", "t"), share, support)
+    return _disclosing(texts, _with_entities(texts.withColumn("i", F.lit(0)), "i", "t"), share, support, groups)
 
 
 def _with_spans(df: DataFrame, id_col: str, text_col: str, share: float, support: int) -> DataFrame:
     """(row, t, base, spans): each row of df as a struct, its text (null: empty), its spans by start and kind."""
     texts = df.select(F.col(text_col).alias("t")).where(F.length("t") > 0)
     entities = _with_entities(df, id_col, text_col)
-    known, _ = scratch(_disclosing(texts, entities, share, support).select("entity", "term", F.xxhash64("term").alias("token")), "pii-terms")
+    known, _ = scratch(_disclosing(texts, entities, share, support, True).select("entity", "term", F.xxhash64("term").alias("token")), "pii-terms")
     # A row's own terms among the known ones, then those whose entity is the row's too.
-    held = entities.select("k", F.explode("tokens").alias("token")).join(known, "token").select("k", "entity", "term")
-    own = entities.select("k", F.explode(F.array_distinct(F.transform("base", entity))).alias("entity"))
+    held = entities.select("k", F.explode("tokens").alias("token")).join(_sent(known), "token").select("k", "entity", "term")
+    own = entities.select("k", F.explode(F.array_distinct(F.flatten(F.transform("base", keys_of)))).alias("entity"))
     terms = held.join(own, ["k", "entity"]).groupBy("k").agg(F.array_sort(F.collect_set("term")).alias("terms"))
     found, _ = scratch(entities.select("k", "base").join(terms, "k", "left"), "pii-found")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), _key(text_col, id_col).alias("k"))
+    rows = df.select(F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), _key(text_col, id_col).alias("k"))
     # Texts with neither a digit nor an @ have no entities: they stay where they are.
     plain = rows.where(~F.col("t").rlike("[0-9@]")).select("row", "t", F.lit(None).cast(SPAN).alias("base"), F.lit(None).cast("array<string>").alias("terms"))
     joined = rows.where(F.col("t").rlike("[0-9@]")).join(found, "k", "left").select("row", "t", "base", "terms")
@@ -211,17 +216,19 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     Null and empty texts have no spans. Rows, ids and further columns stay as they are, repeated rows too; columns
     that are named base or spans already are replaced."""
     out = _with_spans(df, id_col, text_col, share, support)
-    return out.select(*[F.col(f"row.`{c}`") for c in df.columns if c.lower() not in ("base", "spans")], "base", "spans")
+    return out.select(*[F.col(f"row.{quoted(c)}") for c in df.columns if c.lower() not in ("base", "spans")], "base", "spans")
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to its kind in brackets; of spans that overlap the first names all."""
+def sanitised(text: Column, spans: Column, by_class: bool = False) -> Column:
+    """The text with each span generalised to its kind in brackets, terms to what they look like; of spans that overlap the
+    first names all."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        number = (s["kind"] == KINDS.index("term")) & s["value"].rlike(r"^\p{N}+$")
-        name = F.when(number, F.lit("[NUMBER]")).otherwise(F.element_at(names, s["kind"] + 1))
+        looks = [(r"^\p{N}+$", "[NUMBER]"), (r"\p{N}", "[CODE]"), (r"^\p{Lu}", "[NAME]")][: None if by_class else 1]
+        term = F.coalesce(*[F.when(s["value"].rlike(p), F.lit(name)) for p, name in looks], F.lit("[TERM]"))
+        name = F.when(s["kind"] == KINDS.index("term"), term).otherwise(F.element_at(names, s["kind"] + 1))
         more = F.concat(acc["out"], F.substring(text, acc["at"].cast("int") + 1, (s["start"] - acc["at"]).cast("int")), name)
         return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), more.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
@@ -229,11 +236,11 @@ def sanitised(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, rest).otherwise(text)
 
 
-def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT) -> DataFrame:
-    """df with its texts sanitised. Null texts stay null; rows, ids and all further columns stay, repeated rows too."""
+def sanitise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, support: int = SUPPORT, by_class: bool = False) -> DataFrame:
+    """df with its texts sanitised, terms by class if so asked. Null texts stay null; rows, ids and all further columns stay, repeated rows too."""
     out = _with_spans(df, id_col, text_col, share, support)
-    text = F.when(F.col(f"row.`{text_col}`").isNotNull(), sanitised(F.col("t"), F.col("spans")))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"row.`{c}`") for c in df.columns])
+    text = F.when(F.col(f"row.{quoted(text_col)}").isNotNull(), sanitised(F.col("t"), F.col("spans"), by_class))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"row.{quoted(c)}") for c in df.columns])
 
 
 def _joined(spans: Column) -> Column:

@@ -151,11 +151,12 @@ _MANIFEST_ARROW = pa.schema([("name", pa.string()), ("temporary", pa.string()),
 
 
 def _bounds(light: DataFrame, segment_bytes: int) -> tuple[list, int]:
-    """The ids at which a sum of sizes passes a multiple of segment_bytes, as often as they do, and the null ids' segments.
+    """The ids at which a sum of sizes passes a multiple of segment_bytes, as often as they do and have rows for it, and the
+    null ids' segments.
 
     Ids are summed in ranges of their order. The driver gets one id for each segment: 1.6 million for 100 TB."""
     spark = light.sparkSession
-    sizes = light.groupBy("_id").agg(F.sum(F.col("n_bytes") + HEADER_BYTES).alias("w"))
+    sizes = light.groupBy("_id").agg(F.sum(F.col("n_bytes") + HEADER_BYTES).alias("w"), F.count("*").alias("rows"))
     nulls = sum(r.w for r in sizes.where("_id is null").collect())
     ranges = sizes.where("_id is not null").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "_id")
     dealt, path = scratch(ranges.withColumn("_p", F.spark_partition_id()), "warc-order")
@@ -164,7 +165,8 @@ def _bounds(light: DataFrame, segment_bytes: int) -> tuple[list, int]:
     inner = F.sum("w").over(Window.partitionBy("_p").orderBy("_id")) - F.col("w")
     sums = dealt.withColumn("inner", inner).join(F.broadcast(before), "_p").withColumn("at", F.col("inner") + F.col("before"))
     passed = F.floor((F.col("at") + F.col("w")) / segment_bytes) - F.floor(F.col("at") / segment_bytes)
-    found = sums.select("_id", passed.cast("int").alias("k")).where("k > 0").orderBy("_id").collect()
+    # An id has no more segments than rows, so that a large record alone has its place.
+    found = sums.select("_id", F.least(passed, "rows").cast("int").alias("k")).where("k > 0").orderBy("_id").collect()
     drop_scratch(spark, path)
     return [r._id for r in found for _ in range(r.k)], -(-nulls // segment_bytes)
 
