@@ -251,6 +251,10 @@ def keep_good(df: DataFrame, text_col: str = "text", keep: float = KEEP) -> Data
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """(doc_id, score, keep) of every row."""
+    """(doc_id, score, keep): one row for each row of df.
+
+    Null, empty and blank texts have score 0; equal texts have equal scores, repeated rows and null ids rows of their
+    own. A score of just KEEP is kept. A table without words keeps none; an empty one gives none. Other columns are not
+    read."""
     rows = df.select("doc_id", scorer(train(df))(F.col("text")).alias("score"))
     return rows.select("doc_id", "score", (F.col("score") >= KEEP).alias("keep"))
