@@ -13,6 +13,9 @@ FIXES = """select event_id, user_id as trip_id, ts,
   cast(5 as double) + (event_id % 8)*4 as accuracy
 from events"""
 
+#: A day's fixes of a trip are a route: (route_id, ts, event_id, lng, lat).
+TRIPS = f"select event_id, trip_id*100 + day(ts) as route_id, ts, lng, lat from ({FIXES}) own"
+
 TILES = """select o_orderkey as tile_id,
   concat('planet/13/', cast(2343 + o_custkey % 24 as varchar(10)), '/', cast(3092 + o_orderkey % 10 as varchar(10))) as k,
   cast(13 as int) as z, cast(2343 + o_custkey % 24 as int) as x, cast(3092 + o_orderkey % 10 as int) as y,
@@ -62,16 +65,21 @@ select concat('planet/13/', cast(x as varchar(10)), '/', cast(y as varchar(10)))
 union all
 select concat('planet/13/', cast(x as varchar(10)), '/', cast(y as varchar(10))), cast(13 as int), x, y, 'water', cast(0 as int), cast(j as int), id, cast(3 as int), 'lake', null, cast(null as bigint), null, cast(null as bigint), null, {_POINTS.format(d=0)} from ({_LINES}) ls where j = 7"""
 
+#: The same features 15 degrees further north, where columns of the grid are nearer than vertices may be: some vertices are
+#: one or two columns off.
+NORTH = f"""select concat('planet/13/', cast(x as varchar(10)), '/', cast(y - 507 as varchar(10))) as k, z, x, cast(y - 507 as int) as y, layer, layer_pos, pos, id, type, cls, kind, oneway, oneway_said, ramp, name,
+  x1, y1, cast(x2 + id % 2 * 3 as int) as x2, y2, cast(x3 + id % 3 * 3 as int) as x3, y3, x4, y4 from ({FEATURES}) fs"""
+
 #: Features of tiles of zooms 11 to 14 that search reads: places, street names and points of interest, some without names.
 LABELS = f"""select concat('planet/', cast(11 + q % 4 as varchar(10)), '/', cast(1000 + q as varchar(10)), '/700') as k, cast(11 + q % 4 as int) as z,
   case j % 4 when 0 then 'place' when 1 then 'transportation_name' when 2 then 'transportation' else 'poi' end as layer, cast(j % 4 as int) as layer_pos, cast(j as int) as pos, id, cast(case j % 4 when 0 then 1 when 3 then 1 else 2 end as int) as type,
   case p_size % 5 when 0 then 'city' when 1 then 'town' when 2 then 'suburb' when 3 then 'isolated' end as cls, case when p_size % 10 = 9 then '' else p_name end as name from ({_PARTS}) parts"""
 
-_FROM = {"features": (FEATURES, ["part"]), "labels_of_tiles": (LABELS, ["part"]), "fixes": (FIXES, ["events"]), "tiles": (TILES, ["orders"]), "ways": (WAYS, ["part"]), "places": (PLACES, ["nation", "part", "supplier"])}
+_FROM = {"features": (FEATURES, ["part"]), "north": (NORTH, ["part"]), "labels_of_tiles": (LABELS, ["part"]), "fixes": (FIXES, ["events"]), "trips": (TRIPS, ["events"]), "tiles": (TILES, ["orders"]), "ways": (WAYS, ["part"]), "places": (PLACES, ["nation", "part", "supplier"])}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """fixes, tiles, ways, places, features or labels_of_tiles over the tables of sf_dir."""
+    """fixes, trips, tiles, ways, places, features, north or labels_of_tiles over the tables of sf_dir."""
     text, tables = _FROM[name]
     return spark.sql(
         "with " + ", ".join(f"{t} as (select * from {{{t}}})" for t in tables) + " " + text,

@@ -49,9 +49,9 @@ def segment_projection(lng: Column, lat: Column, ax: Column, ay: Column, bx: Col
     return t, F.hypot(px - t * dx, py - t * dy)
 
 
-def point_segment_m(lng: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Distance to a segment with the plain degree factor."""
-    k = F.cos(F.radians(lat))
+def point_segment_m(lng: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column, k: Column | None = None) -> Column:
+    """Distance to a segment with the plain degree factor; k is the cosine of the point's latitude, where it is at hand."""
+    k = F.cos(F.radians(lat)) if k is None else k
     dx, dy = (bx - ax) * k * DEGREE_M, (by - ay) * DEGREE_M
     px, py = (lng - ax) * k * DEGREE_M, (lat - ay) * DEGREE_M
     n = dx * dx + dy * dy

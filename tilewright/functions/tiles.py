@@ -13,13 +13,23 @@ def n_tiles(z: Column) -> Column:
     return F.pow(F.lit(2.0), z)
 
 
+def world_x(lng: Column) -> Column:
+    """Share of the world's width from the west."""
+    return (lng + 180) / 360
+
+
+def world_y(lat: Column) -> Column:
+    """Share of the projected world's height from the north."""
+    p = F.radians(F.greatest(F.lit(-MAX_LAT), F.least(F.lit(MAX_LAT), lat)))
+    return (1 - F.ln(F.tan(p) + 1 / F.cos(p)) / F.pi()) / 2
+
+
 def tile_x(lng: Column, z: Column) -> Column:
-    return F.floor((lng + 180) / 360 * n_tiles(z)).cast("int")
+    return F.floor(world_x(lng) * n_tiles(z)).cast("int")
 
 
 def tile_y(lat: Column, z: Column) -> Column:
-    p = F.radians(F.greatest(F.lit(-MAX_LAT), F.least(F.lit(MAX_LAT), lat)))
-    return F.floor((1 - F.ln(F.tan(p) + 1 / F.cos(p)) / F.pi()) / 2 * n_tiles(z)).cast("int")
+    return F.floor(world_y(lat) * n_tiles(z)).cast("int")
 
 
 def tile_west(x: Column, z: Column) -> Column:

@@ -10,12 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.functions import geo, lookups
+from tilewright.operators import greedy
 
 QUANT = 32768
-#: The admissible speed of the heuristic, km/h.
-FASTEST = 110
 #: Graphs of up to so many edges are broadcast to the tasks that search paths; larger ones take the frontier joins.
 BROADCAST_EDGES = 4_000_000
 
@@ -112,29 +112,19 @@ def nearest_node(points: DataFrame, nodes: DataFrame, max_m: float = 5000.0, nea
 class Csr:
     """A graph in arrays: edges of node i at first[i]:first[i + 1]."""
 
-    def __init__(self, src: np.ndarray, dst: np.ndarray, cost: np.ndarray, xy: dict | None = None) -> None:
+    def __init__(self, src: np.ndarray, dst: np.ndarray, cost: np.ndarray) -> None:
         self.nodes = np.unique(np.concatenate([src, dst]))
         s, d = np.searchsorted(self.nodes, src), np.searchsorted(self.nodes, dst)
         order = np.argsort(s, kind="stable")
         self.dst, self.cost = d[order], cost[order]
         self.first = np.searchsorted(s[order], np.arange(len(self.nodes) + 1))
-        self.xy = xy
 
     def index(self, node: int) -> int:
         i = int(np.searchsorted(self.nodes, node))
         return i if i < len(self.nodes) and self.nodes[i] == node else -1
 
-    def bound(self, a: int, b: int) -> float:
-        """Least seconds between two nodes at the fastest speed; 0 without coordinates."""
-        if not self.xy:
-            return 0.0
-        (x, y), (u, v) = self.xy[int(self.nodes[a])], self.xy[int(self.nodes[b])]
-        p, q = math.radians(y), math.radians(v)
-        s = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(u - x) / 2) ** 2
-        return 2 * geo.R * math.asin(min(1.0, math.sqrt(s))) / (FASTEST / 3.6)
-
     def paths(self, origin: int, targets: list[int]) -> list[tuple[float | None, list[int], str | None]]:
-        """path() to each of the targets, by one search that ends when all are reached."""
+        """(cost, nodes, why not) for each of the targets, by one search that ends when all are reached."""
         a, at = self.index(origin), [self.index(t) for t in targets]
         if a < 0:
             return [(None, [], "no-origin")] * len(targets)
@@ -162,30 +152,6 @@ class Csr:
 
         return [found(b) for b in at]
 
-    def path(self, origin: int, target: int) -> tuple[float | None, list[int], str | None]:
-        """(cost, nodes, why not): A* with lazy deletion."""
-        a, b = self.index(origin), self.index(target)
-        if a < 0 or b < 0:
-            return None, [], "no-origin" if a < 0 else "no-destination"
-        best, before, done = {a: 0.0}, {}, set()
-        heap = [(self.bound(a, b), a)]
-        while heap:
-            _, i = heapq.heappop(heap)
-            if i in done:
-                continue
-            done.add(i)
-            if i == b:
-                out = [b]
-                while out[-1] != a:
-                    out.append(before[out[-1]])
-                return best[b], [int(self.nodes[x]) for x in reversed(out)], None
-            for e in range(self.first[i], self.first[i + 1]):
-                j, c = int(self.dst[e]), best[i] + float(self.cost[e])
-                if c < best.get(j, math.inf):
-                    best[j], before[j] = c, i
-                    heapq.heappush(heap, (c + self.bound(j, b), j))
-        return None, [], "no-path"
-
 
 def shortest_paths(requests: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cost, path, reason) for requests (id, origin, target) over edges (src, dst, cost).
@@ -271,6 +237,32 @@ def steps(path: pd.DataFrame) -> list[dict]:
     return found
 
 
+#: Metres between manoeuvres, degrees of a turn off a junction, and what is too short to go on before the first manoeuvre.
+STEP_GAP_M, STEP_TURN, STEP_FIRST_M = 40.0, 25.0, 200.0
+
+
+def steps_along(legs: DataFrame) -> DataFrame:
+    """(id, step, type, modifier, name, distance_m, duration_s): steps() of many paths, whose legs are rows (id, i, lng, lat,
+    lng2, lat2, cls, name, junction, length_m, seconds, ramp, roundabout), by windows over a path; which manoeuvres are too
+    near the last one is found by pointers from each to the next that isn't."""
+    w = Window.partitionBy("id").orderBy("i")
+    name = F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(F.coalesce(*[F.when(F.col("cls") == c, phrase) for c, phrase in lookups.CLASS_PHRASE.items()], F.lit("the road")))
+    rows = legs.select("*", geo.bearing_deg(F.col("lng"), F.col("lat"), F.col("lng2"), F.col("lat2")).alias("_b"), (F.sum("length_m").over(w) - F.col("length_m")).alias("cum_m"), (F.sum("seconds").over(w) - F.col("seconds")).alias("cum_s"), name.alias("_said"))
+    rows = rows.withColumn("_was", F.lag(F.struct("cls", "name", "_b")).over(w)).withColumn("_delta", F.pmod(F.col("_b") - F.col("_was._b") + 540, F.lit(360.0)) - 180).checkpoint()
+    a, turn = F.abs("_delta"), lookups.modifier_for(F.col("_delta"))
+    merges = (F.col("_was.cls").endswith("_link") | (F.col("_was.cls") == "service")) & F.col("cls").isin("motorway", "trunk", "primary") & ~F.col("ramp")
+    kind = F.when(merges, "merge").when(F.col("roundabout"), "roundabout").when((a < 20) & ~F.col("_was.name").eqNullSafe(F.col("name")), "continue").when(a >= 20, "turn")
+    found = rows.where(F.col("_was").isNotNull() & (F.col("junction") | (a >= STEP_TURN))).withColumn("type", kind).where("type is not null")
+    found = found.select("id", "cum_m", "i", "type", F.when(~((F.col("type") == "merge") & turn.isin("straight", "uturn")), turn).alias("modifier"), F.col("_said").alias("name"), "cum_s")
+    found = greedy.counting(found, "id", ["cum_m", "i"], F.floor(F.col("cum_m") / (STEP_GAP_M * greedy.FAN)), STEP_GAP_M)
+    first = rows.where(F.col("_was").isNull()).select("id", F.lit(0.0).alias("cum_m"), F.lit(-1).alias("i"), F.lit("depart").alias("type"), F.lit(None).cast("string").alias("modifier"), F.col("_said").alias("name"), F.lit(0.0).alias("cum_s"))
+    last = legs.groupBy("id").agg(F.sum("length_m").alias("cum_m"), F.lit((1 << 31) - 1).alias("i"), F.lit("arrive").alias("type"), F.lit(None).cast("string").alias("modifier"), F.lit("").alias("name"), F.sum("seconds").alias("cum_s"))
+    every = first.unionByName(found).unionByName(last).withColumn("_n", F.row_number().over(w)).withColumn("_next", F.lead("cum_m").over(w))
+    every = every.where((F.col("_n") != 2) | (F.col("type") != "continue") | (F.col("_next") - F.col("cum_m") >= STEP_FIRST_M))
+    to = lambda c: F.coalesce(F.lead(c).over(w) - F.col(c), F.lit(0.0))
+    return every.select("id", (F.row_number().over(w) - 1).alias("step"), "type", "modifier", "name", to("cum_m").alias("distance_m"), to("cum_s").alias("duration_s"))
+
+
 def _modifier(delta: float) -> str:
     side = "right" if delta > 0 else "left"
     a = abs(delta)

@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.functions import geo, tiles
+from tilewright.operators import greedy
 
 Route = list[tuple[float, float]]
 #: Segments that project_onto_path spells out.
@@ -115,6 +115,76 @@ def corridor_within(segs: DataFrame, z: int, radius: float, cap: int) -> tuple[D
         radius = max(200.0, radius * 0.55)
 
 
+#: Radii of corridors shrink by this, down to RADIUS_LEAST metres.
+SHRINK, RADIUS_LEAST = 0.55, 200.0
+
+
+def radii(radius: float) -> list[float]:
+    """The radii that are tried, from the largest on."""
+    out = [radius]
+    while out[-1] > RADIUS_LEAST:
+        out.append(max(RADIUS_LEAST, out[-1] * SHRINK))
+    return out
+
+
+def legs(points: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """(key, i, ax, ay, bx, by, before, n, total, lat, last): the segments of each key's line through its points (lng, lat)
+    in the order, with planar lengths; total by great circles, lat the mean of the points' latitudes, last the last."""
+    w = Window.partitionBy(key).orderBy(*order)
+    every = Window.partitionBy(key)
+    rows = points.select(key, (F.row_number().over(w) - 1).alias("i"), F.col("lng").alias("ax"), F.col("lat").alias("ay"), F.lead("lng").over(w).alias("bx"), F.lead("lat").over(w).alias("by"), F.avg("lat").over(every).alias("lat"), *order)
+    rows = rows.where("bx is not null").withColumn("n", geo.planar_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).withColumn("_m", geo.haversine_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    before = F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return rows.select(key, "i", "ax", "ay", "bx", "by", before.alias("before"), "n", F.sum("_m").over(every).alias("total"), "lat", F.lead("i").over(w).isNull().alias("last"))
+
+
+def spaced(segs: DataFrame, step: Column, most: Column, key: str) -> DataFrame:
+    """(key, k, lng, lat): the points of each line at k * step metres for k from 0 to most; the end beyond the end.
+
+    segs as legs() has them. A segment makes the points that lie on it, so lines and points aren't joined."""
+    rows = segs.withColumn("_step", step.cast("double")).withColumn("_most", most.cast("long"))
+    first = F.when(F.col("i") == 0, 0).otherwise(F.floor(F.col("before") / F.col("_step"))).cast("long")
+    until = F.when(F.col("last"), F.col("_most")).otherwise(F.least(F.col("_most"), F.ceil((F.col("before") + F.col("n")) / F.col("_step")).cast("long")))
+    rows = rows.withColumn("_first", first).withColumn("_until", until).where("_first <= _until").withColumn("k", F.explode(F.sequence("_first", "_until")))
+    at = F.col("k") * F.col("_step")
+    rows = rows.where(((F.col("i") == 0) & (F.col("k") == 0) | (at > F.col("before"))) & (F.col("last") | (at <= F.col("before") + F.col("n"))))
+    t = F.when(F.col("n") > 0, F.least(F.lit(1.0), (at - F.col("before")) / F.col("n"))).otherwise(F.when(F.col("last") & (at > F.col("before")), 1.0).otherwise(0.0))
+    return rows.withColumn("_t", t).select(key, "k", (F.col("ax") + F.col("_t") * (F.col("bx") - F.col("ax"))).alias("lng"), (F.col("ay") + F.col("_t") * (F.col("by") - F.col("ay"))).alias("lat"))
+
+
+def clipped(segs: DataFrame, start: Column, end: Column) -> DataFrame:
+    """The segments of each line (as legs() has them) from start to end metres: the first begins at start, the last is
+    the one in which the end lies, and stays whole."""
+    rows = segs.withColumn("_a", F.greatest(F.lit(0.0), F.least(start, F.col("total")))).withColumn("_b", F.greatest("_a", F.least(end, F.col("total"))))
+    rows = rows.where((F.col("before") + F.col("n") > F.col("_a")) & (F.col("before") < F.col("_b")))
+    t = F.when(F.col("before") < F.col("_a"), (F.col("_a") - F.col("before")) / F.col("n")).otherwise(0.0)
+    rows = rows.withColumn("_t", t).withColumn("_x", F.col("ax") + F.col("_t") * (F.col("bx") - F.col("ax"))).withColumn("_y", F.col("ay") + F.col("_t") * (F.col("by") - F.col("ay")))
+    return rows.withColumn("ax", F.col("_x")).withColumn("ay", F.col("_y")).drop("_a", "_b", "_t", "_x", "_y")
+
+
+def corridors(segs: DataFrame, key: str, z: int, radius: float, cap: int) -> DataFrame:
+    """(key, z, x, y, radius): the tiles of each key's corridor, at the largest of radii(radius) that has no more than cap.
+
+    The tiles round a segment are listed once, for the largest radius; how near a tile's centre comes to its line, half a
+    tile off, says in which corridors it is. So all radii of all lines are counted in one pass."""
+    box = geo.pad_bbox(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), F.lit(radius * 2.0))
+    zc, n = F.lit(z), 2**z
+    near = segs.select(key, "ax", "ay", "bx", "by", *[c.alias(name) for c, name in zip(box, ("_w", "_s", "_e", "_n"), strict=True)])
+    near = near.select(key, "ax", "ay", "bx", "by", tiles.tile_x(F.col("_w"), zc).alias("_x0"), tiles.tile_x(F.col("_e"), zc).alias("_x1"), F.greatest(tiles.tile_y(F.col("_n"), zc), F.lit(0)).alias("_y0"), F.least(tiles.tile_y(F.col("_s"), zc), F.lit(n - 1)).alias("_y1"))
+    # Centres come with the tiles' numbers, so that they are worked out once for each column and row of a box.
+    xs = F.transform(F.transform(F.sequence("_x0", "_x1"), lambda x: F.pmod(x, F.lit(n))), lambda x: F.struct(x.alias("x"), tiles.tile_center(x, x, zc)[0].alias("lng")))
+    ys = F.transform(F.transform(F.sequence("_y0", "_y1"), lambda y: F.struct(y.alias("y"), tiles.tile_center(y, y, zc)[1].alias("lat"))), lambda t: F.struct(t["y"].alias("y"), t["lat"].alias("lat"), F.cos(F.radians(t["lat"])).alias("k")))
+    near = near.where("_y0 <= _y1").select(key, "ax", "ay", "bx", "by", ys.alias("_ys"), F.explode(xs).alias("_x")).select(key, "ax", "ay", "bx", "by", "_x", F.explode("_ys").alias("_y"))
+    half = 360.0 / n * geo.DEGREE_M * F.cos(F.radians(F.col("ay"))) / 2
+    need = geo.point_segment_m(F.col("_x.lng"), F.col("_y.lat"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("_y.k")) - half
+    near = near.select(key, "_x.x", "_y.y", need.alias("_need"))
+    near = near.where(F.col("_need") <= radius).groupBy(key, "x", "y").agg(F.min("_need").alias("_need"))
+    tried = radii(radius)
+    counts = near.groupBy(key).agg(F.array(*[F.count_if(F.col("_need") <= r) for r in tried]).alias("_n"))
+    fits = F.filter(F.arrays_zip(F.array(*[F.lit(r) for r in tried]).alias("r"), F.col("_n").alias("n")), lambda t: (t["n"] <= cap) | (t["r"] == tried[-1]))[0]["r"]
+    return near.join(counts.select(key, fits.alias("radius")), key).where("_need <= radius").select(key, zc.alias("z"), "x", "y", "radius")
+
+
 def sliced(route: Route, start: float, end: float) -> Route:
     """slice_route() for plain numbers: the route's points from start to end, by planar lengths."""
     total = sum(s[-1] for s in segments(route))
@@ -157,33 +227,36 @@ def off_road(fixes: DataFrame, after_s: int, metres: float = 90.0, turn: float =
 
 def said(events: DataFrame, key: str, gap_ms: int) -> DataFrame:
     """Utterances (key, ts_ms, event_id, interrupt) that are spoken: those that interrupt, and others gap_ms at least after
-    the last that was spoken; the rest are lost. What counts is the last one spoken, so keys are folded; a key's
-    utterances must fit into a task."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for r in rows.sort_values(["ts_ms", "event_id"]).itertuples(index=False):
-            if r.interrupt or last is None or r.ts_ms - last >= gap_ms:
-                kept.append(r)
-                last = r.ts_ms
-        return pd.DataFrame(kept, columns=rows.columns)
-
+    the last that was spoken; the rest are lost."""
     own = events.select(key, "ts_ms", "event_id", "interrupt")
-    return own.groupBy(key).applyInPandas(fold, own.schema)
-
-
-def simplified(points: DataFrame, key: str, order: list[str], tolerance_m: float) -> DataFrame:
-    """The points (key, order, lng, lat) of each key's line that Douglas and Peucker keep; a line must fit into a task."""
-    from tilewright.operators.graph import simplify
-
-    own = points.select(key, *order, "lng", "lat")
-
-    def thin(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        keep = set(simplify(list(zip(rows["lng"], rows["lat"], strict=True)), tolerance_m, places=True))
-        return rows[[i in keep for i in range(len(rows))]]
-
-    return own.groupBy(key).applyInPandas(thin, own.schema)
+    return greedy.counting(own, key, ["ts_ms", "event_id"], F.floor(F.col("ts_ms") / (gap_ms * greedy.FAN)), gap_ms, always=F.col("interrupt"))
+
+
+def simplified(points: DataFrame, key: str, order: list[str], tolerance_m: float, bucket: Column | None = None) -> DataFrame:
+    """The points (key, order, lng, lat) of each key's line that Douglas and Peucker keep.
+
+    All lines' open stretches are looked at together: in a round each is split at its farthest point, or done with if
+    that is within tolerance_m. Points of a stretch are in many tasks; what a round joins to them is its farthest one.
+    bucket grows with the first order column, for numbering the points of a line in many tasks (greedy.numbered)."""
+    own = greedy.numbered(points.select(key, *order, "lng", "lat"), key, order, F.lit(0) if bucket is None else bucket).checkpoint()
+    ends = own.groupBy(key).agg(F.min_by("lat", "n").alias("_lat"), F.max("n").alias("_b"))
+    k = F.cos(F.radians("_lat"))
+    flat = own.join(ends, key).select(key, "n", (F.col("lng") * geo.DEGREE_M * k).alias("x"), (F.col("lat") * geo.DEGREE_M).alias("y"), "_b").checkpoint()
+    edge = flat.groupBy(key).agg(*[F.max(F.when(F.col("n") == at, F.struct("n", "x", "y"))).alias(name) for name, at in (("a", F.lit(0)), ("b", F.col("_b")))])
+    kept = edge.select(key, F.explode(F.array_distinct(F.array("a.n", "b.n"))).alias("n"))
+    open_ = flat.where("n > 0 and n < _b").select(key, "n", "x", "y").join(edge, key)
+    while not open_.isEmpty():
+        dx, dy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+        px, py, size = F.col("x") - F.col("a.x"), F.col("y") - F.col("a.y"), dx * dx + dy * dy
+        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / size))).otherwise(0.0)
+        far = open_.withColumn("_t", t).select(key, "a", "b", "n", "x", "y", F.hypot(px - F.col("_t") * dx, py - F.col("_t") * dy).alias("_d"))
+        split = far.groupBy(key, F.col("a.n").alias("_an")).agg(F.max(F.struct("_d", (-F.col("n")).alias("_n"), "x", "y")).alias("_f")).where(F.col("_f._d") > tolerance_m)
+        split = split.select(key, "_an", F.struct((-F.col("_f._n")).alias("n"), "_f.x", "_f.y").alias("m")).checkpoint()
+        kept = kept.unionByName(split.select(key, "m.n")).checkpoint()
+        rest = open_.withColumn("_an", F.col("a.n")).join(split, [key, "_an"]).where(F.col("n") != F.col("m.n"))
+        first = F.col("n") < F.col("m.n")
+        open_ = rest.select(key, "n", "x", "y", F.when(first, F.col("a")).otherwise(F.col("m")).alias("a"), F.when(first, F.col("m")).otherwise(F.col("b")).alias("b")).checkpoint()
+    return own.join(kept, [key, "n"]).select(key, *order, "lng", "lat")
 
 
 def simulate(fixes_per_trip: DataFrame, route: Route, speed_mps: float = 14.0) -> DataFrame:
@@ -194,31 +267,21 @@ def simulate(fixes_per_trip: DataFrame, route: Route, speed_mps: float = 14.0) -
 
 def throttled(events: DataFrame, key: str, min_s: float, min_m: float) -> DataFrame:
     """Events (key, ts_ms, along_m) that fire: the first of a key, and then each at least min_s and min_m after the last
-    that fired. What counts is the last fired one, so keys are folded; a key's events must fit into a task."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, last = [], None
-        for r in rows.sort_values(["ts_ms", "along_m"]).itertuples(index=False):
-            if last is None or r.ts_ms - last.ts_ms >= min_s * 1000 and abs(r.along_m - last.along_m) >= min_m:
-                kept.append(r)
-                last = r
-        return pd.DataFrame(kept, columns=rows.columns)
-
-    return events.select(key, "ts_ms", "along_m").groupBy(key).applyInPandas(fold, events.select(key, "ts_ms", "along_m").schema)
-
-
-def failure_probes(failures: DataFrame, key: str, most: int = 3, within_s: float = 30.0) -> DataFrame:
-    """(key, ts_ms) at which a probe starts: the third failure within 30 s; the list then begins anew, and an event with
-    ok set clears it."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out, recent = [], []
-        for r in rows.sort_values("ts_ms").itertuples(index=False):
-            recent = [] if r.ok else [t for t in recent if r.ts_ms - t < within_s * 1000] + [r.ts_ms]
-            if len(recent) >= most:
-                out.append((getattr(r, key), r.ts_ms))
-                recent = []
-        return pd.DataFrame(out, columns=[key, "ts_ms"])
-
-    kind = failures.schema[key].dataType.simpleString()
-    return failures.select(key, "ts_ms", "ok").groupBy(key).applyInPandas(fold, f"{key} {kind}, ts_ms long")
+    that fired."""
+    own, gap = events.select(key, "ts_ms", "along_m"), min_s * 1000
+    return greedy.counting(own, key, ["ts_ms", "along_m"], F.floor(F.col("ts_ms") / (gap * greedy.FAN)), gap, *(("along_m", min_m) if min_m > 0 else ()))
+
+
+def failure_probes(failures: DataFrame, key: str, most: int = 3, within_s: float = 30.0, tie: str | None = None) -> DataFrame:
+    """(key, ts_ms) at which a probe starts: the `most`-th failure within within_s; the list then begins anew, and an event
+    with ok set clears it. `tie` orders events of one time.
+
+    A failure is due if the most - 1 failures before it came after the last success and within the time; of the due ones
+    each first that is `most` failures past the last probe counts."""
+    order = ["ts_ms", *([tie] if tie else [])]
+    w = Window.partitionBy(key).orderBy(*order)
+    # Successes so far, by which failures of one stretch are told from others; failures are numbered among themselves.
+    rows = failures.select(key, *order, "ok").withColumn("_run", F.coalesce(F.sum(F.col("ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))).where("not ok")
+    rows = rows.withColumn("_f", F.row_number().over(w)).withColumn("_first", F.lag(F.struct("ts_ms", "_run"), most - 1).over(w))
+    due = rows.where((F.col("_first._run") == F.col("_run")) & (F.col("ts_ms") - F.col("_first.ts_ms") < within_s * 1000)).select(key, F.col("_f").alias("f"), "ts_ms")
+    return greedy.counting(due, key, ["f"], F.floor(F.col("f") / (most * greedy.FAN)), most).select(key, "ts_ms")

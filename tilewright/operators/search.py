@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,18 +44,31 @@ def search(docs: DataFrame, text: str, center: tuple[float, float] | None = None
 
 def merge(online: DataFrame, local: DataFrame, limit: int | None = 14, near: float = 0.02) -> DataFrame:
     """Online rows, then local ones (rank gives the order in each); a row goes if a kept one of its lower-case name is
-    within `near` degrees both ways. Kept rows decide, not all rows before, so names are folded one by one: the rows of
-    one name must fit into a task, which takes kept times all rows of it. No limit gives every row that is kept."""
-    both = online.withColumn("source", F.lit(0)).unionByName(local.withColumn("source", F.lit(1))).withColumn("norm", F.lower("name"))
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in rows.sort_values(["source", "rank", "id"]).itertuples(index=False):
-            if not any(abs(r.lng - k.lng) < near and abs(r.lat - k.lat) < near for k in kept):
-                kept.append(r)
-        return pd.DataFrame(kept, columns=rows.columns)
-
-    merged = both.select("id", "name", "lng", "lat", "source", "rank", "norm").groupBy("norm").applyInPandas(fold, "id string, name string, lng double, lat double, source int, rank long, norm string")
+    within `near` degrees both ways. No limit gives every row that is kept; rows without a place are near nothing.
+
+    Kept rows decide, not all rows before. Cells are as wide as what counts as near, so a cell keeps one row at most. In
+    a round the first row of a cell is kept if no row of the cells around comes before it, and what lies near kept rows
+    goes; a row meets the kept ones of nine cells, however many share its name."""
+    both = online.withColumn("source", F.lit(0)).unionByName(local.withColumn("source", F.lit(1)))
+    norm = F.coalesce(F.concat(F.lit("="), F.lower("name")), F.lit(""))
+    rows = both.select(norm.alias("_norm"), F.floor(F.col("lng") / near).alias("_cx"), F.floor(F.col("lat") / near).alias("_cy"), F.struct("source", "rank", "id", "name", "lng", "lat").alias("_r")).checkpoint()
+    cell, spread = ["_norm", "_cx", "_cy"], F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    placed = F.col("_cx").isNotNull() & F.col("_cy").isNotNull()
+    kept, rows = rows.where(~placed).select("_r"), rows.where(placed)
+
+    def around(firsts: DataFrame) -> DataFrame:
+        wide = firsts.select("_norm", F.explode(F.transform(spread, lambda i: F.col("_cx") + i)).alias("_cx"), "_cy", "_r")
+        return wide.select("_norm", "_cx", F.explode(F.transform(spread, lambda i: F.col("_cy") + i)).alias("_cy"), F.col("_r").alias("_o"))
+
+    while not rows.isEmpty():
+        firsts = rows.groupBy(*cell).agg(F.min("_r").alias("_r"))
+        before = around(firsts).groupBy(*cell).agg(F.min("_o").alias("_o"))
+        new = firsts.join(before, cell).where(F.col("_r") == F.col("_o")).select(*cell, "_r").checkpoint()
+        kept = kept.unionByName(new.select("_r")).checkpoint()
+        close = lambda a, b, c: F.abs(a[f"_r.{c}"] - b[f"_o.{c}"]) < near
+        by = around(new)
+        rows = rows.join(by, [rows[c] == by[c] for c in cell] + [close(rows, by, "lng"), close(rows, by, "lat")], "left_anti").checkpoint()
+    merged = kept.select("_r.*")
     if limit is not None:
         merged = merged.orderBy("source", "rank", "id").limit(limit)
     return merged.select("id", "name", "source")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions import geo, tiles
@@ -67,12 +67,14 @@ def evict(metas: DataFrame, budget: int, protected: Column | None = None) -> Dat
     return running_sum(free, ["last_access", "tile_id"], "size", F.to_date("last_access"), "before").where(F.lit(used) - F.col("before") > target)
 
 
-def protected(route: list[tuple[float, float]], along_m: float, corridor_m: float, keep_behind_m: float) -> Column:
-    """Whether a tile is pinned, its centre in the corridor of the route, and no further behind along_m than that."""
+def protected(metas: DataFrame, route: list[tuple[float, float]], along_m: float, corridor_m: float, keep_behind_m: float) -> DataFrame:
+    """metas with `protected`: pinned, the centre in the corridor of the route, and no further behind along_m than that.
+
+    However many rows a tile has, its centre is projected once."""
     lng, lat = tiles.tile_center(F.col("x"), F.col("y"), F.col("z"))
-    inside = lambda p: (p["dist_m"] <= corridor_m) & (p["along_m"] >= along_m - keep_behind_m)
-    # A lambda over one element: the projection is worked out once for both conditions.
-    return F.col("pinned_by").isNotNull() & F.exists(F.array(project_onto_path(lng, lat, route)), inside)
+    near = lambda p: (p["dist_m"] <= corridor_m) & (p["along_m"] >= along_m - keep_behind_m)
+    inside = metas.where("pinned_by is not null").select("z", "x", "y").distinct().select("z", "x", "y", once(project_onto_path(lng, lat, route), near).alias("_inside"))
+    return metas.join(inside, ["z", "x", "y"], "left").withColumn("protected", F.col("pinned_by").isNotNull() & F.coalesce("_inside", F.lit(False))).drop("_inside")
 
 
 def trim(rows: DataFrame, most: int, down_to: int) -> DataFrame:
@@ -82,10 +84,10 @@ def trim(rows: DataFrame, most: int, down_to: int) -> DataFrame:
     return rows.orderBy(F.desc("last_access"), F.desc("tile_id")).limit(down_to).select("tile_id")
 
 
-def settings(spark: SparkSession, *layers: dict[str, str]) -> DataFrame:
-    """(name, value) with later layers over earlier ones."""
-    rows = [(k, v, i) for i, layer in enumerate(layers) for k, v in layer.items()]
-    return spark.createDataFrame(rows, "name string, value string, layer int").groupBy("name").agg(F.max_by("value", "layer").alias("value"))
+def settings(rows: DataFrame, owner: str) -> DataFrame:
+    """(owner, name, value) of rows (owner, layer, name, value): of each owner's settings the value of the highest layer,
+    such as a preset over what was saved over the defaults; null values are not set."""
+    return rows.where("value is not null").groupBy(owner, "name").agg(F.max_by("value", "layer").alias("value"))
 
 
 def fetched(stored: DataFrame, arrived: DataFrame) -> DataFrame:
@@ -96,6 +98,11 @@ def fetched(stored: DataFrame, arrived: DataFrame) -> DataFrame:
     return both.select("k", F.coalesce("new", "size").alias("size"), F.when(F.col("new").isNotNull(), "smart").otherwise(F.col("tier")).alias("tier"))
 
 
+def fetch_stats(arrived: DataFrame) -> DataFrame:
+    """Tiles (k, size) that came, those that came empty or not at all (null), and the bytes."""
+    return arrived.agg(F.count_if(F.col("size") > 0).alias("stored"), F.count_if(F.coalesce("size", F.lit(0)) <= 0).alias("failed"), F.sum("size").alias("bytes"))
+
+
 def min_zoom(groups: DataFrame, loaded: DataFrame, by: str) -> DataFrame:
     """(by, z): the least zoom of each group's loaded tiles, 99 for a group without any."""
     least = loaded.groupBy(by).agg(F.min("z").alias("z"))
@@ -114,15 +121,33 @@ COARSE = [(150_000.0, 11), (40_000.0, 12), (0.0, 13)]
 COARSE_LEAST, COARSE_CAP = 8, 900
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def coarse_zoom(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
     """struct(z, tiles, ok) of a trip's first pass: by distance, then down to COARSE_LEAST until no more than COARSE_CAP
     tiles cover the trip's padded box; not ok if they are three times as many even so."""
-    direct = geo.haversine_m(lng1, lat1, lng2, lat2)
-    box = geo.pad_bbox(F.least(lng1, lng2), F.least(lat1, lat2), F.greatest(lng1, lng2), F.greatest(lat1, lat2), F.greatest(F.lit(3000.0), direct * 0.08))
-    start = F.when(direct > COARSE[0][0], COARSE[0][1]).when(direct > COARSE[1][0], COARSE[1][1]).otherwise(COARSE[2][1])
-    tries = F.array(*[F.struct(F.lit(z).alias("z"), n_tiles_in_bbox(box, F.lit(z)).alias("tiles")) for z in range(13, COARSE_LEAST - 1, -1)])
-    fits = F.filter(tries, lambda t: (t["z"] <= start) & ((t["tiles"] <= COARSE_CAP) | (t["z"] == COARSE_LEAST)))[0]
-    return F.struct(fits["z"].alias("z"), fits["tiles"].alias("tiles"), (fits["tiles"] <= COARSE_CAP * 3).alias("ok"))
+
+    def tried(direct: Column) -> Column:
+        box = geo.pad_bbox(F.least(lng1, lng2), F.least(lat1, lat2), F.greatest(lng1, lng2), F.greatest(lat1, lat2), F.greatest(F.lit(3000.0), direct * 0.08))
+        start = F.when(direct > COARSE[0][0], COARSE[0][1]).when(direct > COARSE[1][0], COARSE[1][1]).otherwise(COARSE[2][1])
+        # The box as shares of the world; a zoom's tiles are these times its size.
+        world = F.struct(tiles.world_x(box[0]).alias("w"), tiles.world_y(box[1]).alias("s"), tiles.world_x(box[2]).alias("e"), tiles.world_y(box[3]).alias("n"), start.alias("start"))
+        return once(world, counted)
+
+    def counted(b: Column) -> Column:
+        def at(z: Column) -> Column:
+            size = tiles.n_tiles(z)
+            tile = lambda v: F.floor(b[v] * size).cast("long")
+            rows = F.least(tile("s"), size.cast("long") - 1) - F.greatest(tile("n"), F.lit(0)) + 1
+            return F.struct(z.alias("z"), ((tile("e") - tile("w") + 1) * F.greatest(rows, F.lit(0))).alias("tiles"))
+
+        tries = F.transform(F.sequence(b["start"], F.lit(COARSE_LEAST), F.lit(-1)), at)
+        return F.filter(tries, lambda t: (t["tiles"] <= COARSE_CAP) | (t["z"] == COARSE_LEAST))[0]
+
+    return once(once(geo.haversine_m(lng1, lat1, lng2, lat2), tried), lambda f: F.struct(f["z"].alias("z"), f["tiles"].alias("tiles"), (f["tiles"] <= COARSE_CAP * 3).alias("ok")))
 
 
 #: An area for download may have so many tiles of zooms from AREA_FROM on.

@@ -88,6 +88,27 @@ def segments(features: DataFrame, y_down: bool = False) -> DataFrame:
     return rows.withColumn("seconds", lookups.edge_weight(F.col("length_m"), F.col("cls"), F.col("ramp"), F.lit(False))).select(*SEGMENT)
 
 
+#: Degrees from the equator up to which no two columns of the grid are nearer than MERGE_M.
+MERGE_FROM = 42.0
+
+
+def merged(segs: DataFrame) -> DataFrame:
+    """segs with both ends at the nodes that merged_vertices() gives them, measured anew; what has shrunk to a point goes.
+
+    Near the equator vertices are their own nodes: those segments stay as they are and meet no join."""
+    far = lambda y: F.abs(degrees(F.col(y))) > MERGE_FROM
+    segs = segs.withColumn("_far", far("ay") | far("by"))
+    rows = segs.where("_far").drop("_far")
+    ends = rows.select(F.explode(F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y")))).alias("p")).select("p.*")
+    moved = merged_vertices(ends).where("x <> node_x")
+    for x, y in (("ax", "ay"), ("bx", "by")):
+        to = moved.select(F.col("x").alias(x), F.col("y").alias(y), F.col("node_x").alias("_to"))
+        rows = rows.join(to, [x, y], "left").withColumn(x, F.coalesce("_to", x)).drop("_to")
+    rows = rows.where((F.col("ax") != F.col("bx")) | (F.col("ay") != F.col("by"))).withColumn("length_m", length_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
+    rows = rows.withColumn("seconds", lookups.edge_weight(F.col("length_m"), F.col("cls"), F.col("ramp"), F.lit(False)))
+    return segs.where("not _far").select(*SEGMENT).unionByName(rows.select(*SEGMENT))
+
+
 def name_vertices(features: DataFrame, y_down: bool = False) -> DataFrame:
     """(tile, x, y, ord, name) of the vertices of the name layer, ord telling which came first."""
     named = features.where((F.col("layer") == NAME_LAYER) & (F.coalesce(_prop("name")["s"], F.lit("")) != "")).withColumn("name", _prop("name")["s"])
@@ -222,9 +243,10 @@ def stitched(segs: DataFrame, max_m: float) -> DataFrame:
 
 
 def graph(tile_rows: DataFrame, stitch_m: float | None = None, y_down: bool = False) -> DataFrame:
-    """Directed edges of the roads of tiles (k, data): decoded, snapped, named, and stitched if stitch_m is given."""
+    """Directed edges of the roads of tiles (k, data): decoded, snapped, near vertices merged, named, and stitched if
+    stitch_m is given. Segments are read several times and so written to the checkpoint folder."""
     from tilewright.sources import mvt
 
     features = mvt.features(tile_rows, layers=[*ROAD_LAYERS, NAME_LAYER])
-    segs = with_names(segments(features, y_down), name_vertices(features, y_down))
+    segs = with_names(merged(segments(features, y_down).checkpoint()), name_vertices(features, y_down))
     return edges(stitched(segs, stitch_m) if stitch_m else segs)

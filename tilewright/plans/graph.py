@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from tilewright.derive import derived, with_derived
 from tilewright.functions import geo, lookups
 from tilewright.operators import graph
-from tilewright.plans.scalars import case, hav
+from tilewright.plans.scalars import brg, case, hav
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -41,7 +40,21 @@ register("fil1_roads", lambda d: graph.road_features(d.select("f", "t", F.when(C
 register("grf1_quantize", lambda d: d.select("event_id", graph.quantize(C("lng")).alias("lng"), graph.quantize(C("lat")).alias("lat")), "select event_id, floor(lng*32768+0.5)/32768 as lng, floor(lat*32768+0.5)/32768 as lat from fixes", "fixes")
 register("grf2_vertex_id", lambda d: d.select("event_id", graph.vertex_id(C("lng"), C("lat")).alias("v")), "select event_id, (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as v from fixes", "fixes")
 register("grf3_nodes", lambda d: d.groupBy(graph.vertex_id(C("lng"), C("lat")).alias("node")).agg(F.min("lng").alias("lng"), F.min("lat").alias("lat")), "select (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as node, min(lng) as lng, min(lat) as lat from fixes group by 1", "fixes")
-register("jon1_vertex_join", lambda d: d.withColumn("v", graph.vertex_id(C("lng"), C("lat"))).join(d.select(graph.vertex_id(C("lng"), C("lat")).alias("v")).distinct(), "v").select("event_id", "v"), "select event_id, (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as v from fixes", "fixes")
+
+
+_hundredths = lambda c: F.floor(C(c) * 100 + 0.5) / 100
+
+
+def _on_places(spark, sf_dir):
+    """Fixes on a vertex of a place: both as ids of the grid; places lie on every tenth of the fixes' columns."""
+    fixes = derived(spark, sf_dir, "fixes").select("event_id", graph.vertex_id(_hundredths("lng"), _hundredths("lat")).alias("v"))
+    places = derived(spark, sf_dir, "places").select(graph.vertex_id(_hundredths("lng"), _hundredths("lat")).alias("v")).distinct()
+    return fixes.join(places, "v").select("event_id", "v")
+
+
+_VERTEX = "(cast(floor(floor(lng*100+0.5)/100*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(floor(lat*100+0.5)/100*32768+0.5) as bigint)+4194304)"
+QUERIES["jon1_vertex_join"] = _on_places
+ORACLE_SQL["jon1_vertex_join"] = with_derived(f"select event_id, v from (select event_id, {_VERTEX} as v from fixes) where v in (select {_VERTEX} from places)")
 QUERIES["jon1_vertex_join_whole"] = QUERIES["jon1_vertex_join"]
 
 
@@ -101,17 +114,56 @@ def _steps(spark, sf_dir):
     path = _paths(spark, sf_dir, _nodes(spark, sf_dir)).where("reason is null").select("id", F.posexplode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path") - 1).alias("dst"))).alias("i", "e")).select("id", "i", "e.src", "e.dst")
     lng, lat = lambda c: C(c) % 40 * 0.001 - 77.0, lambda c: F.floor(C(c) / 40) * 0.001 + 40.0
     junctions = graph.degrees(graph.directed(derived(spark, sf_dir, "ways"))).select(C("node").alias("src"), "junction")
-    legs = path.join(edges, ["src", "dst"]).join(junctions, "src", "left").select("id", "i", lng("src").alias("lng"), lat("src").alias("lat"), lng("dst").alias("lng2"), lat("dst").alias("lat2"), "w.cls", C("w.nm").alias("name"), F.coalesce("junction", F.lit(False)).alias("junction"), F.lit(100.0).alias("length_m"), (0.1 / lookups.class_speed(C("w.cls")) * 3600).alias("seconds"))
+    legs = path.join(edges, ["src", "dst"]).join(junctions, "src", "left").select("id", "i", lng("src").alias("lng"), lat("src").alias("lat"), lng("dst").alias("lng2"), lat("dst").alias("lat2"), "w.cls", C("w.nm").alias("name"), F.coalesce("junction", F.lit(False)).alias("junction"), F.lit(100.0).alias("length_m"), (0.1 / lookups.class_speed(C("w.cls")) * 3600).alias("seconds"), F.lit(False).alias("ramp"), F.lit(False).alias("roundabout"))
 
-    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(graph.steps(rows.sort_values("i")))
-        return out.assign(id=rows["id"].iloc[0], step=range(len(out)))[["id", "step", "type", "modifier", "name", "distance_m", "duration_s"]]
-
-    return legs.groupBy("id").applyInPandas(assemble, "id long, step int, type string, modifier string, name string, distance_m double, duration_s double")
+    checkpointed(spark)
+    return graph.steps_along(legs)
 
 
 QUERIES["grf14_steps"] = _steps
 
+# Paths along the grid's second row and then down a column, on bent roads with ramps and roundabouts, some of them short.
+_GRID = {"lng": "({n}%40*0.001 - 77.0 + (({n}*37)%11-5)*0.0001)", "lat": "(floor({n}/40)*0.001 + 40.0 + (({n}*23)%13-6)*0.0001)"}
+
+
+def _route_legs(spark, sf_dir):
+    ways = derived(spark, sf_dir, "ways")
+    edge = ways.groupBy("f", "t").agg(F.min("cls").alias("cls"))
+    nodes = ways.select(F.explode(F.array("f", "t")).alias("id")).distinct().where("id >= 80")
+    row = F.transform(F.sequence(F.lit(0), (C("id") % 40).cast("int")), lambda k: F.lit(40).cast("long") + k)
+    path = nodes.select("id", F.concat(row, F.transform(F.sequence(F.lit(2).cast("long"), F.floor(C("id") / 40)), lambda k: k * 40 + C("id") % 40)).alias("p"))
+    pair = lambda i: F.struct(F.get("p", i - 1).alias("f"), F.get("p", i).alias("t"))
+    legs = path.select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("p") - 1), pair)).alias("i", "e")).select("id", "i", "e.f", "e.t").join(edge, ["f", "t"])
+    at = lambda what, c: F.expr(_GRID[what].format(n=c))
+    return legs.select("id", "i", at("lng", "f").cast("double").alias("lng"), at("lat", "f").cast("double").alias("lat"), at("lng", "t").cast("double").alias("lng2"), at("lat", "t").cast("double").alias("lat2"), "cls", F.when(C("f") % 3 > 0, F.concat(F.lit("Road "), F.floor(C("f") / 5).cast("string"))).alias("name"), (C("f") % 4 > 0).alias("junction"), (C("f") % 50 + 15).cast("double").alias("length_m"), (C("f") % 7 + 1).cast("double").alias("seconds"), (C("f") % 11 == 0).alias("ramp"), (C("f") % 13 == 0).alias("roundabout"))
+
+
+def _route_steps(spark, sf_dir):
+    checkpointed(spark)
+    out = graph.steps_along(_route_legs(spark, sf_dir))
+    return out.select("id", "step", "type", "modifier", "name", F.round("distance_m", 3).alias("distance_m"), F.round("duration_s", 3).alias("duration_s"))
+
+
+def _route_steps_sql() -> str:
+    at = lambda what, c: f"cast({_GRID[what].format(n=c).replace(f'{c}/40', f'{c}/40.0')} as double)"
+    pairs = "select id, 40 + j as f, 41 + j as t, j as i from ns, unnest(range(0, id % 40)) js(j) union all select id, 40*k + id%40, 40*(k+1) + id%40, id%40 + k - 1 from ns, unnest(range(1, cast(floor(id/40.0) as bigint))) ks(k)"
+    legs = f"select p.id, i, {at('lng', 'p.f')} as lng, {at('lat', 'p.f')} as lat, {at('lng', 'p.t')} as lng2, {at('lat', 'p.t')} as lat2, cls, case when p.f%3>0 then concat('Road ', cast(floor(p.f/5.0) as bigint)) end as name, p.f%4>0 as junction, cast(p.f%50+15 as double) as m, cast(p.f%7+1 as double) as s, p.f%11=0 as ramp, p.f%13=0 as ring from pairs p join (select f, t, min(cls) as cls from ways group by all) w on p.f=w.f and p.t=w.t"
+    b = brg("lng", "lat", "lng2", "lat2")
+    seen = f"select *, {b} as b, sum(m) over w - m as cum, sum(s) over w - s as secs, lag(cls) over w as cls0, lag(name) over w as name0, lag({b}) over w as b0, row_number() over w as k, coalesce(name, {case(lookups.CLASS_PHRASE, 'cls', 'the road')}) as said from legs window w as (partition by id order by i)"
+    turned = "select *, (b-b0+540) - 360*floor((b-b0+540)/360) - 180 as d from seen where k > 1"
+    modifier = "case when abs(d)>=160 then 'uturn' when abs(d)>=120 then 'sharp ' || side when abs(d)>=45 then side when abs(d)>=20 then 'slight ' || side else 'straight' end"
+    kinds = f"select *, case when (cls0 like '%\\_link' escape '\\' or cls0='service') and cls in ('motorway','trunk','primary') and not ramp then 'merge' when ring then 'roundabout' when abs(d) < 20 and name0 is distinct from name then 'continue' when abs(d) >= 20 then 'turn' end as type, {modifier} as modifier from (select *, case when d > 0 then 'right' else 'left' end as side from turned) where junction or abs(d) >= {graph.STEP_TURN}"
+    cand = "select *, row_number() over (partition by id order by cum, i) as n from kinds where type is not null"
+    walk = f"select id, n, cum as last, true as said_it from cand where n = 1 union all select c.id, c.n, case when c.cum >= w.last + {graph.STEP_GAP_M} then c.cum else w.last end, c.cum >= w.last + {graph.STEP_GAP_M} from walk w join cand c on c.id = w.id and c.n = w.n + 1"
+    every = "select id, -1 as i, 'depart' as type, null as modifier, said as name, 0.0 as cum, 0.0 as secs from seen where k = 1 union all select c.id, c.i, type, case when type = 'merge' and modifier in ('straight','uturn') then null else modifier end, said, c.cum, secs from cand c join walk w on c.id=w.id and c.n=w.n where said_it union all select id, 2147483647, 'arrive', null, '', sum(m), sum(s) from legs group by id"
+    folded = f"select * from (select *, row_number() over w as k, lead(cum) over w as next from every window w as (partition by id order by i)) where k <> 2 or type <> 'continue' or next - cum >= {graph.STEP_FIRST_M}"
+    ctes = f"ns as (select distinct f as id from ways where f >= 80 union select t from ways where t >= 80), pairs as ({pairs}), legs as ({legs}), seen as ({seen}), turned as ({turned}), kinds as ({kinds}), cand as ({cand}), walk as ({walk}), every as ({every}), folded as ({folded})"
+    return f"with recursive {with_derived('from ways').removeprefix('with ').removesuffix(' from ways')}, {ctes} select id, cast(row_number() over w - 1 as int) as step, type, modifier, name, round(coalesce(lead(cum) over w - cum, 0), 3) as distance_m, round(coalesce(lead(secs) over w - secs, 0), 3) as duration_s from folded window w as (partition by id order by i)"
+
+
+QUERIES["grf14_route_steps"] = _route_steps
+ORACLE_SQL["grf14_route_steps"] = _route_steps_sql()
+
 # Paths along the grid's first row and then down a column, over all ways in either direction.
 _AGG4 = lambda d: graph.path_distance(d.select(F.explode(F.array("f", "t")).alias("n")).distinct().select(C("n").alias("id"), F.concat(F.sequence(F.lit(0).cast("long"), C("n") % 40), F.when(C("n") >= 40, F.transform(F.sequence(F.lit(1).cast("long"), F.floor(C("n") / 40)), lambda k: k * 40 + C("n") % 40)).otherwise(F.array().cast("array<bigint>"))).alias("nodes")), d.select(C("f").alias("src"), C("t").alias("dst"), (100.0 + C("f") % 50).alias("length_m")))
 register(

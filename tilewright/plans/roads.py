@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tilewright.derive import FEATURES, derived, with_derived
+from tilewright.derive import FEATURES, NORTH, derived, with_derived
 from tilewright.functions import geo, lookups
 from tilewright.operators import planner, search, tilegraph
 from tilewright.plans.graph import checkpointed
@@ -158,6 +158,20 @@ def _merged(spark, sf_dir):
 QUERIES["jon2_proximity"] = _merged
 ORACLE_SQL["jon2_proximity"] = f"with recursive pts as (select *, cast({_REACH} as bigint) as reach from {_NORTH}), walk(x, y, node_x) as (select min(x), y, min(x) from pts group by y union all select p.x, p.y, case when p.x - w.node_x > p.reach then p.x else w.node_x end from walk w join (select *, lag(x) over (partition by y order by x) as before from pts) p on p.y = w.y and p.before = w.x) select x, y, node_x from walk"
 
+# The graph of tiles far north, with vertices merged.
+
+
+def _north(spark, sf_dir):
+    checkpointed(spark)
+    segs = tilegraph.segments(mvt.features(_encoded(derived(spark, sf_dir, "north"))))
+    return tilegraph.edges(tilegraph.merged(segs.checkpoint()))
+
+
+_MOVED = f"pts as (select *, cast({_REACH} as bigint) as reach, lag(x) over (partition by y order by x) as before from (select ax as x, ay as y from segs union select bx, by_ from segs)), walk(x, y, node_x) as (select min(x), y, min(x) from pts group by y union all select p.x, p.y, case when p.x - w.node_x > p.reach then p.x else w.node_x end from walk w join pts p on p.y = w.y and p.before = w.x)"
+_AT_NODES = f"laid as (select *, {hav('ax/32768.0', 'ay/32768.0', 'bx/32768.0', 'by_/32768.0')} as len from (select s.* exclude (ax, bx), a.node_x as ax, b.node_x as bx from segs s join walk a on a.x = s.ax and a.y = s.ay join walk b on b.x = s.bx and b.y = s.by_) where ax <> bx or ay <> by_), costed as (select *, len/1000/{case(lookups.CLASS_SPEED, 'cls', lookups.DEFAULT_SPEED)}*3600*(case when ramp then 1.1 else 1 end) as cost from laid)"
+QUERIES["grf5_north_graph"] = lambda spark, sf_dir: _north(spark, sf_dir).select("src", "dst", "cls", r(C("length_m")).alias("m"), r(C("seconds")).alias("s"))
+ORACLE_SQL["grf5_north_graph"] = f"with recursive features as ({NORTH}), {_LINES_SQL}, {_MOVED}, {_AT_NODES} select {_NODE.format(x='ax', y='ay')} as src, {_NODE.format(x='bx', y='by_')} as dst, cls, round(len,3) as m, round(cost,3) as s from costed where oneway >= 0 union all select {_NODE.format(x='bx', y='by_')}, {_NODE.format(x='ax', y='ay')}, cls, round(len,3), round(cost,3) from costed where oneway <= 0"
+
 # Search documents of tiles
 _DOCS = f"""(select concat(k, '|p|', name) as id, name, {case(lookups.PLACE_KIND, 'cls', 'hamlet')} as kind, cast({case(lookups.PLACE_BOOST, 'cls', 40)} as int) as boost, k from labels_of_tiles where layer = 'place' and name <> ''
  union all select concat(k, '|s|', name), name, 'street', 25, k from (select k, layer, arg_min(name, (id, name)) as name from labels_of_tiles where layer in ('transportation','transportation_name') and z >= 12 and name <> '' group by k, layer, lower(name))

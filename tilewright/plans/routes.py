@@ -9,6 +9,7 @@ from tilewright.derive import FIXES, derived, with_derived
 from tilewright.functions import geo, tiles
 from tilewright.operators import routes
 from tilewright.plans import sqls
+from tilewright.plans.graph import checkpointed
 from tilewright.plans.scalars import brg, hav, seg_sql, tx, ty
 from tilewright.plans.sqls import K, values
 
@@ -167,6 +168,7 @@ _SAID_MS = lambda: F.floor(F.unix_millis(C("ts").cast("timestamp")) / 20_000)  #
 
 
 def _str8(d):
+    checkpointed(d.sparkSession)
     return routes.said(d.select("trip_id", "event_id", _SAID_MS().alias("ts_ms"), (C("event_id") % 8 == 0).alias("interrupt")), "trip_id", 1500).select("event_id", "ts_ms", "interrupt")
 
 
@@ -190,7 +192,7 @@ register_fold(
     "event_id, ts_ms, interrupt where false",
 )
 ORACLE_SQL["str8_throttle"] = ORACLE_SQL["str8_throttle"].replace("select event_id, ts_ms, interrupt where false from walk w join numbered r using (trip_id, n)", "select event_id, ts_ms, interrupt from walk w join numbered r using (trip_id, n) where spoken")
-register("str8_throttle_whole", lambda d: routes.throttled(d.select("trip_id", F.unix_millis(C("ts").cast("timestamp")).alias("ts_ms"), C("event_id").alias("along_m")), "trip_id", 1.5, 0).select(C("along_m").alias("event_id")))
+register("str8_throttle_whole", lambda d: checkpointed(d.sparkSession) or routes.throttled(d.select("trip_id", F.unix_millis(C("ts").cast("timestamp")).alias("ts_ms"), C("event_id").alias("along_m")), "trip_id", 1.5, 0).select(C("along_m").alias("event_id")))
 register("str6_state_changes", lambda d: d.withColumn("state", F.when(C("accuracy") > 25, "offline").when(C("accuracy") > 15, "degraded").otherwise("online")).withColumn("last", F.lag("state").over(W())).where("last is null or last <> state").select("event_id", "state"), "select event_id, state from (select event_id, state, lag(state) over (partition by trip_id order by ts, event_id) as last from (select *, case when accuracy>25 then 'offline' when accuracy>15 then 'degraded' else 'online' end as state from fixes)) where last is null or last <> state")
 register("srt8_last_four", lambda d: d.withColumn("n", F.row_number().over(Window.partitionBy("trip_id").orderBy(F.desc("ts"), F.desc("event_id")))).where("n <= 4").select("trip_id", "event_id"), "select trip_id, event_id from (select trip_id, event_id, row_number() over (partition by trip_id order by ts desc, event_id desc) as n from fixes) where n <= 4")
 
@@ -203,7 +205,13 @@ def _turns(d):
 
 
 register("win5_turn_delta", _turns, f"select event_id, round(case when d = -180 then 180 else d end,4) + 0e0 as delta from (select event_id, x - 360*floor(x/360) - 180 as d from (select event_id, {brg('lng', 'lat', 'bx', 'by_')} - {brg('ax', 'ay', 'lng', 'lat')} + 540 as x from (select *, lag(lng) over w as ax, lag(lat) over w as ay, lead(lng) over w as bx, lead(lat) over w as by_ from fixes window w as (partition by trip_id order by ts, event_id)) where ax is not null and bx is not null))")
-register("geo9_simplified", lambda d: routes.simplified(d, "trip_id", ["ts", "event_id"], 100.0).select("trip_id", "event_id"))
+_THIN_M = 100.0
+_FLAT = f"select trip_id, event_id, row_number() over w - 1 as n, lng*{geo.DEGREE_M}*cos(radians(first_value(lat) over w)) as x, lat*{geo.DEGREE_M} as y from fixes window w as (partition by trip_id order by ts, event_id)"
+_ON = "least(1, greatest(0, case when (bx-ax)*(bx-ax)+(by_-ay)*(by_-ay) > 0 then ((p.x-ax)*(bx-ax)+(p.y-ay)*(by_-ay))/((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)) else 0 end))"
+_STRETCHES = "select v.trip_id, v.a, v.b, a.x as ax, a.y as ay, b.x as bx, b.y as by_ from stretch v join pts a on a.trip_id=v.trip_id and a.n=v.a join pts b on b.trip_id=v.trip_id and b.n=v.b"
+_SPLITS = f"select trip_id, a, b, arg_max(n, (d, -n)) as at_n, max(d) as far from (select v.trip_id, v.a, v.b, p.n, sqrt(pow(p.x-ax-{_ON}*(bx-ax),2)+pow(p.y-ay-{_ON}*(by_-ay),2)) as d from ({_STRETCHES}) v join pts p on p.trip_id=v.trip_id and p.n > v.a and p.n < v.b) group by all"
+register("geo9_simplified", lambda d: checkpointed(d.sparkSession) or routes.simplified(d, "trip_id", ["ts", "event_id"], _THIN_M, F.to_date("ts")).select("trip_id", "event_id"))
+ORACLE_SQL["geo9_simplified"] = f"with recursive fixes as ({FIXES}), pts as ({_FLAT}), stretch(trip_id, a, b) as (select trip_id, cast(0 as bigint), max(n) from pts group by trip_id union all select trip_id, s.a, s.b from (select trip_id, unnest([{{'a': a, 'b': at_n}}, {{'a': at_n, 'b': b}}]) as s from ({_SPLITS}) where far > {_THIN_M})) select trip_id, event_id from pts where (trip_id, n) in (select (trip_id, a) from stretch union select (trip_id, b) from stretch)"
 
 # Corridors
 
@@ -211,38 +219,39 @@ register("geo9_simplified", lambda d: routes.simplified(d, "trip_id", ["ts", "ev
 DETAIL_M = 2000.0
 
 
-def segments_of(route):
-    return routes.segments(route)
-
-
 def _segments_df(spark, segs):
     return spark.createDataFrame(segs, "i int, ax double, ay double, bx double, by double, before double, n double")
 
 
-def _route_segments(spark):
-    return _segments_df(spark, segments_of(ROUTE))
+def plan_sql_legs() -> str:
+    """The legs of each day's route with what routes.legs() adds to them."""
+    w = "window w as (partition by route_id order by ts, event_id)"
+    own = f"(select *, sqrt(pow(radians(bx-ax)*cos(radians(ay)),2)+pow(radians(by_-ay),2))*{geo.R} as n, {hav('ax', 'ay', 'bx', 'by_')} as m from (select route_id, event_id, ts, row_number() over w - 1 as i, lng as ax, lat as ay, lead(lng) over w as bx, lead(lat) over w as by_, avg(lat) over (partition by route_id) as lat from trips {w}) where bx is not null)"
+    return f"(select *, coalesce(sum(n) over (w rows between unbounded preceding and 1 preceding), 0) as before, sum(m) over (partition by route_id) as total, lead(i) over w is null as last from {own} {w})"
+
+
+LEGS_SQL = plan_sql_legs()
 
 
-QUERIES["jon7_corridor"] = lambda spark, sf_dir: routes.corridor_tiles(_route_segments(spark), 13, 2000.0).select("x", "y")
-ORACLE_SQL["jon7_corridor"] = f"select x, y from {sqls.corridor(segments_of(ROUTE), 13, 2000.0)}"
+def day_legs(spark, sf_dir):
+    return routes.legs(derived(spark, sf_dir, "trips"), "route_id", ["ts", "event_id"])
 
 
-def within_sql(segs, z: int, radius: float, cap: int) -> str:
-    """The corridor at the first radius that has no more than cap tiles."""
-    radii = [radius]
-    while radii[-1] > 200:
-        radii.append(max(200.0, radii[-1] * 0.55))
-    tried = " union all ".join(f"select {k} as k, x, y from {sqls.corridor(segs, z, m)}" for k, m in enumerate(radii))
-    return f"(select x, y from (select *, count(*) over (partition by k) as c from ({tried})) qualify k = min(case when c <= {cap} or k = {len(radii) - 1} then k end) over ())"
+def register_trips(name, build, sql) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(day_legs(spark, sf_dir))
+    ORACLE_SQL[name] = with_derived(sql)
 
 
-QUERIES["cor1_corridor_within"] = lambda spark, sf_dir: routes.corridor_within(_route_segments(spark), 13, 20000.0, 300)[0]
-ORACLE_SQL["cor1_corridor_within"] = f"select cast(13 as int) as z, x, y from {within_sql(segments_of(ROUTE), 13, 20000.0, 300)}"
+ALL = 1 << 30
+register_trips("jon7_corridor", lambda d: routes.corridors(d, "route_id", 13, 2000.0, ALL).select("route_id", "x", "y"), f"select route_id, x, y from {sqls.corridors(LEGS_SQL, 'route_id', 13, 2000.0, ALL)}")
+#: Some days' corridors fit at once, others only when they have shrunk.
+WIDE_M, WIDE_CAP = 6000.0, 110
+register_trips("cor1_corridor_within", lambda d: routes.corridors(d, "route_id", 13, WIDE_M, WIDE_CAP).select("route_id", "z", "x", "y"), f"select * from {sqls.corridors(LEGS_SQL, 'route_id', 13, WIDE_M, WIDE_CAP)}")
 
 
 def plan_tiles(spark, sf_dir):
     """The route's overview at zooms 6 to 12, its corridor at 13, and at 14 what is round its ends and manoeuvres."""
-    corridor = routes.corridor_within(_route_segments(spark), 13, 2000.0, 1400)[0]
+    corridor = routes.corridor_within(_segments_df(spark, routes.segments(ROUTE)), 13, 2000.0, 1400)[0]
     detail = routes.corridor_within(_segments_df(spark, _anchors()), 14, DETAIL_M, 500)[0]
     return _overview(spark, sf_dir).unionByName(corridor).unionByName(detail)
 
@@ -255,15 +264,77 @@ def _anchors():
 
 
 _overview = lambda spark, sf_dir: spark.range(6, 13).select(C("id").cast("int").alias("z")).withColumn("n", F.greatest(F.lit(1), F.ceil(F.lit(TOTAL) / (tiles.tile_width_m(C("z"), F.lit(40.1)) * 0.5))).cast("int")).select("z", "n", F.explode(F.sequence(F.lit(0), C("n"))).alias("i")).withColumn("p", routes.point_at_distance(C("i") / C("n") * TOTAL, ROUTE)).select("z", tiles.tile_x(C("p.lng"), C("z")).alias("x"), tiles.tile_y(C("p.lat"), C("z")).alias("y")).distinct()
-QUERIES["cor2_overview"] = plan_tiles
-_SAMPLES = f"(select z, j/cast(n as double)*{TOTAL!r} as m, z*100000+j as id from (select z, n, unnest(range(0, n+1)) as j from (select cast(z as int) as z, greatest(1, cast(ceil({TOTAL!r}/({tiles.EQUATOR_M}*cos(radians(40.1))/pow(2,z)*0.5)) as bigint)) as n from range(6,13) r(z))))"
-ORACLE_SQL["cor2_overview"] = f"select distinct z, {tx('lng', 'z')} as x, {ty('lat', 'z')} as y from {sqls.at_distance(_SAMPLES, 'id', 'm', ROUTE)} join {_SAMPLES} using (id) union all select cast(13 as int), x, y from {within_sql(segments_of(ROUTE), 13, 2000.0, 1400)} union all select cast(14 as int), x, y from {within_sql(_anchors(), 14, DETAIL_M, 500)}"
-QUERIES["win12_route_samples"] = lambda spark, sf_dir: spark.range(0, 101).select(C("id").cast("int").alias("i"), routes.point_at_distance(C("id") / 100 * TOTAL, ROUTE).alias("p")).select("i", r("lng", C("p.lng"), 8), r("lat", C("p.lat"), 8))
-ORACLE_SQL["win12_route_samples"] = f"select cast(i as int) as i, round(lng,8) as lng, round(lat,8) as lat from {sqls.at_distance('(select i as id from range(101) r(i))', 'id', f'id/100.0*{TOTAL!r}', ROUTE)} t(i, lng, lat)"
-#: Where the look-ahead starts, and how fast: on the motorway 480 s reach further than three times the detail.
-AHEAD_AT, AHEAD_MPS, AHEAD_DETAIL_M = 30_000.0, 30.0, 1500.0
-QUERIES["cor3_predictive"] = lambda spark, sf_dir: routes.predictive(spark, ROUTE, AHEAD_AT, AHEAD_MPS, AHEAD_DETAIL_M)
-ORACLE_SQL["cor3_predictive"] = f"select cast(14 as int) as z, x, y from {within_sql(segments_of(routes.sliced(ROUTE, AHEAD_AT - AHEAD_DETAIL_M, AHEAD_AT + AHEAD_MPS * 480)), 14, AHEAD_DETAIL_M, 400)}"
+
+
+def points_sql(step: str, most: str, legs: str = LEGS_SQL) -> str:
+    """(route_id, k, lng, lat) of the points k * step along each route; the end beyond the end."""
+    at = lambda a, b: f"arg_min({a} + (case when n=0 then 0 else (at_m-before)/n end)*({b}-{a}), i)"
+    asked = f"(select route_id, k, k*step as at_m from (select route_id, any_value({step}) as step, any_value({most}) as most from {legs} group by route_id), unnest(range(0, cast(most as bigint)+1)) as ks(k))"
+    inside = f"(select route_id, k, {at('ax', 'bx')} as lng, {at('ay', 'by_')} as lat from {asked} join {legs} l using (route_id) where at_m <= before+n group by all)"
+    return f"(select route_id, k, coalesce(p.lng, e.bx) as lng, coalesce(p.lat, e.by_) as lat from {asked} left join {inside} p using (route_id, k) join (select route_id, bx, by_ from {legs} where last) e using (route_id))"
+
+
+#: Half a tile's width along the route; how many such steps an overview of zoom z takes.
+_STEPS = lambda z: F.greatest(F.lit(1), F.ceil(C("total") / (tiles.tile_width_m(F.lit(z), C("lat")) * 0.5)))
+_STEPS_SQL = lambda z: f"greatest(1, ceil(total/({tiles.EQUATOR_M}*cos(radians(lat))/{2**z}*0.5)))"
+OVERVIEW = range(6, 13)
+
+
+def anchors(points):
+    """Segments of no length at each route's ends and where it turns by 25 degrees or more."""
+    w = Window.partitionBy("route_id").orderBy("ts", "event_id")
+    p = points.select("route_id", "lng", "lat", F.lag("lng").over(w).alias("ax"), F.lag("lat").over(w).alias("ay"), F.lead("lng").over(w).alias("bx"), F.lead("lat").over(w).alias("by")).where("ax is not null or bx is not null")
+    turn = geo.angle_diff(geo.bearing_deg(C("ax"), C("ay"), C("lng"), C("lat")), geo.bearing_deg(C("lng"), C("lat"), C("bx"), C("by")))
+    return p.where(C("ax").isNull() | C("bx").isNull() | (F.abs(turn) >= 25)).select("route_id", C("lng").alias("ax"), C("lat").alias("ay"), C("lng").alias("bx"), C("lat").alias("by"), (C("ax").isNotNull() & C("bx").isNotNull()).alias("turns"))
+
+
+_TURN = f"{brg('lng', 'lat', 'bx', 'by_')} - {brg('ax', 'ay', 'lng', 'lat')} + 540"
+ANCHORS_SQL = f"(select route_id, lng as ax, lat as ay, lng as bx, lat as by_, turns from (select *, ax is not null and bx is not null as turns, abs(({_TURN}) - 360*floor(({_TURN})/360) - 180) as turn from (select route_id, ts, event_id, lng, lat, lag(lng) over w as ax, lag(lat) over w as ay, lead(lng) over w as bx, lead(lat) over w as by_ from trips window w as (partition by route_id order by ts, event_id))) where (ax is not null or bx is not null) and (ax is null or bx is null or turn >= 25))"
+
+
+def trip_plans(spark, sf_dir):
+    """(route_id, z, x, y): each day's overview at zooms 6 to 12, its corridor at 13, and at 14 what is round its ends and turns."""
+    d = day_legs(spark, sf_dir)
+    out = routes.corridors(d, "route_id", 13, 2000.0, 1400).unionByName(routes.corridors(anchors(derived(spark, sf_dir, "trips")), "route_id", 14, DETAIL_M, 500)).select("route_id", "z", "x", "y")
+    for z in OVERVIEW:
+        at = routes.spaced(d, C("total") / _STEPS(z), _STEPS(z), "route_id")
+        out = out.unionByName(at.select("route_id", F.lit(z).alias("z"), tiles.tile_x(C("lng"), F.lit(z)).alias("x"), tiles.tile_y(C("lat"), F.lit(z)).alias("y")).distinct())
+    return out
+
+
+QUERIES["cor2_overview"] = trip_plans
+ORACLE_SQL["cor2_overview"] = with_derived(
+    " union all ".join(
+        [f"select route_id, z, x, y from {sqls.corridors(LEGS_SQL, 'route_id', 13, 2000.0, 1400)}", f"select route_id, z, x, y from {sqls.corridors(ANCHORS_SQL, 'route_id', 14, DETAIL_M, 500)}"]
+        + [f"select distinct route_id, cast({z} as int) as z, {tx('lng', z)} as x, {ty('lat', z)} as y from {points_sql(f'total/{_STEPS_SQL(z)}', _STEPS_SQL(z))}" for z in OVERVIEW]
+    )
+)
+register_trips("win12_route_samples", lambda d: routes.spaced(d, C("total") / 100, F.lit(100), "route_id").select("route_id", C("k").cast("int").alias("i"), r("lng", C("lng"), 7), r("lat", C("lat"), 7)), f"select route_id, cast(k as int) as i, round(lng,7) as lng, round(lat,7) as lat from {points_sql('total/100', '100')}")
+#: Where on a day's route the look-ahead starts, and how fast: the fast ones reach further than three times the detail.
+AHEAD_SHARE, AHEAD_DETAIL_M = 0.3, 1500.0
+_SPEED, _SPEED_SQL = lambda: C("route_id") % 4 * 10.0, "(route_id%4*10.0)"
+
+
+def _ahead(d):
+    along = C("total") * AHEAD_SHARE
+    return routes.corridors(routes.clipped(d, along - AHEAD_DETAIL_M, along + F.greatest(F.lit(3 * AHEAD_DETAIL_M), _SPEED() * routes.AHEAD_S)), "route_id", 14, AHEAD_DETAIL_M, routes.AHEAD_CAP).select("route_id", "z", "x", "y")
+
+
+_CLIPPED = f"(select route_id, case when before < a then ax + (a-before)/n*(bx-ax) else ax end as ax, case when before < a then ay + (a-before)/n*(by_-ay) else ay end as ay, bx, by_ from (select *, greatest(a, least(e, total)) as b from (select *, greatest(0, least(total*{AHEAD_SHARE}-{AHEAD_DETAIL_M}, total)) as a, total*{AHEAD_SHARE} + greatest({3 * AHEAD_DETAIL_M}, {_SPEED_SQL}*{routes.AHEAD_S}) as e from {LEGS_SQL})) where before+n > a and before < b)"
+register_trips("cor3_predictive", _ahead, f"select * from {sqls.corridors(_CLIPPED, 'route_id', 14, AHEAD_DETAIL_M, routes.AHEAD_CAP)}")
+
+
+# What a route's corridor and its detail want together, each tile once: the corridor's tiles at the detail's zoom are their
+# four children.
+def _wanted_together(spark, sf_dir):
+    d = routes.corridors(day_legs(spark, sf_dir), "route_id", 13, 2000.0, 1400)
+    children = d.select(F.lit(14).alias("z"), F.explode(F.array(C("x") * 2, C("x") * 2 + 1)).alias("x"), "y").select("z", "x", F.explode(F.array(C("y") * 2, C("y") * 2 + 1)).alias("y"))
+    detail = routes.corridors(anchors(derived(spark, sf_dir, "trips")), "route_id", 14, DETAIL_M, 500).select("z", "x", "y")
+    return children.unionByName(detail).distinct()
+
+
+QUERIES["set1_union_distinct"] = _wanted_together
+ORACLE_SQL["set1_union_distinct"] = with_derived(f"select cast(14 as int) as z, x, y from (select distinct cast(x*2+i as int) as x, cast(y*2+j as int) as y from {sqls.corridors(LEGS_SQL, 'route_id', 13, 2000.0, 1400)}, (values (0), (1)) a(i), (values (0), (1)) b(j) union select x, y from {sqls.corridors(ANCHORS_SQL, 'route_id', 14, DETAIL_M, 500)})")
 
 
 def _feature(geometry, **properties):
@@ -275,28 +346,29 @@ def _shape(kind, coordinates):
 
 
 def _geojson(spark, sf_dir):
-    """The route, its manoeuvres and its end as features of a map."""
-    at = lambda p: F.array(F.lit(p[0]), F.lit(p[1]))
-    turns = [(kind, routes.sliced(ROUTE, m, m)[0]) for _, kind, m, _ in STEPS if kind not in ("depart", "arrive")]
-    rows = [(0, "route", _feature(_shape("LineString", F.array(*map(at, ROUTE)))))]
-    rows += [(i, "manoeuvre", _feature(_shape("Point", at(p)), type=F.lit(kind))) for i, (kind, p) in enumerate(turns, 1)]
-    rows += [(len(rows), "destination", _feature(_shape("Point", at(ROUTE[-1]))))]
+    """Each day's route, its turns and its end as features of a map; a route is a row."""
+    points = derived(spark, sf_dir, "trips").groupBy("route_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "lng", "lat"))).alias("p")).where(F.size("p") > 1)
+    at = lambda p: F.array(p["lng"], p["lat"])
+    lines = points.select("route_id", F.lit("route").alias("what"), _feature(_shape("LineString", F.transform("p", at))).alias("f"))
+    ends = points.select("route_id", F.lit("destination").alias("what"), _feature(_shape("Point", at(F.element_at("p", -1)))).alias("f"))
+    turns = anchors(derived(spark, sf_dir, "trips")).where("turns").select("route_id", F.lit("manoeuvre").alias("what"), _feature(_shape("Point", F.array("ax", "ay")), type=F.lit("turn")).alias("f"))
     out = None
-    for i, what, feature in rows:
-        row = spark.range(1).select(F.lit(i).alias("i"), F.lit(what).alias("what"), F.to_json(feature).alias("geojson"))
-        out = row if out is None else out.unionByName(row)
+    for rows in (lines, turns, ends):
+        rows = rows.select("route_id", "what", F.to_json("f").alias("geojson"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def _geojson_sql() -> str:
-    turns = [(kind, routes.sliced(ROUTE, m, m)[0]) for _, kind, m, _ in STEPS if kind not in ("depart", "arrive")]
-    ok, point = '"properties":{"ok":true}', lambda p: f'"geometry":{{"type":"Point","coordinates":[{p[0]!r},{p[1]!r}]}}'
-    line = ",".join(f"[{x!r},{y!r}]" for x, y in ROUTE)
-    rows = [("route", f'{{"type":"Feature",{ok},"geometry":{{"type":"LineString","coordinates":[{line}]}}}}')]
-    rows += [("manoeuvre", f'{{"type":"Feature","properties":{{"type":"{kind}"}},{point(p)}}}') for kind, p in turns]
-    rows += [("destination", f'{{"type":"Feature",{ok},{point(ROUTE[-1])}}}')]
-    return " union all ".join(f"select cast({i} as int) as i, '{what}' as what, '{text}' as geojson" for i, (what, text) in enumerate(rows))
+    ok, turn = '"properties":{"ok":true}', '"properties":{"type":"turn"}'
+    text = lambda x, y: f"concat('[', {x}, ',', {y}, ']')"
+    frame = lambda kind, props, c: f"""concat('{{"type":"Feature",{props},"geometry":{{"type":"{kind}","coordinates":', {c}, '}}}}')"""
+    line = f"concat('[', string_agg({text('lng', 'lat')}, ',' order by ts, event_id), ']')"
+    lines = f"select route_id, 'route' as what, {frame('LineString', ok, line)} as geojson from trips group by route_id having count(*) > 1"
+    ends = f"select route_id, 'destination' as what, {frame('Point', ok, text('arg_max(lng, (ts, event_id))', 'arg_max(lat, (ts, event_id))'))} as geojson from trips group by route_id having count(*) > 1"
+    turns = f"select route_id, 'manoeuvre' as what, {frame('Point', turn, text('ax', 'ay'))} as geojson from {ANCHORS_SQL} where turns"
+    return f"{lines} union all {turns} union all {ends}"
 
 
 QUERIES["src14_route_geojson"] = _geojson
-ORACLE_SQL["src14_route_geojson"] = _geojson_sql()
+ORACLE_SQL["src14_route_geojson"] = with_derived(_geojson_sql())

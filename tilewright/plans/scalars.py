@@ -165,7 +165,7 @@ register(
     f"select f, t, round((100.0+f%50)::double/1000/{case(lookups.CLASS_SPEED, 'cls', 30)}*3600*(case when f%5=0 then 1.1 else 1 end)::double*(case when f%7=0 then 1.2 else 1 end)::double,6) as s from ways",
 )
 register("fil8_mode_weight", "ways", lambda d: d.select("f", "t", *rounded(("s", lookups.mode_weight(100.0 + C("f") % 50, C("cls"), "car"), 6))), f"select f, t, round((100.0+f%50)::double/1000/least(50, {case(lookups.CLASS_SPEED, 'cls', 30)})*3600,6) as s from ways")
-register("fil9_live_edges", "ways", lambda d: d.where((C("f") == 41) & (C("oneway") >= 0) & lookups.is_accessible(C("cls"), "car")).select("f", "t"), "select f, t from ways where f = 41 and oneway >= 0 and cls in ('motorway','secondary','residential','service')")
+register("fil9_live_edges", "ways", lambda d: d.where((C("oneway") >= 0) & lookups.is_accessible(C("cls"), "bicycle")).select("f", "t"), "select f, t from ways where oneway >= 0 and cls in ('secondary','residential','service')")
 register("fil10_class_rank", "ways", lambda d: d.select("f", "t", lookups.class_rank(C("cls")).alias("rank")), f"select f, t, {case(lookups.CLASS_RANK, 'cls', 0)} as rank from ways")
 register("fil13_theme", "fixes", lambda d: d.select("event_id", lookups.theme(F.hour("ts")).alias("theme")), "select event_id, case when hour(ts) >= 7 and hour(ts) < 19 then 'day' else 'night' end as theme from fixes")
 register("fil14_stitch_radius", "fixes", lambda d: d.select("event_id", lookups.stitch_radius(8 + C("event_id") % 8).alias("m")), "select event_id, case when 8+event_id%8 >= 14 then 15 when 8+event_id%8 = 13 then 80 when 8+event_id%8 = 12 then 200 when 8+event_id%8 = 11 then 400 when 8+event_id%8 = 10 then 800 else 1200 end as m from fixes")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tilewright.derive import PLACES, derived, with_derived
 from tilewright.functions import lookups
 from tilewright.operators import search
+from tilewright.plans.graph import checkpointed
 from tilewright.plans.scalars import case, hav
 
 QUERIES: dict = {}
@@ -42,7 +43,6 @@ register("sea3_kind_boost", lambda d: d.select("id", lookups.lookup(lookups.PLAC
 _SHAPED = lambda d: d.select("id", F.when(C("boost") > 20, C("name")).otherwise(" ").alias("name"), C("name").alias("street"), F.lit("").alias("city"), C("kind").alias("state"), F.lit(None).cast("string").alias("country"))
 register("sea7_online_rows", lambda d: search.shape_online(_SHAPED(d)), "select id, name, kind as detail from places")
 register("set2_ordered_concat", lambda d: d.where("kind='poi'").select("id", F.lit(0).alias("source")).unionByName(d.where("kind='city'").select("id", F.lit(1).alias("source"))).orderBy("source", "id"), "select id, 0 as source from places where kind='poi' union all select id, 1 from places where kind='city'")
-register("set1_union_distinct", lambda d: d.where("kind='poi'").select("name").union(d.where("boost < 30").select("name")).distinct(), "select distinct name from places where kind='poi' or boost < 30")
 
 # Names from the least that begin with a prefix to before the next prefix.
 register("srt2_prefix_range", lambda d: d.where((F.lower("name") >= "re") & (F.lower("name") < "rf")).select("id", "name"), "select id, name from places where lower(name) >= 're' and lower(name) < 'rf'")
@@ -63,7 +63,7 @@ def _merged(online: str, limit: int | None):
 
 
 def register_merge(name: str, online: str, limit: int | None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: _merged(online, limit)(derived(spark, sf_dir, "places"))
+    QUERIES[name] = lambda spark, sf_dir: checkpointed(spark) or _merged(online, limit)(derived(spark, sf_dir, "places"))
     sql = _merge_sql(online, limit or 1 << 40)
     ORACLE_SQL[name] = f"with recursive places as ({PLACES}), {sql.removeprefix('with recursive ')}"
 

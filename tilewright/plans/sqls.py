@@ -31,6 +31,21 @@ def corridor(segs, z: int, radius: float) -> str:
     return f"(select distinct cast(x as int) as x, cast(y as int) as y from (select *, {lng} as lng, {lat} as lat from ({cells})) where {near} <= {radius!r} + 360.0/{2**z}*111320*cos(radians(ay))/2)"
 
 
+def corridors(segs: str, key: str, z: int, radius: float, cap: int) -> str:
+    """(key, z, x, y) of the corridors of the lines in segs (key, ax, ay, bx, by_), each at the largest of its radii that
+    has no more than cap tiles; a radius after the other is tried."""
+    wide = "/greatest(0.05,cos(radians((ay+by_)/2)))"
+    lng, lat = f"(({west('x', z)}+{west('x+1', z)})/2)", f"(({north('y', z)}+{north('y+1', z)})/2)"
+    boxes = f"select s.*, least(ax,bx)-dl{wide} as x0, greatest(ax,bx)+dl{wide} as x1, least(ay,by_)-dl as y0, greatest(ay,by_)+dl as y1 from (select {key}, ax, ay, bx, by_, degrees({radius * 2.0!r}/{geo.R}) as dl from {segs}) s"
+    cells = f"select *, unnest(range({ty('y1', z)}, {ty('y0', z)}+1)) as y from (select *, unnest(range({tx('x0', z)}, {tx('x1', z)}+1)) as x from ({boxes}))"
+    far = f"{seg_sql('111320.0', 'ax', 'ay', 'bx', 'by_')[1]} - 360.0/{2**z}*111320*cos(radians(ay))/2"
+    tried = ", ".join(f"({k}, {r!r}e0)" for k, r in enumerate(routes.radii(radius)))
+    last = len(routes.radii(radius)) - 1
+    near = f"(select {key}, x, y, min(far) as far from (select *, {far} as far from (select *, {lng} as lng, {lat} as lat from ({cells}))) group by all)"
+    each = f"(select *, count(*) over (partition by {key}, k) as c from {near} n join (values {tried}) t(k, r) on n.far <= t.r)"
+    return f"(select {key}, cast({z} as int) as z, cast(x as int) as x, cast(y as int) as y from {each} qualify k = min(case when c <= {cap} or k = {last} then k end) over (partition by {key}))"
+
+
 def at_distance(source: str, key: str, metres: str, route) -> str:
     """(key, lng, lat) of the points `metres` along a route."""
     at = lambda a, b: f"{a} + (case when n=0 then 0 else (m_at-before)/n end)*({b}-{a})"

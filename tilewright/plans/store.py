@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tilewright.derive import derived, with_derived
 from tilewright.functions import tiles
-from tilewright.operators import store
+from tilewright.operators import routes, store
 from tilewright.plans import sqls
-from tilewright.plans.routes import ROUTE, plan_tiles, segments_of
+from tilewright.plans.routes import ROUTE, plan_tiles
 from tilewright.plans.scalars import hav, north, tx, ty, west
 
 QUERIES: dict = {}
@@ -29,7 +29,6 @@ register("agg2_pressure", lambda d: store.pressure(d, BUDGET), f"select cast(use
 register("agg3_freed", lambda d: d.where(SMART()).agg(F.sum("size").alias("bytes")), "select cast(sum(size) as bigint) as bytes from tiles where tier = 'smart'")
 register("snk9_clear_smart", lambda d: d.where(SMART()).agg(F.sum("size").alias("freed"), F.count("*").alias("tiles")), "select cast(sum(size) as bigint) as freed, count(*) as tiles from tiles where tier = 'smart'")
 register("agg10_distinct_tiles", lambda d: d.select("z", "x", "y").dropDuplicates(), "select distinct z, x, y from tiles")
-register("agg14_prefetch_stats", lambda d: d.agg(F.count_if(C("size") > 0).alias("stored"), F.count_if(C("size") % 7 == 0).alias("failed"), F.sum(F.when(C("size") % 7 != 0, C("size"))).alias("bytes")), "select count(*) filter (where size>0) as stored, count(*) filter (where size%7=0) as failed, cast(sum(size) filter (where size%7<>0) as bigint) as bytes from tiles")
 register("snk1_upsert", store.latest, "select k, arg_max(size, (last_access, tile_id)) as size, arg_max(tier, (last_access, tile_id)) as tier, max(last_access) as last_access from tiles group by k")
 _KEYS = lambda d: d.where(C("x") % 2 == 0).select("k").distinct()
 register("snk2_delete", lambda d: d.join(_KEYS(d), "k", "left_anti").select("tile_id", "k"), "select tile_id, k from tiles where x % 2 <> 0")
@@ -48,17 +47,27 @@ _EVICT = "(select *, coalesce(sum(size) over (order by last_access, tile_id rows
 _USED = "(select sum(size) from tiles where tier='smart')"
 register("win7_eviction_prefix", lambda d: store.evict(d, BUDGET).select("tile_id"), f"select tile_id from {_EVICT.format(used=_USED, where='')} where used > floor(0.9*{BUDGET}) and used - before > floor(0.9*{BUDGET})")
 register("str10_cache_trim", lambda d: store.trim(d, 1500, 1300), "select tile_id from (select tile_id, row_number() over (order by last_access desc, tile_id desc) as n, count(*) over () as c from tiles) where c <= 1500 or n <= 1300")
-register("snk8_settings", lambda d: store.settings(d.sparkSession, {"units": "metric", "theme": "auto"}, {"theme": "night"}, {"budget": "400"}), "select 'units' as name, 'metric' as value union all select 'theme','night' union all select 'budget','400'")
+
+
+def _settings(spark, sf_dir):
+    """Defaults, what each customer saved, and the preset of their country."""
+    said = [(0, "units", F.lit("metric")), (0, "theme", F.lit("auto")), (1, "theme", F.when(C("c_custkey") % 3 == 0, "night")), (1, "budget", (C("c_custkey") % 5 * 100).cast("string")), (2, "units", F.when(C("c_nationkey") % 4 == 0, "imperial")), (2, "budget", F.when(C("c_nationkey") % 7 == 0, "900"))]
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.inline(F.array(*[F.struct(F.lit(i).alias("layer"), F.lit(n).alias("name"), v.alias("value")) for i, n, v in said])))
+    return store.settings(rows, "c_custkey")
+
+
+QUERIES["snk8_settings"] = _settings
+ORACLE_SQL["snk8_settings"] = "select c_custkey, 'units' as name, case when c_nationkey%4=0 then 'imperial' else 'metric' end as value from customer union all select c_custkey, 'theme', case when c_custkey%3=0 then 'night' else 'auto' end from customer union all select c_custkey, 'budget', case when c_nationkey%7=0 then '900' else cast(c_custkey%5*100 as varchar) end from customer"
 
 # Protection along the route: pinned, its centre in the corridor, and not far behind the position.
 ALONG, CORRIDOR_M, BEHIND_M = 50_000.0, 2000.0, 5000.0
-PROTECTED = lambda: store.protected(ROUTE, ALONG, CORRIDOR_M, BEHIND_M)
+PROTECTED = lambda d: store.protected(d, ROUTE, ALONG, CORRIDOR_M, BEHIND_M)
 _CENTERS = f"(select *, ({west('x', 13)}+{west('x+1', 13)})/2 as lng, ({north('y', 13)}+{north('y+1', 13)})/2 as lat from tiles)"
 _PROTECTED = f"(select tile_id from {sqls.projected(_CENTERS, 'tile_id', ROUTE)} where pinned_by is not null and dist_m <= {CORRIDOR_M} and along_m >= {ALONG - BEHIND_M})"
-register("jon8_protected", lambda d: d.where(PROTECTED()).select("tile_id"), f"select tile_id from {_PROTECTED}")
+register("jon8_protected", lambda d: PROTECTED(d).where("protected").select("tile_id"), f"select tile_id from {_PROTECTED}")
 register(
     "cor4_plan_eviction",
-    lambda d: store.evict(d, BUDGET, PROTECTED()).select("tile_id", "k", "size"),
+    lambda d: store.evict(PROTECTED(d), BUDGET, C("protected")).select("tile_id", "k", "size"),
     f"select tile_id, k, size from {_EVICT.format(used=_USED, where=f' and tile_id not in {_PROTECTED}')} where used > floor(0.9*{BUDGET}) and used - before > floor(0.9*{BUDGET})",
 )
 QUERIES["cor4_plan_eviction_whole"] = QUERIES["cor4_plan_eviction"]
@@ -75,6 +84,7 @@ register(
     lambda d: store.fetched(_STORED(d), _ARRIVED(d)),
     "select k, coalesce(n.size, o.size) as size, case when n.size is not null then 'smart' else o.tier end as tier from (select k, arg_max(size, (last_access, tile_id)) as size, arg_max(tier, (last_access, tile_id)) as tier from tiles where x%2=0 group by k) o full join (select distinct k, cast(y as bigint)*1000 as size from tiles where x%3=0 and y%5<>0 and y%4<>0) n using (k)",
 )
+register("agg14_prefetch_stats", lambda d: store.fetch_stats(_ARRIVED(d)), "select count(*) filter (where size > 0) as stored, count(*) filter (where size is null or size = 0) as failed, cast(sum(size) as bigint) as bytes from (select distinct k, case when y%5=0 then null when y%4=0 then 0 else cast(y as bigint)*1000 end as size from tiles where x%3=0)")
 QUERIES["src8_non_empty"] = lambda spark, sf_dir: _ARRIVED(derived(spark, sf_dir, "tiles")).where("size > 0")
 ORACLE_SQL["src8_non_empty"] = with_derived("select distinct k, cast(y as bigint)*1000 as size from tiles where x%3=0 and y%5<>0 and y%4<>0")
 QUERIES["agg9_min_zoom"] = lambda spark, sf_dir: store.min_zoom(spark.range(7).select(C("id").alias("g")), derived(spark, sf_dir, "labels_of_tiles").where("id % 7 < 5 and pos < 3 * (id % 7)").select((C("id") % 7).alias("g"), "z"), "g")
@@ -131,4 +141,4 @@ def _pins(spark, sf_dir):
 
 
 QUERIES["cor8_route_pins"] = _pins
-ORACLE_SQL["cor8_route_pins"] = with_derived(f"select tile_id, 'route-9' as pinned_by from tiles where tier = 'smart' and (x, y) in (select (x, y) from {sqls.corridor(segments_of(ROUTE), 13, 2000.0)})")
+ORACLE_SQL["cor8_route_pins"] = with_derived(f"select tile_id, 'route-9' as pinned_by from tiles where tier = 'smart' and (x, y) in (select (x, y) from {sqls.corridor(routes.segments(ROUTE), 13, 2000.0)})")

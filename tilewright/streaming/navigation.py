@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from tilewright.functions.geo import R
-from tilewright.operators.routes import Route, segments
+from tilewright.operators import greedy
+from tilewright.operators.routes import Route, deviation, off_threshold, segments
 
 STATE = "off_count int, last_reroute_ms long, arrived boolean"
 OUTPUT = "trip_id long, event_id long, along_m double, dist_m double, off boolean, off_count int, arrived boolean, arrived_now boolean, reroute boolean"
@@ -62,6 +65,22 @@ def batch(fixes: DataFrame, route: Route, cooldown_ms: int = 15_000) -> DataFram
     return fixes.groupBy("trip_id").applyInPandas(lambda rows: fold(rows, route, START, cooldown_ms)[1], OUTPUT)
 
 
+def snapshots(fixes: DataFrame, route: Route, cooldown_ms: int = 15_000) -> DataFrame:
+    """batch() without a fold: the counter and the first arrival by windows, and the reroutes, which depend on the last one,
+    by pointers from each fix that would reroute to the next that may."""
+    w = Window.partitionBy("trip_id").orderBy("ts_ms", "event_id")
+    total = sum(leg[-1] for leg in segments(route))
+    rows = deviation(fixes, route, "trip_id", ("ts_ms", "event_id")).withColumn("_n", F.row_number().over(w))
+    along = F.greatest(F.lit(0.0), F.least(F.col("along_m"), F.lit(total)))
+    rows = rows.withColumn("along_m", along).withColumn("arrived", total - F.col("along_m") < 25).withColumn("_before", F.sum(F.col("arrived").cast("int")).over(w))
+    limit = off_threshold(F.col("accuracy"))
+    wanted = ((F.col("off_count") >= 2) | F.col("off") & (F.col("dist_m") > 4 * limit)) & ~F.col("arrived")
+    rows = rows.select("trip_id", "event_id", "ts_ms", "along_m", "dist_m", "off", F.col("off_count").cast("int").alias("off_count"), "arrived", (F.col("arrived") & (F.col("_before") == 1)).alias("arrived_now"), wanted.alias("_wanted"), "_n").checkpoint()
+    asked = rows.where("_wanted").select("trip_id", "ts_ms", F.col("_n").alias("at"))
+    go = greedy.counting(asked, "trip_id", ["ts_ms", "at"], F.floor(F.col("ts_ms") / (cooldown_ms * greedy.FAN)), cooldown_ms + 1)
+    return rows.join(go.select("trip_id", F.col("at").alias("_n"), F.lit(True).alias("reroute")), ["trip_id", "_n"], "left").select(*[c.split()[0] for c in OUTPUT.split(", ")][:-1], F.coalesce("reroute", F.lit(False)).alias("reroute"))
+
+
 def stream(fixes: DataFrame, route: Route, cooldown_ms: int = 15_000, forget_ms: int = 6 * 3600 * 1000) -> DataFrame:
     """The same on a stream. Fixes of a trip must arrive in order from batch to batch; inside one they are sorted.
 
