@@ -42,6 +42,7 @@ register("grf2_vertex_id", lambda d: d.select("event_id", graph.vertex_id(C("lng
 register("grf3_nodes", lambda d: d.groupBy(graph.vertex_id(C("lng"), C("lat")).alias("node")).agg(F.min("lng").alias("lng"), F.min("lat").alias("lat")), "select (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as node, min(lng) as lng, min(lat) as lat from fixes group by 1", "fixes")
 
 
+register("jon1_vertex_join", lambda d: d.withColumn("v", graph.vertex_id(C("lng"), C("lat"))).join(d.select(graph.vertex_id(C("lng"), C("lat")).alias("v")).distinct(), "v").select("event_id", "v"), "select event_id, (cast(floor(lng*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(lat*32768+0.5) as bigint)+4194304) as v from fixes", "fixes")
 _hundredths = lambda c: F.floor(C(c) * 100 + 0.5) / 100
 
 
@@ -53,8 +54,8 @@ def _on_places(spark, sf_dir):
 
 
 _VERTEX = "(cast(floor(floor(lng*100+0.5)/100*32768+0.5) as bigint)+8388608)*8388608+(cast(floor(floor(lat*100+0.5)/100*32768+0.5) as bigint)+4194304)"
-QUERIES["jon1_vertex_join"] = _on_places
-ORACLE_SQL["jon1_vertex_join"] = with_derived(f"select event_id, v from (select event_id, {_VERTEX} as v from fixes) where v in (select {_VERTEX} from places)")
+QUERIES["jon1_vertices_of_places"] = _on_places
+ORACLE_SQL["jon1_vertices_of_places"] = with_derived(f"select event_id, v from (select event_id, {_VERTEX} as v from fixes) where v in (select {_VERTEX} from places)")
 QUERIES["jon1_vertex_join_whole"] = QUERIES["jon1_vertex_join"]
 
 
