@@ -1,14 +1,20 @@
-"""Shortest paths of many requests at once, searched towards their targets by joins: no graph on the driver or in a task.
+"""Shortest paths of many requests at once, searched towards their targets block by block: no graph on the driver or in a task.
 
-A state is a node reached from an origin in a mode. In a round the states that have improved go
-some edges on; a state stays in the frontier only while it may still better a target of its origin:
-while its cost, and the least time from it to the box of these targets, are no more than the dearest
-of their costs so far. Requests of one origin and mode share a search."""
+A state is a node reached from an origin in a mode. The graph is cut into blocks of neighbouring
+nodes; in a round each block that states have come into is searched from them, and those that leave
+it come into its neighbours in the next. A state goes on only while it may still better a target of
+its origin: while its cost, and the least time from it to the box of these targets, are no more than
+the dearest of their costs so far. Requests of one origin and mode share a search."""
 
 from __future__ import annotations
 
+import heapq
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.functions import geo, lookups
 
@@ -16,7 +22,12 @@ from tilewright.functions import geo, lookups
 FASTEST = max(lookups.CLASS_SPEED.values())
 #: Straight lines are taken a little shorter than they are, as boxes are flat here and the earth is not.
 SLACK = 0.99
+#: Seconds for a degree of latitude at 1 km/h, at the least.
+DEGREE_SECONDS = geo.DEGREE_M * SLACK / 1000 * 3600
+#: Nodes of a block and origins that one task searches in it: so many states, at most, are in a group.
+BLOCK, GROUP = 1024, 128
 KEY = ["mode", "origin"]
+FOUND = "mode string, origin long, node long, x double, y double, cost double, before long, outside boolean"
 
 
 def by_mode(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -27,39 +38,101 @@ def by_mode(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.join(nodes.select(F.col("node").alias("dst"), F.col("lng").alias("x"), F.col("lat").alias("y")), "dst").select("mode", "src", "dst", "step", "x", "y")
 
 
-def _least_seconds() -> Column:
-    """From a state (x, y) to the box of its origin's targets, at the mode's highest speed."""
-    beyond = lambda v, a, b: F.greatest(F.col(a) - F.col(v), F.col(v) - F.col(b), F.lit(0.0))
-    k = F.cos(F.radians(F.greatest(F.abs("y"), F.abs("south"), F.abs("north"))))
-    metres = F.hypot(beyond("x", "west", "east") * k, beyond("y", "south", "north")) * geo.DEGREE_M * SLACK
-    return metres / 1000 / F.least(lookups.lookup(lookups.MODE_SPEED, F.col("mode")), F.lit(FASTEST)) * 3600
-
-
-def searched(wanted: DataFrame, own: DataFrame, nodes: DataFrame, hops: int = 4) -> DataFrame:
+def _spread(v: Column) -> Column:
+    """The lower 26 bits of v with a free bit beside each."""
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+    return v
+
+
+def blocks(nodes: DataFrame) -> DataFrame:
+    """(node, x, y, block): nodes (node, lng, lat) by cells of about two kilometres, in pieces of neighbours where a cell
+    has more than BLOCK of them."""
+    step = lambda c, half: F.floor((F.col(c) + half) / 360 * (1 << 26)).cast("long")
+    rows = nodes.groupBy("node").agg(F.min("lng").alias("x"), F.min("lat").alias("y")).withColumn("_z", _spread(step("x", 180)).bitwiseOR(F.shiftleft(_spread(step("y", 180)), 1)))
+    rows = rows.withColumn("_cell", F.shiftright("_z", 24))
+    piece = F.floor((F.row_number().over(Window.partitionBy("_cell").orderBy("_z", "node")) - 1) / BLOCK)
+    return rows.select("node", "x", "y", (F.col("_cell") * 1_000_000 + piece).alias("block"))
+
+
+def _search(states: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
+    """What a block's known and fresh states become when the fresh ones go on along its roads, nearest to their targets first.
+
+    A search stops at its limit, which is known beforehand or once all its targets are reached, if all are in the block."""
+    onwards: dict = {}
+    for mode, src, dst, cost, x, y, inside in roads.itertuples(index=False):
+        onwards.setdefault(mode, {}).setdefault(src, []).append((dst, cost, x, y, inside))
+    out = []
+    for (mode, origin), rows in states.groupby(["mode", "origin"], sort=False):
+        own, own_rows = onwards.get(mode, {}), list(rows.itertuples(index=False))
+        west, east, south, north, limit, wanted = own_rows[0].west, own_rows[0].east, own_rows[0].south, own_rows[0].north, own_rows[0].limit, own_rows[0].wanted
+        limit = math.inf if limit != limit or limit is None else limit
+        pace = DEGREE_SECONDS / min(lookups.MODE_SPEED.get(mode, FASTEST), FASTEST)
+        side = max(abs(south), abs(north))
+
+        def least(x: float, y: float) -> float:
+            k = math.cos(math.radians(max(abs(y), side)))
+            return math.hypot(max(west - x, x - east, 0.0) * k, max(south - y, y - north, 0.0)) * pace
+
+        best = {r.node: r.cost for r in own_rows if not r.target}
+        missing = {r.node for r in own_rows if r.target}
+        targets = set(missing)
+        heap = [(r.cost + least(r.x, r.y), r.node, r.cost) for r in own_rows if r.fresh]
+        heapq.heapify(heap)
+        changed = {}
+        while heap:
+            through, node, cost = heapq.heappop(heap)
+            if through > limit:
+                break
+            if cost > best[node]:
+                continue
+            if node in missing:
+                missing.discard(node)
+                if not missing and len(targets) == wanted:
+                    limit = min(limit, max(best[t] for t in targets))
+            for dst, more, x, y, inside in own.get(node, ()):
+                total = cost + more
+                if total < best.get(dst, math.inf) and total + least(x, y) <= limit:
+                    best[dst] = total
+                    changed[dst] = (mode, origin, dst, x, y, total, node, not inside)
+                    if inside:
+                        heapq.heappush(heap, (total + least(x, y), dst, total))
+        out += changed.values()
+    return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+
+def searched(wanted: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
     """(mode, origin, node, cost, before): states reached for wanted (mode, origin, target), whose targets' costs are least.
 
-    A target that can't be reached costs its origin's whole surroundings."""
-    places = nodes.select(F.col("node").alias("target"), F.col("lng").alias("x"), F.col("lat").alias("y"))
-    boxes = wanted.join(places, "target").groupBy(*KEY).agg(F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("south"), F.max("y").alias("north")).checkpoint()
-    start = boxes.select(*KEY).join(nodes.select(F.col("node").alias("origin"), F.col("lng").alias("x"), F.col("lat").alias("y")), "origin")
-    known = start.select(*KEY, F.col("origin").alias("node"), "x", "y", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("before")).checkpoint()
-    front = known
+    A round searches every block that fresh states have come into, a task for so many origins of a block, and hands on what
+    has left it. A target that can't be reached costs its origin's whole surroundings."""
+    placed = blocks(nodes).checkpoint()
+    targets = wanted.join(placed.withColumnRenamed("node", "target"), "target").checkpoint()
+    boxes = targets.groupBy(*KEY).agg(F.min("x").alias("west"), F.max("x").alias("east"), F.min("y").alias("south"), F.max("y").alias("north"), F.count("*").alias("wanted")).checkpoint()
+    block_of = placed.select("node", "block")
+    roads = own.join(block_of.withColumnRenamed("node", "src"), "src").join(block_of.select(F.col("node").alias("dst"), F.col("block").alias("_to")), "dst")
+    roads = roads.select("block", "mode", "src", "dst", "step", "x", "y", (F.col("_to") == F.col("block")).alias("inside")).checkpoint()
+    start = boxes.select(*KEY).join(placed.withColumnRenamed("node", "origin"), "origin")
+    known = start.select(*KEY, F.col("origin").alias("node"), "x", "y", "block", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh")).checkpoint()
+    limits = boxes.withColumn("limit", F.lit(None).cast("double"))
     while True:
-        here, reached = front, known.withColumn("old", F.col("cost"))
-        for _ in range(hops):
-            onwards = here.select(*KEY, F.col("node").alias("src"), F.col("cost").alias("_c")).join(own, ["mode", "src"])
-            here = onwards.groupBy(*KEY, F.col("dst").alias("node"), "x", "y").agg(F.min(F.struct((F.col("_c") + F.col("step")).alias("cost"), F.col("src").alias("before"))).alias("_b"))
-            here = here.select(*KEY, "node", "x", "y", "_b.cost", "_b.before")
-            reached = reached.unionByName(here.withColumn("old", F.lit(None).cast("double")))
-        every = reached.groupBy(*KEY, "node", "x", "y").agg(F.min(F.struct("cost", "before")).alias("_b"), F.min("old").alias("old"))
-        every = every.select(*KEY, "node", "x", "y", "_b.cost", "_b.before", "old").checkpoint()
-        known = every.drop("old")
-        costs = wanted.join(known.select(*KEY, F.col("node").alias("target"), "cost"), [*KEY, "target"], "left")
-        limits = costs.groupBy(*KEY).agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit")).join(boxes, KEY)
-        improved = every.where("old is null or cost < old").join(limits, KEY)
-        front = improved.where(F.col("limit").isNull() | (F.col("cost") + _least_seconds() <= F.col("limit"))).select(*KEY, "node", "x", "y", "cost", "before").checkpoint()
-        if front.isEmpty():
-            return known
+        # Blocks with fresh states, by origin; of many origins each so many make a group.
+        into = known.where("fresh").select("block", *KEY).distinct().join(limits, KEY)
+        shares = into.groupBy("block").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_shares"))
+        into = into.join(shares, "block").withColumn("share", F.pmod(F.xxhash64(*KEY), F.col("_shares")).cast("int")).drop("_shares").checkpoint()
+        had = into.join(known.select("block", *KEY, "node", "x", "y", "cost", "fresh", F.lit(False).alias("target")), ["block", *KEY])
+        aims = into.join(targets.select("block", *KEY, F.col("target").alias("node"), "x", "y", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("fresh"), F.lit(True).alias("target")), ["block", *KEY])
+        states = had.unionByName(aims).select("block", "share", *KEY, "node", "x", "y", "cost", "fresh", "target", "west", "east", "south", "north", "wanted", "limit")
+        dealt = roads.join(into.select("block", "share").distinct(), "block").select(F.col("block").alias("_block"), F.col("share").alias("_share"), "mode", "src", "dst", "step", "x", "y", "inside")
+        found = states.groupBy("block", "share").cogroup(dealt.groupBy("_block", "_share")).applyInPandas(lambda a, b: _search(a, b.drop(columns=["_block", "_share"])), FOUND)
+        found = found.join(block_of, "node").select(*KEY, "node", "x", "y", "block", "cost", "before", F.col("outside").alias("fresh"))
+        each = known.withColumn("fresh", F.lit(False)).unionByName(found).groupBy(*KEY, "node").agg(F.min_by(F.struct("x", "y", "block", "cost", "before", "fresh"), F.struct("cost", "fresh", F.coalesce("before", F.lit(-1)))).alias("_b"))
+        reached = each.select(*KEY, "node", "_b.*").checkpoint()
+        costs = wanted.join(reached.select(*KEY, F.col("node").alias("target"), "cost"), [*KEY, "target"], "left")
+        limits = boxes.join(costs.groupBy(*KEY).agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit")), KEY).checkpoint()
+        known = reached
+        if known.where("fresh").isEmpty():
+            return known.select(*KEY, "node", "cost", "before")
 
 
 def paths(wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -75,19 +148,34 @@ def paths(wanted: DataFrame, known: DataFrame) -> DataFrame:
         jumps = jumps.join(onwards, [*KEY, "to"]).select(*KEY, "node", F.col("_to").alias("to"), F.concat("over", "_over").alias("over")).checkpoint()
 
 
-def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, cost, path, reason) for requests (id, origin, target, mode) over edges (src, dst, length_m, cls) between nodes
-    (node, lng, lat): the fastest path by the mode's speeds over roads that it may use.
-
-    reason is no-origin or no-destination for a place that no edge of any mode meets, no-path where none leads there. Of
-    paths of one cost the one over the smallest nodes before each node is taken. Repeated requests each get a row; null
-    places count as no-origin and no-destination, unknown modes as no-path."""
+def _asked(requests: DataFrame, edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests with whether their places are met by an edge, the searches they want and the states reached for these."""
     asked = requests.select("id", "origin", "target", "mode")
     met = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(nodes.select("node").distinct(), "node", "left_semi").checkpoint()
     at = lambda what, flag: met.select(F.col("node").alias(what), F.lit(True).alias(flag))
     asked = asked.join(at("origin", "_o"), "origin", "left").join(at("target", "_t"), "target", "left").checkpoint()
     wanted = asked.where("_o and _t and mode is not null").select(*KEY, "target").distinct().checkpoint()
-    known = searched(wanted, by_mode(edges, nodes).checkpoint(), nodes)
+    return asked, wanted, searched(wanted, by_mode(edges, nodes).checkpoint(), nodes)
+
+
+def _reason() -> Column:
+    return F.when(F.col("_o").isNull(), "no-origin").when(F.col("_t").isNull(), "no-destination").when(F.col("cost").isNull(), "no-path")
+
+
+def shortest_costs(requests: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, cost, reason): shortest_paths() without the paths."""
+    asked, _, known = _asked(requests, edges, nodes)
+    return asked.join(known.select(*KEY, F.col("node").alias("target"), "cost"), [*KEY, "target"], "left").select("id", "cost", _reason().alias("reason"))
+
+
+def shortest_paths(requests: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, cost, path, reason) for requests (id, origin, target, mode) over edges (src, dst, length_m, cls) between nodes
+    (node, lng, lat): the fastest path by the mode's speeds over roads that it may use.
+
+    reason is no-origin or no-destination for a place that no edge of any mode meets, no-path where none leads there. Of
+    paths of one cost any one is taken, by the graph's blocks the same in each run. No edge may be shorter than the straight
+    line between its ends. Repeated requests each get a row; null places count as no-origin and no-destination, unknown
+    modes as no-path."""
+    asked, wanted, known = _asked(requests, edges, nodes)
     found = paths(wanted, known).join(known.select(*KEY, F.col("node").alias("target"), "cost"), [*KEY, "target"])
-    reason = F.when(F.col("_o").isNull(), "no-origin").when(F.col("_t").isNull(), "no-destination").when(F.col("cost").isNull(), "no-path")
-    return asked.join(found, [*KEY, "target"], "left").select("id", "cost", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"), reason.alias("reason"))
+    return asked.join(found, [*KEY, "target"], "left").select("id", "cost", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"), _reason().alias("reason"))
