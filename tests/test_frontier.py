@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tilewright.functions import lookups
 from tilewright.operators import frontier, routes, tilegraph
-from tilewright.plans.graph import checkpointed
+from tilewright.plans.graph import checkpointed, many_trips, many_trips_sql
 
 
 def dijkstra(edges, origin):
@@ -66,6 +66,16 @@ def test_against_a_heap(spark):
     assert len(seen) > 5 and {r.reason for r in out} == {None, "no-origin", "no-destination", "no-path"}
 
 
+def test_many_trips_equal_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    duck.execute(f"create view part as select * from '{sf}/part.parquet'")
+    got = sorted((r.id, r.cost, r.reason) for r in many_trips(spark, sf).collect())
+    assert got == sorted(duck.execute(f"select id, cost, reason from ({many_trips_sql()})").fetchall())
+
+
 def test_merged_segments(spark):
     """Vertices one column apart far north become one node; near the equator they stay two."""
     row = lambda seg, ax, ay, bx, by: (seg, "t", ax, ay, bx, by, "residential", 0, False, 0.0, None, 1.0, 1.0)

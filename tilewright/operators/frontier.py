@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -25,7 +26,9 @@ SLACK = 0.99
 #: Seconds for a degree of latitude at 1 km/h, at the least.
 DEGREE_SECONDS = geo.DEGREE_M * SLACK / 1000 * 3600
 #: Nodes of a block and origins that one task searches in it: so many states, at most, are in a group.
-BLOCK, GROUP = 1024, 128
+BLOCK, GROUP = 1024, 48
+#: Rounds after which what they added becomes one table.
+COMPACT = 16
 KEY = ["mode", "origin"]
 FOUND = "mode string, origin long, node long, x double, y double, cost double, before long, outside boolean"
 
@@ -97,10 +100,17 @@ def _search(states: pd.DataFrame, roads: pd.DataFrame) -> pd.DataFrame:
                     changed[dst] = (mode, origin, dst, x, y, total, node, not inside)
                     if inside:
                         heapq.heappush(heap, (total + least(x, y), dst, total))
-        out += changed.values()
+        out += [c for c in changed.values() if c[5] + least(c[3], c[4]) <= limit]
     return pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
 
 
+def _least_seconds() -> Column:
+    """From a state (x, y) to the box of its origin's targets, at the mode's highest speed: what _search() also takes."""
+    beyond = lambda v, a, b: F.greatest(F.col(a) - F.col(v), F.col(v) - F.col(b), F.lit(0.0))
+    k = F.cos(F.radians(F.greatest(F.abs("y"), F.abs("south"), F.abs("north"))))
+    return F.hypot(beyond("x", "west", "east") * k, beyond("y", "south", "north")) * DEGREE_SECONDS / F.least(lookups.lookup(lookups.MODE_SPEED, F.col("mode")), F.lit(FASTEST))
+
+
 def searched(wanted: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
     """(mode, origin, node, cost, before): states reached for wanted (mode, origin, target), whose targets' costs are least.
 
@@ -113,26 +123,37 @@ def searched(wanted: DataFrame, own: DataFrame, nodes: DataFrame) -> DataFrame:
     roads = own.join(block_of.withColumnRenamed("node", "src"), "src").join(block_of.select(F.col("node").alias("dst"), F.col("block").alias("_to")), "dst")
     roads = roads.select("block", "mode", "src", "dst", "step", "x", "y", (F.col("_to") == F.col("block")).alias("inside")).checkpoint()
     start = boxes.select(*KEY).join(placed.withColumnRenamed("node", "origin"), "origin")
-    known = start.select(*KEY, F.col("origin").alias("node"), "x", "y", "block", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh")).checkpoint()
-    limits = boxes.withColumn("limit", F.lit(None).cast("double"))
+    fresh = start.select(*KEY, F.col("origin").alias("node"), "x", "y", "block", F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("before"), F.lit(True).alias("fresh")).checkpoint()
+    # States are added to, not rewritten: of a node's the cheapest counts.
+    added = [fresh]
+    costs = wanted.withColumn("cost", F.when(F.col("origin") == F.col("target"), 0.0))
+    # A task has much to do for few rows, so groups are dealt out by hand: adaptive execution would put them together.
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cheapest = F.min_by(F.struct("x", "y", "block", "cost", "before", "fresh"), F.struct("cost", "fresh", "before")).alias("_b")
     while True:
+        if len(added) > COMPACT:
+            added = [reduce(DataFrame.unionByName, added).groupBy(*KEY, "node").agg(cheapest).select(*KEY, "node", "_b.*").checkpoint()]
+        known = reduce(DataFrame.unionByName, added)
+        limits = boxes.join(costs.groupBy(*KEY).agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit")), KEY)
+        live = fresh.where("fresh").join(limits, KEY).where(F.col("limit").isNull() | (F.col("cost") + _least_seconds() <= F.col("limit")))
         # Blocks with fresh states, by origin; of many origins each so many make a group.
-        into = known.where("fresh").select("block", *KEY).distinct().join(limits, KEY)
-        shares = into.groupBy("block").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("_shares"))
-        into = into.join(shares, "block").withColumn("share", F.pmod(F.xxhash64(*KEY), F.col("_shares")).cast("int")).drop("_shares").checkpoint()
-        had = into.join(known.select("block", *KEY, "node", "x", "y", "cost", "fresh", F.lit(False).alias("target")), ["block", *KEY])
-        aims = into.join(targets.select("block", *KEY, F.col("target").alias("node"), "x", "y", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("fresh"), F.lit(True).alias("target")), ["block", *KEY])
-        states = had.unionByName(aims).select("block", "share", *KEY, "node", "x", "y", "cost", "fresh", "target", "west", "east", "south", "north", "wanted", "limit")
+        into = live.groupBy("block", *limits.columns).agg(F.lit(1).alias("_n"))
+        shares = F.ceil(F.count("*").over(Window.partitionBy("block")) / GROUP)
+        into = into.withColumn("share", F.pmod(F.xxhash64(*KEY), shares).cast("int")).drop("_n").checkpoint()
+        if into.isEmpty():
+            return known.groupBy(*KEY, "node").agg(cheapest).select(*KEY, "node", "_b.cost", "_b.before").checkpoint()
+        here = known.drop("fresh").join(into.select("block", *KEY), ["block", *KEY], "left_semi").groupBy("block", *KEY, "node", "x", "y").agg(F.min("cost").alias("cost"))
+        here = here.join(fresh.where("fresh").select(*KEY, "node", "fresh"), [*KEY, "node"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+        aims = targets.select("block", *KEY, F.col("target").alias("node"), "x", "y", F.lit(None).cast("double").alias("cost"), F.lit(False).alias("fresh"), F.lit(True).alias("target"))
+        states = into.join(here.withColumn("target", F.lit(False)).unionByName(aims), ["block", *KEY]).select("block", "share", *KEY, "node", "x", "y", "cost", "fresh", "target", "west", "east", "south", "north", "wanted", "limit")
         dealt = roads.join(into.select("block", "share").distinct(), "block").select(F.col("block").alias("_block"), F.col("share").alias("_share"), "mode", "src", "dst", "step", "x", "y", "inside")
-        found = states.groupBy("block", "share").cogroup(dealt.groupBy("_block", "_share")).applyInPandas(lambda a, b: _search(a, b.drop(columns=["_block", "_share"])), FOUND)
+        found = states.repartition(tasks, "block", "share").groupBy("block", "share").cogroup(dealt.repartition(tasks, "_block", "_share").groupBy("_block", "_share")).applyInPandas(lambda a, b: _search(a, b.drop(columns=["_block", "_share"])), FOUND)
         found = found.join(block_of, "node").select(*KEY, "node", "x", "y", "block", "cost", "before", F.col("outside").alias("fresh"))
-        each = known.withColumn("fresh", F.lit(False)).unionByName(found).groupBy(*KEY, "node").agg(F.min_by(F.struct("x", "y", "block", "cost", "before", "fresh"), F.struct("cost", "fresh", F.coalesce("before", F.lit(-1)))).alias("_b"))
-        reached = each.select(*KEY, "node", "_b.*").checkpoint()
-        costs = wanted.join(reached.select(*KEY, F.col("node").alias("target"), "cost"), [*KEY, "target"], "left")
-        limits = boxes.join(costs.groupBy(*KEY).agg(F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit")), KEY).checkpoint()
-        known = reached
-        if known.where("fresh").isEmpty():
-            return known.select(*KEY, "node", "cost", "before")
+        found = found.groupBy(*KEY, "node").agg(cheapest).select(*KEY, "node", "_b.*").checkpoint()
+        old = known.select(*KEY, "node", "cost").join(found.select(*KEY, "node"), [*KEY, "node"], "left_semi").groupBy(*KEY, "node").agg(F.min("cost").alias("_old"))
+        fresh = found.join(old, [*KEY, "node"], "left").where("_old is null or cost < _old").drop("_old").checkpoint()
+        added.append(fresh)
+        costs = costs.join(fresh.select(*KEY, F.col("node").alias("target"), F.col("cost").alias("_c")), [*KEY, "target"], "left").select(*wanted.columns, F.coalesce("_c", "cost").alias("cost")).checkpoint()
 
 
 def paths(wanted: DataFrame, known: DataFrame) -> DataFrame:
