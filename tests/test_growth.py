@@ -1,7 +1,12 @@
 """What must not grow with the tables: batches of tiles, paths that share their beginnings, searches over long graphs."""
 
+import random
+
 import pyarrow as pa
 
+from tests.test_frontier import dijkstra
+from tilewright.operators import graph
+from tilewright.plans.graph import checkpointed
 from tilewright.sources import mvt
 
 
@@ -24,3 +29,39 @@ def test_tiles_are_read_in_bounded_batches(spark):
     got = pa.Table.from_batches(out).to_pylist()
     assert [(r["tile"], r["id"], r["pos"]) for r in got] == [(k, i, i) for k in "abab" for i in range(1500)]
     assert dict(got[1]["props"])["class"]["s"] == "service" and got[2]["props"] == [] and got[7]["paths"] == [[{"x": 7, "y": 1}, {"x": 2, "y": 3}]]
+
+
+def test_distances_through_blocks(spark):
+    """A long grid in blocks of 25 nodes against a heap, and a graph whose ids say nothing about places."""
+    rng = random.Random(3)
+    checkpointed(spark)
+    for name, most in ((lambda n: n, 0), (lambda n: n * 7919 % 1000, 1)):
+        rows = [(name(a), name(b), rng.uniform(1, 9)) for n in range(600 if not most else 120) for a, b in ((n, n + 1), (n, n + 5), (n + 5, n)) if rng.random() < 0.9]
+        rows += [(5000, 5001, 1.0), (name(0), name(0), 1.0), (name(1), name(1), 0.0)]
+        costs = {}
+        for a, b, c in rows:
+            own = costs.setdefault(a, {})
+            own[b] = min(c, own.get(b, c))
+        want = dijkstra(costs, name(0))
+        got = {r.node: r.cost for r in graph.distances(spark.createDataFrame(rows, "src long, dst long, cost double"), name(0), block=25 if not most else 60).collect()}
+        assert got.keys() == want.keys() and all(abs(got[n] - want[n]) < 1e-9 for n in want)
+        assert len(want) > 100
+
+
+def test_distance_along_shared_beginnings(spark):
+    """As path_distance() has it for each path, with a leg that isn't there and stretches' ends."""
+    n = graph.STRETCH + 20
+    edges = spark.range(n).where("id <> 4110").selectExpr("id as src", "id + 1 as dst", "cast(id % 7 + 1 as double) as length_m")
+    lines = spark.range(n).selectExpr("cast(3 as bigint) as line", "id as i", "id as src", "id + 1 as dst")
+    asked = [0, 1, 2, graph.STRETCH - 1, graph.STRETCH, graph.STRETCH + 1, 4110, 4111]
+    got = {r.id: r.m for r in graph.distance_along(lines, spark.createDataFrame([(a, 3, a) for a in asked], "id long, line long, n long"), edges).collect()}
+    assert got == {a: float(sum(i % 7 + 1 for i in range(a))) if a < 4111 else None for a in asked if a}
+
+
+def test_requests_cut_a_large_graph(spark):
+    """More edges than may be broadcast, but few where requests lead from one node to another."""
+    checkpointed(spark)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(50)] + [(-100, -101, 1.0), (-101, -102, 2.0)], "src long, dst long, cost double")
+    asked = [(1, -5, 3), (2, 3, -5), (3, 0, -101), (4, -101, -100), (5, 3, 3), (6, -100, -102)]
+    rows = graph.shortest_paths(spark.createDataFrame(asked, "id long, origin long, target long"), edges, most=10).collect()
+    assert {r.id: (r.cost, r.path, r.reason) for r in rows} == {1: (None, [], "no-origin"), 2: (None, [], "no-destination"), 3: (None, [], "no-path"), 4: (None, [], "no-path"), 5: (0.0, [3], None), 6: (3.0, [-100, -101, -102], None)}
