@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 
 from tests.test_frontier import dijkstra
-from tilewright.operators import graph
+from tilewright.operators import graph, store
 from tilewright.plans.graph import checkpointed
 from tilewright.sources import mvt
 
@@ -65,3 +65,12 @@ def test_requests_cut_a_large_graph(spark):
     asked = [(1, -5, 3), (2, 3, -5), (3, 0, -101), (4, -101, -100), (5, 3, 3), (6, -100, -102)]
     rows = graph.shortest_paths(spark.createDataFrame(asked, "id long, origin long, target long"), edges, most=10).collect()
     assert {r.id: (r.cost, r.path, r.reason) for r in rows} == {1: (None, [], "no-origin"), 2: (None, [], "no-destination"), 3: (None, [], "no-path"), 4: (None, [], "no-path"), 5: (0.0, [3], None), 6: (3.0, [-100, -101, -102], None)}
+
+
+def test_equally_large_tiles_of_an_area(spark):
+    """Which of equally large rows of a key counts doesn't hang on the order in which they come."""
+    area = spark.createDataFrame([(1, -77.0, 40.0, -76.99, 40.01, 4)], "id int, west double, south double, east double, north double, max_zoom int")
+    k = store.area_download(area, spark.createDataFrame([], "k string, size long, tier string")).first()
+    rows = [(i, f"planet/{k.z}/{k.x}/{k.y}", 7, "permanent" if i == 2 else "smart") for i in range(2, 9)]
+    for own in (rows, rows[::-1]):
+        assert [r.action for r in store.area_download(area, spark.createDataFrame(own, "tile_id long, k string, size long, tier string")).collect()] == ["keep"]
