@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 
 from tests.test_frontier import dijkstra
-from tilewright.operators import graph, store
+from tilewright.operators import graph, routes, store
 from tilewright.plans.graph import checkpointed
 from tilewright.sources import mvt
 
@@ -74,3 +74,25 @@ def test_equally_large_tiles_of_an_area(spark):
     rows = [(i, f"planet/{k.z}/{k.x}/{k.y}", 7, "permanent" if i == 2 else "smart") for i in range(2, 9)]
     for own in (rows, rows[::-1]):
         assert [r.action for r in store.area_download(area, spark.createDataFrame(own, "tile_id long, k string, size long, tier string")).collect()] == ["keep"]
+
+
+def test_corridors_are_made_from_legs(spark, monkeypatch):
+    """No tile is shuffled, sorted or joined, and a key's tiles are the same however few of them a task looks at together."""
+    rng = random.Random(8)
+    lines = {k: [(-77 + rng.random() * 0.4, 40 + rng.random() * 0.2) for _ in range(rng.randrange(2, 9))] for k in range(6)}
+    rows = [(k, *a, *b) for k, line in lines.items() for a, b in zip(line, line[1:], strict=False)] + [(9, None, 40.0, -77.0, 40.0)]
+    segs = spark.createDataFrame(rows, "k long, ax double, ay double, bx double, by double")
+    plan = routes.corridors(segs, "k", 13, 4000.0, 60)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(step in plan for step in ("Join", "Aggregate", "Generate"))
+    want = {tuple(r) for r in routes.corridors(segs, "k", 13, 4000.0, 60).collect()}
+    for k, line in lines.items():
+        one = spark.createDataFrame(routes.segments(line), "i int, ax double, ay double, bx double, by double, before double, n double")
+        found, radius = routes.corridor_within(one, 13, 4000.0, 60)
+        assert {r[1:] for r in want if r[0] == k} == {(13, r.x, r.y, radius) for r in found.collect()}
+    monkeypatch.setattr(type(segs), "mapInArrow", lambda self, run, schema: (self, run))
+    legs, run = routes.corridors(segs, "k", 13, 4000.0, 60)
+    batches = [b for got in legs.toArrow().to_batches() for b in (got.slice(0, 3), got.slice(3))]
+    for most in (1, 40, 1 << 19):
+        monkeypatch.setattr(routes, "TILES_AT_ONCE", most)
+        out = pa.Table.from_batches(run(iter(batches))).to_pylist()
+        assert {tuple(r.values()) for r in out} == want and len(out) == len(want)
