@@ -96,3 +96,24 @@ def test_corridors_are_made_from_legs(spark, monkeypatch):
         monkeypatch.setattr(routes, "TILES_AT_ONCE", most)
         out = pa.Table.from_batches(run(iter(batches))).to_pylist()
         assert {tuple(r.values()) for r in out} == want and len(out) == len(want)
+
+
+def test_steps_of_paths_that_begin_alike(spark, monkeypatch):
+    """As steps_along() has them path by path, over chunks of a line's manoeuvres; lines, not paths, are what is numbered."""
+    checkpointed(spark)
+    rng = random.Random(5)
+    legs = []
+    for line in range(4):
+        for i in range(30):
+            if i != 7 * line:
+                at = [round(rng.uniform(0, 0.02), 4) for _ in range(4)] if line else [i * 0.001, 0.0, i * 0.001 + 0.001, 0.0]
+                legs.append((line, i, *at, rng.choice(["primary", "service", "trunk_link"]), rng.choice(["A", "B", None]), rng.random() < 0.8, rng.choice([10.0, 30.0, 150.0]), 2.0, rng.random() < 0.2, rng.random() < 0.2))
+    names = "lng double, lat double, lng2 double, lat2 double, cls string, name string, junction boolean, length_m double, seconds double, ramp boolean, roundabout boolean"
+    ends = [(100 * line + n, line, n) for line in range(4) for n in range(31)]
+    paths = [(id_, *leg[1:]) for id_, line, n in ends for leg in legs if leg[0] == line and leg[1] < n]
+    want = sorted(map(tuple, graph.steps_along(spark.createDataFrame(paths, f"id long, i int, {names}")).collect()), key=repr)
+    lines, asked = spark.createDataFrame(legs, f"line long, i int, {names}"), spark.createDataFrame(ends, "id long, line long, n long")
+    for most in (3, 256):
+        monkeypatch.setattr(graph, "STEP_CHUNK", most)
+        assert sorted(map(tuple, graph.steps_to_ends(lines, asked).collect()), key=repr) == want
+    assert len({r[0] for r in want}) == 119 and any(r[2] == "continue" for r in want)  # five ends come before any leg
