@@ -3,9 +3,10 @@
 import random
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.test_frontier import dijkstra
-from tilewright.operators import graph, routes, store
+from tilewright.operators import graph, greedy, routes, store
 from tilewright.plans.graph import checkpointed
 from tilewright.sources import mvt
 
@@ -117,3 +118,16 @@ def test_steps_of_paths_that_begin_alike(spark, monkeypatch):
         monkeypatch.setattr(graph, "STEP_CHUNK", most)
         assert sorted(map(tuple, graph.steps_to_ends(lines, asked).collect()), key=repr) == want
     assert len({r[0] for r in want}) == 119 and any(r[2] == "continue" for r in want)  # five ends come before any leg
+
+
+def test_two_bounds_are_sought_in_one_tree(spark):
+    """The first place where either value is as large as asked for, over three levels, also where values are null."""
+    rng = random.Random(6)
+    n = greedy.FAN**2 + 300
+    values = [(rng.random() if rng.random() < 0.9 else None, rng.random()) for _ in range(n)]
+    rows = spark.createDataFrame([(1, i, *v) for i, v in enumerate(values)], "k long, n long, a double, b double")
+    tree = greedy.Tree(rows, "k", [F.col("a"), F.col("b")], 3)
+    asked = [(1, i, rng.randrange(n), 1 - rng.random() ** 6, 1 - rng.random() ** 6) for i in range(60)] + [(1, 99, None, 0.0, 0.0), (1, 100, 5, 2.0, 2.0)]
+    got = tree.first_at_least(spark.createDataFrame(asked, "k long, n long, start long, x double, y double"), "start", ["x", "y"], "out").collect()
+    want = {i: None if start is None else next((j for j in range(start, n) if (values[j][0] or 0) >= x or values[j][1] >= y), None) for _, i, start, x, y in asked}
+    assert {r.n: r.out for r in got} == want
