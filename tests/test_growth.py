@@ -6,8 +6,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.test_frontier import dijkstra
-from tilewright.operators import graph, greedy, routes, store
-from tilewright.plans.graph import checkpointed
+from tilewright.operators import graph, greedy, pathtree, routes, store
+from tilewright.plans.graph import QUERIES, checkpointed
 from tilewright.sources import mvt
 
 
@@ -131,3 +131,42 @@ def test_two_bounds_are_sought_in_one_tree(spark):
     got = tree.first_at_least(spark.createDataFrame(asked, "k long, n long, start long, x double, y double"), "start", ["x", "y"], "out").collect()
     want = {i: None if start is None else next((j for j in range(start, n) if (values[j][0] or 0) >= x or values[j][1] >= y), None) for _, i, start, x, y in asked}
     assert {r.n: r.out for r in got} == want
+
+
+def test_steps_of_all_paths_of_a_tree(spark, monkeypatch):
+    """As steps_along() has them path by path, with manoeuvres nearer than the gap, first ones too short to go on from, and
+    lists shorter and longer than the paths."""
+    checkpointed(spark)
+    rng = random.Random(11)
+    legs = {}
+    for node in range(1, 90):
+        up = rng.randrange(max(0, node - 3), node) if node < 85 else 0
+        at = [round(rng.uniform(0, 0.02), 4) for _ in range(4)] if node % 5 else [up * 0.001, 0.0, up * 0.001 + 0.001, 0.0]
+        legs[node] = (up, *at, rng.choice(["primary", "service", "trunk_link"]), rng.choice(["A", "B", None]), rng.random() < 0.8, rng.choice([4.0, 10.0, 30.0, 150.0]), 2.0, rng.random() < 0.2, rng.random() < 0.2)
+    names = "lng double, lat double, lng2 double, lat2 double, cls string, name string, junction boolean, length_m double, seconds double, ramp boolean, roundabout boolean"
+    paths = []
+    for node in legs:
+        way = [node]
+        while legs[way[-1]][0]:
+            way.append(legs[way[-1]][0])
+        paths += [(node, i, *legs[n][1:]) for i, n in enumerate(reversed(way))]
+    want = sorted(map(tuple, graph.steps_along(spark.createDataFrame(paths, f"id long, i int, {names}")).collect()), key=repr)
+    tree = spark.createDataFrame([(node, *leg) for node, leg in legs.items()], f"node long, up long, {names}")
+    for chunk in (3, 64):
+        monkeypatch.setattr(pathtree, "CHUNK", chunk)
+        assert sorted(map(tuple, pathtree.steps_to_nodes(tree).collect()), key=repr) == want
+    assert {r[0] for r in want} == legs.keys() and any(r[2] == "continue" for r in want) and max(r[1] for r in want) > 9
+
+
+def test_tree_of_cheapest_paths(spark):
+    """Of equal ways the one over the smallest node, and none back to the origin."""
+    edges = spark.createDataFrame([(0, 2, 1.0), (0, 1, 1.0), (2, 3, 1.0), (1, 3, 1.0), (3, 0, 1.0), (3, 4, 0.5), (9, 4, 0.1), (4, 3, 0.5)], "src long, dst long, cost double")
+    costs = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 1.0), (3, 2.0), (4, 2.5)], "node long, cost double")
+    assert sorted(map(tuple, pathtree.of_costs(edges, costs).collect())) == [(1, 0), (2, 0), (3, 1), (4, 3)]
+
+
+def test_steps_are_not_written_path_by_path(spark, monkeypatch):
+    """grf14_steps neither takes the graph to the driver nor writes paths out before their steps."""
+    monkeypatch.setattr(graph, "shortest_paths", None)
+    monkeypatch.setattr(graph, "steps_along", None)
+    assert QUERIES["grf14_steps"](spark, "/root/testdata/sf0.001").count() > 1000
