@@ -3,10 +3,12 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_frontier import dijkstra
-from tilewright.operators import graph, greedy, pathtree, routes, store
+from tilewright.operators import graph, greedy, pathtree, routes, store, tilegraph
+from tilewright.plans import roads
 from tilewright.plans.graph import QUERIES, checkpointed
 from tilewright.sources import mvt
 
@@ -32,6 +34,27 @@ def test_tiles_are_read_in_bounded_batches(spark):
     assert dict(got[1]["props"])["class"]["s"] == "service" and got[2]["props"] == [] and got[7]["paths"] == [[{"x": 7, "y": 1}, {"x": 2, "y": 3}]]
 
 
+def _plan(rows) -> str:
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["jon6_dead_end_join"])
+def test_tiles_are_read_once(spark, name):
+    """What reads tiles' features several times takes them from the checkpoint folder, not from the tiles each time."""
+    assert "MapInArrow" not in _plan(roads.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_vertices_are_worked_out_once(spark):
+    """A path's vertices are worked out in one place of the plan, and a tile's key is not taken apart for each of them."""
+    spark.conf.set("spark.sql.maxToStringFields", "1000")
+    try:
+        plan = _plan(tilegraph.segments(mvt.features(spark.createDataFrame([("planet/13/0/0", b"")], "k string, data binary"))))
+    finally:
+        spark.conf.unset("spark.sql.maxToStringFields")
+    made = [x for x in plan.splitlines() if "transform(" in x]
+    assert len(made) == 1 and made[0].count("transform(") == 1 and "split(" not in made[0]
+
+
 def test_distances_through_blocks(spark):
     """A long grid in blocks of 25 nodes against a heap, and a graph whose ids say nothing about places."""
     rng = random.Random(3)

@@ -60,16 +60,18 @@ def picked_layer(features: DataFrame, names: list[str] = ROAD_LAYERS) -> DataFra
 
 
 def snapped(features: DataFrame, y_down: bool = False) -> DataFrame:
-    """features with a row for each part of a path, points being its vertices in steps, none twice in a row."""
+    """features with a row for each part of a path, points being its vertices in steps, none twice in a row.
+
+    A tile's sides are worked out once a feature, not for each vertex."""
     _, z, x, y = tiles.parse_tile_key(F.col("tile"))
 
     def vertex(p: Column) -> Column:
-        lng, lat = tiles.local_to_lnglat(p["x"].cast("double"), p["y"].cast("double"), x, y, z, F.col("extent"), y_down)
+        lng, lat = tiles.box_to_lnglat(p["x"].cast("double"), p["y"].cast("double"), F.col("_box"), F.col("extent"), y_down)
         return F.struct(steps(lng).alias("x"), steps(lat).alias("y"))
 
-    rows = features.select("*", F.posexplode("paths").alias("part", "_path")).withColumn("_v", F.transform("_path", vertex))
+    rows = features.withColumn("_box", tiles.tile_box(x, y, z)).select("*", F.posexplode("paths").alias("part", "_path")).withColumn("_v", F.transform("_path", vertex))
     points = F.filter("_v", lambda v, i: (i == 0) | (v != F.get("_v", i - 1)))
-    return rows.withColumn("points", points).drop("_path", "_v")
+    return rows.withColumn("points", points).drop("_path", "_v", "_box")
 
 
 def segments(features: DataFrame, y_down: bool = False) -> DataFrame:
@@ -79,10 +81,9 @@ def segments(features: DataFrame, y_down: bool = False) -> DataFrame:
     roads = roads.withColumn("cls", F.when(cls == "minor", "residential").otherwise(cls)).withColumn("oneway", lookups.parse_oneway(_said("oneway")))
     roads = roads.withColumn("ramp", _said("ramp").isin("1", "1.0", "true") & _said("ramp").isNotNull()).withColumn("level", F.coalesce(_prop("layer")["d"], F.lit(0.0)))
     roads = roads.withColumn("name", F.when(_prop("name")["s"] != "", _prop("name")["s"]))
-    lines = snapped(roads, y_down).where(F.size("points") > 1)
-    n = F.size("points")
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.get("points", i - 1).alias("a"), F.get("points", i).alias("b")))
-    rows = lines.select("*", F.posexplode(pairs).alias("i", "p"))
+    n = F.greatest(F.size("points") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("points", 1, n), F.slice("points", 2, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = snapped(roads, y_down).select("*", F.posexplode(pairs).alias("i", "p"))
     rows = rows.select(F.concat_ws("|", "tile", F.lpad("pos", 6, "0"), "part", "i").alias("seg"), "tile", F.col("p.a.x").alias("ax"), F.col("p.a.y").alias("ay"), F.col("p.b.x").alias("bx"), F.col("p.b.y").alias("by"), "cls", "oneway", F.coalesce("ramp", F.lit(False)).alias("ramp"), "level", "name")
     rows = rows.withColumn("length_m", length_m(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")))
     return rows.withColumn("seconds", lookups.edge_weight(F.col("length_m"), F.col("cls"), F.col("ramp"), F.lit(False))).select(*SEGMENT)

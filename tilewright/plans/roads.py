@@ -54,6 +54,12 @@ def _segments(spark, sf_dir):
     return tilegraph.segments(_read(spark, sf_dir))
 
 
+def _kept(rows):
+    """rows that a plan reads several times: made once and written to the checkpoint folder."""
+    checkpointed(rows.sparkSession)
+    return rows.checkpoint()
+
+
 def _named(spark, sf_dir):
     f = _read(spark, sf_dir)
     return tilegraph.with_names(tilegraph.segments(f), tilegraph.name_vertices(f))
@@ -109,6 +115,7 @@ _BESIDE = f"beside as (select seg, t, arg_min(name, (d, ord)) as name from (sele
 _FOUND = f", {_SPOTS}, {_TRIES}, {_EXACT}, {_BESIDE}, found as (select seg, arg_min(name, t) as name from (select * from exact union all select * from beside) group by seg)"
 register("jon4_name_join", lambda spark, sf_dir: _SEG_COLS(_named(spark, sf_dir)).select("ax", "ay", "bx", "by", "cls", "name"), "select ax, ay, bx, by_ as by, cls, coalesce(t.name, f.name) as name from timed t left join found f using (seg)", _FOUND)
 
+
 register(
     "agg13_name_count",
     lambda spark, sf_dir: tilegraph.name_counts(_read(spark, sf_dir), _segments(spark, sf_dir), _named(spark, sf_dir)).select(C("tile").alias("k"), "names"),
@@ -130,7 +137,7 @@ _JOINTS = f"""tried as (select d.x, d.y, d.own, s.seg, s.oneway, s.ax, s.ay, s.b
   best as (select x, y, arg_min(own, (m, seg)) as own, arg_min(seg, (m, seg)) as seg, min(m) as m, arg_min(t, (m, seg)) as t, arg_min(ax, (m, seg)) as ax, arg_min(ay, (m, seg)) as ay, arg_min(bx, (m, seg)) as bx, arg_min(by_, (m, seg)) as by_ from turned where (oneway >= 0 and (al <= 150)) or (oneway <= 0 and (180 - al <= 150)) group by x, y),
   joins as (select * from (select *, cast(floor((ax/32768.0 + t*(bx-ax)/32768.0)*32768+0.5) as bigint) as jx, cast(floor((ay/32768.0 + t*(by_-ay)/32768.0)*32768+0.5) as bigint) as jy from best) where (jx, jy) <> (ax, ay) and (jx, jy) <> (bx, by_) and (jx, jy) <> (x, y))"""
 register("grf6_dead_ends", lambda spark, sf_dir: tilegraph.dead_ends(_segments(spark, sf_dir)).select("node", "cls", F.size("segs").alias("n")), f"select {_NODE.format(x='x', y='y')} as node, own as cls, cast(len(own_segs) as int) as n from dead", f", {_ENDS}")
-register("jon6_dead_end_join", lambda spark, sf_dir: tilegraph.joints(_segments(spark, sf_dir), STITCH_M).select("node", "cls", r(C("m")).alias("m"), r(C("t"), 6).alias("t"), "jx", "jy"), f"select {_NODE.format(x='x', y='y')} as node, own as cls, round(m,3) as m, round(t,6) as t, jx, jy from joins", f", {_ENDS}, {_JOINTS}")
+register("jon6_dead_end_join", lambda spark, sf_dir: tilegraph.joints(_kept(_segments(spark, sf_dir)), STITCH_M).select("node", "cls", r(C("m")).alias("m"), r(C("t"), 6).alias("t"), "jx", "jy"), f"select {_NODE.format(x='x', y='y')} as node, own as cls, round(m,3) as m, round(t,6) as t, jx, jy from joins", f", {_ENDS}, {_JOINTS}")
 _STOPS = "stops as (select seg, t, jx as px, jy as py from (select seg, jx, jy, min(t) as t from joins group by seg, jx, jy) union all select seg, 0.0, ax, ay from timed where seg in (select seg from joins) union all select seg, 1.0, bx, by_ from timed where seg in (select seg from joins))"
 _PIECES = f"pieces as (select seg, px, py, qx, qy, pm, sum(pm) over (partition by seg) as total from (select *, {hav('px/32768.0', 'py/32768.0', 'qx/32768.0', 'qy/32768.0')} as pm from (select *, lead(px) over w as qx, lead(py) over w as qy from stops window w as (partition by seg order by t, px, py)) where qx is not null))"
 _JM = hav("x/32768.0", "y/32768.0", "jx/32768.0", "jy/32768.0")
