@@ -38,7 +38,7 @@ def _plan(rows) -> str:
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["jon6_dead_end_join"])
+@pytest.mark.parametrize("name", ["jon6_dead_end_join", "jon4_name_join"])
 def test_tiles_are_read_once(spark, name):
     """What reads tiles' features several times takes them from the checkpoint folder, not from the tiles each time."""
     assert "MapInArrow" not in _plan(roads.QUERIES[name](spark, "/root/testdata/sf0.001"))

@@ -61,7 +61,7 @@ def _kept(rows):
 
 
 def _named(spark, sf_dir):
-    f = _read(spark, sf_dir)
+    f = _kept(_read(spark, sf_dir))
     return tilegraph.with_names(tilegraph.segments(f), tilegraph.name_vertices(f))
 
 
