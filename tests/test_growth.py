@@ -38,10 +38,12 @@ def _plan(rows) -> str:
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["jon6_dead_end_join", "jon4_name_join"])
+@pytest.mark.parametrize("name", ["jon6_dead_end_join", "jon4_name_join", "agg13_name_count"])
 def test_tiles_are_read_once(spark, name):
     """What reads tiles' features several times takes them from the checkpoint folder, not from the tiles each time."""
-    assert "MapInArrow" not in _plan(roads.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    rows = roads.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in _plan(rows)
+    assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString()  # of all segments, by way of the driver
 
 
 def test_vertices_are_worked_out_once(spark):

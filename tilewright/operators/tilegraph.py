@@ -3,7 +3,10 @@
 A segment is a stretch of road between two neighbouring vertices, in whole steps of the grid
 of 1 / QUANT degrees: (seg, tile, ax, ay, bx, by, cls, oneway, ramp, level, name, length_m,
 seconds). It stands for one or two directed edges by its oneway, so that splitting a segment
-splits both directions alike. A vertex's packed id is its node."""
+splits both directions alike. A vertex's packed id is its node.
+
+Sizes of decoded tiles are guessed from the bytes they come from and so far too low: joins with
+segments and vertices of names are told to merge, or all of them would be broadcast by way of the driver."""
 
 from __future__ import annotations
 
@@ -124,7 +127,7 @@ def with_names(segs: DataFrame, names: DataFrame) -> DataFrame:
     at = F.array(*[F.struct(F.lit(k).alias("k"), lng.alias("lng"), lat.alias("lat")) for k, lng, lat in ((0, degrees(F.col("ax")), degrees(F.col("ay"))), (1, mid("ax", "bx"), mid("ay", "by")), (2, degrees(F.col("bx")), degrees(F.col("by"))))])
     asked = segs.where("name is null").select("seg", "tile", F.inline(at)).withColumn("x", steps(F.col("lng"))).withColumn("y", steps(F.col("lat")))
     exact = names.groupBy("tile", "x", "y").agg(F.min_by("name", "ord").alias("exact"))
-    asked = asked.join(exact, ["tile", "x", "y"], "left")
+    asked = asked.join(exact.hint("merge"), ["tile", "x", "y"], "left")
     cell = lambda v: F.floor(v / NAME_CELL)
     spread = F.array(F.lit(-1), F.lit(0), F.lit(1))
     far = asked.where("exact is null").select("seg", "tile", "k", "lng", "lat", F.explode(F.transform(spread, lambda d: cell(F.col("lng")) + d)).alias("cx"), F.transform(spread, lambda d: cell(F.col("lat")) + d).alias("cys"))
@@ -132,15 +135,15 @@ def with_names(segs: DataFrame, names: DataFrame) -> DataFrame:
     spots = names.select("tile", degrees(F.col("x")).alias("nx"), degrees(F.col("y")).alias("ny"), "ord", F.col("name").alias("found"))
     spots = spots.withColumn("cx", cell(F.col("nx"))).withColumn("cy", cell(F.col("ny")))
     m = F.hypot((F.col("ny") - F.col("lat")) * geo.DEGREE_M, (F.col("nx") - F.col("lng")) * geo.DEGREE_M * F.cos(F.radians("lat")))
-    near = far.join(spots, ["tile", "cx", "cy"]).withColumn("m", m).where(F.col("m") < NAME_M).groupBy("seg", "k").agg(F.min_by("found", F.struct("m", "ord")).alias("n"))
+    near = far.join(spots.hint("merge"), ["tile", "cx", "cy"]).withColumn("m", m).where(F.col("m") < NAME_M).groupBy("seg", "k").agg(F.min_by("found", F.struct("m", "ord")).alias("n"))
     found = asked.where("exact is not null").select("seg", "k", F.col("exact").alias("n")).unionByName(near).groupBy("seg").agg(F.min_by("n", "k").alias("_name"))
-    return segs.join(found, "seg", "left").withColumn("name", F.coalesce("name", "_name")).select(*SEGMENT)
+    return segs.join(found.hint("merge"), "seg", "left").withColumn("name", F.coalesce("name", "_name")).select(*SEGMENT)
 
 
 def name_counts(features: DataFrame, segs: DataFrame, named: DataFrame) -> DataFrame:
     """(tile, names): named road features of a tile and segments that its name layer named."""
     own = picked_layer(features).where((F.col("type") == 2) & (F.coalesce(_said("class"), _said("kind"), F.lit("")) != "") & (F.coalesce(_prop("name")["s"], F.lit("")) != ""))
-    joined = named.where("name is not null").join(segs.where("name is null").select("seg"), "seg", "left_semi")
+    joined = named.where("name is not null").join(segs.where("name is null").select("seg").hint("merge"), "seg", "left_semi")
     return own.select("tile").unionByName(joined.select("tile")).groupBy("tile").agg(F.count("*").alias("names"))
 
 
@@ -193,7 +196,7 @@ def joints(segs: DataFrame, max_m: float) -> DataFrame:
     ends = ends.withColumn("bearing", bearing).withColumn("cx", F.explode(F.transform(spread, lambda d: cell(F.col("lng")) + d))).withColumn("cy", F.explode(F.transform(spread, lambda d: cell(F.col("lat")) + d)))
     rows = segs.select("seg", "oneway", *[degrees(F.col(c)).alias(f"_{c}") for c in ("ax", "ay", "bx", "by")], "ax", "ay", "bx", "by")
     rows = rows.withColumn("cx", cell((F.col("_ax") + F.col("_bx")) / 2)).withColumn("cy", cell((F.col("_ay") + F.col("_by")) / 2))
-    both = ends.join(rows, ["cx", "cy"]).where(~F.array_contains("segs", F.col("seg")))
+    both = ends.join(rows.hint("merge"), ["cx", "cy"]).where(~F.array_contains("segs", F.col("seg")))
     k = F.cos(F.radians("lat"))
     dx, dy = (F.col("_bx") - F.col("_ax")) * k, F.col("_by") - F.col("_ay")
     t = ((F.col("lng") - F.col("_ax")) * k * dx + (F.col("lat") - F.col("_ay")) * dy) / (dx * dx + dy * dy)

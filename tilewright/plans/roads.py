@@ -116,9 +116,15 @@ _FOUND = f", {_SPOTS}, {_TRIES}, {_EXACT}, {_BESIDE}, found as (select seg, arg_
 register("jon4_name_join", lambda spark, sf_dir: _SEG_COLS(_named(spark, sf_dir)).select("ax", "ay", "bx", "by", "cls", "name"), "select ax, ay, bx, by_ as by, cls, coalesce(t.name, f.name) as name from timed t left join found f using (seg)", _FOUND)
 
 
+
+def _name_counts(f):
+    segs = _kept(tilegraph.segments(f))
+    return tilegraph.name_counts(f, segs, tilegraph.with_names(segs, tilegraph.name_vertices(f)))
+
+
 register(
     "agg13_name_count",
-    lambda spark, sf_dir: tilegraph.name_counts(_read(spark, sf_dir), _segments(spark, sf_dir), _named(spark, sf_dir)).select(C("tile").alias("k"), "names"),
+    lambda spark, sf_dir: _name_counts(_kept(_read(spark, sf_dir))).select(C("tile").alias("k"), "names"),
     "select k, count(*) as names from (select k from timed join found using (seg) union all select k from (select distinct p.k, p.layer, p.pos from picked p where layer in ('transportation','road') and layer_pos = first_pos and type = 2 and cls is not null and name is not null)) group by k",
     _FOUND,
 )
