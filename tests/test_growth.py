@@ -158,6 +158,21 @@ def test_two_bounds_are_sought_in_one_tree(spark):
     assert {r.n: r.out for r in got} == want
 
 
+def test_steps_of_a_line_are_worked_out_once(spark, monkeypatch):
+    """Paths copy them rounded and numbered, in as many tasks as the steps take."""
+    checkpointed(spark)
+    monkeypatch.setattr(graph, "STEPS_A_TASK", 1)
+    names = "i int, lng double, lat double, lng2 double, lat2 double, cls string, name string, junction boolean, length_m double, seconds double, ramp boolean, roundabout boolean"
+    legs = [(i, i * 0.001, i % 3 * 0.001, i * 0.001 + 0.001, (i + 1) % 3 * 0.001, "primary", "A", True, 50.0 + i / 7, 1 / (i + 3), False, False) for i in range(9)]
+    paths = spark.createDataFrame([(n, *leg) for n in range(1, 10) for leg in legs[:n]], f"id long, {names}")
+    want = list(map(tuple, graph.steps_along(paths).withColumns({c: F.round(c, 2) for c in ("distance_m", "duration_s")}).collect()))
+    out = graph.steps_to_ends(spark.createDataFrame([(1, *leg) for leg in legs], f"line long, {names}"), spark.createDataFrame([(n, 1, n) for n in range(1, 10)], "id long, line long, n long"), places=2)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(want, key=repr)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "Generate inline" in plan and "round(" not in plan
+    assert out.rdd.getNumPartitions() > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_steps_of_all_paths_of_a_tree(spark, monkeypatch):
     """As steps_along() has them path by path, with manoeuvres nearer than the gap, first ones too short to go on from, and
     lists shorter and longer than the paths."""
