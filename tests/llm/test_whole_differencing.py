@@ -48,3 +48,21 @@ def test_short_texts_in_a_heavy_template(spark):
     rows = [(i, f"http://h.com/{i}", f"{lines}<p>Only {i}</p>{lines}") for i in range(6)]
     out = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in out} == {i: f"Only {i}" for i in range(6)}
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_marked_pages_are_compared_as_a_whole(spark, parts):
+    """Pages that differ in their marked articles only have a template; what the articles share is found and stays. Pages
+    without marks aren't compared with articles."""
+    html = "<body><nav>Home</nav><p>Welcome</p><article><p>A quote</p><p>Own words of page {0}</p></article><p>Bye</p></body>"
+    bare = "<body><p>Welcome</p><p>A quote</p><p>Other words</p><p>Bye</p></body>"
+    rows = [(i, f"http://h.com/{i}", html.format(i)) for i in range(8)] + [(20, "http://g.com/0", html.format(20)), (21, "http://g.com/1", bare)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        out = {r.page_id: r for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all((out[i].text, out[i].n_deleted, out[i].n_kept) == (f"A quote\n\nOwn words of page {i}", 3, 1) for i in range(8))
+    assert (out[20].text, out[20].n_deleted, out[20].n_kept) == ("A quote\n\nOwn words of page 20", 2, 1)
+    assert (out[21].text, out[21].n_deleted, out[21].n_kept) == ("A quote\n\nOther words", 2, 0)
