@@ -198,6 +198,20 @@ def test_steps_of_all_paths_of_a_tree(spark, monkeypatch):
     assert {r[0] for r in want} == legs.keys() and any(r[2] == "continue" for r in want) and max(r[1] for r in want) > 9
 
 
+def test_long_paths_of_a_tree_copy_few_lists(spark, monkeypatch):
+    """A path of 50 manoeuvres takes lists of 9, of 3 and what is left, not seventeen of 3."""
+    checkpointed(spark)
+    monkeypatch.setattr(pathtree, "CHUNK", 3)
+    seen, kept = [], pathtree.kept
+    monkeypatch.setattr(pathtree, "kept", lambda rows: seen.append(kept(rows)) or seen[-1])
+    names = "lng double, lat double, lng2 double, lat2 double, cls string, name string, junction boolean, length_m double, seconds double, ramp boolean, roundabout boolean"
+    legs = [(i + 1, i, i * 0.001, i % 2 * 0.001, i * 0.001 + 0.001, (i + 1) % 2 * 0.001, "primary", "A", True, 50.0, 1.0, False, False) for i in range(51)]
+    out = pathtree.steps_to_nodes(spark.createDataFrame(legs, f"node long, up long, {names}")).collect()
+    assert sorted((r.id, r.step) for r in out) == [(n, k) for n in range(1, 52) for k in range(n + 1)]
+    parts = max(r.n or 0 for rows in seen if {"parts", "skips"} <= set(rows.columns) for r in rows.select(F.size("parts").alias("n")).collect())
+    assert 50 // 9 < parts <= 50 // 9 + 3
+
+
 def test_tree_of_cheapest_paths(spark):
     """Of equal ways the one over the smallest node, and none back to the origin."""
     edges = spark.createDataFrame([(0, 2, 1.0), (0, 1, 1.0), (2, 3, 1.0), (1, 3, 1.0), (3, 0, 1.0), (3, 4, 0.5), (9, 4, 0.1), (4, 3, 0.5)], "src long, dst long, cost double")
